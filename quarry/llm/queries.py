@@ -1,12 +1,18 @@
 """The queries of this subpackage, and their SQL for DuckDB."""
 
-from . import substring_dedup
+from . import chat_format, language_id, license_scan, line_dedup, quality, substring_dedup, toxicity
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op6_chat_format": chat_format.op6_chat_format,
+    "op8_quality": quality.op8_quality,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
@@ -25,4 +31,22 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(a.i), 0)::BIGINT AS n_r
        sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(coalesce(a.i, []), j)), lambda j: w[j]), ' '), '')) AS kept_sha256,
        coalesce(n.n, 0)::BIGINT AS n_paths
 FROM d LEFT JOIN a USING (r) LEFT JOIN n USING (r)""",
+    "op2_line_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, p, l[p] AS line, translate(regexp_replace(l[p], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS p FROM d)),
+hot AS (SELECT k FROM x WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+kept AS (SELECT r, p, line, k IN (SELECT k FROM hot) AS gone FROM x)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM kept JOIN d USING (r) GROUP BY r, doc_id""",
+    "op6_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS et, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS er FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(er) + length(et) + length('<|im_start|><|im_end|>') + 2)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
 }

@@ -40,6 +40,8 @@ from . import runtime
 from .words import hash_words, window_hashes, words_of
 
 BLOCK_BYTES = 8 << 20
+#: Ids of 8 bytes that may be broadcast.
+BROADCAST_IDS = 1_000_000
 _NONE = np.iinfo(np.int64).min
 _EDGES = "block long, part long, hashes binary, docs binary, counts binary"
 _ANSWERS = "block long, part long, sources binary"
@@ -228,46 +230,56 @@ def _spell(k: int):
     return spell
 
 
+def _only(keyed: DataFrame, blocks: int, ids: DataFrame) -> DataFrame:
+    """Blocks of the documents with these ids: few ids are broadcast, so that other
+    texts are not dealt again; beyond ``BROADCAST_IDS`` all of them are."""
+    ids = ids.toDF("doc_id").distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return keyed.repartition(blocks, "block")
+    return keyed.join(F.broadcast(ids), "doc_id", "left_semi").select("block", "doc_id", "text").repartition(blocks, "block")
+
+
 def block_of(column: str, blocks: int):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(blocks))
 
 
 def repeated_paths(docs: DataFrame, k: int = 13, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, int]:
     """One row a document (doc_id, n_words, n_removed, kept_sha256, paths), stored;
-    the documents dealt into blocks; the number of blocks. Not verified yet."""
+    the documents with their blocks; the number of blocks. Not verified yet."""
     spark = docs.sparkSession
     blocks = runtime.block_count(runtime.text_bytes(docs), block_bytes)
     parts = max(blocks // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(F.coalesce(block_of("doc_id", blocks), F.lit(0)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(blocks, "block")
+    keyed = docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = keyed.repartition(blocks, "block")
     edges = dealt.groupBy("block").applyInArrow(_send(k, parts), _EDGES)
     answers = edges.repartition(parts, "part").groupBy("part").applyInArrow(_answer, _ANSWERS)
     found = dealt.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(_compact(k, parts), _PATHS)
-    return runtime.stored(found, "paths"), dealt, blocks
+    return runtime.stored(found, "paths"), keyed, blocks
 
 
 def dedup_substrings(docs: DataFrame, k: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and paths (start, n edges, source)
     of every document, after the paths' verification."""
-    found, dealt, blocks = repeated_paths(docs, k, block_bytes)
+    found, keyed, blocks = repeated_paths(docs, k, block_bytes)
     path = found.select("doc_id", F.explode("paths").alias("p")).select("doc_id", "p.*")
 
     def at(df: DataFrame, column: str):
         return df.withColumn("block", block_of(column, blocks)).repartition(blocks, "block").groupBy("block")
 
-    side = dealt.groupBy("block")
     asked = path.groupBy("source", "edge", "digest", "n").agg(F.min(F.struct("doc_id", "start")).alias("d")).select("source", "edge", "digest", "n", "d.*")
-    open_ = runtime.stored(side.cogroup(at(asked, "source")).applyInArrow(_verify(k), "doc_id long, start int, n int, source long"), "open")
+    open_ = runtime.stored(_only(keyed, blocks, path.select("source")).groupBy("block").cogroup(at(asked, "source")).applyInArrow(_verify(k), "doc_id long, start int, n int, source long"), "open")
     result = found
     if not open_.isEmpty():
         again = open_.join(path.select("doc_id", "start", "n", "source", "digest"), ["doc_id", "start", "n", "source"])
+        side = _only(keyed, blocks, again.select("doc_id").union(again.select("source"))).groupBy("block")
         spelt = side.cogroup(at(again, "doc_id")).applyInArrow(_spell(k), "doc_id long, start int, source long, words binary")
         wrong = runtime.stored(side.cogroup(at(spelt, "source")).applyInArrow(_verify_edges(k), "doc_id long, start int"), "wrong")
         if not wrong.isEmpty():
-            result = _without(found, dealt, blocks, wrong, path, k)
+            result = _without(found, keyed, blocks, wrong, path, k)
     return result
 
 
-def _without(found, dealt, blocks, wrong, path, k) -> DataFrame:
+def _without(found, keyed, blocks, wrong, path, k) -> DataFrame:
     """The documents with false edges done again without these."""
     same = path.join(wrong.select(F.col("doc_id").alias("w_doc"), F.col("start").alias("w")), (F.col("doc_id") == F.col("w_doc")) & F.col("w").between(F.col("start"), F.col("start") + F.col("n") - 1))
     false = same.select("source", "digest", (F.col("w") - F.col("start")).alias("o")).distinct()  # in every copy of the path
@@ -289,7 +301,7 @@ def _without(found, dealt, blocks, wrong, path, k) -> DataFrame:
                 out.append(_result(i, words, gone) | {"paths": by[i]["paths"]})
         return pa.Table.from_pylist(out, _schema())
 
-    redone = dealt.groupBy("block").cogroup(todo.repartition(blocks, "block").groupBy("block")).applyInArrow(redo, _PATHS)
+    redone = keyed.repartition(blocks, "block").groupBy("block").cogroup(todo.repartition(blocks, "block").groupBy("block")).applyInArrow(redo, _PATHS)
     return found.join(bad, "doc_id", "left_anti").unionByName(redone)
 
 
