@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL for DuckDB."""
 
-from . import chat_format, language_id, license_scan, line_dedup, quality, substring_dedup, toxicity
+from . import chat_format, decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -8,8 +8,11 @@ _WORD = r"[^\x20\x09-\x0D]+"
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_mixing": mixing.op3_mixing,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_quality": quality.op8_quality,
     "op9_language_id": language_id.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
