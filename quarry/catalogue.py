@@ -1,4 +1,650 @@
-"""All queries of the engine's own operators and their SQL."""
+"""All queries of the engine's own operators over the test tables, and their SQL.
+
+Binding: documents are the corpus (domain = lang, one file each), benchmark the
+questions, embeddings the vectors (vec_id = doc_id; a question's is that of its
+item_id), conversations the message log, customer and orders a parent with
+children, labels judged outcomes, events scores and times.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import jsonx, text as T
+from quarry.operators import answers as A, evaluation as E, routing as R, search as S
+from quarry.sources import store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+#: Routing keywords that occur in the corpus' prose.
+KEYWORDS = {"de": ["und", "keit", "schaft"], "en": ["the", "tion", "with"], "es": ["ción", "que", "mente"], "fr": ["eau", "ment", "aux"]}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None):
+    def add(f):
+        def run(spark, sf_dir):
+            return f(lambda t: table(spark, sf_dir, t))
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def both(name: str, sql: str, *tables: str) -> None:
+    """A query whose SQL is the same in both dialects."""
+    ORACLE_SQL[name] = sql
+    text = sql
+    for t in tables:
+        text = text.replace(f" {t} ", f" {{{t}}} ")
+    QUERIES[name] = lambda spark, sf_dir: spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
+
+
+# ---------------------------------------------------------------- inputs
+
+_WORDS = r"list_filter(string_split_regex(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '[\s\p{Z}\x{85}]+'), lambda x: x <> '')"
+_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def tok(x: str) -> str:
+    return _TOK.format(x)
+
+
+def files(t) -> DataFrame:
+    return t("documents").select(F.col("lang").alias("domain"), F.concat("source", F.lit("/doc_"), "doc_id", F.lit(".txt")).alias("source_file"), F.lit(None).cast("int").alias("page"), "text", "doc_id")
+
+
+def chunks(t) -> DataFrame:
+    return T.chunks(files(t))
+
+
+CH = rf"""d AS (SELECT doc_id, lang AS domain, concat(source, '/doc_', doc_id, '.txt') AS source_file, {_WORDS} AS w FROM documents),
+s AS (SELECT *, unnest(range(0, CAST(ceil(greatest(len(w) - 800, 0) / 650.0) AS BIGINT) + 1)) AS i FROM d WHERE len(w) > 0),
+c0 AS (SELECT doc_id, domain, source_file, i, array_to_string(w[i * 650 + 1 : i * 650 + 800], ' ') AS text FROM s),
+ch AS (SELECT doc_id, domain, source_file, text, CAST(row_number() OVER (PARTITION BY domain, source_file ORDER BY i) - 1 AS INTEGER) AS chunk_index,
+       printf('%s_%s_%04d', domain, concat('doc_', doc_id), row_number() OVER (PARTITION BY domain, source_file ORDER BY i) - 1) AS chunk_id
+       FROM c0 WHERE length(text) > 20)"""
+BM = rf"""tk AS (SELECT domain, chunk_id, {tok('text')} AS t FROM ch),
+st AS (SELECT domain, count(*) AS n, avg(len(t)) AS avgdl FROM tk GROUP BY domain),
+dfr AS (SELECT domain, token, count(*) AS df FROM (SELECT domain, unnest(list_distinct(t)) AS token FROM tk) GROUP BY ALL),
+idf0 AS (SELECT domain, token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfr JOIN st USING (domain)),
+me AS (SELECT domain, avg(raw) AS m FROM idf0 GROUP BY domain),
+idf AS (SELECT domain, token, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM idf0 JOIN me USING (domain)),
+qtf AS (SELECT query_id, token, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({tok('text')}) AS token FROM benchmark) GROUP BY ALL),
+tf AS (SELECT domain, chunk_id, dl, token, count(*) AS f FROM (SELECT domain, chunk_id, len(t) AS dl, unnest(t) AS token FROM tk) GROUP BY ALL),
+sc AS (SELECT query_id, domain, chunk_id, round(sum(qf * (idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
+       FROM tf JOIN qtf USING (token) JOIN idf USING (domain, token) JOIN st USING (domain) GROUP BY ALL),
+bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, domain ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc WHERE score > 0)"""
+SEM = """qv AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS qv FROM benchmark JOIN embeddings ON vec_id = item_id),
+cv AS (SELECT domain, chunk_id, embedding::DOUBLE[] AS v FROM ch JOIN embeddings ON vec_id = doc_id),
+sem0 AS (SELECT query_id, domain, chunk_id, round(list_sum(list_transform(list_zip(qv, v), lambda x: x[1] * x[2])), 6) AS score FROM qv, cv),
+sem AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, domain ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sem0)"""
+FUSED = """f0 AS (SELECT query_id, domain, chunk_id, s.score AS semantic, s.rank AS rs, b.score AS raw, b.rank AS rb
+      FROM (SELECT * FROM sem WHERE rank <= 24) s FULL JOIN (SELECT * FROM bm WHERE rank <= 24) b USING (query_id, domain, chunk_id)),
+f1 AS (SELECT *, round(coalesce(0.60 / (60 + rs), 0) + coalesce(0.40 / (60 + rb), 0), 9) AS rrf,
+       round(coalesce(raw, 0) / coalesce(nullif(max(raw) OVER (PARTITION BY query_id, domain), 0), 1), 6) AS bm25_score FROM f0),
+f2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, domain ORDER BY rrf DESC, rs NULLS LAST, rb NULLS LAST, chunk_id) AS INTEGER) AS rank FROM f1),
+hits AS (SELECT query_id, f2.domain, chunk_id, coalesce(semantic, 0) AS semantic_score, bm25_score, rrf, rank, b.text AS query, ch.text, ch.source_file
+         FROM f2 JOIN ch USING (domain, chunk_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 8)"""
+OVERLAP = f"""CASE WHEN len(q) > 0 AND len(c) > 0 THEN least(1.0, len(list_intersect(q, c))::DOUBLE / (len(q) + len(c) - len(list_intersect(q, c)))
+     + least(0.20, 0.05 * len(list_filter(q, lambda w: length(w) >= 4 AND contains(lower(text), w))))) ELSE 0.0 END"""
+RR = f"""r0 AS (SELECT *, list_distinct({tok('query')}) AS q, list_distinct({tok('text')}) AS c FROM hits),
+r1 AS (SELECT *, round(0.60 * rrf + 0.40 * ({OVERLAP}), 6) AS rerank_score FROM r0),
+r2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, domain ORDER BY rerank_score DESC, rank, chunk_id) AS INTEGER) AS rerank_rank,
+       max(rerank_score) OVER (PARTITION BY query_id, domain) >= $T AS passes FROM r1),
+rr AS (SELECT * FROM r2 WHERE (rerank_score >= $T AND rerank_rank <= 5) OR (NOT passes AND rerank_rank <= 1))"""
+LABEL = "array_to_string(list_transform(list_filter(string_split_regex(regexp_replace({}, '[-_]+', ' ', 'g'), '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '^[A-Z][A-Z0-9s]*$') THEN w ELSE concat(upper(w[1:1]), lower(w[2:])) END), ' ')"
+
+
+def benchmark(t) -> DataFrame:
+    return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def vectors(t, ch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    e = t("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    qv = benchmark(t).join(e, F.col("query_id") == F.col("vec_id")).select("query_id", "vector")
+    return qv, ch.join(e, F.col("doc_id") == F.col("vec_id")).select("domain", "chunk_id", "vector")
+
+
+def hits(t) -> DataFrame:
+    ch = chunks(t)
+    qv, cv = vectors(t, ch)
+    return S.hybrid(benchmark(t), qv, ch, cv)
+
+
+# ---------------------------------------------------------------- text
+
+
+@query("t1_tokenize_counts", f"SELECT doc_id, len({tok('text')})::INTEGER AS n_tokens, len(list_distinct({tok('text')}))::INTEGER AS n_distinct FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"), F.size(F.array_distinct(T.tokens(F.col("text")))).alias("n_distinct"))
+
+
+@query("t2_clean_text", r"""SELECT doc_id, md5(c) AS clean_md5, length(c)::INTEGER AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+ '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') AS c FROM documents)""")
+def _(t):
+    c = T.clean(F.col("text"))
+    return t("documents").select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).alias("n"))
+
+
+@query("t3_t14_word_counts", f"SELECT doc_id, len({_WORDS})::INTEGER AS n_words FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"))
+
+
+@query("t4_chunks", f"WITH {CH} SELECT chunk_id, domain, source_file, chunk_index, md5(text) AS text_md5, length(text)::INTEGER AS n FROM ch")
+def _(t):
+    return chunks(t).select("chunk_id", "domain", "source_file", "chunk_index", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
+
+
+@query("t5_paged_chunk_ids", rf"""WITH d AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations),
+s AS (SELECT *, unnest(range(0, CAST(ceil(greatest(len(w) - 20, 0) / 15.0) AS BIGINT) + 1)) AS i FROM d WHERE len(w) > 0),
+c AS (SELECT conv_id, turn, i, array_to_string(w[i * 15 + 1 : i * 15 + 20], ' ') AS text FROM s)
+SELECT printf('CHAT_conv_%d_%04d', conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1) AS chunk_id, turn::INTEGER AS page, md5(text) AS text_md5 FROM c WHERE length(text) > 20""")
+def _(t):
+    f = t("conversations").select(F.lit("CHAT").alias("domain"), F.format_string("chats/conv_%d.txt", "conv_id").alias("source_file"), F.col("turn").cast("int").alias("page"), "text")
+    return T.chunks(f, 20, 5).select("chunk_id", "page", F.md5("text").alias("text_md5"))
+
+
+@query("t7_file_parts", r"""SELECT page_id, p AS path, regexp_extract(p, '([^/]*)$', 1) AS base, lower(regexp_extract(p, '(\.[^./]+)$', 1)) AS suffix, regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\.[^.]+$', '') AS stem
+ FROM (SELECT page_id, concat(regexp_replace(url, '\?.*$', ''), '/page_', page_id, CASE page_id % 3 WHEN 0 THEN '.v2.PDF' WHEN 1 THEN '.md' ELSE '' END) AS p FROM pages)""")
+def _(t):
+    ext = F.when(F.col("page_id") % 3 == 0, ".v2.PDF").when(F.col("page_id") % 3 == 1, ".md").otherwise("")
+    p = t("pages").select("page_id", F.concat(F.regexp_replace("url", r"\?.*$", ""), F.lit("/page_"), "page_id", ext).alias("path"))
+    return p.select("page_id", "path", T.basename(F.col("path")).alias("base"), T.suffix(F.col("path")).alias("suffix"), T.stem(F.col("path")).alias("stem"))
+
+
+_NAME = "concat(replace(p_name, ' ', '_'), '-', p_type, '__', replace(p_brand, '#', '-'))"
+
+
+@query("t8_citation_label", f"SELECT p_partkey, concat({LABEL.format(_NAME)}, CASE WHEN p_size % 2 = 0 THEN concat(', p.', p_size) ELSE '' END) AS label FROM part")
+def _(t):
+    path = F.concat(F.lit("kb/"), F.translate("p_name", " ", "_"), F.lit("-"), "p_type", F.lit("__"), F.translate("p_brand", "#", "-"), F.lit(".pdf"))
+    return t("part").select("p_partkey", T.citation_label(path, F.when(F.col("p_size") % 2 == 0, F.col("p_size"))).alias("label"))
+
+
+_SENT = r"string_split(regexp_replace({}, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query("t9_sentences", f"SELECT item_id, (unnest(range(1, len(s) + 1)) - 1)::INTEGER AS pos, unnest(s) AS sentence FROM (SELECT item_id, {_SENT.format('text')} AS s FROM benchmark)")
+def _(t):
+    return t("benchmark").select("item_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query("t10_t11_truncation", "SELECT doc_id, left(text, 60) AS title, md5(left(text, 1500)) AS evidence_md5, CASE WHEN length(text) > 500 THEN concat(left(text, 500), '…') ELSE text END AS preview FROM documents")
+def _(t):
+    x = F.col("text")
+    return t("documents").select("doc_id", F.substring(x, 1, 60).alias("title"), F.md5(F.substring(x, 1, 1500)).alias("evidence_md5"), T.ellipsis(x, 500).alias("preview"))
+
+
+@query("t12_t13_keyword_match", f"""SELECT item_id, contains(lower(text), 'tion') AS inside, len(list_filter({tok('text')}, lambda w: starts_with(w, 'th'))) > 0 AS prefix FROM benchmark""")
+def _(t):
+    return t("benchmark").select("item_id", F.contains(F.lower("text"), F.lit("tion")).alias("inside"), F.exists(T.tokens(F.col("text")), lambda w: F.startswith(w, F.lit("th"))).alias("prefix"))
+
+
+@query("t15_citations", r"""SELECT conv_id, turn, array_to_string(regexp_extract_all(concat(text, ' [Source ', turn + 1, '] x [source  12] [Source x]'), '(?i)\[Source\s+(\d+)\]', 1), ',') AS cited FROM conversations""")
+def _(t):
+    x = F.concat("text", F.lit(" [Source "), F.col("turn") + 1, F.lit("] x [source  12] [Source x]"))
+    return t("conversations").select("conv_id", "turn", F.array_join(T.citations(x), ",").alias("cited"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_SIG = "list_distinct(list_filter({}, lambda w: length(w) >= 4 AND w NOT IN ({})))"
+
+
+def sig(x: str) -> str:
+    return _SIG.format(tok(x), _STOP)
+
+
+@query("t16_significant_words", f"SELECT item_id, array_to_string(list_sort({sig('text')}), ' ') AS words FROM benchmark")
+def _(t):
+    return t("benchmark").select("item_id", F.array_join(F.array_sort(T.significant(F.col("text"))), " ").alias("words"))
+
+
+both("t17_t18_t20_t23_scores", "SELECT event_id, round(value, 1) AS r, greatest(0.0, least(1.0, value / 100)) AS clamped, value / coalesce(nullif(abs(value), 0), 1) AS sign_, CASE WHEN value / 100 >= 0.7 THEN 'good' WHEN value / 100 >= 0.4 THEN 'fair' ELSE 'poor' END AS band FROM events ", "events")
+
+
+@query("t17_t18_t20_t23_scores_api", "SELECT event_id, greatest(0.0, least(1.0, value / 100)) AS clamped, value / coalesce(nullif(value, 0), 1) AS unit, CASE WHEN value / 100 >= 0.7 THEN 'good' WHEN value / 100 >= 0.4 THEN 'fair' ELSE 'poor' END AS band FROM events")
+def _(t):
+    v = F.col("value")
+    return t("events").select("event_id", T.clamp(v / 100).alias("clamped"), (v / T.or_one(v)).alias("unit"), T.band(v / 100).alias("band"))
+
+
+@query("t19_ordered_dedup", f"SELECT item_id, string_agg(w, ' ' ORDER BY p) AS words FROM (SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest({tok('text')}) AS w, unnest(range(len({tok('text')}))) AS p FROM benchmark) GROUP BY item_id, w) GROUP BY item_id")
+def _(t):
+    return t("benchmark").select("item_id", F.array_join(F.array_distinct(T.tokens(F.col("text"))), " ").alias("words"))
+
+
+@query("t21_relative_time", """SELECT event_id, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN concat(m, 'm ago') WHEN m < 1440 THEN concat(m // 60, 'h ago') ELSE concat(m // 1440, 'd ago') END AS ago
+ FROM (SELECT event_id, epoch(TIMESTAMP '2024-02-01' - ts)::BIGINT // 60 AS m FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events))""")
+def _(t):
+    m = F.floor((F.unix_timestamp(F.lit("2024-02-01 00:00:00").cast("timestamp")) - F.unix_timestamp(F.date_trunc("second", F.col("ts")).cast("timestamp"))) / 60)
+    return t("events").select("event_id", T.ago(m).alias("ago"))
+
+
+_ERRORS = ["429 Too Many: perday limit", "Rate limit reached", "401 denied", "GEMINI_API_KEY not set", "key not set", "Connection reset", "boom", "retry in 7.5s: quota"]
+
+
+@query("t24_t26_errors", f"""SELECT event_id, CASE WHEN lim AND (contains(m, 'perday') OR contains(m, 'per_day') OR contains(m, 'daily')) THEN 'daily quota' WHEN lim THEN 'rate limit'
+ WHEN contains(m, 'authentication') OR contains(m, '401') OR contains(m, 'api key') OR contains(m, 'api_key') THEN 'authentication' WHEN contains(m, 'not set') THEN 'missing key'
+ WHEN contains(m, 'timeout') OR contains(m, 'connection') THEN 'timeout' ELSE 'other' END AS kind,
+ coalesce(TRY_CAST(nullif(regexp_extract(m, 'retry in (\\d+(?:\\.\\d+)?)s', 1), '') AS DOUBLE) + 2, 15) AS wait
+ FROM (SELECT *, contains(m, 'rate limit') OR contains(m, '429') OR contains(m, 'quota') OR contains(m, 'tokens per day') OR contains(m, 'tpd') AS lim
+ FROM (SELECT event_id, lower({_ERRORS!r}[event_id % 8 + 1]) AS m FROM events))""")
+def _(t):
+    m = F.lower(F.element_at(F.array(*[F.lit(x) for x in _ERRORS]), (F.col("event_id") % 8 + 1).cast("int")))
+    return t("events").select("event_id", T.error_class(m).alias("kind"), T.retry_seconds(m).alias("wait"))
+
+
+@query("t25_k9_history_block", """SELECT conv_id, string_agg(concat(upper(role[1:1]), role[2:], ': ', left(text, 200)), chr(10) ORDER BY turn) AS history
+ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3 GROUP BY conv_id""")
+def _(t):
+    last = store.last_n(t("conversations"), "conv_id", ["turn"], 3)
+    line = F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100), F.lit(": "), F.substring("text", 1, 200))
+    return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("history"))
+
+
+@query("t28_provider_prefix", "SELECT event_type, starts_with(event_type, 'pur') OR starts_with(event_type, 'cl') AS hosted, count(*) AS n FROM events GROUP BY ALL")
+def _(t):
+    return t("events").groupBy("event_type", T.starts_with_any(F.col("event_type"), ["pur", "cl"]).alias("hosted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- JSON
+
+
+@query("j1_json_salvage", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(props->>'k' AS BIGINT) END AS k FROM events")
+def _(t):
+    e = F.col("event_id") % 4
+    said = F.when(e == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(e == 1, F.concat(F.lit("Sure: "), "props", F.lit(" as asked"))).when(e == 2, F.col("props")).otherwise(F.lit("no {json"))
+    return t("events").select("event_id", F.get_json_object(jsonx.salvage(said), "$.k").cast("bigint").alias("k"))
+
+
+@query("j2_router_json", """SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'multi' ELSE 'single' END AS intent_type, CASE item_id % 3 WHEN 0 THEN 'DE,EN' WHEN 1 THEN 'FR' ELSE '' END AS domains,
+ item_id % 3 <> 1 AS is_course_related, item_id % 3 = 1 AS needs_clarification FROM benchmark""")
+def _(t):
+    i = F.col("item_id") % 3
+    said = F.when(i == 0, '{"intent_type":"multi","domains":["de","EN","XX"]}').when(i == 1, '{"intent_type":"odd","domains":["fr"],"is_course_related":false,"needs_clarification":true}').otherwise("nothing")
+    return t("benchmark").select("item_id", jsonx.route(said, list(KEYWORDS)).alias("r")).select("item_id", "r.intent_type", F.array_join("r.domains", ",").alias("domains"), "r.is_course_related", "r.needs_clarification")
+
+
+@query("j3_splitter_json", "SELECT item_id, left(text, 20) AS question, 'DE' AS domain FROM benchmark WHERE trim(left(text, 20)) <> ''")
+def _(t):
+    said = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit(" "), F.substring("text", 1, 20)).alias("question"), F.lit(" de ").alias("domain")), F.struct(F.lit(" ").alias("question"), F.lit("en").alias("domain"))).alias("sub_questions")))
+    q = F.explode(jsonx.split_questions(said)).alias("q")
+    return t("benchmark").select("item_id", "text", q).select("item_id", F.substring("text", 1, 20).alias("question"), "q.domain")
+
+
+@query("j4_verifier_json", """SELECT doc_id, quality = 1 AS ok, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS q, 0.25::DOUBLE AS c, CASE WHEN quality = 0 THEN 'better' END AS revised FROM labels""")
+def _(t):
+    good = F.col("quality") == 1
+    said = F.when(good, '{"is_satisfactory":true,"quality_score":7,"coverage_score":0.25,"revised_answer":"x"}').otherwise('{"is_satisfactory":false,"coverage_score":0.25,"revised_answer":"better"}')
+    return t("labels").select("doc_id", jsonx.verdict(said).alias("v")).select("doc_id", F.col("v.is_satisfactory").alias("ok"), F.col("v.quality").alias("q"), F.col("v.coverage").alias("c"), F.col("v.revised_answer").alias("revised"))
+
+
+@query("j5_json_columns", "SELECT event_id, concat('{\"user_id\":', user_id, ',\"event_type\":\"', event_type, '\"}') AS j, CAST(props->>'k' AS BIGINT) AS k FROM events")
+def _(t):
+    return t("events").select("event_id", F.to_json(F.struct("user_id", "event_type")).alias("j"), F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+# ---------------------------------------------------------------- filters, sets, DML, roll-ups
+
+both("f1_equality", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'de' AND source = 'src3'", "documents")
+both("f2_like", "SELECT doc_id, source FROM documents WHERE source ILIKE '%RC1_'", "documents")
+both("f7_optional_predicate", "SELECT doc_id FROM documents WHERE CAST(NULL AS VARCHAR(9)) IS NULL OR lang = NULL", "documents")
+both("f10_with_chunks", "SELECT lang, count(*) AS n FROM documents WHERE n_chars > 0 GROUP BY lang", "documents")
+
+
+@query("f8_manual_override", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'es' ELSE 'auto' END AS domains FROM benchmark")
+def _(t):
+    manual = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("es"))).otherwise(F.array().cast("array<string>"))
+    return t("benchmark").select("item_id", F.array_join(F.coalesce(F.when(F.size(manual) > 0, manual), F.array(F.lit("auto"))), ",").alias("domains"))
+
+
+@query("f9_general_query", f"SELECT item_id, NOT regexp_matches(text, '\\.(pdf|txt|md|docx)') AND (contains(lower(text), 'summar') OR len({_WORDS}) < 25) AS general FROM benchmark")
+def _(t):
+    x = F.col("text")
+    return t("benchmark").select("item_id", (~x.rlike(r"\.(pdf|txt|md|docx)") & (F.contains(F.lower(x), F.lit("summar")) | (F.size(T.words(x)) < 25))).alias("general"))
+
+
+both("w1_role_check", "SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant')", "conversations")
+
+
+@query("w1_role_check_api", "SELECT role, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role")
+def _(t):
+    return store.check_role(t("conversations")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w2_insert_or_ignore", "SELECT text_key, min(doc_id) AS doc_id FROM (SELECT doc_id, left(text, 40) AS text_key FROM documents) WHERE text_key NOT IN (SELECT left(text, 40) FROM documents WHERE lang = 'en') GROUP BY text_key")
+def _(t):
+    d = t("documents").select("doc_id", "lang", F.substring("text", 1, 40).alias("text_key"))
+    return store.new_rows(d, d.where("lang = 'en'"), ["text_key"], ["doc_id"]).select("text_key", "doc_id")
+
+
+@query("w3_chunk_upsert", f"WITH {CH} SELECT domain, count(*) AS n FROM ch WHERE chunk_id NOT IN (SELECT concat(lang, '_doc_', doc_id, '_0000') FROM documents WHERE source = 'src1') GROUP BY domain")
+def _(t):
+    c = chunks(t)
+    old = t("documents").where("source = 'src1'").select(F.concat("lang", F.lit("_doc_"), "doc_id", F.lit("_0000")).alias("chunk_id"))
+    return store.new_rows(c, old, ["chunk_id"], ["doc_id"]).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w4_touch_parent", "SELECT c_custkey, max(o_orderdate) AS updated_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def _(t):
+    o = t("orders").withColumnRenamed("o_custkey", "c_custkey")
+    return store.rollup(t("customer").select("c_custkey"), o, "c_custkey", updated_at=F.max("o_orderdate"))
+
+
+@query("w5_update", "SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL AND quality = 0 THEN 'low' ELSE source END AS source FROM documents LEFT JOIN labels l USING (doc_id)")
+def _(t):
+    changes = t("labels").where("quality = 0").select("doc_id", F.lit("low").alias("source"))
+    return store.update(t("documents").select("doc_id", "source"), changes, ["doc_id"], ["source"])
+
+
+@query("w6_truncate_tail", "SELECT conv_id, turn FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn >= conv_id % 5)")
+def _(t):
+    c = t("conversations").select("conv_id", "turn")
+    cuts = c.where("conv_id % 3 = 0").select("conv_id", (F.col("conv_id") % 5).alias("cut")).distinct()
+    return store.truncate_tail(c, cuts, "conv_id", "turn")
+
+
+@query("w7_cascade_delete", "SELECT 'documents' AS tbl, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'labels', count(*) FROM labels WHERE toxic <> 1")
+def _(t):
+    left = store.cascade_delete({"documents": t("documents"), "labels": t("labels")}, t("labels").where("toxic = 1"), "doc_id")
+    return left["documents"].agg(F.lit("documents").alias("tbl"), F.count(F.lit(1)).alias("n")).unionByName(left["labels"].agg(F.lit("labels").alias("tbl"), F.count(F.lit(1)).alias("n")))
+
+
+@query("w8_w10_delete_by_source", "SELECT source ILIKE '%src1%' AS gone, count(*) AS n FROM documents GROUP BY ALL")
+def _(t):
+    stays, goes = store.delete_where(t("documents"), F.col("source").ilike("%src1%"))
+    return stays.agg(F.lit(False).alias("gone"), F.count(F.lit(1)).alias("n")).unionByName(goes.agg(F.lit(True).alias("gone"), F.count(F.lit(1)).alias("n")))
+
+
+both("s6_domain_scan", "SELECT doc_id, source FROM documents WHERE lang = 'fr'", "documents")
+both("s7_session_scan", "SELECT turn, role, text FROM conversations WHERE conv_id = 7", "conversations")
+both("s8_id_set", "SELECT DISTINCT vec_id FROM embeddings WHERE label = 3", "embeddings")
+both("s10_point_lookup", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 17 LIMIT 1", "customer")
+
+
+@query("jn1_a1_session_rollup", "SELECT c_custkey, c_name, count(o_orderkey) AS n_messages, max(o_orderdate) AS updated_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name ORDER BY updated_at DESC NULLS LAST, c_custkey LIMIT 20")
+def _(t):
+    o = t("orders").withColumnRenamed("o_custkey", "c_custkey")
+    r = store.rollup(t("customer").select("c_custkey", "c_name"), o, "c_custkey", n=F.count("o_orderkey"), updated_at=F.max("o_orderdate"))
+    return r.select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("n_messages"), "updated_at").orderBy(F.col("updated_at").desc_nulls_last(), "c_custkey").limit(20)
+
+
+@query("jn1_zero_match", "SELECT d.doc_id, count(l.doc_id) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.doc_id")
+def _(t):
+    return store.rollup(t("documents").select("doc_id"), t("labels"), "doc_id", n=F.count("quality")).select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("jn2_a2_study_rollup", "SELECT c_custkey, count(DISTINCT o_orderkey) AS n_docs, coalesce(sum(length(o_orderpriority)), 0)::BIGINT AS n_chunks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def _(t):
+    o = t("orders").withColumnRenamed("o_custkey", "c_custkey")
+    r = store.rollup(t("customer").select("c_custkey"), o, "c_custkey", d=F.count_distinct("o_orderkey"), s=F.sum(F.length("o_orderpriority")))
+    return r.select("c_custkey", F.coalesce("d", F.lit(0)).alias("n_docs"), F.coalesce("s", F.lit(0)).alias("n_chunks"))
+
+
+both("jn3_u3_anti", "SELECT d.doc_id FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id", "documents", "labels")
+ORACLE_SQL["jn3_u3_anti"] = "SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id"
+
+
+@query("a3_chunk_counts", f"WITH {CH} SELECT domain, count(*) AS n_chunks, count(DISTINCT source_file) AS n_files FROM ch GROUP BY domain")
+def _(t):
+    return chunks(t).groupBy("domain").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("source_file").alias("n_files"))
+
+
+both("a7_filtered_averages", "SELECT source, coalesce(round(avg(CASE WHEN quality > 0 THEN n_chars END), 4), 0.0) AS avg_good, coalesce(round(avg(CASE WHEN toxic = 1 THEN n_chars END), 4), 0.0) AS avg_toxic FROM documents JOIN labels USING (doc_id) GROUP BY source", "documents")
+QUERIES["a7_filtered_averages"] = lambda spark, sf: table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").groupBy("source").agg(E.mean_if(F.col("quality") > 0, F.col("n_chars")).alias("avg_good"), E.mean_if(F.col("toxic") == 1, F.col("n_chars")).alias("avg_toxic"))
+
+
+@query("a8_a9_a14_by_category", "SELECT lang AS category, count(*) AS total, count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality <> 1) AS failed, round(100.0 * (count(*) FILTER (quality = 1)) / count(*), 1) AS pass_rate FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def _(t):
+    ok = F.col("quality") == 1
+    return t("documents").join(t("labels"), "doc_id").groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), E.percent(ok).alias("pass_rate"))
+
+
+@query("a10_by_model", "SELECT event_type AS model, count(*) AS n, round(avg(TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'N/A' ELSE CAST(value AS VARCHAR) END AS DOUBLE)), 3) AS avg_quality FROM events WHERE value > 0 GROUP BY event_type")
+def _(t):
+    said = F.when(F.col("event_id") % 5 == 0, F.lit("N/A")).otherwise(F.col("value").cast("string"))
+    return t("events").where("value > 0").groupBy(F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(said.try_cast("double")), 3).alias("avg_quality"))
+
+
+both("a13_a16_client_sums", "SELECT c_mktsegment, sum(coalesce(c_acctbal, 0)) AS total, greatest(1, CAST(count(*) / 3 AS INT)) AS per_file FROM customer GROUP BY c_mktsegment", "customer")
+ORACLE_SQL["a13_a16_client_sums"] = "SELECT c_mktsegment, sum(coalesce(c_acctbal, 0)) AS total, greatest(1, (count(*) // 3)::INT) AS per_file FROM customer GROUP BY c_mktsegment"
+
+
+@query("a17_kb_status", "SELECT lang AS domain, count(*) AS n_chunks, string_agg(DISTINCT source, '|' ORDER BY source) AS files FROM documents GROUP BY lang")
+def _(t):
+    return t("documents").groupBy(F.col("lang").alias("domain")).agg(F.count(F.lit(1)).alias("n_chunks"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("files"))
+
+
+both("k7_recent_sessions", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20", "orders")
+both("k8_transcript", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations ", "conversations")
+
+
+@query("k9_last_user_messages", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n <= 4")
+def _(t):
+    return store.last_n(t("conversations").where("role = 'user'"), "conv_id", ["turn"], 4).select("conv_id", "turn")
+
+
+@query("k10_head_sentences", f"SELECT item_id, left(array_to_string(({_SENT.format('text')})[1:2], ' '), 300) AS head FROM benchmark")
+def _(t):
+    return t("benchmark").select("item_id", E.head(F.col("text")).alias("head"))
+
+
+both("u1_union_all", "SELECT doc_id AS id, lang AS x FROM documents UNION ALL SELECT page_id, url FROM pages ", "documents", "pages")
+
+
+@query("u2_token_sets", f"SELECT item_id, len(list_intersect(a, b))::INTEGER AS both_, len(list_distinct(list_concat(a, b)))::INTEGER AS any_ FROM (SELECT item_id, list_distinct({tok('b.text')}) AS a, list_distinct({tok('d.text')}) AS b FROM benchmark b JOIN documents d ON doc_id = item_id)")
+def _(t):
+    a, b = T.tokens(F.col("text")), T.tokens(F.col("other"))
+    j = t("benchmark").join(t("documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("other")), "item_id")
+    return j.select("item_id", F.size(F.array_intersect(a, b)).alias("both_"), F.size(F.array_union(a, b)).alias("any_"))
+
+
+# ---------------------------------------------------------------- search
+
+
+@query("a4_bm25_stats", f"WITH {CH}, {BM} SELECT domain, count(*) AS n_tokens, sum(df)::BIGINT AS postings, round(min(idf), 6) AS min_idf, round(max(idf), 6) AS max_idf FROM idf GROUP BY domain")
+def _(t):
+    return S.bm25_stats(chunks(t))[1].groupBy("domain").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("df").alias("postings"), F.round(F.min("idf"), 6).alias("min_idf"), F.round(F.max("idf"), 6).alias("max_idf"))
+
+
+@query("m1_bm25_topk", f"WITH {CH}, {BM} SELECT query_id, domain, chunk_id, score, rank FROM bm WHERE rank <= 8")
+def _(t):
+    return S.bm25(benchmark(t), chunks(t), S.TOP_K)
+
+
+@query("m2_cosine_topk", """WITH s AS (SELECT q.vec_id AS query_id, concat('L', v.label % 2) AS domain, printf('%06d', v.vec_id) AS chunk_id, round(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda x: x[1] * x[2])), 6) AS score
+ FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, domain ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM s) WHERE rank <= 8""")
+def _(t):
+    e = t("embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return S.dense(q, e.select(F.concat(F.lit("L"), F.col("label") % 2).alias("domain"), F.format_string("%06d", "vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), S.TOP_K)
+
+
+@query("m3_rrf_hybrid", f"WITH {CH}, {BM}, {SEM}, {FUSED} SELECT query_id, domain, chunk_id, semantic_score, bm25_score, rrf, rank FROM hits")
+def _(t):
+    return hits(t).select("query_id", "domain", "chunk_id", "semantic_score", "bm25_score", "rrf", "rank")
+
+
+@query("m5_overlap", f"WITH {CH}, {BM}, x AS (SELECT query_id, domain, chunk_id, b.text AS query, ch.text FROM bm JOIN ch USING (domain, chunk_id) JOIN benchmark b ON item_id = query_id WHERE rank <= 3), y AS (SELECT *, list_distinct({tok('query')}) AS q, list_distinct({tok('text')}) AS c FROM x) SELECT query_id, domain, chunk_id, round({OVERLAP}, 6) AS overlap FROM y")
+def _(t):
+    c = chunks(t)
+    top = S.bm25(benchmark(t), c, 3).join(c.select("domain", "chunk_id", "text"), ["domain", "chunk_id"]).join(S.small(benchmark(t)), "query_id")
+    return top.select("query_id", "domain", "chunk_id", F.round(S.overlap(F.col("query"), F.col("text")), 6).alias("overlap"))
+
+
+def _reranked(name: str, threshold: float):
+    @query(name, f"WITH {CH}, {BM}, {SEM}, {FUSED}, {RR.replace('$T', str(threshold))} SELECT query_id, domain, chunk_id, rerank_score, rerank_rank FROM rr")
+    def _(t):
+        return S.rerank(hits(t), threshold=threshold).select("query_id", "domain", "chunk_id", "rerank_score", "rerank_rank")
+
+
+_reranked("m6_f6_rerank", S.THRESHOLD)
+_reranked("m6_rerank_low_threshold", 0.05)
+_reranked("m7_study_rerank", -5.0)
+
+
+@query("f3_soft_filter", f"WITH {CH}, {BM}, x AS (SELECT query_id, b.domain, chunk_id, source_file, contains(source_file, 'src1') AND query_id % 2 = 0 AS m FROM (SELECT * FROM bm WHERE rank <= 8) b JOIN ch USING (domain, chunk_id)) SELECT query_id, domain, chunk_id FROM (SELECT *, bool_or(m) OVER (PARTITION BY query_id) AS a FROM x) WHERE m OR NOT a")
+def _(t):
+    c = chunks(t)
+    top = S.bm25(benchmark(t), c, 8).join(c.select("domain", "chunk_id", "source_file"), ["domain", "chunk_id"])
+    return S.file_filter(top, F.array(F.when(F.col("query_id") % 2 == 0, "src1").otherwise("none"))).select("query_id", "domain", "chunk_id")
+
+
+@query("f4_strict_filter", f"WITH {CH}, {BM} SELECT query_id, domain, chunk_id FROM bm JOIN ch USING (domain, chunk_id) WHERE rank <= 8 AND (contains(source_file, 'src1/') OR contains(source_file, 'src2/'))")
+def _(t):
+    c = chunks(t)
+    top = S.bm25(benchmark(t), c, 8).join(c.select("domain", "chunk_id", "source_file"), ["domain", "chunk_id"])
+    return S.file_filter(top, F.array(F.lit("src1/"), F.lit("src2/")), strict=True).select("query_id", "domain", "chunk_id")
+
+
+_RRL = f"{CH}, {BM}, {SEM}, {FUSED}, {RR.replace('$T', '0.05')}"
+
+
+@query("a5_score_summary", f"WITH {_RRL} SELECT query_id, domain, count(*) AS count, round(max(rerank_score), 4) AS top_score, round(min(rerank_score), 4) AS min_score, round(avg(rerank_score), 4) AS avg_score, string_agg(chunk_id, '|' ORDER BY rerank_rank) AS labels FROM rr GROUP BY query_id, domain")
+def _(t):
+    return S.score_summary(S.rerank(hits(t), threshold=0.05))
+
+
+@query("a12_sources_used", f"WITH {_RRL} SELECT query_id, string_agg(DISTINCT regexp_extract(source_file, '([^/]*)$', 1), '|' ORDER BY regexp_extract(source_file, '([^/]*)$', 1)) AS files FROM rr GROUP BY query_id")
+def _(t):
+    return S.rerank(hits(t), threshold=0.05).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(T.basename(F.col("source_file")))), "|").alias("files"))
+
+
+_STEM = "regexp_replace(regexp_extract(source_file, '([^/]*)$', 1), '\\.[^.]+$', '')"
+
+
+@query("a15_t27_prompt_context", f"WITH {_RRL} SELECT query_id, domain, md5(string_agg(concat('[Source ', rerank_rank, '] — ', {LABEL.format(_STEM)}, '  (domain: ', domain, ', score: ', printf('%.3f', rerank_score), ')', chr(10), text), chr(10) || '---' || chr(10) ORDER BY rerank_rank)) AS context_md5 FROM rr GROUP BY query_id, domain")
+def _(t):
+    return S.prompt_context(S.rerank(hits(t), threshold=0.05)).select("query_id", "domain", F.md5("context").alias("context_md5"))
+
+
+# ---------------------------------------------------------------- routing and answers
+
+_LOW = "lower(text)"
+_N = {d: " + ".join(f"contains({_LOW}, '{k}')::INT" for k in ks) for d, ks in KEYWORDS.items()}
+_DOMS = "list_filter([" + ", ".join(f"CASE WHEN {n} > 0 THEN '{d}' END" for d, n in _N.items()) + "], lambda x: x IS NOT NULL)"
+_GUESS = "CASE " + " ".join(f"WHEN greatest({', '.join(_N.values())}) = {n} THEN '{d}'" for d, n in _N.items()) + " END"
+
+
+@query("c1_keyword_route", f"SELECT item_id AS query_id, array_to_string(d, ',') AS domains, CASE WHEN len(d) > 1 THEN 'multi' ELSE 'single' END AS intent_type, len(d) > 0 AS is_related, len({_WORDS}) < 4 AND len(d) = 0 AS needs_clarification FROM (SELECT *, {_DOMS} AS d FROM benchmark)")
+def _(t):
+    return R.route(benchmark(t), KEYWORDS).select("query_id", F.array_join("domains", ",").alias("domains"), "intent_type", "is_related", "needs_clarification")
+
+
+@query("c3_clarify", f"SELECT conv_id, turn, CASE WHEN len({_DOMS}) > 0 THEN FALSE ELSE len({_WORDS}) < 4 END AS clarify FROM conversations")
+def _(t):
+    r = R.route(t("conversations").select("conv_id", "turn", F.col("text").alias("query")), KEYWORDS)
+    return r.select("conv_id", "turn", R.should_clarify(F.size("domains"), F.col("needs_clarification"), F.col("is_related"), F.col("query")).alias("clarify"))
+
+
+@query("a11_guess_domain", f"SELECT item_id, {_GUESS} AS domain FROM benchmark")
+def _(t):
+    return t("benchmark").select("item_id", R.guess(F.col("text"), KEYWORDS).alias("domain"))
+
+
+@query("c5_c6_fallback_split", f"""WITH q AS (SELECT item_id AS query_id, text, {_DOMS} AS d, list_filter({_SENT.format('text')}, lambda x: trim(x) <> '') AS s, {_GUESS} AS g FROM benchmark)
+SELECT query_id, (unnest(range(len(s))))::INTEGER AS pos, trim(unnest(s)) AS question, unnest(list_transform(range(len(s)), lambda i: d[i % len(d) + 1])) AS domain FROM q WHERE len(d) > 1 AND len(s) > 1
+UNION ALL SELECT query_id, 0, text, coalesce(d[1], g) FROM q WHERE NOT (len(d) > 1 AND len(s) > 1)""")
+def _(t):
+    return R.split(R.route(benchmark(t), KEYWORDS), KEYWORDS)
+
+
+@query("c4_canned_responses", f"SELECT item_id, CASE WHEN len({_DOMS}) = 0 THEN '{A.UNRELATED}' WHEN item_id % 2 = 0 THEN '{A.CLARIFY} Which file?' END AS answer FROM benchmark")
+def _(t):
+    r = R.route(benchmark(t), KEYWORDS)
+    return r.select(F.col("query_id").alias("item_id"), A.canned(F.col("is_related"), F.col("query_id") % 2 == 0, F.lit("Which file?")).alias("answer"))
+
+
+_ANS = f"""{_RRL}, an AS (SELECT query_id, domain, string_agg(concat(array_to_string(({_SENT.format('text')})[1:2], ' '), ' [Source ', rerank_rank, ']'), ' ' ORDER BY rerank_rank) AS answer, count(*)::INTEGER AS n_used FROM rr GROUP BY query_id, domain)"""
+
+
+@query("c9_domain_answers", f"WITH {_ANS} SELECT query_id, domain, md5(answer) AS answer_md5, n_used FROM an")
+def _(t):
+    return A.domain_answers(S.rerank(hits(t), threshold=0.05)).select("query_id", "domain", F.md5("answer").alias("answer_md5"), "n_used")
+
+
+@query("c10_synthesis", f"WITH {_ANS} SELECT item_id AS query_id, md5(CASE count(answer) WHEN 0 THEN '{A.NO_EVIDENCE}' WHEN 1 THEN max(answer) ELSE string_agg(concat('**', domain, '**', chr(10), answer), chr(10) || chr(10) ORDER BY domain) END) AS answer_md5 FROM benchmark LEFT JOIN an ON query_id = item_id GROUP BY item_id")
+def _(t):
+    a = A.domain_answers(S.rerank(hits(t), threshold=0.05))
+    return A.synthesize(a, benchmark(t)).select("query_id", F.md5("answer").alias("answer_md5"))
+
+
+both("c11_skipped_verifier", "SELECT item_id, TRUE AS is_satisfactory, 1.0D AS quality, 1.0D AS coverage, 1.0D AS grounding FROM benchmark ", "benchmark")
+ORACLE_SQL["c11_skipped_verifier"] = "SELECT item_id, TRUE AS is_satisfactory, 1.0::DOUBLE AS quality, 1.0::DOUBLE AS coverage, 1.0::DOUBLE AS grounding FROM benchmark"
+QUERIES["c11_skipped_verifier"] = lambda spark, sf: table(spark, sf, "benchmark").select("item_id", A.skipped_verdict().alias("v")).select("item_id", "v.is_satisfactory", "v.quality", "v.coverage", "v.grounding")
+
+
+@query("c12_c13_final_answer", "SELECT doc_id, CASE WHEN quality = 0 THEN concat(repeat('better ', 9), toxic) ELSE 'short' END AS answer, concat('x', chr(10), chr(10), 'References', chr(10), '1. Doc ', doc_id) AS study FROM labels")
+def _(t):
+    better = F.concat(F.lit("better " * 9), F.col("toxic").cast("string"))
+    return t("labels").select("doc_id", A.final_answer(F.lit("short"), F.col("quality") == 1, better).alias("answer"), A.with_references(F.lit("x"), F.array(F.concat(F.lit("Doc "), "doc_id"))).alias("study"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@query("m8_hit_rate", "SELECT item_id, round(len(list_filter(['the', 'tion', 'keit', 'ción', 'zzz'], lambda k: contains(lower(text), k))) / 5.0, 3) AS hit_rate FROM benchmark")
+def _(t):
+    return t("benchmark").select("item_id", E.hit_rate(F.array(*[F.lit(k) for k in ("the", "tion", "keit", "ción", "zzz")]), F.array("text")).alias("hit_rate"))
+
+
+@query("m9_citation_accuracy", rf"""WITH a AS (SELECT item_id, concat(text, ' [Source 1] [Source ', item_id % 3 + 1, '] last [source 2].') AS answer FROM benchmark),
+src AS (SELECT item_id, item_id % 3 + 1 AS source_num, 0 AS pos, lower(text) AS st FROM benchmark UNION ALL SELECT item_id, 2, 1, 'nothing' FROM benchmark),
+f AS (SELECT item_id, source_num, arg_min(st, pos) AS st FROM src GROUP BY ALL),
+s AS (SELECT item_id, unnest({_SENT.format('answer')}) AS s FROM a),
+c AS (SELECT item_id, {sig('s')} AS w, unnest(list_transform(regexp_extract_all(s, '(?i)\[Source\s+(\d+)\]', 1), lambda x: x::INT)) AS source_num FROM s)
+SELECT item_id AS answer_id, round(sum(CASE WHEN len(list_filter(w, lambda x: contains(f.st, x))) > 0 THEN 1 ELSE 0 END) / count(*), 3) AS citation_accuracy FROM c LEFT JOIN f USING (item_id, source_num) GROUP BY item_id""")
+def _(t):
+    b = t("benchmark").withColumnRenamed("item_id", "answer_id")
+    answer = F.concat("text", F.lit(" [Source 1] [Source "), F.col("answer_id") % 3 + 1, F.lit("] last [source 2]."))
+    src = b.select("answer_id", (F.col("answer_id") % 3 + 1).cast("int").alias("source_num"), F.lit(0).alias("pos"), "text").unionByName(b.select("answer_id", F.lit(2).alias("source_num"), F.lit(1).alias("pos"), F.lit("nothing").alias("text")))
+    return E.citation_accuracy(b.select("answer_id", answer.alias("answer")), src)
+
+
+@query("m10_answer_relevance", "SELECT v.vec_id, greatest(0, round(list_sum(list_transform(list_zip(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), lambda x: x[1] * x[2])), 3)) AS relevance FROM embeddings v JOIN embeddings w ON w.vec_id = v.vec_id + 1")
+def _(t):
+    e = t("embeddings").select("vec_id", "embedding")
+    n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(n, "vec_id").select("vec_id", F.greatest(F.lit(0.0), F.round(S.dot(F.col("embedding"), F.col("other")), 3)).alias("relevance"))
+
+
+@query("m11_faithfulness_offline", f"SELECT item_id, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b))::DOUBLE / len(a), 3) ELSE 1.0 END AS faithfulness FROM (SELECT item_id, list_distinct({tok('b.text')}) AS a, {tok('d.text')} AS b FROM benchmark b JOIN documents d ON doc_id = item_id)")
+def _(t):
+    j = t("benchmark").join(t("documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("other")), "item_id")
+    return j.select("item_id", E.containment(F.col("text"), F.col("other")).alias("faithfulness"))
+
+
+@query("m12_quality_floor", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 <> 0 THEN greatest(value / 100, 0.75) ELSE value / 100 END AS quality FROM events")
+def _(t):
+    said = F.when(F.col("event_id") % 3 == 0, "I Cannot Find it").otherwise("here")
+    return t("events").select("event_id", E.quality_floor(F.col("value") / 100, F.col("event_id") % 2 == 0, said).alias("quality"))
+
+
+@query("c15_case_verdict", f"""SELECT item_id, i AS intent_ok, o AS domain_ok, i AND o AND item_id % 7 <> 0 AS passed FROM (SELECT item_id, item_id % 4 = 0 OR (item_id % 4 = 1) = (len(d) > 1) AS i,
+ CASE WHEN item_id % 5 = 0 THEN len(d) = 0 OR (len({_WORDS}) < 4 AND len(d) = 0) ELSE list_contains(d, 'en') END AS o FROM (SELECT *, {_DOMS} AS d FROM benchmark))""")
+def _(t):
+    i = F.col("query_id")
+    r = R.route(benchmark(t), KEYWORDS).withColumn("actual", F.col("domains")).withColumn("intent", F.col("intent_type"))
+    r = r.withColumn("expected_intent", F.when(i % 4 == 0, "any").when(i % 4 == 1, "multi").otherwise("single")).withColumn("expected", F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("en")))).withColumn("check_ok", i % 7 != 0)
+    return E.case_verdict(r).select(i.alias("item_id"), "intent_ok", "domain_ok", "passed")
+
+
+@query("p1_hybrid_search_e2e", f"""WITH {CH}, {BM}, {SEM}, {FUSED}, {RR.replace('$T', '0.2')},
+rt AS (SELECT item_id AS query_id, unnest(CASE WHEN len(d) > 0 THEN d ELSE [g] END) AS domain FROM (SELECT item_id, {_DOMS} AS d, {_GUESS} AS g FROM benchmark))
+SELECT query_id, domain, chunk_id, semantic_score, bm25_score, rrf, rerank_score, rerank_rank FROM rr JOIN rt USING (query_id, domain)""")
+def _(t):
+    from quarry.plans import hybrid
+
+    ch = chunks(t)
+    qv, cv = vectors(t, ch)
+    return hybrid.evidence(benchmark(t), qv, ch, cv, KEYWORDS).select("query_id", "domain", "chunk_id", "semantic_score", "bm25_score", "rrf", "rerank_score", "rerank_rank")
