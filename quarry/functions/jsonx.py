@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def salvage(text: Column) -> Column:
     """The JSON text of an answer: without code fences if that parses, else its
     outermost braces, else {}."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*```(?:json)?\s*", ""), r"(?m)\s*```\s*$", ""))
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*```(?:json)?\s*", ""), r"(?m)\s*```\s*$", "")
+    bare = F.regexp_replace(bare, r"^\s+|\s+$", "")
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     ok = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
     return F.coalesce(ok(bare), ok(inner), F.lit("{}"))
