@@ -72,27 +72,28 @@ class Index:
             self.picks[n] = np.random.default_rng(n).integers(0, max(2 * n, 1), (WALKS, TABLES, SAMPLED))  # later ones are mostly past the end
         return self.picks[n]
 
-    def embed(self, windows: np.ndarray) -> np.ndarray:
-        """Sampled positions of the CGK embeddings: windows x WALKS x TABLES x SAMPLED."""
-        m, n = windows.shape
-        padded = np.concatenate([windows, np.zeros((m, 1), np.uint64)], 1)
-        rows = np.arange(m)
-        picks = self.samples(n)
-        out = np.empty((m, WALKS, TABLES, SAMPLED), np.uint64)
-        for k in range(WALKS):
-            at = np.zeros(m, np.int64)
-            steps = np.empty((m, 3 * n), np.uint64)
-            for t in range(3 * n):
-                x = padded[rows, at]
-                steps[:, t] = x
-                move = ((x ^ self.walk_salt[k, t % 64]) * self.walk_salt[k, (t // 64 + 7 * t) % 64]) >> np.uint64(63)
-                at = np.minimum(at + move.astype(np.int64), n)
-            out[:, k] = steps[:, picks[k]]
-        return out
+    def embed(self, windows: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """Sampled positions of the CGK embeddings of windows of ``sizes`` words
+        (shorter ones are padded): windows x WALKS x TABLES x SAMPLED. All walks of
+        all windows take each step together."""
+        m, longest = len(windows), int(sizes.max(initial=1))
+        padded = np.zeros((m, longest + 1), np.uint64)
+        for row, w in zip(padded, windows):
+            row[: len(w)] = w
+        rows, n = np.arange(m)[:, None], sizes[:, None]
+        at = np.zeros((m, WALKS), np.int64)
+        steps = np.empty((2 * longest, m, WALKS), np.uint64)
+        for t in range(2 * longest):
+            x = padded[rows, at]
+            steps[t] = x
+            move = ((x ^ self.walk_salt[:, t % 64]) * self.walk_salt[:, (t // 64 + 7 * t) % 64]) >> np.uint64(63)
+            at = np.minimum(at + move.astype(np.int64), n)
+        picks = np.stack([self.samples(int(k)) for k in sizes]) if m else np.zeros((0, WALKS, TABLES, SAMPLED), int)
+        return steps[picks, rows[:, :, None, None], np.arange(WALKS)[None, :, None, None]]
 
     def item_code(self, i: int) -> np.ndarray:
         if i not in self.codes:
-            self.codes[i] = self.embed(self.items[i][None, :])[0]
+            self.codes[i] = self.embed([self.items[i]], np.array([len(self.items[i])]))[0]
         return self.codes[i]
 
     def places(self, h: np.ndarray, off: np.ndarray):
@@ -126,31 +127,27 @@ class Index:
         w = words_of(col, NON_ALNUM, lower=True)
         h = hash_words(w)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        seen = set()
-        for doc, i, diags in self.places(h, w.off):
-            x, e = self.items[i], int(self.edits[i])
-            lo, hi = int(w.off[doc]), int(w.off[doc + 1])
-            n = len(x)
-            starts = [d for d in diags.tolist() if (doc, i, d) not in seen]
-            seen.update((doc, i, d) for d in starts)
-            if not starts:
-                continue
-            windows = np.zeros((len(starts), n), np.uint64)
-            for r, d in enumerate(starts):
-                part = h[max(d, lo) : min(d + n, hi)]
-                windows[r, : len(part)] = part
-            same = (self.embed(windows) == self.item_code(i)).all(-1).any((1, 2))
-            for d, ok in zip(starts, same):
+        asked = sorted({(doc, i, d) for doc, i, diags in self.places(h, w.off) for d in diags.tolist()})
+        for k in range(0, len(asked), 4096):
+            part = asked[k : k + 4096]
+            windows = [h[max(d, int(w.off[doc])) : min(d + len(self.items[i]), int(w.off[doc + 1]))] for doc, i, d in part]
+            codes = self.embed(windows, np.array([len(self.items[i]) for _, i, _ in part]))
+            same = (codes == np.stack([self.item_code(i) for _, i, _ in part])).all(-1).any((1, 2))
+            for (doc, i, d), ok in zip(part, same):
                 if ok:
-                    a = max(d - e, lo)
-                    region = h[a : min(d + n + e, hi)]
-                    dist, end = search(x, region)
-                    if dist <= e:
-                        back, size = search(x[::-1], region[:end][::-1], whole=True)
-                        key, value = (doc, i), (dist, a + end - size - lo, size)
-                        best[key] = min(best.get(key, value), value)
+                    self._confirm(best, h, w.off, doc, i, d)
         return [(doc, i, first, size, dist) for (doc, i), (dist, first, size) in sorted(best.items())]
 
+    def _confirm(self, best: dict, h: np.ndarray, off: np.ndarray, doc: int, i: int, d: int) -> None:
+        x, e, lo = self.items[i], int(self.edits[i]), int(off[doc])
+        a = max(d - e, lo)
+        region = h[a : min(d + len(x) + e, int(off[doc + 1]))]
+        dist, end = search(x, region)
+        if dist <= e:
+            _, size = search(x[::-1], region[:end][::-1], whole=True)
+            value = (dist, a + end - size - lo, size)
+            best[doc, i] = min(best.get((doc, i), value), value)
+
 
 def search(item: np.ndarray, text: np.ndarray, whole: bool = False) -> tuple[int, int]:
     """The least edit distance of ``item`` to a run of ``text`` and the run's end
