@@ -212,20 +212,28 @@ def learned_words(texts: list[str], y: np.ndarray) -> tuple[dict[str, float], di
     """Words and stems in at least a hundredth of the toxic texts and twelve
     times as often there as in others, with their log odds."""
     table = bytes(np.where(NON_ALNUM, 32, LOWER).astype(np.uint8))
-    df: list[dict] = [{}, {}]
-    for t, toxic in zip(texts, y):
-        words = set(t.encode().translate(table).split())
-        for key in words | {(w[:n],) for w in words for n in STEMS if len(w) >= n}:
-            df[toxic][key] = df[toxic].get(key, 0) + 1
     n1, n0 = max(int(y.sum()), 1), max(int(len(y) - y.sum()), 1)
+
+    def count(label: int, known: tuple[dict, dict] | None = None) -> tuple[dict, dict]:
+        """Texts of the label that hold each word and each stem, of the known ones if given."""
+        out: tuple[dict, dict] = ({}, {})
+        for t, toxic in zip(texts, y):
+            if toxic == label:
+                own = set(t.encode().translate(table).split())
+                for keys, df, of in ((own, out[0], 0), ({w[:n] for w in own for n in STEMS if len(w) >= n}, out[1], 1)):
+                    for key in keys if known is None else keys & known[of].keys():
+                        df[key] = df.get(key, 0) + 1
+        return out
+
+    # Words of the toxic texts first, so that others are never counted.
+    often = tuple({k: c for k, c in df.items() if c >= max(5, n1 / 100)} for df in count(1))
+    rest = count(0, often)
     words, stems = {}, {}
-    for key, c in df[1].items():
-        odds = np.log((c + 0.5) / n1) - np.log((df[0].get(key, 0) + 0.5) / n0)
-        if c >= max(5, n1 / 100) and odds >= 2.5:
-            if isinstance(key, tuple):
-                stems[key[0]] = min(odds, 6) / 2
-            else:
-                words[key.decode(errors="replace")] = min(odds, 6) / 2
+    for of, into in ((0, words), (1, stems)):
+        for key, c in often[of].items():
+            odds = np.log((c + 0.5) / n1) - np.log((rest[of].get(key, 0) + 0.5) / n0)
+            if odds >= 2.5:
+                into[key if of else key.decode(errors="replace")] = min(odds, 6) / 2
     return words, stems
 
 
@@ -234,7 +242,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     lexicon = Lexicon({w: 2.0 for w in INSULTS} | words, stems)
     if len(y) < 40 or y.sum() in (0, len(y)):
         return Model(lexicon, None, None)
-    x = features(pa.array(texts, pa.string()), lexicon)
+    x = np.concatenate([features(pa.array(texts[a : a + 250], pa.string()), lexicon) for a in range(0, len(texts), 250)])
     fold = np.arange(len(y)) % 4
     out = np.zeros(len(y))
     for k in range(4):
