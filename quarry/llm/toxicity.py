@@ -32,6 +32,8 @@ for _a, _b in zip(b"013457@$!", b"oieastasi"):
     _LEET[_a] = _b
 _INNER = NON_ALNUM.copy()
 _INNER[list(b"@$!*.-_")] = False
+_OUTER = np.zeros(256, bool)
+_OUTER[list(b"@$!*.-_")] = True
 NEAR = 5
 
 
@@ -84,6 +86,25 @@ def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off[1:]] - c[off[:-1]]
 
 
+def _undone(w, at: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """Hashes of the words ``at`` with outer signs stripped, look-alikes read as
+    letters, and what is no letter then left out."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    solid = np.flatnonzero(~_OUTER[w.buf])
+    lo, hi = np.searchsorted(solid, w.start[at]), np.searchsorted(solid, w.end[at])
+    full = hi > lo
+    start = np.where(full, solid[np.minimum(lo, len(solid) - 1)], w.start[at]) if len(solid) else w.start[at]
+    end = np.where(full, solid[np.maximum(hi - 1, 0)] + 1, start) if len(solid) else start
+    edge = np.zeros(len(w.buf) + 1, np.int8)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    read = _LEET[LOWER[w.buf]]
+    keep = (np.cumsum(edge[:-1], dtype=np.int8) > 0) & letter[read]
+    c = np.concatenate([[0], np.cumsum(keep)])
+    return hash_words(w._replace(buf=read[keep], start=c[start], end=c[end]))
+
+
 def features(col, lex: Lexicon) -> np.ndarray:
     """One row a text."""
     w = words_of(col, NON_ALNUM, lower=True)
@@ -113,13 +134,8 @@ def features(col, lex: Lexicon) -> np.ndarray:
     inner = cum[np.maximum(o.end - 1, o.start)] - cum[np.minimum(o.start + 1, o.end)]
     odd_word = (inner > 0) & (size >= 3) & (cum[o.end] - cum[o.start] < size) if len(size) else np.zeros(0, bool)
     hidden = np.zeros(len(size))
-    for i in np.flatnonzero(odd_word & (size <= 40)):
-        word = _LEET[LOWER[np.frombuffer(raw[o.start[i] : o.end[i]].tobytes().strip(b"@$!*.-_"), np.uint8)]]
-        word = word[letter[word]].tobytes()
-        try:
-            hidden[i] = lex.weigh(hash_one([word]))[0] > 0 if word else 0
-        except UnicodeDecodeError:
-            pass
+    some = np.flatnonzero(odd_word & (size <= 40))
+    hidden[some] = lex.weigh(_undone(o, some, letter)) > 0
     buf, offs = buffer_of(col)
     chars = np.maximum(np.diff(offs), 1).astype(float)
     upper = np.zeros(256)
