@@ -3,8 +3,9 @@
 Features: densities of a lexicon (fixed insults, and words that the training
 rows show to be toxic), hits near a second-person word, capitals, punctuation
 and obfuscated words. The trees (histogram splits, logistic loss) are fitted on
-the driver from a bounded sample of labelled rows: the ``TRAIN_ROWS`` smallest
-by hash of doc_id. Isotonic regression on out-of-fold scores calibrates them.
+the driver to the features of a bounded sample of labelled rows: the
+``TRAIN_ROWS`` smallest by hash of doc_id, with at most four times as many
+different texts where ids repeat. Isotonic regression on out-of-fold scores calibrates them.
 
 Defined results: null and empty texts have zero features and are scored like
 any other; a null doc_id counts as ''; without any labelled row the score is
@@ -23,7 +24,6 @@ from . import runtime
 from .words import LOWER, NON_ALNUM, buffer_of, hash_one, hash_words, words_of
 
 TRAIN_ROWS = 5000
-TRAIN_CHARS = 20_000
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting dumb fool jerk imbecile garbage filth filthy vermin bastard creep freak ugly".split()
 SECOND = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vuestro".split()
@@ -224,41 +224,36 @@ class Model:
         return np.clip(0.98 * np.interp(raw, at, value) + 0.02 / (1 + np.exp(-raw)), 0, 1)
 
 
-def learned_words(texts: list[str], y: np.ndarray) -> tuple[dict[str, float], dict[bytes, float]]:
-    """Words and stems in at least a hundredth of the toxic texts and twelve
-    times as often there as in others, with their log odds."""
+def _word_counts(batches):
+    """(kind, key, toxic texts, other texts) of one batch: kind 0 words, 1 stems."""
     table = bytes(np.where(NON_ALNUM, 32, LOWER).astype(np.uint8))
-    n1, n0 = max(int(y.sum()), 1), max(int(len(y) - y.sum()), 1)
-
-    def count(label: int, known: tuple[dict, dict] | None = None) -> tuple[dict, dict]:
-        """Texts of the label that hold each word and each stem, of the known ones if given."""
-        out: tuple[dict, dict] = ({}, {})
-        for t, toxic in zip(texts, y):
-            if toxic == label:
-                own = set(t.encode().translate(table).split())
-                for keys, df, of in ((own, out[0], 0), ({w[:n] for w in own for n in STEMS if len(w) >= n}, out[1], 1)):
-                    for key in keys if known is None else keys & known[of].keys():
-                        df[key] = df.get(key, 0) + 1
-        return out
-
-    # Words of the toxic texts first, so that others are never counted.
-    often = tuple({k: c for k, c in df.items() if c >= max(5, n1 / 100)} for df in count(1))
-    rest = count(0, often)
-    words, stems = {}, {}
-    for of, into in ((0, words), (1, stems)):
-        for key, c in often[of].items():
-            odds = np.log((c + 0.5) / n1) - np.log((rest[of].get(key, 0) + 0.5) / n0)
-            if odds >= 2.5:
-                into[key if of else key.decode(errors="replace")] = min(odds, 6) / 2
-    return words, stems
-
-
-def fit(texts: list[str], y: np.ndarray) -> Model:
-    words, stems = learned_words(texts, y)
-    lexicon = Lexicon({w: 2.0 for w in INSULTS} | words, stems)
+    for b in batches:
+        for a in range(0, b.num_rows, 500):
+            part = b.slice(a, 500)
+            counts: tuple[dict, dict] = ({}, {})
+            for text, toxic in zip(part.column("text"), part.column("toxic").to_pylist()):
+                own = set(text.as_py().encode().translate(table).split())
+                for keys, df in zip((own, {w[:n] for w in own for n in STEMS if len(w) >= n}), counts):
+                    for key in keys:
+                        df.setdefault(key, [0, 0])[1 - toxic] += 1
+            rows = [(kind, key, *c) for kind, df in enumerate(counts) for key, c in df.items()]
+            if rows:
+                kind, key, one, zero = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.binary()), pa.array(one, pa.int64()), pa.array(zero, pa.int64())], ["kind", "key", "n1", "n0"])
+
+
+def learned_words(texts: DataFrame, n1: int, n0: int) -> tuple[dict[str, float], dict[bytes, float]]:
+    """Words and stems in at least a hundredth of the toxic ``texts`` and twelve
+    times as often there as in others, with their log odds."""
+    counts = texts.mapInArrow(_word_counts, "kind int, key binary, n1 long, n0 long").groupBy("kind", "key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    odds = F.log((F.col("n1") + 0.5) / max(n1, 1)) - F.log((F.col("n0") + 0.5) / max(n0, 1))
+    found = counts.where(F.col("n1") >= max(5, n1 / 100)).select("kind", "key", (F.least(odds, F.lit(6.0)) / 2).alias("weight")).where("weight >= 1.25").orderBy("kind", "key").collect()
+    return {bytes(r.key).decode(errors="replace"): r.weight for r in found if not r.kind}, {bytes(r.key): r.weight for r in found if r.kind}
+
+
+def fit(x: np.ndarray, y: np.ndarray, lexicon: Lexicon) -> Model:
     if len(y) < 40 or y.sum() in (0, len(y)):
         return Model(lexicon, None, None)
-    x = np.concatenate([features(pa.array(texts[a : a + 250], pa.string()), lexicon) for a in range(0, len(texts), 250)])
     fold = np.arange(len(y)) % 4
     out = np.zeros(len(y))
     for k in range(4):
@@ -272,14 +267,28 @@ def _remainder(n: int):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """From the labels of rows that are not held out; of equal texts one counts."""
+    """From the labels of rows that are not held out; of equal texts one counts.
+    Executors count words and make features of whole texts, the driver gets a
+    row of numbers a text."""
     known = labels.where((_remainder(5) != 0) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     sample = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", F.desc("toxic")).limit(TRAIN_ROWS)
-    rows = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(sample), "doc_id").orderBy("h", "text").limit(4 * TRAIN_ROWS).collect()
-    seen: dict = {}
-    for r in rows:
-        seen[r["text"] or ""] = max(seen.get(r["text"] or "", 0), r["toxic"])
-    return fit(list(seen), np.array(list(seen.values()), int))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("h").alias("h")).orderBy("h", F.xxhash64("text")).limit(4 * TRAIN_ROWS)
+    texts = runtime.stored(texts.repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism), "h"), "toxic-sample")
+    sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    words, stems = learned_words(texts, sizes.get(1, 0), sizes.get(0, 0))
+    lexicon = Lexicon({w: 2.0 for w in INSULTS} | words, stems)
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 250):
+                part = b.slice(a, 250)
+                x = features(part.column("text"), lexicon)
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["h", "toxic", "x"])
+
+    found = sorted((r.h, r.toxic, r.x) for r in texts.mapInArrow(run, "h long, toxic int, x array<double>").collect())
+    runtime.drop_stored(texts)
+    return fit(np.array([r[2] for r in found], float), np.array([r[1] for r in found], int), lexicon)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
