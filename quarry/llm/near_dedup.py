@@ -8,14 +8,22 @@
    tied to the smallest one there (a star, never pairs). The components of the
    stars are families: a pair with similarity 0.85 shares one of the 24 bands
    with probability 1 - 1e-6 (0.80: 1 - 1e-4).
-4. Families are split into parts of bounded size, and each pair of parts is one
-   task. In it, a pair that is not connected yet is first estimated jointly
-   by likelihood from the registers and the sets' sizes, then confirmed on
-   the full sets. Only a spanning forest of the confirmed links leaves a task.
-5. The components of these links, joined with the classes.
-
-A family of F documents costs (F / part)^2 / 2 tasks; no pair is emitted, no
-family is gathered in one task, and nothing is capped.
+4. Each representative is compared with one other, its hub: the one that it
+   shares most bands with. A pair is first estimated jointly by likelihood from
+   the registers and the sets' sizes, then confirmed on the full sets. A hub's
+   members are dealt over tasks of bounded size. The components of these links
+   are clusters.
+5. Families with several clusters are split into parts of bounded size, large
+   clusters into parts of their own, and each pair of parts is one task that
+   compares what is not connected yet. Pairs of parts that both belong to the
+   family's largest cluster are left out. Only a spanning forest of the
+   confirmed links leaves a task.
+6. The components of all links, joined with the classes.
+
+A family whose members mostly resemble their hubs costs time in proportion to
+its size; R parts outside the largest cluster cost R times all the family's
+parts. No pair of documents is emitted, no family is gathered in one task, and
+nothing is capped.
 
 Defined results: texts without words have an empty set, are linked with
 nothing and kept; texts of fewer words than a shingle are one shingle; a null
@@ -135,6 +143,33 @@ def _sketches(k: int):
     return run
 
 
+def _likely(regs: np.ndarray, n: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
+    """Of the sets ``j`` those whose estimated similarity with set ``i`` may reach the threshold."""
+    floor = percent / 100 - MARGIN
+    j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+    j = j[(regs[j] == regs[i]).sum(1) >= REGISTERS * (floor - 0.1)]
+    return j[estimate(regs[i], int(n[i]), regs[j], n[j]) >= floor] if len(j) else j
+
+
+def _spokes(k: int, percent: int):
+    def run(key, table):
+        """The members that are linked with the hub."""
+        hub = table["is_hub"].to_numpy()
+        ids = table["doc_id"].to_numpy()
+        x, off = shingles(table["text"], k)
+        n = np.diff(off)
+        regs = sketch(x, off)
+        a: list[int] = []
+        for i in np.flatnonzero(hub & (n > 0)):
+            j = _likely(regs, n, i, np.flatnonzero(~hub & (n > 0)), percent)
+            c = np.concatenate([[0], np.cumsum(np.isin(x, x[off[i] : off[i + 1]]))]) if len(j) else np.zeros(1, int)
+            both = c[off[j + 1]] - c[off[j]]
+            a += ids[j[100 * both >= percent * (n[i] + n[j] - both)]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([key[0].as_py()] * len(a), pa.int64())})
+
+    return run
+
+
 def _links(k: int, percent: int):
     def run(key, table):
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -147,18 +182,13 @@ def _links(k: int, percent: int):
         regs = sketch(x, off)
         _, x = np.unique(x, return_inverse=True)
         mark = np.zeros(int(x.max()) + 1 if len(x) else 1, bool)
-        comp = np.arange(len(ids))
+        comp = np.unique(table["cluster"].to_numpy(), return_inverse=True)[1]
         a, b = [], []
-        floor = percent / 100 - MARGIN
         for i in range(len(ids) - 1):
-            j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (n[i + 1 :] > 0)) + i + 1
+            j = _likely(regs, n, i, j, percent)
             if not len(j):
                 continue
-            same = (regs[j] == regs[i]).sum(1)
-            j = j[same >= REGISTERS * (floor - 0.1)]
-            if len(j):
-                j = j[estimate(regs[i], int(n[i]), regs[j], n[j]) >= floor]
             mine = x[off[i] : off[i + 1]]
             mark[mine] = True
             for t in j:
@@ -179,6 +209,40 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _hub_links(docs: DataFrame, ties: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of each document with its hub, from band ties (a, b, shared)."""
+    hub = ties.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")).join(sizes.withColumnRenamed("id", "a"), "a")
+    deals = hub.groupBy("b").agg(_n_parts().alias("deals"))
+    member = hub.select("a", "b").join(deals, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int").alias("deal"), F.lit(False).alias("is_hub"))
+    center = deals.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(True).alias("is_hub"))
+    asked = runtime.stored(member.unionByName(center), "hubs")
+    return docs.join(few(asked), "doc_id").groupBy("b", "deal").applyInArrow(_spokes(k, percent), "a long, b long")
+
+
+def _n_parts():
+    """Parts of bounded size for the sets of a group."""
+    return F.ceil(F.greatest(F.sum("n") / PART_SHINGLES, F.count(F.lit(1)) / PART_DOCS)).cast("int")
+
+
+def _cross_links(docs: DataFrame, family: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between clusters of one family; family has id,
+    component, cluster and n."""
+    split = family.groupBy("component").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), _n_parts().alias("parts")).where("x < y").select("component", "parts")
+    spread = family.groupBy("component", "cluster").agg(_n_parts().alias("spread"), F.sum("n").alias("weight"))
+    largest = spread.groupBy("component").agg(F.max_by("cluster", F.struct("weight", "cluster")).alias("largest"))
+    # A cluster's documents go to as many parts as it fills, the rest by hash of
+    # the cluster; the largest one never shares a part.
+    rows = family.join(spread.drop("weight"), ["component", "cluster"]).join(split, "component").join(largest, "component")
+    big = F.col("cluster") == F.col("largest")
+    p = F.when(big, -1 - F.pmod(F.xxhash64("id"), F.col("spread"))).otherwise(F.pmod(F.xxhash64("cluster") + F.pmod(F.xxhash64("id"), F.col("spread")), F.col("parts")))
+    placed = runtime.stored(rows.select(F.col("id").alias("doc_id"), "component", "cluster", p.cast("int").alias("p")), "placed")
+    parts = placed.select("component", "p").distinct()
+    pairs = parts.where("p >= 0").withColumnRenamed("p", "q").join(parts, "component").select("component", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).distinct()
+    ends = runtime.stored(pairs.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("p")), "ends")
+    texts = docs.join(few(placed), "doc_id").join(few(ends), ["component", "p"])
+    return texts.select("component", "i", "j", "doc_id", "text", "cluster").groupBy("component", "i", "j").applyInArrow(_links(k, percent), "a long, b long")
+
+
 def classes(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id: links are pairs with
     100 * |intersection| >= percent * |union| of the shingle sets."""
@@ -188,17 +252,14 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     rep = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     reps = runtime.stored(known.groupBy("h1", "h2", "n").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("r")).select("r.*", "n"), "reps")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).where("b < m").select("key", "b")
-    stars = keys.join(hubs, "key").where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).where("b < m").select("key", "b")
+    ties = runtime.stored(keys.join(least, "key").where("doc_id > b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")), "ties")
     sizes = reps.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("n"))
-    family = runtime.stored(graph.components(stars).join(sizes, "id"), "family")
-    parts = family.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / PART_SHINGLES, F.count(F.lit(1)) / PART_DOCS)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    placed = family.join(parts, "component").select(F.col("id").alias("doc_id"), "component", "parts", part.alias("p"))
-    texts = docs.join(few(placed), "doc_id")
-    pairs = texts.select("doc_id", "text", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least(t, "p").alias("i"), F.greatest(t, "p").alias("j")))).alias("ij"))
-    links = pairs.select("component", "ij.i", "ij.j", "doc_id", "text").groupBy("component", "i", "j").applyInArrow(_links(k, percent), "a long, b long")
-    joined = graph.components(links).select(F.col("id").alias("rep"), "component")
+    near = runtime.stored(_hub_links(docs, ties, sizes, k, percent), "near")
+    cluster = graph.components(near).withColumnRenamed("component", "cluster")
+    family = graph.components(ties.select("a", "b")).join(sizes, "id").join(cluster, "id", "left")
+    family = runtime.stored(family.select("id", "component", F.coalesce("cluster", "id").alias("cluster"), "n"), "family")
+    joined = graph.components(near.unionByName(_cross_links(docs, family, k, percent))).select(F.col("id").alias("rep"), "component")
     of_class = rep.join(joined, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     of_row = made.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
     return of_row.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
