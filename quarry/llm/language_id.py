@@ -6,10 +6,10 @@ cosine of these sets. Nystroem landmarks, a few training texts of each
 language, give explicit features; one-versus-rest kernel ridge regression on
 them is solved on the driver. A batch is scored by two matrix products.
 
-Training reads a bounded sample: at most about ``PER_LANG`` labelled rows of
-each of the ``MAX_LANGS`` most frequent languages, the smallest by hash of
-doc_id, and at most ``TRAIN_CHARS`` characters of each. Predictions read whole
-texts.
+Training reads a bounded sample: about ``PER_LANG`` labelled rows of each of the
+``MAX_LANGS`` most frequent languages, the smallest by hash of doc_id. Executors
+turn their whole texts, and two short pieces of each, into sets of n-grams;
+only these bits reach the driver. Predictions read whole texts, too.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0, and so is every text if no labelled row exists; a null doc_id counts as
@@ -19,6 +19,7 @@ Defined results: null texts and texts without a letter are ``und`` with score
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from pyspark.sql import types as T
 from . import runtime
 
 BUCKETS = 1 << 14
-PER_LANG, MAX_LANGS, TRAIN_CHARS = 300, 50, 3000
+PER_LANG, MAX_LANGS = 300, 50
+#: Characters of the pieces from which short texts are learned.
+PIECES = (120, 30)
 LANDMARKS = 96
 RIDGE = 0.05
 _LETTER = re.compile(r"[^\W\d_]")
@@ -73,20 +76,34 @@ class Model:
         return langs, scores
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """rows: (lang, text), in a fixed order."""
-    rows = [(lang, t) for lang, t in rows if t and _LETTER.search(t)]
+def _pieces(text: str) -> list[str]:
+    """The whole text and short runs of it, at places that depend on the text."""
+    at = zlib.crc32(text.encode("utf-8", "replace"))
+    return [text, *(text[(a := at % max(1, len(text) - n + 1)) : a + n] for n in PIECES)]
+
+
+def _training_sets(batches):
+    """(lang, h, bits): the n-gram sets of a text and its pieces, packed."""
+    for b in batches:
+        rows = [(lang, h, np.packbits(presence(_pieces(t)).astype(bool)).tobytes()) for lang, h, t in zip(*(b.column(c).to_pylist() for c in ("lang", "h", "text"))) if _LETTER.search(t)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "bits"])
+
+
+def fit(rows: list[tuple[str, bytes]]) -> Model:
+    """rows: (lang, packed sets of a text and its pieces), in a fixed order."""
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((1, 0)))
+    bits = np.stack([np.frombuffer(x, np.uint8).reshape(1 + len(PIECES), -1) for _, x in rows])
+    y = np.array([langs.index(lang) for lang, _ in rows])
     each = max(1, LANDMARKS // len(langs))
-    marks = [t for lang in langs for t in [t for x, t in rows if x == lang][:each]]
-    land = presence(marks)
+    marks = np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(langs))])
+    land = np.unpackbits(bits[marks, 0], axis=1).astype(np.float32)
     land = (land / np.sqrt(land.sum(1, keepdims=True))).T.copy()
-    # Whole excerpts and short pieces, so that short texts are learned too.
-    texts = [t for _, t in rows] + [t[:120] for _, t in rows] + [t[-30:] for _, t in rows]
-    y = np.array([langs.index(lang) for lang, _ in rows] * 3)
-    k = np.concatenate([_kernel(presence(texts[a : a + 256]), land) for a in range(0, len(texts), 256)]).astype(float)
+    flat = bits.reshape(-1, bits.shape[2])
+    y = np.repeat(y, bits.shape[1])
+    k = np.concatenate([_kernel(np.unpackbits(flat[a : a + 256], axis=1).astype(np.float32), land) for a in range(0, len(flat), 256)]).astype(float)
     value, vector = np.linalg.eigh(land.T.astype(float) @ land)
     half = vector / np.sqrt(np.maximum(value, 1e-6))  # Nystroem: K(L, L)^-1/2
     phi = np.c_[k @ half, np.ones(len(k))]
@@ -111,8 +128,9 @@ def train(docs: DataFrame) -> Model:
     keep = F.lit(False)
     for r in counts:
         keep = keep | ((F.col("lang") == r["lang"]) & (unit < F.lit(1.2 * PER_LANG / r["count"])))
-    got = open_.where(keep).select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(2 * PER_LANG * len(counts)).collect()
-    return fit([(r["lang"], r["text"]) for r in got])
+    texts = open_.where(keep).select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    got = texts.mapInArrow(_training_sets, "lang string, h long, bits binary").orderBy("h", "lang", "bits").limit(2 * PER_LANG * len(counts)).collect()
+    return fit([(r["lang"], bytes(r["bits"])) for r in got])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
