@@ -214,8 +214,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, held=held):
             for b in batches:
-                hit = {g[0] for g in held.value.find(b.column("text"))}
-                yield b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_()))
+                for a in range(0, b.num_rows, 1024):
+                    part = b.slice(a, 1024)
+                    hit = {g[0] for g in held.value.find(part.column("text"))}
+                    yield part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -140,8 +140,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lang, score = held.value.predict(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                lang, score = held.value.predict(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
@@ -152,8 +154,10 @@ def reject_unknown(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lang, _ = held.value.predict(b.column("text").to_pylist())
-            yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                lang, _ = held.value.predict(part.column("text").to_pylist())
+                yield part.filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
