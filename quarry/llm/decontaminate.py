@@ -5,15 +5,17 @@ document's words has an edit distance to it of at most n / 5.
 
 1. Places worth a look: an item and a run within that distance share at least
    n + 1 - q - q * (n / 5) q-grams (q = 3; 2 for items under 10 words) on
-   nearby diagonals. Places with fewer cannot match; this loses nothing.
-2. Item-sized windows there go through the CGK embedding: a random walk, the
-   same for all texts, copies each word once or several times, so that edit
-   distance becomes Hamming distance. ``WALKS`` walks, each with ``TABLES``
-   samples of ``SAMPLED`` positions: a window is a candidate if any sample agrees
-   with the item's. With a Hamming distance of half the positions the recall is
-   1 - (1 - 0.5^3)^96 > 0.99999.
-3. Candidates are confirmed by the exact distance (bit-parallel, the run's ends
-   free).
+   nearby diagonals. Regions of a document with fewer cannot match; this loses
+   nothing.
+2. Where a document has several regions for an item, their item-sized windows go
+   through the CGK embedding: a random walk, the same for all texts, copies each
+   word once or several times, so that edit distance becomes Hamming distance.
+   ``WALKS`` walks, each with ``TABLES`` samples of ``SAMPLED`` positions: regions
+   with more samples that agree with the item's come first. The embedding only
+   orders the regions; it rejects none.
+3. Regions are searched by the exact distance (bit-parallel, the run's ends free).
+   Once a run at distance d is known, regions with fewer shared q-grams than a run
+   at distance d needs are left out: none of them is as close.
 
 Words are lower-cased runs of letters and digits. The benchmark is read in
 blocks of at most ``ITEMS`` items, each broadcast; the documents pass each block.
@@ -97,7 +99,8 @@ class Index:
         return self.codes[i]
 
     def places(self, h: np.ndarray, off: np.ndarray):
-        """(text, item, sorted diagonals) with enough shared q-grams close together."""
+        """(text, item, least diagonal, greatest, a middle one, shared q-grams) of each
+        region with enough shared q-grams close together."""
         for q, (g, item, offset, slots) in self.seeds.items():
             x, pos = window_hashes(h, off, q)
             some = np.flatnonzero(slots[(x & np.uint64(_SLOTS - 1)).astype(np.int64)])
@@ -116,36 +119,52 @@ class Index:
             fits = last < len(it)
             last = np.minimum(last, len(it) - 1)
             fits &= (it[last] == it) & (doc[last] == doc) & (diag[last] - diag <= 2 * self.edits[it])
-            for s in np.flatnonzero(fits):
-                t = s
-                while t < len(it) and it[t] == it[s] and doc[t] == doc[s] and diag[t] - diag[s] <= 2 * self.edits[it[s]]:
-                    t += 1
-                yield int(doc[s]), int(it[s]), np.unique(diag[s:t])
+            s = np.flatnonzero(fits)
+            if not len(s):
+                continue
+            # Overlapping stretches of diagonals are one region.
+            group = np.cumsum(np.concatenate([[0], (it[1:] != it[:-1]) | (doc[1:] != doc[:-1])]))
+            wide = 2 * self.edits[it[s]]
+            new = np.concatenate([[True], (group[s[1:]] != group[s[:-1]]) | (diag[s[1:]] > diag[s[:-1]] + wide[:-1])])
+            first, final = s[new], np.concatenate([np.flatnonzero(new)[1:], [len(s)]]) - 1
+            key = group * (int(diag.max() - diag.min()) + 2 * int(self.edits.max()) + 2) + diag
+            stop = np.searchsorted(key, key[s[final]] + wide[final], "right")
+            yield from zip(*(c.tolist() for c in (doc[first], it[first], diag[first], diag[stop - 1], diag[(first + stop) // 2], stop - first)))
 
     def find(self, col) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, distance) of the closest runs."""
         w = words_of(col, NON_ALNUM, lower=True)
         h = hash_words(w)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        asked = sorted({(doc, i, d) for doc, i, diags in self.places(h, w.off) for d in diags.tolist()})
-        for k in range(0, len(asked), 4096):
-            part = asked[k : k + 4096]
-            windows = [h[max(d, int(w.off[doc])) : min(d + len(self.items[i]), int(w.off[doc + 1]))] for doc, i, d in part]
+        asked: dict[tuple[int, int], list] = {}
+        for doc, i, *region in self.places(h, w.off):
+            asked.setdefault((doc, i), []).append(region)
+        several = [(doc, i, r) for (doc, i), regions in asked.items() if len(regions) > 1 for r in regions]
+        for k in range(0, len(several), 4096):
+            part = several[k : k + 4096]
+            windows = [h[max(mid, int(w.off[doc])) : min(mid + len(self.items[i]), int(w.off[doc + 1]))] for doc, i, (_, _, mid, _) in part]
             codes = self.embed(windows, np.array([len(self.items[i]) for _, i, _ in part]))
-            same = (codes == np.stack([self.item_code(i) for _, i, _ in part])).all(-1).any((1, 2))
-            for (doc, i, d), ok in zip(part, same):
-                if ok:
-                    self._confirm(best, h, w.off, doc, i, d)
+            same = (codes == np.stack([self.item_code(i) for _, i, _ in part])).all(-1).sum((1, 2))
+            for (_, _, r), n in zip(part, same.tolist()):
+                r.append(n)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for (doc, i), regions in asked.items():
+            if len(regions) > 1:
+                regions.sort(key=lambda r: (-r[4], -r[3], r[0]))
+            for lo, hi, _, shared, *_ in regions:
+                q, known = int(self.q[i]), best.get((doc, i))
+                if known is None or shared >= len(self.items[i]) + 1 - q - q * known[0]:
+                    self._confirm(best, h, w.off, doc, i, lo, hi)
         return [(doc, i, first, size, dist) for (doc, i), (dist, first, size) in sorted(best.items())]
 
-    def _confirm(self, best: dict, h: np.ndarray, off: np.ndarray, doc: int, i: int, d: int) -> None:
-        x, e, lo = self.items[i], int(self.edits[i]), int(off[doc])
-        a = max(d - e, lo)
-        region = h[a : min(d + len(x) + e, int(off[doc + 1]))]
+    def _confirm(self, best: dict, h: np.ndarray, off: np.ndarray, doc: int, i: int, lo: int, hi: int) -> None:
+        """Search the words that a run on the diagonals ``lo`` to ``hi`` can hold."""
+        x, e, start = self.items[i], int(self.edits[i]), int(off[doc])
+        a = max(lo - e, start)
+        region = h[a : min(hi + len(x) + e, int(off[doc + 1]))]
         dist, end = search(x, region)
         if dist <= e:
             _, size = search(x[::-1], region[:end][::-1], whole=True)
-            value = (dist, a + end - size - lo, size)
+            value = (dist, a + end - size - start, size)
             best[doc, i] = min(best.get((doc, i), value), value)
 
 

@@ -119,3 +119,28 @@ def test_cgk_keeps_close_windows():
     assert (ix.embed([x], n) == ix.item_code(0)).all() and (ix.embed([y], n)[0] == ix.item_code(0)).all(-1).any()
     assert (ix.embed([x, y], np.array([20, 20]))[1] == ix.embed([y], n)[0]).all()
     assert (ix.embed([x + np.uint64(1)], n)[0] == ix.item_code(0)).all(-1).mean() < 0.1
+
+
+def test_long_items_and_cut_starts(spark):
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    items = {n: [word() for _ in range(n)] for n in (45, 100, 200, 400)}
+    docs, want = [], set()
+    for n, w in items.items():
+        for c in range(6):
+            x = list(w)
+            for _ in range(n // 5):  # the full distance
+                p, op = rnd.randrange(len(x)), rnd.randrange(3)
+                x[p : p + 1] = [[], ["zz"], [x[p], "zz"]][op]
+            docs.append((10 * n + c, " ".join([word() for _ in range(30)] + x + [word() for _ in range(30)])))
+            docs.append((10 * n + 6, " ".join(w[n // 5 :] + [word() for _ in range(30)])))  # the text starts inside the item
+            docs.append((10 * n + 7, " ".join([word() for _ in range(30)] + w[: n - n // 5])))
+            want |= {(10 * n + c, n), (10 * n + 6, n), (10 * n + 7, n)}
+    # A far copy first, a near one later: the closest is reported.
+    near = items[100][:40] + ["zz"] + items[100][41:]
+    docs.append((1, " ".join(items[100][:30] + ["q"] * 15 + items[100][45:] + [word() for _ in range(50)] + near)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in de.find_items(df, bench).collect()}
+    assert want | {(1, 100)} == set(got) and (got[1, 100].distance, got[1, 100].n_words) == (1, 100)
+    assert de.remove_contaminated(df, bench).count() == 0
