@@ -4,9 +4,10 @@ The automaton holds the words of licence templates (``TEMPLATES``). A document
 streams through it word by word: the matching statistics give, at each word,
 the longest run ending there that occurs in a template. Runs of at least
 ``MIN_RUN`` words that cannot be extended are chained in template order with
-gaps of at most ``MAX_GAP`` words; a chain covers a span of the document, and
-the covered share of the template is its score. Only stretches of words that
-occur in some template are streamed, as no run can hold another word.
+gaps of at most ``MAX_GAP`` words of any kind; a chain covers a span of the
+document, and the covered share of the template is its score. Only stretches of
+words that occur in some template are streamed, as no run can hold another word;
+the runs of all stretches of a document are chained together.
 
 Defined results: null and empty texts have no words, no labels and score 0;
 repeated rows each get the same result; other columns are ignored.
@@ -118,25 +119,14 @@ class Scanner:
         self.phrases = [(np.array([number[w] for w in p.split()]), label) for p, label in phrases.items()]
         self.automaton = Automaton([[number[w] for w in t.split()] for _, t in templates])
 
-    def spans(self, ids: list[int], start: int) -> list[tuple[int, int, int, int]]:
-        """Chains of one stretch: (template, first word, end word, words covered)."""
-        chains: dict[int, list] = {}
-        for end, n, places in self.automaton.runs(ids):
+    def spans(self, runs: list[tuple[int, int, dict[int, int]]]) -> list[tuple[int, int, int, int]]:
+        """Chains of a document's runs (end, length, places), in order of their ends:
+        (template, first word, end word, words covered)."""
+        by: dict[int, list] = {}
+        for end, n, places in runs:
             for t, at in places.items():
-                chains.setdefault(t, []).append((end - n, end, at + 1 - n, at + 1))
-        out = []
-        for t, runs in chains.items():
-            cur = None
-            for a, e, ta, te in runs:
-                if cur and a - cur[1] <= MAX_GAP and ta >= cur[2]:
-                    cur = (cur[0], e, te, cur[3] + n_new(a, e, cur[1]))
-                else:
-                    if cur:
-                        out.append((t, start + cur[0], start + cur[1], cur[3]))
-                    cur = (a, e, te, e - a)
-            if cur:
-                out.append((t, start + cur[0], start + cur[1], cur[3]))
-        return out
+                by.setdefault(t, []).append((end - n, end, at + 1 - n, at + 1))
+        return [(t, *chain) for t, parts in by.items() for chain in chains(parts)]
 
     def scan(self, col) -> list[dict]:
         w = words_of(col, NON_ALNUM, lower=True)
@@ -165,18 +155,47 @@ class Scanner:
         known = ids >= 0
         starts = np.flatnonzero(known & np.concatenate([[True], ~known[:-1] | (doc[1:] != doc[:-1])])) if len(ids) else []
         ends = np.flatnonzero(known & np.concatenate([~known[1:] | (doc[1:] != doc[:-1]), [True]])) + 1 if len(ids) else []
+        # Words outside the vocabulary end a run, not a chain: runs are gathered by document.
+        runs: dict[int, list] = {}
         for a, e in zip(starts, ends):
             if e - a >= MIN_RUN:
-                r = rows[doc[a]]
-                for t, first, end, covered in self.spans(ids[a:e].tolist(), int(a - w.off[doc[a]])):
-                    share = min(1.0, covered / self.sizes[t])
-                    r["score"] = max(r["score"], share)
-                    if share >= COVER:
-                        r["labels"].add(self.labels[t])
-                        r["spans"].append({"label": self.labels[t], "first": first, "end": end, "covered": share})
+                first = int(a - w.off[doc[a]])
+                runs.setdefault(int(doc[a]), []).extend((first + end, k, places) for end, k, places in self.automaton.runs(ids[a:e].tolist()))
+        for d, held in runs.items():
+            r = rows[d]
+            for t, first, end, covered in self.spans(held):
+                share = min(1.0, covered / self.sizes[t])
+                r["score"] = max(r["score"], share)
+                if share >= COVER:
+                    r["labels"].add(self.labels[t])
+                    r["spans"].append({"label": self.labels[t], "first": first, "end": end, "covered": share})
         return [r | {"base_labels": ",".join(sorted(r["base"])), "labels": ",".join(sorted(r["base"] | r["labels"]))} for r in rows]
 
 
+def chains(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(first word, end word, words covered) of the best chains of one template's
+    runs (first, end, template's first, template's end), which are in order of
+    their ends; each run is in one chain."""
+    made: list[tuple[int, int]] = []  # words covered up to the run, run before
+    for j, (a, e, ta, _) in enumerate(parts):
+        best = (e - a, -1)
+        for k in range(j - 1, -1, -1):
+            if a - parts[k][1] > MAX_GAP:
+                break
+            if ta >= parts[k][3]:
+                best = max(best, (made[k][0] + n_new(a, e, parts[k][1]), k))
+        made.append(best)
+    out, used = [], set()
+    for j in sorted(range(len(parts)), key=lambda j: (-made[j][0], j)):
+        k = first = j
+        while k >= 0 and k not in used:
+            used.add(k)
+            first, k = k, made[k][1]
+        if k != j:
+            out.append((parts[first][0], parts[j][1], made[j][0] - (made[k][0] if k >= 0 else 0)))
+    return sorted(out)
+
+
 def n_new(a: int, e: int, before: int) -> int:
     return e - max(a, before)
 

@@ -40,6 +40,24 @@ def test_licenses(spark, sf_dir):
     assert got[len(all_) - 3].labels == "mit" and got[len(all_) - 2].labels == "bsd" and got[len(all_) - 1].labels == "mit"
 
 
+def test_license_with_foreign_words(spark):
+    changed = []
+    for label, t in ls.TEMPLATES:
+        w = t.split()
+        if len(w) >= 2 * ls.MIN_RUN + 1:
+            m = len(w) // 2
+            changed += [(label, " ".join(w[:m] + [f"Zyx{m}"] + w[m + k :])) for k in (0, 1)]
+    w = ls.TEMPLATES[0][1].split()
+    changed.append(("mit", " ".join(x + (" acme" if i % 10 == 9 else "") for i, x in enumerate(w))))
+    far = " ".join(w[:24] + ["zyx"] * (ls.MAX_GAP + 1) + w[24:])
+    twice = " ".join(w) + " . " + " ".join(w)
+    rows = ls.scan_licenses(frame(spark, [t for _, t in changed] + [far, twice])).orderBy("doc_id").collect()
+    for (label, _), r in zip(changed, rows):
+        assert label in r.labels.split(",") and r.score > 0.6
+    assert rows[-3].labels == "mit" and rows[-3].score == 1 and [s.first for s in rows[-3].spans] == [0]
+    assert "mit" not in rows[-2].labels.split(",") and len([s for s in rows[-1].spans if s.label == "mit"]) == 2
+
+
 def test_automaton():
     rnd = random.Random(3)
     seqs = [[rnd.randrange(4) for _ in range(40)] for _ in range(3)]
