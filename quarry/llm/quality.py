@@ -1,17 +1,22 @@
 """Quality rules, line first.
 
-Each line is judged by itself: navigation (several | or > or short items in a
-row), boilerplate phrases, lines of many words without any sentence mark or
-with signs in most words. Failing lines are removed, and a document that loses
+A line fails if it is navigation (several | or >, or one of ``ITEM_LINES`` lines
+or more in a row that hold at most ``ITEM_WORDS`` words and no sentence mark;
+blank lines between them do not count), holds a boilerplate phrase, has
+``MANY_WORDS`` words or more without any sentence mark, or signs in most words.
+Failing lines are removed, which gives ``clean_text``, and a document that loses
 more than ``MAX_LOST`` of its characters is rejected. All of it is built-in
 column expressions.
 
+A sentence mark is one of .!?… or of the Chinese, Arabic and Indic ones at a word's
+end, quotes and brackets after it aside.
+
 The base figures: words are runs of other characters than [\\x20\\x09-\\x0D];
 n_repeat_words counts the words in 3-word windows that the text holds twice or
 more. Windows are compared by 64-bit hashes inside one text.
 
 Defined results: null and empty texts have no words, fail the base rule and are
-not kept; repeated rows each get the same result; other columns are ignored.
+not kept; the clean_text of a null text is null; repeated rows each get the same result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +27,15 @@ from pyspark.sql import functions as F
 from . import runtime
 
 MAX_LOST = 0.5
+MANY_WORDS = 10
+ITEM_WORDS, ITEM_LINES = 5, 4
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
+#: A word's end after a sentence mark.
+SENTENCE = r"""[.!?…؟।][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)|[。！？]"""
+_GAP, _ITEM = r"[\x20\x09\x0B-\x0D]", WORD + r"""++(?<![.!?…؟।。！？][\"'”’»)\]]{0,2})"""
+#: Short lines in a row. Possessive, so that long rows are matched without recursion.
+MENU = rf"(?md)(?:^{_GAP}*+{_ITEM}(?:{_GAP}++{_ITEM}){{0,{ITEM_WORDS - 1}}}+{_GAP}*+(?:\n|\z)(?:^{_GAP}*+\n)*+){{{ITEM_LINES},}}+"
 BOILERPLATE = r"(?i)cookie policy|privacy policy|terms of (use|service)|all rights reserved|javascript is (required|disabled)|enable javascript|click here|read more|subscribe to|sign up for|log in to|share (this|on)|skip to content|powered by|advertisement"
 
 
@@ -54,17 +66,19 @@ def covered(p: Column) -> Column:
 
 
 def bad_line(x: Column) -> Column:
-    """A line that is navigation, boilerplate or signs."""
+    """A line that is navigation, boilerplate, words without a sentence or signs."""
     bars = F.length(x) - F.length(F.translate(x, "|>»·•", ""))
     n_words = F.length(x) - F.length(F.translate(x, " \t", "")) + 1
     signs = F.length(x) - F.length(F.translate(x, "#*$%&<>{}[]~^=", ""))
-    return ((bars >= 2) & (bars * 4 >= n_words)) | x.rlike(BOILERPLATE) | (signs * 2 >= n_words) & (n_words >= 4)
+    return ((bars >= 2) & (bars * 4 >= n_words)) | x.rlike(BOILERPLATE) | (signs * 2 >= n_words) & (n_words >= 4) | (n_words >= MANY_WORDS) & ~x.rlike(SENTENCE) & (F.size(words(x)) >= MANY_WORDS)
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """``doc_id`` with the base figures, base_failed, lost_share and kept."""
+    """``doc_id`` with the base figures, clean_text, lost_share, base_failed and kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words(F.col("text")).alias("w"), F.split("text", "\n").alias("l"))
+    base = docs.select("doc_id", text.alias("text"), F.col("text").isNull().alias("none"))
+    good = F.filter(F.split(F.regexp_replace("text", MENU, ""), "\n"), lambda x: ~bad_line(x))
+    base = base.select("doc_id", "text", "none", words(F.col("text")).alias("w"), F.split("text", "\n").alias("l"), good.alias("good"))
     s, _, starts = repeated_words(F.col("w"))
     real = F.filter("l", lambda x: x.rlike(WORD))
     base = base.select(
@@ -74,7 +88,8 @@ def score(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         real.alias("real"),
         F.aggregate(real, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"),
-        F.aggregate(F.filter(real, bad_line), F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("lost"),
+        F.aggregate(F.filter("good", lambda x: x.rlike(WORD)), F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("left"),
+        F.when(~F.col("none"), F.array_join("good", "\n")).alias("clean_text"),
         s.alias("s"),
     )
     base = base.select("*", F.when(F.col("s").isNotNull(), starts(F.col("s"), F.size("s"))).alias("p"))
@@ -82,11 +97,12 @@ def score(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols",
         (F.size("real") - F.size(F.array_distinct("real"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered(F.col("p")), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.when(F.col("chars") > 0, F.col("lost") / F.col("chars")).otherwise(F.lit(1.0)).alias("lost_share"),
+        F.when(F.col("chars") > 0, (F.col("chars") - F.col("left")) / F.col("chars")).otherwise(F.lit(1.0)).alias("lost_share"),
+        "clean_text",
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return base.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost_share") <= MAX_LOST))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    return score(runtime.read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("lost_share", 6).alias("lost_share"))
+    return score(runtime.read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("lost_share", 6).alias("lost_share"), "clean_text")

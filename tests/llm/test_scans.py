@@ -122,6 +122,29 @@ def test_quality(spark, sf_dir):
         assert r.base_failed == (len(w) < 50 or 100 * len(rep) > 50 * len(w)) and not (r.kept and r.base_failed)
 
 
+def test_quality_lines(spark):
+    prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(11)) + "." for i in range(8))
+    keywords = "\n".join(" ".join(f"shoe{i}x{j}" for j in range(15)) for i in range(6))
+    menu = "\n".join(f"Item number {i}" for i in range(40))
+    sold = "version 2.0 from example.com and " + " ".join(f"tag{i}" for i in range(12))
+    cases = [
+        (prose, prose, True),
+        (keywords, "", False),
+        (menu, "", False),
+        (f"Home\nOur shop\n\nAbout us\nContact\n{prose}\n{sold}\nclick here now.\nTwo words\n\nthree", f"{prose}\nTwo words\n\nthree", True),
+        (f"Home\nShop\nAbout\n{prose}", f"Home\nShop\nAbout\n{prose}", True),  # three in a row stay
+        (f"Yes.\nNo!\n\"Why?\"\nSo.\nWell...\n{prose}", f"Yes.\nNo!\n\"Why?\"\nSo.\nWell...\n{prose}", True),
+        ("a  \t b" + " " * 60 + f"c\n{prose}", "a  \t b" + " " * 60 + f"c\n{prose}", True),  # spaces are no words
+        ("\n".join(["x"] * 60000), "", False),
+        (None, None, False),
+        ("", "", False),
+    ]
+    got = qu.score(frame(spark, [t for t, _, _ in cases])).orderBy("doc_id").collect()
+    for (t, clean, kept), r in zip(cases, got):
+        assert (r.clean_text, r.kept) == (clean, kept), (t or "")[:60]
+    assert got[1].lost_share == got[2].lost_share == 1 and got[0].lost_share == 0 and not (got[1].base_failed or got[2].base_failed)
+
+
 def line_key(x):
     return re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\f\r"))
 
