@@ -136,8 +136,8 @@ def _sketches(k: int):
                 h1, h2 = ((c[off[1:]] - c[off[:-1]]).view(np.int64) for c in (c1, c2))
                 flat = pa.array(key.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, key.shape[1], dtype=np.int32), flat)],
-                    ["doc_id", "n", "h1", "h2", "bands"],
+                    [part.column("doc_id"), part.column("key"), pa.array(n), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, key.shape[1], dtype=np.int32), flat)],
+                    ["doc_id", "key", "n", "h1", "h2", "bands"],
                 )
 
     return run
@@ -243,32 +243,59 @@ def _cross_links(docs: DataFrame, family: DataFrame, k: int, percent: int) -> Da
     return texts.select("component", "i", "j", "doc_id", "text", "cluster").groupBy("component", "i", "j").applyInArrow(_links(k, percent), "a long, b long")
 
 
-def classes(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id: links are pairs with
-    100 * |intersection| >= percent * |union| of the shingle sets."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = runtime.stored(docs.mapInArrow(_sketches(k), "doc_id long, n long, h1 long, h2 long, bands array<long>"), "sketch")
+def _key():
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, key, n, component_id of each row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key"))
+    made = runtime.stored(docs.mapInArrow(_sketches(k), "doc_id long, key long, n long, h1 long, h2 long, bands array<long>"), "sketch")
     known = made.where("doc_id IS NOT NULL AND n > 0")
-    rep = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = runtime.stored(known.groupBy("h1", "h2", "n").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("r")).select("r.*", "n"), "reps")
-    keys = reps.select("doc_id", F.explode("bands").alias("key"))
+    first = known.groupBy("h1", "h2", "n").agg(F.min_by(F.struct("doc_id", "key", "bands"), F.struct("doc_id", "key")).alias("r")).select("h1", "h2", "n", "r.*")
+    # A doc_id with different texts is no node: its rows that represent a class get one each.
+    several = runtime.stored(known.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id"), "several")
+    plain = several.isEmpty()
+    if plain:
+        reps = runtime.stored(first.withColumn("node", F.col("doc_id")), "reps")
+        docs = docs.select("doc_id", "text")
+    else:
+        own = F.shiftrightunsigned(F.xxhash64("doc_id", "h1", "h2", "n"), 1)
+        marked = first.join(few(several.withColumn("many", F.lit(True))), "doc_id", "left")
+        reps = runtime.stored(marked.withColumn("node", F.when(F.col("many"), own).otherwise(F.col("doc_id"))).drop("many"), "reps")
+        node = reps.join(few(several), "doc_id").select("doc_id", "key", "node")
+        rows = docs.join(few(several.withColumn("many", F.lit(True))), "doc_id", "left")
+        once = rows.where("many IS NULL").select("doc_id", "text")
+        docs = once.unionByName(rows.where("many").join(few(node), ["doc_id", "key"]).select(F.col("node").alias("doc_id"), "text"))
+    keys = reps.select(F.col("node").alias("doc_id"), F.explode("bands").alias("key"))
     least = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).where("b < m").select("key", "b")
     ties = runtime.stored(keys.join(least, "key").where("doc_id > b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")), "ties")
-    sizes = reps.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("n"))
+    sizes = reps.select(F.col("node").alias("id"), "n")
     near = runtime.stored(_hub_links(docs, ties, sizes, k, percent), "near")
     cluster = graph.components(near).withColumnRenamed("component", "cluster")
     family = graph.components(ties.select("a", "b")).join(sizes, "id").join(cluster, "id", "left")
     family = runtime.stored(family.select("id", "component", F.coalesce("cluster", "id").alias("cluster"), "n"), "family")
-    joined = graph.components(near.unionByName(_cross_links(docs, family, k, percent))).select(F.col("id").alias("rep"), "component")
-    of_class = rep.join(joined, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
-    of_row = made.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
-    return of_row.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    joined = graph.components(near.unionByName(_cross_links(docs, family, k, percent))).select(F.col("id").alias("node"), "component")
+    of_class = reps.select("h1", "h2", "n", "doc_id", "node").join(joined, "node", "left")
+    if not plain:  # the smallest node need not be that of the smallest doc_id
+        of_class = runtime.stored(of_class.withColumn("component", F.coalesce("component", "node")), "classes")
+        of_class = of_class.join(of_class.groupBy("component").agg(F.min("doc_id").alias("least")), "component").withColumn("component", F.col("least"))
+    of_class = of_class.select("h1", "h2", "n", F.coalesce("component", "doc_id").alias("component"))
+    of_row = made.select("doc_id", "key", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
+    return of_row.select("doc_id", "key", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def classes(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id: links are pairs with
+    100 * |intersection| >= percent * |union| of the shingle sets."""
+    return _judged(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that are not the smallest id of their component."""
-    gone = runtime.stored(classes(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` without the rows that do not hold the smallest id of their component."""
+    gone = runtime.stored(_judged(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct(), "gone")
+    return docs.join(few(gone), (F.col("doc_id") == F.col("_gone")) & (_key() == F.col("_key")), "left_anti")
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

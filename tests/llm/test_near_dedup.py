@@ -51,6 +51,23 @@ def test_cases(spark, monkeypatch):
     assert kept.columns == df.columns and kept.count() == sum(c is None or c == i for i, _, c in brute(rows, 5, 80))
 
 
+def test_rows_of_one_id(spark, monkeypatch):
+    rnd = random.Random(7)
+    text = lambda: [f"w{rnd.randrange(9000)}" for _ in range(120)]
+    near = lambda w: w[:60] + ["zz"] + w[61:]
+    x, y, z, u = text(), text(), text(), text()
+    own = [text() for _ in range(30)]
+    rows = [(5, x), (5, y), (3, y), (5, z), (2, near(z)), (9, near(x)), (4, u), (6, u), (6, near(u)), (6, own[0])] + [(5, w) for w in own[1:]] + [(8, near(own[1])), (None, x)]
+    gone = {1, 3, 5, 7, 8, len(rows) - 2}
+    df = spark.createDataFrame([(i, " ".join(w), k) for k, (i, w) in enumerate(rows)], "doc_id long, text string, key long")
+    want = sorted(k for k in range(len(rows)) if k not in gone)
+    assert sorted(r.key for r in nd.near_dedup(df).collect()) == want
+    monkeypatch.setattr(nd, "BROADCAST_ROWS", 0)
+    assert sorted(r.key for r in nd.near_dedup(df.repartition(7)).collect()) == want
+    got = sorted(((r.doc_id, r.component_id) for r in nd.classes(df, 5, 80).where("doc_id <> 5").collect()))
+    assert got == [(2, 2), (3, 3), (4, 4), (6, 4), (6, 4), (6, 6), (8, 5), (9, 5)]
+
+
 def test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert run(df) == brute([(r.doc_id, r.text) for r in df.collect()])
