@@ -149,15 +149,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame) -> DataFrame:
-    """The documents with a language, all columns as they were; texts without letters go."""
-    held = docs.sparkSession.sparkContext.broadcast(train(docs))
+    """The documents with a language, all columns as they were; null texts and texts
+    without letters go. These are the texts that a model calls ``und``, so that no
+    model and no label is needed."""
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
-                lang, _ = held.value.predict(part.column("text").to_pylist())
-                yield part.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+                yield part.filter(pa.array([bool(t and _LETTER.search(t)) for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline as cp
 from quarry.llm import language_id as li
 from quarry.llm import toxicity as tx
 
@@ -28,6 +29,12 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in li.identify(df, li.fit([])).collect()} == {"und"}
 
 
+def test_unknown_without_labels(spark):
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate([None, "", "12 ;\n", "the end", "é", "1 und"])], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in li.reject_unknown(df).collect()) == [3, 4, 5]
+    assert sorted(r.doc_id for r in cp.language(spark, df, None).collect()) == [3, 4, 5]
+
+
 def test_presence_is_a_set():
     a, b = li.presence(["abc", "abcabc"])
     assert a.sum() <= 6 and (b >= a).all()
