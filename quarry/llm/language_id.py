@@ -6,8 +6,9 @@ cosine of these sets. Nystroem landmarks, a few training texts of each
 language, give explicit features; one-versus-rest kernel ridge regression on
 them is solved on the driver. A batch is scored by two matrix products.
 
-Training reads a bounded sample: about ``PER_LANG`` labelled rows of each of the
-``MAX_LANGS`` most frequent languages, the smallest by hash of doc_id. Executors
+Every language of a labelled row is a class. Training reads a bounded sample:
+about ``PER_LANG`` labelled rows of each, fewer (``LEAST_ROWS`` or more) where
+there are so many languages that this exceeds ``SAMPLE`` rows, by hash of doc_id. Executors
 turn their whole texts, and two short pieces of each, into sets of n-grams;
 only these bits reach the driver. Predictions read whole texts, too.
 
@@ -23,17 +24,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import runtime
 
 BUCKETS = 1 << 14
-PER_LANG, MAX_LANGS = 300, 50
+PER_LANG, LEAST_ROWS, SAMPLE = 300, 20, 9600
 #: Characters of the pieces from which short texts are learned.
 PIECES = (120, 30)
-LANDMARKS = 96
+#: Landmarks in all, and of each language at least.
+LANDMARKS, LEAST_LANDMARKS = 96, 3
 RIDGE = 0.05
 _LETTER = re.compile(r"[^\W\d_]")
 _C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
@@ -96,8 +98,9 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((1, 0)))
     bits = np.stack([np.frombuffer(x, np.uint8).reshape(1 + len(PIECES), -1) for _, x in rows])
-    y = np.array([langs.index(lang) for lang, _ in rows])
-    each = max(1, LANDMARKS // len(langs))
+    number = {lang: i for i, lang in enumerate(langs)}
+    y = np.array([number[lang] for lang, _ in rows])
+    each = max(LEAST_LANDMARKS, LANDMARKS // len(langs))
     marks = np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(langs))])
     land = np.unpackbits(bits[marks, 0], axis=1).astype(np.float32)
     land = (land / np.sqrt(land.sum(1, keepdims=True))).T.copy()
@@ -110,7 +113,9 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
     share = np.bincount(y, minlength=len(langs)) / len(y)
     w = (1 / (share[y] * len(langs)))[:, None]
     reg = RIDGE * np.eye(phi.shape[1]) * len(phi) / 1000
-    b = np.linalg.solve((phi * w).T @ phi + reg, (phi * w).T @ np.eye(len(langs))[y])
+    sums = np.zeros((len(langs), phi.shape[1]))
+    np.add.at(sums, y, phi * w)
+    b = np.linalg.solve((phi * w).T @ phi + reg, sums.T)
     return Model(langs, land, np.r_[half @ b[:-1], b[-1:]].astype(np.float32))
 
 
@@ -121,15 +126,17 @@ def _remainder(n: int):
 def train(docs: DataFrame) -> Model:
     """The model from the labelled rows that are not held out."""
     open_ = docs.where((_remainder(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = open_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = [(r["lang"], r["count"]) for r in open_.groupBy("lang").count().collect()]
     if not counts:
         return fit([])
+    most = max(LEAST_ROWS, min(PER_LANG, SAMPLE // len(counts)))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("lang") == r["lang"]) & (unit < F.lit(1.2 * PER_LANG / r["count"])))
-    texts = open_.where(keep).select("lang", F.xxhash64("doc_id").alias("h"), "text")
-    got = texts.mapInArrow(_training_sets, "lang string, h long, bits binary").orderBy("h", "lang", "bits").limit(2 * PER_LANG * len(counts)).collect()
+    share = docs.sparkSession.createDataFrame([(lang, 1.2 * most / n) for lang, n in counts], "lang string, share double")
+    texts = open_.join(F.broadcast(share), "lang").where(unit < F.col("share")).select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    # The bound is by language, so that none is crowded out.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    texts = texts.withColumn("place", place).where(F.col("place") <= 2 * most).select("lang", "h", "text")
+    got = texts.mapInArrow(_training_sets, "lang string, h long, bits binary").orderBy("h", "lang", "bits").collect()
     return fit([(r["lang"], bytes(r["bits"])) for r in got])
 
 

@@ -35,6 +35,15 @@ def test_unknown_without_labels(spark):
     assert sorted(r.doc_id for r in cp.language(spark, df, None).collect()) == [3, 4, 5]
 
 
+def test_many_languages(spark):
+    word = lambda k, i: "".join(chr(0x4E00 + 40 * k + (i * j) % 40) for j in (1, 3, 7))
+    rows = [(100 * k + i, " ".join(word(k, i + j) for j in range(12)), f"l{k}") for k in range(70) for i in range(90 if k else 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.train(df)
+    got = li.identify(df, model).collect()
+    assert len(model.langs) == 70 and np.mean([r.lang == r.lang_pred for r in got]) > 0.99
+
+
 def test_presence_is_a_set():
     a, b = li.presence(["abc", "abcabc"])
     assert a.sum() <= 6 and (b >= a).all()
