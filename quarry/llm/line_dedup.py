@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table of (hash, n): how many documents of a batch hold the line, in
-hash order. ``LineIndex.add`` merge-joins a batch with the runs, which tells
-the lines that earlier batches hold, and adds the batch's own run at level 0;
-``FANOUT`` runs of a level are merged into one of the next. All steps are
-DataFrame operations; the runs lie in the shared folder.
+hash order. ``LineIndex.add`` counts a batch and adds its run at level 0; it does
+not join the batch with the runs, as the counts come from merging them.
+``FANOUT`` runs of a level are merged into one of the next. ``LineIndex.unseen``,
+the merge anti-join that parts new lines from known ones, is not on the query's
+path. All steps are DataFrame operations; the runs lie in the shared folder.
 
 The key of a line is the line without [\\x20\\x09-\\x0D] at its ends and with A-Z
 lower-cased; its hash is 128 bits (two 64-bit hashes).
