@@ -15,7 +15,8 @@ def _least(pairs: DataFrame) -> DataFrame:
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): component is the smallest
     id reachable. Each round is written to the shared folder; the rows of a node
-    with very many links are only ever aggregated and joined, not gathered."""
+    with very many links are only ever aggregated and joined, not gathered. Links
+    that ``rounds`` rounds do not settle are an error, never a split component."""
     edges = runtime.stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     for _ in range(rounds):
@@ -29,5 +30,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components still changed in round {rounds}")
     ids = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ids.union(edges.select("b", "b").distinct())

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quarry.llm import graph
 from quarry.llm import near_dedup as nd
@@ -93,3 +94,9 @@ def test_components(spark):
             least[a] = least[b] = min(least[a], least[b])
     assert got == {i: c for i, c in least.items()}
     assert pa.table({}).num_rows == graph.components(spark.createDataFrame([], "a long, b long")).count()
+
+
+def test_components_must_settle(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(links, rounds=2)
