@@ -122,6 +122,55 @@ def test_quality(spark, sf_dir):
         assert r.base_failed == (len(w) < 50 or 100 * len(rep) > 50 * len(w)) and not (r.kept and r.base_failed)
 
 
+def lost(text):
+    """Characters of lines with words, and those on lines that the rules remove."""
+    ends = tuple(".!?…؟।")
+    lines_ = (text or "").split("\n")
+
+    def marked(w):
+        return re.sub("[\"'”’»)\\]]*$", "", w).endswith(ends) or any(c in w for c in "。！？")
+
+    def item(x):
+        w = words(x)
+        return 0 < len(w) <= 5 and not any(re.search("[.!?…؟।。！？][\"'”’»)\\]]{0,2}$", v) for v in w)
+
+    bad, run = set(), []
+    for i, x in enumerate([*lines_, "an end of more than five words here"]):
+        if item(x):
+            run.append(i)
+        elif words(x):
+            bad |= set(run) if len(run) >= 4 else set()
+            run = []
+    phrases = ["cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "javascript is required", "javascript is disabled", "enable javascript", "click here", "read more", "subscribe to", "sign up for", "log in to", "share this", "share on", "skip to content", "powered by", "advertisement"]
+    for i, x in enumerate(lines_):
+        n = sum(c in " \t" for c in x) + 1
+        bars, signs = sum(c in "|>»·•" for c in x), sum(c in "#*$%&<>{}[]~^=" for c in x)
+        w = words(x)
+        endless = len(w) >= 10 and not any(marked(v) for v in w)
+        if bars >= 2 and bars * 4 >= n or any(p in x.lower() for p in phrases) or n >= 4 and signs * 2 >= n or endless:
+            bad.add(i)
+    real = [i for i, x in enumerate(lines_) if words(x)]
+    return sum(len(lines_[i]) for i in real), sum(len(lines_[i]) for i in real if i in bad)
+
+
+def test_quality_verdict(spark, sf_dir):
+    rnd = random.Random(8)
+    bits = ["Home", "a|b", "»", "tag", "One two three.", "three little words", "click HERE", "Terms of Use", "* * # x", "\"Stop!\"", "x.y", "\n", "\n", "\n\n", " ", " \t", "so (yes.)", "many words on one line without any mark at all here", "完了。"]
+    made = [" ".join(rnd.choice(bits) for _ in range(rnd.randrange(40))) for _ in range(300)]
+    made += [" ".join(f"w{rnd.randrange(30000)}" for _ in range(70000)) + " a b c d a b c"]  # beyond PACKED windows
+    all_ = texts(spark, sf_dir) + made
+    got = {r.doc_id: r for r in qu.score(frame(spark, all_)).collect()}
+    for i, t in enumerate(all_):
+        chars, gone = lost(t)
+        share = gone / chars if chars else 1.0
+        assert abs(got[i].lost_share - share) < 1e-9, t[:300]
+        assert got[i].kept == (not got[i].base_failed and got[i].lost_share <= 0.5)
+    w = made[-1].split()
+    grams = Counter(zip(w, w[1:], w[2:]))
+    assert got[len(all_) - 1].n_repeat_words == len({j + k for j in range(len(w) - 2) if grams[tuple(w[j : j + 3])] > 1 for k in range(3)}) >= 6
+    assert qu.score(frame(spark, ["x"]).limit(0)).collect() == []
+
+
 def test_quality_lines(spark):
     prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(11)) + "." for i in range(8))
     keywords = "\n".join(" ".join(f"shoe{i}x{j}" for j in range(15)) for i in range(6))
