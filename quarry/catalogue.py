@@ -8,12 +8,12 @@ children, labels judged outcomes, events scores and times.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import jsonx, text as T
-from quarry.operators import answers as A, evaluation as E, routing as R, search as S
-from quarry.sources import store
+from quarry.operators import answers as A, clients as C, evaluation as E, reports as P, routing as R, search as S
+from quarry.sources import scratch, store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -39,15 +39,6 @@ def query(name: str, sql: str | None):
     return add
 
 
-def both(name: str, sql: str, *tables: str) -> None:
-    """A query whose SQL is the same in both dialects."""
-    ORACLE_SQL[name] = sql
-    text = sql
-    for t in tables:
-        text = text.replace(f" {t} ", f" {{{t}}} ")
-    QUERIES[name] = lambda spark, sf_dir: spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
-
-
 # ---------------------------------------------------------------- inputs
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '[\s\p{Z}\x{85}]+'), lambda x: x <> '')"
@@ -63,7 +54,11 @@ def files(t) -> DataFrame:
 
 
 def chunks(t) -> DataFrame:
-    return T.chunks(files(t))
+    return T.chunks(scratch.spread(files(t)))
+
+
+def indexed(t) -> DataFrame:
+    return S.index(chunks(t))
 
 
 CH = rf"""d AS (SELECT doc_id, lang AS domain, concat(source, '/doc_', doc_id, '.txt') AS source_file, {_WORDS} AS w FROM documents),
@@ -115,7 +110,7 @@ def vectors(t, ch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hits(t) -> DataFrame:
-    ch = chunks(t)
+    ch = indexed(t)
     qv, cv = vectors(t, ch)
     return S.hybrid(benchmark(t), qv, ch, cv)
 
@@ -209,7 +204,16 @@ def _(t):
     return t("benchmark").select("item_id", F.array_join(F.array_sort(T.significant(F.col("text"))), " ").alias("words"))
 
 
-both("t17_t18_t20_t23_scores", "SELECT event_id, round(value, 1) AS r, greatest(0.0, least(1.0, value / 100)) AS clamped, value / coalesce(nullif(abs(value), 0), 1) AS sign_, CASE WHEN value / 100 >= 0.7 THEN 'good' WHEN value / 100 >= 0.4 THEN 'fair' ELSE 'poor' END AS band FROM events ", "events")
+@query("t17_exact_round", """SELECT event_id, sign(value) * (floor(abs(value)) * 100 + m // 4611686018427387904 + CASE WHEN m % 4611686018427387904 > 2305843009213693952 OR (m % 4611686018427387904 = 2305843009213693952 AND (m // 4611686018427387904) % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS r
+ FROM (SELECT event_id, value, ((abs(value) - floor(abs(value))) * 4611686018427387904)::HUGEINT * 100 AS m FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value ELSE floor(value) + (event_id % 200) / 200.0 END AS value FROM events))""")
+def _(t):
+    v = F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(F.floor("value") + (F.col("event_id") % 200) / 200)
+    return t("events").select("event_id", T.exact_round(v, 2).alias("r"))
+
+
+@query("t23_bands", "SELECT event_id, " + ", ".join(f"CASE WHEN value / 100 >= {h} THEN 'good' WHEN value / 100 >= {w} THEN 'fair' ELSE 'poor' END AS {n}" for n, (h, w) in T.BANDS.items()) + " FROM events")
+def _(t):
+    return t("events").select("event_id", *[T.band_of(n, F.col("value") / 100).alias(n) for n in T.BANDS])
 
 
 @query("t17_t18_t20_t23_scores_api", "SELECT event_id, greatest(0.0, least(1.0, value / 100)) AS clamped, value / coalesce(nullif(value, 0), 1) AS unit, CASE WHEN value / 100 >= 0.7 THEN 'good' WHEN value / 100 >= 0.4 THEN 'fair' ELSE 'poor' END AS band FROM events")
@@ -230,7 +234,7 @@ def _(t):
     return t("events").select("event_id", T.ago(m).alias("ago"))
 
 
-_ERRORS = ["429 Too Many: perday limit", "Rate limit reached", "401 denied", "GEMINI_API_KEY not set", "key not set", "Connection reset", "boom", "retry in 7.5s: quota"]
+_ERRORS = ["429 Too Many: perday limit", "Rate limit reached", "401 denied", "API_KEY not set", "key not set", "Connection reset", "boom", "retry in 7.5s: quota"]
 
 
 @query("t24_t26_errors", f"""SELECT event_id, CASE WHEN lim AND (contains(m, 'perday') OR contains(m, 'per_day') OR contains(m, 'daily')) THEN 'daily quota' WHEN lim THEN 'rate limit'
@@ -244,12 +248,17 @@ def _(t):
     return t("events").select("event_id", T.error_class(m).alias("kind"), T.retry_seconds(m).alias("wait"))
 
 
-@query("t25_k9_history_block", """SELECT conv_id, string_agg(concat(upper(role[1:1]), role[2:], ': ', left(text, 200)), chr(10) ORDER BY turn) AS history
+@query("t25_k9_history_block", """SELECT conv_id, string_agg(concat(upper(role[1:1]), lower(role[2:]), ': ', left(text, 200)), chr(10) ORDER BY turn) AS history
  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3 GROUP BY conv_id""")
 def _(t):
-    last = store.last_n(t("conversations"), "conv_id", ["turn"], 3)
-    line = F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100), F.lit(": "), F.substring("text", 1, 200))
-    return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("history"))
+    return T.router_history(t("conversations"), "conv_id", "turn")
+
+
+@query("t25_generator_history", f"""SELECT conv_id, concat({chr(39)}{T.HISTORY_HEAD}{chr(39)}, chr(10), coalesce(string_agg(concat(CASE WHEN role = 'user' THEN 'Student' ELSE 'Assistant' END, ': ', s, chr(10)), '' ORDER BY turn) FILTER (s <> ''), ''), {chr(39)}{T.HISTORY_FOOT}{chr(39)}) AS history
+ FROM (SELECT *, trim(CASE WHEN turn % 4 = 1 THEN ' ' ELSE text END, ' ' || chr(10) || chr(9)) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 GROUP BY conv_id""")
+def _(t):
+    blank = F.when(F.col("turn") % 4 == 1, F.lit(" ")).otherwise(F.col("text"))
+    return T.generator_history(t("conversations").withColumn("text", blank), "conv_id", "turn")
 
 
 @query("t28_provider_prefix", "SELECT event_type, starts_with(event_type, 'pur') OR starts_with(event_type, 'cl') AS hosted, count(*) AS n FROM events GROUP BY ALL")
@@ -275,11 +284,11 @@ def _(t):
     return t("benchmark").select("item_id", jsonx.route(said, list(KEYWORDS)).alias("r")).select("item_id", "r.intent_type", F.array_join("r.domains", ",").alias("domains"), "r.is_course_related", "r.needs_clarification")
 
 
-@query("j3_splitter_json", "SELECT item_id, left(text, 20) AS question, 'DE' AS domain FROM benchmark WHERE trim(left(text, 20)) <> ''")
+@query("j3_splitter_json", "SELECT item_id, trim(text, ' ') AS question, 'DE' AS domain FROM benchmark WHERE trim(text, ' ') <> ''")
 def _(t):
-    said = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit(" "), F.substring("text", 1, 20)).alias("question"), F.lit(" de ").alias("domain")), F.struct(F.lit(" ").alias("question"), F.lit("en").alias("domain"))).alias("sub_questions")))
+    said = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit(" "), "text").alias("question"), F.lit(" de ").alias("domain")), F.struct(F.lit(" ").alias("question"), F.lit("en").alias("domain"))).alias("sub_questions")))
     q = F.explode(jsonx.split_questions(said)).alias("q")
-    return t("benchmark").select("item_id", "text", q).select("item_id", F.substring("text", 1, 20).alias("question"), "q.domain")
+    return t("benchmark").select("item_id", q).select("item_id", "q.question", "q.domain")
 
 
 @query("j4_verifier_json", """SELECT doc_id, quality = 1 AS ok, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS q, 0.25::DOUBLE AS c, CASE WHEN quality = 0 THEN 'better' END AS revised FROM labels""")
@@ -296,25 +305,45 @@ def _(t):
 
 # ---------------------------------------------------------------- filters, sets, DML, roll-ups
 
-both("f1_equality", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'de' AND source = 'src3'", "documents")
-both("f2_like", "SELECT doc_id, source FROM documents WHERE source ILIKE '%RC1_'", "documents")
-both("f7_optional_predicate", "SELECT doc_id FROM documents WHERE CAST(NULL AS VARCHAR(9)) IS NULL OR lang = NULL", "documents")
-both("f10_with_chunks", "SELECT lang, count(*) AS n FROM documents WHERE n_chars > 0 GROUP BY lang", "documents")
+@query("f1_equality", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'de' AND source = 'src3'")
+def _(t):
+    return store.matching(t("documents"), lang="de", source="src3").select("doc_id", "source", "n_chars")
 
 
-@query("f8_manual_override", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'es' ELSE 'auto' END AS domains FROM benchmark")
+@query("f2_like", "SELECT doc_id, source FROM documents WHERE source ILIKE '%RC1%'")
 def _(t):
-    manual = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("es"))).otherwise(F.array().cast("array<string>"))
-    return t("benchmark").select("item_id", F.array_join(F.coalesce(F.when(F.size(manual) > 0, manual), F.array(F.lit("auto"))), ",").alias("domains"))
+    return store.containing(t("documents"), "source", "RC1").select("doc_id", "source")
 
 
-@query("f9_general_query", f"SELECT item_id, NOT regexp_matches(text, '\\.(pdf|txt|md|docx)') AND (contains(lower(text), 'summar') OR len({_WORDS}) < 25) AS general FROM benchmark")
+@query("f7_optional_predicate", "SELECT doc_id, 'all' AS asked FROM documents UNION ALL SELECT doc_id, 'fr' FROM documents WHERE lang = 'fr'")
 def _(t):
-    x = F.col("text")
-    return t("benchmark").select("item_id", (~x.rlike(r"\.(pdf|txt|md|docx)") & (F.contains(F.lower(x), F.lit("summar")) | (F.size(T.words(x)) < 25))).alias("general"))
+    d = t("documents")
+    return store.matching(d, lang=None).select("doc_id", F.lit("all").alias("asked")).unionByName(store.matching(d, lang="fr").select("doc_id", F.lit("fr").alias("asked")))
+
+
+@query("f10_with_chunks", "SELECT lang, count(*) AS n FROM documents WHERE n_chars > 100 GROUP BY lang")
+def _(t):
+    return store.with_chunks(t("documents").withColumn("chunk_count", F.floor(F.col("n_chars") / 101))).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f8_manual_override", f"SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'es' ELSE array_to_string(list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{k}{chr(39)})' for k in ks)} THEN '{d}' END" for d, ks in KEYWORDS.items()) + "], lambda x: x IS NOT NULL), ',') END AS domains FROM benchmark")
+def _(t):
+    manual = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("es"))).when(F.col("query_id") % 3 == 0, F.array().cast("array<string>"))
+    r = R.route(benchmark(t), KEYWORDS)
+    return r.select(F.col("query_id").alias("item_id"), F.array_join(R.override(manual, F.col("domains")), ",").alias("domains"))
+
 
+_GENERAL = " OR ".join(f"contains(lower(text), '{w}')" for w in R.GENERAL)
 
-both("w1_role_check", "SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant')", "conversations")
+
+@query("f9_general_query", f"SELECT conv_id, turn, NOT (contains(lower(text), 'report') OR contains(lower(text), 'the')) AND ({_GENERAL} OR len(string_split(text, ' ')) < 8) AS general FROM conversations")
+def _(t):
+    return t("conversations").select("conv_id", "turn", R.general_query(F.col("text"), F.array(F.lit("Report.v2.PDF".replace(".v2", "")), F.lit("the.md"))).alias("general"))
+
+
+@query("w1_required_role", "SELECT role, min(turn) AS first FROM conversations WHERE role <> 'system' GROUP BY role")
+def _(t):
+    return store.require_role(t("conversations").where("role <> 'system'"), ("user", "assistant", "tool")).groupBy("role").agg(F.min("turn").alias("first"))
 
 
 @query("w1_role_check_api", "SELECT role, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role")
@@ -322,17 +351,39 @@ def _(t):
     return store.check_role(t("conversations")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w2_insert_or_ignore", "SELECT text_key, min(doc_id) AS doc_id FROM (SELECT doc_id, left(text, 40) AS text_key FROM documents) WHERE text_key NOT IN (SELECT left(text, 40) FROM documents WHERE lang = 'en') GROUP BY text_key")
+@query("w2_insert_or_ignore", "SELECT md5(text) AS text_key, min(doc_id) AS doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en') GROUP BY text")
 def _(t):
-    d = t("documents").select("doc_id", "lang", F.substring("text", 1, 40).alias("text_key"))
-    return store.new_rows(d, d.where("lang = 'en'"), ["text_key"], ["doc_id"]).select("text_key", "doc_id")
+    d = t("documents").select("doc_id", "lang", "text")
+    return store.new_rows(d, d.where("lang = 'en'"), ["text"], ["doc_id"]).select(F.md5("text").alias("text_key"), "doc_id")
 
 
-@query("w3_chunk_upsert", f"WITH {CH} SELECT domain, count(*) AS n FROM ch WHERE chunk_id NOT IN (SELECT concat(lang, '_doc_', doc_id, '_0000') FROM documents WHERE source = 'src1') GROUP BY domain")
+@query("w3_chunk_upsert", f"WITH {CH}, old AS (SELECT chunk_id FROM ch WHERE source_file LIKE 'src1/%'), a AS (SELECT domain, chunk_id, text FROM ch ANTI JOIN old USING (chunk_id)) SELECT 'chunk' AS kind, domain, chunk_id, NULL::BIGINT AS v FROM ch UNION ALL SELECT 'vector', domain, chunk_id, length(text) FROM a")
 def _(t):
-    c = chunks(t)
-    old = t("documents").where("source = 'src1'").select(F.concat("lang", F.lit("_doc_"), "doc_id", F.lit("_0000")).alias("chunk_id"))
-    return store.new_rows(c, old, ["chunk_id"], ["doc_id"]).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    c = scratch.stored(chunks(t), "chunks")
+    all_, vectors = store.upsert_chunks(c.where("source_file LIKE 'src1/%'"), c, F.length)
+    return all_.select(F.lit("chunk").alias("kind"), "domain", "chunk_id", F.lit(None).cast("long").alias("v")).unionByName(vectors.select(F.lit("vector").alias("kind"), "domain", "chunk_id", F.col("vector").cast("long").alias("v")))
+
+
+_MESSAGES = "id long, session_id long, role string, content string, timestamp timestamp, intent_type string, detected_domains string, quality_score double, pipeline_meta string"
+
+
+@query("w4_append_message", """WITH m AS (SELECT *, row_number() OVER (ORDER BY event_id) AS id FROM events WHERE event_id % 2 = 0),
+n AS (SELECT *, (SELECT count(*) FROM m) + row_number() OVER (ORDER BY ts, user_id, CASE WHEN event_id % 4 = 1 THEN 'user' ELSE 'assistant' END, props, event_id) AS id FROM events WHERE event_id % 2 = 1),
+a AS (SELECT id, user_id, NULL AS domains, NULL AS meta, ts, event_id, 0 AS new FROM m UNION ALL SELECT id, user_id, CASE WHEN event_id % 3 = 0 THEN '["' || event_type || '","x"]' END, '{"k":' || event_id || '}', ts, event_id, 1 FROM n)
+SELECT 'message' AS kind, user_id AS session_id, count(*)::BIGINT AS n, max(CASE WHEN new = 1 THEN domains END) AS domains, max(meta) AS meta, max(id)::BIGINT AS last_id, NULL::TIMESTAMP AS at FROM a GROUP BY user_id
+UNION ALL SELECT 'session', user_id, NULL, NULL, NULL, NULL, greatest(TIMESTAMP '2024-01-01', max(ts) FILTER (new = 1)) FROM a GROUP BY user_id""")
+def _(t):
+    e = t("events").select("event_id", F.col("user_id").cast("long").alias("session_id"), F.col("ts").cast("timestamp").alias("timestamp"), "event_type", "props")
+    role = F.when(F.col("event_id") % 4 == 1, "user").otherwise("assistant")
+    none = F.lit(None).cast("string")
+    old = e.where("event_id % 2 = 0").select(F.row_number().over(Window.orderBy("event_id")).cast("long").alias("id"), "session_id", F.lit("user").alias("role"), F.col("props").alias("content"), "timestamp", none.alias("intent_type"), none.alias("detected_domains"), F.lit(None).cast("double").alias("quality_score"), none.alias("pipeline_meta"))
+    domains = F.when(F.col("event_id") % 3 == 0, F.array("event_type", F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    new = e.where("event_id % 2 = 1").select("session_id", role.alias("role"), F.concat("props", F.format_string("%09d", "event_id")).alias("content"), "timestamp", none.alias("intent_type"), domains.alias("detected_domains"), F.lit(None).cast("double").alias("quality_score"), F.struct(F.col("event_id").alias("k")).alias("pipeline_meta"))
+    sessions = e.select("session_id").distinct().withColumn("updated_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    m, s = store.append_messages(old, sessions, new)
+    m = m.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("detected_domains").alias("domains"), F.max("pipeline_meta").alias("meta"), F.max("id").cast("long").alias("last_id"))
+    s = s.select(F.lit("session").alias("kind"), "session_id", F.lit(None).cast("long").alias("n"), none.alias("domains"), none.alias("meta"), F.lit(None).cast("long").alias("last_id"), F.col("updated_at").cast("timestamp_ntz").alias("at"))
+    return m.select(F.lit("message").alias("kind"), "session_id", "n", "domains", "meta", "last_id", F.lit(None).cast("timestamp_ntz").alias("at")).unionByName(s)
 
 
 @query("w4_touch_parent", "SELECT c_custkey, max(o_orderdate) AS updated_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
@@ -366,10 +417,46 @@ def _(t):
     return stays.agg(F.lit(False).alias("gone"), F.count(F.lit(1)).alias("n")).unionByName(goes.agg(F.lit(True).alias("gone"), F.count(F.lit(1)).alias("n")))
 
 
-both("s6_domain_scan", "SELECT doc_id, source FROM documents WHERE lang = 'fr'", "documents")
-both("s7_session_scan", "SELECT turn, role, text FROM conversations WHERE conv_id = 7", "conversations")
-both("s8_id_set", "SELECT DISTINCT vec_id FROM embeddings WHERE label = 3", "embeddings")
-both("s10_point_lookup", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 17 LIMIT 1", "customer")
+@query("w9_document_records", "SELECT p_partkey AS id, p_name AS filename FROM part WHERE p_partkey <= 20 UNION ALL SELECT 20 + row_number() OVER (ORDER BY s_name), s_name FROM supplier")
+def _(t):
+    old = t("part").where("p_partkey <= 20").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("filename"))
+    return store.add_document(old, t("supplier").select(F.col("s_name").alias("filename")))
+
+
+@query("w10_remove_document", "SELECT 'chunk' AS kind, count(*) AS n FROM documents WHERE source <> 'src1' UNION ALL SELECT 'vector', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src1') UNION ALL SELECT 'record', count(DISTINCT source) FROM documents WHERE source <> 'src1'")
+def _(t):
+    d = t("documents").select("doc_id", F.col("source").alias("source_file"))
+    left = store.remove_document(d, t("embeddings").withColumnRenamed("vec_id", "doc_id"), d.select(F.col("source_file").alias("filename")).distinct(), F.col("source_file") == "src1", "doc_id")
+    n = [x.agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n")) for k, x in zip(("chunk", "vector", "record"), left)]
+    return n[0].unionByName(n[1]).unionByName(n[2])
+
+
+@query("w11_reset", "SELECT 'orders' AS tbl, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_linestatus <> 'F'")
+def _(t):
+    left = store.reset({"orders": t("orders").withColumnRenamed("o_orderstatus", "space"), "lineitem": t("lineitem").withColumnRenamed("l_linestatus", "space"), "nation": t("nation")}, "space", "F")
+    n = [x.agg(F.lit(k).alias("tbl"), F.count(F.lit(1)).alias("n")) for k, x in left.items()]
+    return n[0].unionByName(n[1])
+
+
+@query("s6_domain_scan", "SELECT doc_id, source FROM documents WHERE lang = 'fr' ORDER BY doc_id")
+def _(t):
+    return store.chunks_of(t("documents"), "lang", "fr", "doc_id").select("doc_id", "source")
+
+
+@query("s7_session_scan", "SELECT turn, role, text FROM conversations WHERE conv_id = 7 ORDER BY turn")
+def _(t):
+    return store.chunks_of(t("conversations"), "conv_id", 7, "turn").select("turn", "role", "text")
+
+
+@query("s8_id_set", "SELECT vec_id FROM embeddings WHERE label = 3 GROUP BY vec_id")
+def _(t):
+    return store.ids_of(t("embeddings"), "label", 3, "vec_id")
+
+
+@query("s10_point_lookup", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (17, -17)")
+def _(t):
+    c = t("customer").select("c_custkey", "c_name")
+    return store.lookup(c, "c_custkey", 17).unionByName(store.lookup(c, "c_custkey", -17))
 
 
 @query("jn1_a1_session_rollup", "SELECT c_custkey, c_name, count(o_orderkey) AS n_messages, max(o_orderdate) AS updated_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name ORDER BY updated_at DESC NULLS LAST, c_custkey LIMIT 20")
@@ -391,8 +478,9 @@ def _(t):
     return r.select("c_custkey", F.coalesce("d", F.lit(0)).alias("n_docs"), F.coalesce("s", F.lit(0)).alias("n_chunks"))
 
 
-both("jn3_u3_anti", "SELECT d.doc_id FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id", "documents", "labels")
-ORACLE_SQL["jn3_u3_anti"] = "SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id"
+@query("jn3_u3_anti", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def _(t):
+    return store.missing(t("documents"), t("labels"), "doc_id")
 
 
 @query("a3_chunk_counts", f"WITH {CH} SELECT domain, count(*) AS n_chunks, count(DISTINCT source_file) AS n_files FROM ch GROUP BY domain")
@@ -400,8 +488,9 @@ def _(t):
     return chunks(t).groupBy("domain").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("source_file").alias("n_files"))
 
 
-both("a7_filtered_averages", "SELECT source, coalesce(round(avg(CASE WHEN quality > 0 THEN n_chars END), 4), 0.0) AS avg_good, coalesce(round(avg(CASE WHEN toxic = 1 THEN n_chars END), 4), 0.0) AS avg_toxic FROM documents JOIN labels USING (doc_id) GROUP BY source", "documents")
-QUERIES["a7_filtered_averages"] = lambda spark, sf: table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").groupBy("source").agg(E.mean_if(F.col("quality") > 0, F.col("n_chars")).alias("avg_good"), E.mean_if(F.col("toxic") == 1, F.col("n_chars")).alias("avg_toxic"))
+@query("a7_filtered_averages", "SELECT source, coalesce(round(avg(CASE WHEN quality > 0 THEN n_chars END), 4), 0.0) AS avg_good, coalesce(round(avg(CASE WHEN toxic = 1 THEN n_chars END), 4), 0.0) AS avg_toxic FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def _(t):
+    return t("documents").join(t("labels"), "doc_id").groupBy("source").agg(E.mean_if(F.col("quality") > 0, F.col("n_chars")).alias("avg_good"), E.mean_if(F.col("toxic") == 1, F.col("n_chars")).alias("avg_toxic"))
 
 
 @query("a8_a9_a14_by_category", "SELECT lang AS category, count(*) AS total, count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality <> 1) AS failed, round(100.0 * (count(*) FILTER (quality = 1)) / count(*), 1) AS pass_rate FROM documents JOIN labels USING (doc_id) GROUP BY lang")
@@ -410,23 +499,40 @@ def _(t):
     return t("documents").join(t("labels"), "doc_id").groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), E.percent(ok).alias("pass_rate"))
 
 
-@query("a10_by_model", "SELECT event_type AS model, count(*) AS n, round(avg(TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'N/A' ELSE CAST(value AS VARCHAR) END AS DOUBLE)), 3) AS avg_quality FROM events WHERE value > 0 GROUP BY event_type")
+_M10 = {"quality_score": "value / 100", "coverage_score": "CASE WHEN event_id % 5 = 0 THEN 'N/A' ELSE CAST(value AS VARCHAR) END", "latency_ms": "CASE WHEN event_id % 7 > 0 THEN CAST(event_id AS VARCHAR) END"}
+
+
+@query("a10_by_model", "SELECT event_type AS model, count(*) AS n, " + ", ".join(f"round(avg(TRY_CAST({x} AS DOUBLE)), 3) AS {m}" for m, x in _M10.items()) + ", count(*) FILTER (event_id % 4 = 0) AS revised FROM events WHERE value > 0 GROUP BY event_type")
 def _(t):
-    said = F.when(F.col("event_id") % 5 == 0, F.lit("N/A")).otherwise(F.col("value").cast("string"))
-    return t("events").where("value > 0").groupBy(F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(said.try_cast("double")), 3).alias("avg_quality"))
+    rows = t("events").select(F.col("event_type").alias("model"), (F.col("event_id") % 4 == 0).alias("revised"), *[F.expr(x.replace("VARCHAR", "STRING")).cast("string").alias(m) for m, x in _M10.items()])
+    return E.by_model(rows, list(_M10))
 
 
-both("a13_a16_client_sums", "SELECT c_mktsegment, sum(coalesce(c_acctbal, 0)) AS total, greatest(1, CAST(count(*) / 3 AS INT)) AS per_file FROM customer GROUP BY c_mktsegment", "customer")
-ORACLE_SQL["a13_a16_client_sums"] = "SELECT c_mktsegment, sum(coalesce(c_acctbal, 0)) AS total, greatest(1, (count(*) // 3)::INT) AS per_file FROM customer GROUP BY c_mktsegment"
+@query("a13_a16_client_sums", "SELECT c_mktsegment, sum(coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0)) AS total, greatest(1, (count(*) // 30)::INT) AS per_file FROM customer GROUP BY c_mktsegment")
+def _(t):
+    some = t("customer").select("c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("amount"))
+    return P.total(some, "c_mktsegment", "amount").select("c_mktsegment", "total", P.chunks_per_file(F.col("n"), F.lit(30)).alias("per_file"))
 
 
-@query("a17_kb_status", "SELECT lang AS domain, count(*) AS n_chunks, string_agg(DISTINCT source, '|' ORDER BY source) AS files FROM documents GROUP BY lang")
+@query("a17_kb_status", """SELECT d AS domain, (SELECT count(*) FROM documents WHERE lang = d) AS n_chunks, (SELECT coalesce(string_agg(DISTINCT source, '|' ORDER BY source), '') FROM documents WHERE lang = d) AS files,
+ (SELECT coalesce(string_agg(name, '|' ORDER BY since DESC, name DESC), '') FROM (SELECT n_name AS name, n_nationkey % 5 AS since, CASE n_regionkey WHEN 0 THEN 'de' WHEN 1 THEN 'fr' ELSE 'none' END AS dom FROM nation) WHERE dom = d) AS uploads FROM (VALUES ('de'), ('fr'), ('xx')) v(d)""")
 def _(t):
-    return t("documents").groupBy(F.col("lang").alias("domain")).agg(F.count(F.lit(1)).alias("n_chunks"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("files"))
+    dom = F.when(F.col("n_regionkey") == 0, "de").when(F.col("n_regionkey") == 1, "fr").otherwise("none")
+    uploads = t("nation").select(dom.alias("domain"), F.col("n_name").alias("filename"), (F.col("n_nationkey") % 5).alias("upload_timestamp"))
+    d = t("documents").select(F.col("lang").alias("domain"), F.col("source").alias("name"))
+    domains = t("documents").sparkSession.createDataFrame([("de",), ("fr",), ("xx",)], "domain string")
+    k = P.knowledge_base(d, d, uploads, domains)
+    return k.select("domain", F.col("chunk_count").alias("n_chunks"), F.array_join("kb_files", "|").alias("files"), F.array_join("uploaded_docs", "|").alias("uploads"))
 
 
-both("k7_recent_sessions", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20", "orders")
-both("k8_transcript", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations ", "conversations")
+@query("k7_recent_sessions", "SELECT o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) <= 20")
+def _(t):
+    return store.recent(t("orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 20)
+
+
+@query("k8_transcript", "SELECT conv_id, turn, role, (SELECT count(*) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn)::INTEGER AS n FROM conversations a")
+def _(t):
+    return store.transcript(t("conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "n")
 
 
 @query("k9_last_user_messages", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n <= 4")
@@ -439,7 +545,9 @@ def _(t):
     return t("benchmark").select("item_id", E.head(F.col("text")).alias("head"))
 
 
-both("u1_union_all", "SELECT doc_id AS id, lang AS x FROM documents UNION ALL SELECT page_id, url FROM pages ", "documents", "pages")
+@query("u1_union_all", "SELECT doc_id AS id, lang AS x FROM documents UNION ALL SELECT page_id, url FROM pages")
+def _(t):
+    return store.both_lists(t("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("x")), t("pages").select("page_id", "url"))
 
 
 @query("u2_token_sets", f"SELECT item_id, len(list_intersect(a, b))::INTEGER AS both_, len(list_distinct(list_concat(a, b)))::INTEGER AS any_ FROM (SELECT item_id, list_distinct({tok('b.text')}) AS a, list_distinct({tok('d.text')}) AS b FROM benchmark b JOIN documents d ON doc_id = item_id)")
@@ -477,7 +585,7 @@ def _(t):
 
 @query("m5_overlap", f"WITH {CH}, {BM}, x AS (SELECT query_id, domain, chunk_id, b.text AS query, ch.text FROM bm JOIN ch USING (domain, chunk_id) JOIN benchmark b ON item_id = query_id WHERE rank <= 3), y AS (SELECT *, list_distinct({tok('query')}) AS q, list_distinct({tok('text')}) AS c FROM x) SELECT query_id, domain, chunk_id, round({OVERLAP}, 6) AS overlap FROM y")
 def _(t):
-    c = chunks(t)
+    c = indexed(t)
     top = S.bm25(benchmark(t), c, 3).join(c.select("domain", "chunk_id", "text"), ["domain", "chunk_id"]).join(S.small(benchmark(t)), "query_id")
     return top.select("query_id", "domain", "chunk_id", F.round(S.overlap(F.col("query"), F.col("text")), 6).alias("overlap"))
 
@@ -493,18 +601,33 @@ _reranked("m6_rerank_low_threshold", 0.05)
 _reranked("m7_study_rerank", -5.0)
 
 
-@query("f3_soft_filter", f"WITH {CH}, {BM}, x AS (SELECT query_id, b.domain, chunk_id, source_file, contains(source_file, 'src1') AND query_id % 2 = 0 AS m FROM (SELECT * FROM bm WHERE rank <= 8) b JOIN ch USING (domain, chunk_id)) SELECT query_id, domain, chunk_id FROM (SELECT *, bool_or(m) OVER (PARTITION BY query_id) AS a FROM x) WHERE m OR NOT a")
+def _arms(asks: str, fits: str, keep: str) -> str:
+    """Both arms, filtered by file and ranked again, fused."""
+    arms = f"""fc AS (SELECT query_id, domain, chunk_id, score, rank, 's' AS arm FROM sem UNION ALL SELECT query_id, domain, chunk_id, score, rank, 'k' FROM bm),
+fm AS (SELECT fc.*, {asks} AND ({fits}) AS fits FROM fc JOIN ch USING (domain, chunk_id) WHERE rank <= CASE WHEN {asks} THEN 72 ELSE 24 END),
+fs AS (SELECT *, bool_or(fits) OVER (PARTITION BY query_id, domain) AS any_fits FROM fm),
+fr AS (SELECT arm, query_id, domain, chunk_id, score, row_number() OVER (PARTITION BY arm, query_id, domain ORDER BY rank) AS rank FROM fs WHERE {keep})"""
+    fused = FUSED.replace("FROM sem WHERE rank <= 24", "FROM fr WHERE arm = 's'").replace("FROM bm WHERE rank <= 24", "FROM fr WHERE arm = 'k'")
+    return f"WITH {CH}, {BM}, {SEM}, {arms}, {fused} SELECT query_id, domain, chunk_id, semantic_score, bm25_score, rrf, rank FROM hits"
+
+
+def _filtered(t, names, strict):
+    ch = indexed(t)
+    qv, cv = vectors(t, ch)
+    q = benchmark(t)
+    return S.hybrid(q, qv, ch, cv, files=q.select("query_id", names.alias("names")), strict=strict).select("query_id", "domain", "chunk_id", "semantic_score", "bm25_score", "rrf", "rank")
+
+
+@query("f3_soft_filter", _arms("query_id % 3 > 0", "contains(source_file, CASE WHEN query_id % 3 = 1 THEN 'src1/' ELSE 'none' END)", "fits OR NOT any_fits"))
 def _(t):
-    c = chunks(t)
-    top = S.bm25(benchmark(t), c, 8).join(c.select("domain", "chunk_id", "source_file"), ["domain", "chunk_id"])
-    return S.file_filter(top, F.array(F.when(F.col("query_id") % 2 == 0, "src1").otherwise("none"))).select("query_id", "domain", "chunk_id")
+    i = F.col("query_id") % 3
+    return _filtered(t, F.when(i == 1, F.array(F.lit("src1/"))).when(i == 2, F.array(F.lit("none"))), False)
 
 
-@query("f4_strict_filter", f"WITH {CH}, {BM} SELECT query_id, domain, chunk_id FROM bm JOIN ch USING (domain, chunk_id) WHERE rank <= 8 AND (contains(source_file, 'src1/') OR contains(source_file, 'src2/'))")
+@query("f4_strict_filter", _arms("query_id % 3 > 0", "contains(source_file, CASE WHEN query_id % 3 = 1 THEN 'src1/' ELSE 'none' END) OR (query_id % 3 = 1 AND contains(source_file, 'src2/'))", "fits OR NOT query_id % 3 > 0"))
 def _(t):
-    c = chunks(t)
-    top = S.bm25(benchmark(t), c, 8).join(c.select("domain", "chunk_id", "source_file"), ["domain", "chunk_id"])
-    return S.file_filter(top, F.array(F.lit("src1/"), F.lit("src2/")), strict=True).select("query_id", "domain", "chunk_id")
+    i = F.col("query_id") % 3
+    return _filtered(t, F.when(i == 1, F.array(F.lit("src1/"), F.lit("src2/"))).when(i == 2, F.array(F.lit("none"))).otherwise(F.array().cast("array<string>")), True)
 
 
 _RRL = f"{CH}, {BM}, {SEM}, {FUSED}, {RR.replace('$T', '0.05')}"
@@ -528,6 +651,12 @@ def _(t):
     return S.prompt_context(S.rerank(hits(t), threshold=0.05)).select("query_id", "domain", F.md5("context").alias("context_md5"))
 
 
+@query("t27_empty_context", f"WITH {_RRL} SELECT i.item_id AS query_id, d.domain, max(rr.chunk_id) IS NULL AS empty FROM benchmark i CROSS JOIN (VALUES ('de'), ('xx')) d(domain) LEFT JOIN rr ON rr.query_id = i.item_id AND rr.domain = d.domain GROUP BY ALL")
+def _(t):
+    asked = benchmark(t).select("query_id", F.explode(F.array(F.lit("de"), F.lit("xx"))).alias("domain"))
+    return S.prompt_context(S.rerank(hits(t), threshold=0.05), asked).select("query_id", "domain", (F.col("context") == S.NO_CONTEXT).alias("empty"))
+
+
 # ---------------------------------------------------------------- routing and answers
 
 _LOW = "lower(text)"
@@ -579,9 +708,119 @@ def _(t):
     return A.synthesize(a, benchmark(t)).select("query_id", F.md5("answer").alias("answer_md5"))
 
 
-both("c11_skipped_verifier", "SELECT item_id, TRUE AS is_satisfactory, 1.0D AS quality, 1.0D AS coverage, 1.0D AS grounding FROM benchmark ", "benchmark")
-ORACLE_SQL["c11_skipped_verifier"] = "SELECT item_id, TRUE AS is_satisfactory, 1.0::DOUBLE AS quality, 1.0::DOUBLE AS coverage, 1.0::DOUBLE AS grounding FROM benchmark"
-QUERIES["c11_skipped_verifier"] = lambda spark, sf: table(spark, sf, "benchmark").select("item_id", A.skipped_verdict().alias("v")).select("item_id", "v.is_satisfactory", "v.quality", "v.coverage", "v.grounding")
+@query("c2_router_replies", f"""SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'de,en' WHEN 2 THEN '' ELSE array_to_string(d, ',') END AS domains, CASE item_id % 4 WHEN 0 THEN 'multi' WHEN 1 THEN 'single' WHEN 2 THEN 'single' ELSE CASE WHEN len(d) > 1 THEN 'multi' ELSE 'single' END END AS intent_type,
+ CASE WHEN item_id % 4 IN (0, 1) THEN TRUE WHEN item_id % 4 = 2 THEN FALSE ELSE len(d) > 0 END AS is_related FROM (SELECT *, {_DOMS} AS d FROM benchmark)""")
+def _(t):
+    i = F.col("query_id") % 8
+    said = F.when(i % 4 == 0, '{"intent_type":"multi","domains":["DE","en","XX"]}').when(i % 4 == 1, '```json\n{"intent_type":"odd","domains":["nowhere"]}\n```').when(i % 4 == 2, '{"domains":[],"is_course_related":false}').when(i == 3, "no json here")
+    return R.route_by(benchmark(t), KEYWORDS, said).select("query_id", F.array_join("domains", ",").alias("domains"), "intent_type", "is_related")
+
+
+@query("c5_splitter_replies", f"""WITH q AS (SELECT item_id AS query_id, text, {_DOMS} AS d, {_GUESS} AS g, list_filter({_SENT.format('text')}, lambda x: trim(x) <> '') AS s FROM benchmark),
+m AS (SELECT * FROM q WHERE len(d) > 1)
+SELECT query_id, 0 AS pos, text AS question, coalesce(d[1], g) AS domain FROM q WHERE len(d) <= 1
+UNION ALL SELECT query_id, 0, 'what about it', 'de' FROM m WHERE query_id % 3 = 0 UNION ALL SELECT query_id, 1, 'les eaux', 'fr' FROM m WHERE query_id % 3 = 0
+UNION ALL SELECT query_id, (unnest(range(len(s))))::INTEGER, trim(unnest(s)), unnest(list_transform(range(len(s)), lambda i: d[i % len(d) + 1])) FROM m WHERE query_id % 3 > 0 AND len(s) > 1
+UNION ALL SELECT query_id, 0, text, d[1] FROM m WHERE query_id % 3 > 0 AND len(s) <= 1""")
+def _(t):
+    i = F.col("query_id") % 3
+    said = F.when(i == 0, '{"sub_questions":[{"question":" what about it ","domain":"de"},{"question":"les eaux","domain":"MARS"},{"question":" ","domain":"en"}]}').when(i == 1, '{"sub_questions":[]}')
+    return R.split_by(R.route(benchmark(t), KEYWORDS), KEYWORDS, said)
+
+
+@query("c11_verifier_replies", """SELECT item_id, CASE item_id % 4 WHEN 0 THEN FALSE ELSE TRUE END AS is_satisfactory, CASE item_id % 4 WHEN 0 THEN 0.4 WHEN 1 THEN 1.0 ELSE 0.7 END::DOUBLE AS quality, CASE item_id % 4 WHEN 0 THEN 0.7 WHEN 1 THEN 0.7 ELSE 1.0 END::DOUBLE AS coverage,
+ CASE item_id % 4 WHEN 0 THEN 'better' END AS revised FROM benchmark""")
+def _(t):
+    i = F.col("item_id") % 4
+    said = F.when(i == 0, '{"is_satisfactory":false,"quality_score":0.4,"revised_answer":"better"}').when(i == 1, '{"quality_score":3,"revised_answer":"unused"}').when(i == 2, "I think it is fine")
+    return t("benchmark").select("item_id", A.verify(said).alias("v")).select("item_id", "v.is_satisfactory", "v.quality", "v.coverage", F.col("v.revised_answer").alias("revised"))
+
+
+@query("c14_client_fallback", "SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN 'big-a' WHEN 3 THEN NULL ELSE 'other-b' END AS model, CASE WHEN item_id % 4 = 3 THEN 'Connection reset' END AS error, CASE WHEN item_id % 4 < 3 THEN length(text) END::INTEGER AS n, TRUE AS timed FROM benchmark")
+def _(t):
+    prompts = benchmark(t).select("query_id", F.concat((F.col("query_id") % 4).cast("string"), "query").alias("prompt"))
+    r = C.replies(prompts, ["big-a", "other-b"], {"x": _first, "y": _second}, {"big": "x"}, "y", sleep=_no_wait)
+    return r.select("query_id", "model", "error", (F.length("reply") - 1).alias("n"), (F.col("latency_ms") >= 0).alias("timed"))
+
+
+def _first(model: str, prompt: str) -> str:
+    """A stand-in for a model: rate limits, daily limits and failures by the prompt."""
+    errors = {"1": "429 retry in 0s", "2": "429 perday", "3": "boom"}
+    if prompt[0] in errors:
+        raise RuntimeError(errors[prompt[0]])
+    return prompt
+
+
+def _second(model: str, prompt: str) -> str:
+    if prompt[0] == "3":
+        raise RuntimeError("Connection reset")
+    return prompt
+
+
+def _no_wait(seconds: float) -> None:
+    pass
+
+
+@query("c16_run_all", f"""WITH q AS (SELECT item_id, {_DOMS} AS d, CASE WHEN item_id % 2 = 0 THEN 'any' ELSE 'multi' END AS ei FROM benchmark)
+SELECT item_id AS query_id, item_id % 5 > 0 AND (ei = 'any' OR len(d) > 1) AS intent_ok, item_id % 5 > 0 AND list_contains(d, 'en') AS domain_ok, item_id % 5 > 0 AND (ei = 'any' OR len(d) > 1) AND list_contains(d, 'en') AS passed, CASE WHEN item_id % 10 = 0 THEN 'no result' WHEN item_id % 5 = 0 THEN 'broken' END AS error FROM q""")
+def _(t):
+    cases = benchmark(t).withColumn("expected_intent", F.when(F.col("query_id") % 2 == 0, "any").otherwise("multi")).withColumn("expected", F.array(F.lit("en")))
+
+    def pipeline(q):
+        r = R.route(q.where("query_id % 10 <> 0"), KEYWORDS)
+        error = F.when(F.col("query_id") % 5 == 0, "broken")
+        return r.select("query_id", F.col("domains").alias("actual"), F.col("intent_type").alias("intent"), "needs_clarification", "is_related", error.alias("error"))
+
+    return E.run_all(cases, pipeline).select("query_id", "intent_ok", "domain_ok", "passed", "error")
+
+
+_DA = f"""{_RRL}, ad AS (SELECT item_id AS query_id, a.domain, string_agg(concat(array_to_string(({_SENT.format('rr.text')})[1:2], ' '), ' [Source ', rerank_rank, ']'), ' ' ORDER BY rerank_rank) AS answer, count(chunk_id)::INTEGER AS n_used
+ FROM (SELECT item_id, unnest(['de', 'xx', 'fr'][1:item_id % 4]) AS domain FROM benchmark) a LEFT JOIN (SELECT * FROM rr WHERE query_id % 5 > 0) rr ON rr.query_id = item_id AND rr.domain = a.domain GROUP BY item_id, a.domain)"""
+
+
+def _asked_answers(t) -> DataFrame:
+    names = F.slice(F.array(F.lit("de"), F.lit("xx"), F.lit("fr")), 1, (F.col("query_id") % 4).cast("int"))
+    asked = benchmark(t).select("query_id", F.explode(names).alias("domain"), F.col("query").alias("question"))
+    evidence = S.rerank(hits(t), threshold=0.05).where("query_id % 5 > 0")
+    return A.domain_answers(evidence, asked=asked, unaided=lambda q: F.concat(F.lit("unaided "), F.length(q).cast("string")))
+
+
+@query("c9_unaided_answers", f"WITH {_DA} SELECT query_id, domain, CASE WHEN n_used > 0 THEN md5(answer) ELSE md5(concat('unaided ', length(b.text))) END AS answer_md5, n_used, n_used = 0 AS no_evidence FROM ad JOIN benchmark b ON item_id = query_id")
+def _(t):
+    return _asked_answers(t).select("query_id", "domain", F.md5("answer").alias("answer_md5"), "n_used", "no_evidence")
+
+
+@query("c10_no_evidence_dropped", f"""WITH {_DA} SELECT item_id AS query_id, md5(CASE WHEN count(*) FILTER (n_used > 0) = 0 THEN '{A.NO_EVIDENCE}' WHEN count(*) FILTER (n_used > 0) = 1 THEN max(answer) FILTER (n_used > 0) ELSE string_agg(concat('**', domain, '**', chr(10), answer), chr(10) || chr(10) ORDER BY domain) FILTER (n_used > 0) END) AS answer_md5
+ FROM benchmark LEFT JOIN ad ON query_id = item_id GROUP BY item_id""")
+def _(t):
+    return A.synthesize(_asked_answers(t), benchmark(t)).select("query_id", F.md5("answer").alias("answer_md5"))
+
+
+@query("c17_pipeline", f"""WITH {_RRL.replace('0.05', '0.2')}, rt AS (SELECT item_id AS query_id, text, {_DOMS} AS d, list_filter({_SENT.format('text')}, lambda x: trim(x) <> '') AS s FROM benchmark),
+asked AS (SELECT DISTINCT query_id, domain FROM (SELECT query_id, unnest(CASE WHEN len(d) > 1 AND len(s) > 1 THEN list_transform(range(len(s)), lambda i: d[i % len(d) + 1]) ELSE [d[1]] END) AS domain FROM rt WHERE len(d) > 0)),
+n AS (SELECT a.query_id, a.domain, count(chunk_id) AS n_used FROM asked a LEFT JOIN rr ON rr.query_id = a.query_id AND rr.domain = a.domain GROUP BY ALL)
+SELECT rt.query_id, CASE WHEN len(d) > 1 THEN 'multi' ELSE 'single' END AS intent_type, array_to_string(d, ',') AS domains, coalesce(sum(n_used), 0)::BIGINT AS n_used, len(d) = 0 AS early FROM rt LEFT JOIN n USING (query_id) GROUP BY ALL""")
+def _(t):
+    from quarry.plans import hybrid
+
+    ch = indexed(t)
+    qv, cv = vectors(t, ch)
+    return hybrid.answer(benchmark(t), qv, ch, cv, KEYWORDS).select("query_id", "intent_type", F.array_join("domains", ",").alias("domains"), "n_used", "early")
+
+
+@query("c18_study_pipeline", f"""WITH {CH.replace('lang AS domain', chr(39) + 'S' + chr(39) + ' AS domain')}, {BM}, {SEM}, fc AS (SELECT query_id, domain, chunk_id, score, rank, 's' AS arm FROM sem UNION ALL SELECT query_id, domain, chunk_id, score, rank, 'k' FROM bm),
+fm AS (SELECT fc.*, query_id % 3 = 1 AS asks, (query_id % 3 = 1 AND contains(source_file, CASE WHEN query_id % 2 = 0 THEN 'src2/' ELSE 'none' END)) AS fits FROM fc JOIN ch USING (domain, chunk_id)),
+fr AS (SELECT arm, query_id, domain, chunk_id, score, row_number() OVER (PARTITION BY arm, query_id, domain ORDER BY rank) AS rank FROM fm WHERE rank <= CASE WHEN asks THEN 144 ELSE 48 END AND (fits OR NOT asks)),
+{FUSED.replace("FROM sem WHERE rank <= 24", "FROM fr WHERE arm = 's'").replace("FROM bm WHERE rank <= 24", "FROM fr WHERE arm = 'k'")}
+SELECT item_id AS query_id, count(chunk_id)::INTEGER AS n_used, CASE WHEN count(chunk_id) > 0 THEN NULL WHEN item_id % 3 = 1 THEN 'filtered' ELSE 'irrelevant' END AS stopped, CASE WHEN count(chunk_id) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS quality FROM benchmark LEFT JOIN hits ON query_id = item_id GROUP BY item_id""")
+def _(t):
+    from quarry.plans import hybrid
+
+    ch = S.index(T.chunks(scratch.spread(files(t).withColumn("domain", F.lit("S")))))
+    qv, cv = vectors(t, ch)
+    q = benchmark(t)
+    names = F.when(F.col("query_id") % 3 == 1, F.array(F.when(F.col("query_id") % 2 == 0, "src2/").otherwise("none")))
+    return hybrid.study(q, qv, ch, cv, files=q.select("query_id", names.alias("names"))).select("query_id", "n_used", "stopped", "quality")
 
 
 @query("c12_c13_final_answer", "SELECT doc_id, CASE WHEN quality = 0 THEN concat(repeat('better ', 9), toxic) ELSE 'short' END AS answer, concat('x', chr(10), chr(10), 'References', chr(10), '1. Doc ', doc_id) AS study FROM labels")
@@ -618,6 +857,22 @@ def _(t):
     return e.join(n, "vec_id").select("vec_id", F.greatest(F.lit(0.0), F.round(S.dot(F.col("embedding"), F.col("other")), 3)).alias("relevance"))
 
 
+@query("m10_relevance_of_heads", "SELECT v.vec_id, CASE WHEN v.vec_id % 5 = 0 THEN 0.0 ELSE greatest(0, round(list_sum(list_transform(list_zip(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), lambda x: x[1] * x[2])), 3)) END AS relevance FROM embeddings v JOIN embeddings w ON w.vec_id = v.vec_id + 2")
+def _(t):
+    e = t("embeddings").select("vec_id", F.when(F.col("vec_id") % 5 > 0, F.col("embedding")).alias("vector"))
+    n = t("embeddings").select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("head"))
+    return e.join(n, "vec_id").select("vec_id", E.relevance(F.col("vector"), F.col("head")).alias("relevance"))
+
+
+@query("m11_faithfulness", """SELECT item_id, CASE WHEN item_id % 6 = 0 THEN 1.0 WHEN item_id % 6 = 1 THEN 0.7 WHEN item_id % 6 = 2 THEN 1.0 WHEN item_id % 6 = 3 THEN 0.9 ELSE 0.85 END::DOUBLE AS faithfulness, md5(left(text, 2000)) AS answer_md5 FROM benchmark""")
+def _(t):
+    i = F.col("item_id") % 6
+    said = F.when(i == 1, '{"score": 7}').when(i == 2, 'so: {"score": 12}').when(i == 3, '{"reasoning": "none"}')
+    held = F.when(i == 0, F.array().cast("array<string>")).otherwise(F.array("text"))
+    answer, _ = E.judged_excerpt(F.col("text"), held)
+    return t("benchmark").select("item_id", E.faithfulness(F.col("text"), held, said).alias("faithfulness"), F.md5(answer).alias("answer_md5"))
+
+
 @query("m11_faithfulness_offline", f"SELECT item_id, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b))::DOUBLE / len(a), 3) ELSE 1.0 END AS faithfulness FROM (SELECT item_id, list_distinct({tok('b.text')}) AS a, {tok('d.text')} AS b FROM benchmark b JOIN documents d ON doc_id = item_id)")
 def _(t):
     j = t("benchmark").join(t("documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("other")), "item_id")
@@ -645,6 +900,6 @@ SELECT query_id, domain, chunk_id, semantic_score, bm25_score, rrf, rerank_score
 def _(t):
     from quarry.plans import hybrid
 
-    ch = chunks(t)
+    ch = indexed(t)
     qv, cv = vectors(t, ch)
     return hybrid.evidence(benchmark(t), qv, ch, cv, KEYWORDS).select("query_id", "domain", "chunk_id", "semantic_score", "bm25_score", "rrf", "rerank_score", "rerank_rank")

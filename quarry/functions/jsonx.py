@@ -33,6 +33,11 @@ def route(text: Column, domains: list[str]) -> Column:
     )
 
 
+def parsed(text: Column) -> Column:
+    """The reply was an object with some field."""
+    return F.coalesce(~salvage(text).isin("{}", ""), F.lit(False))
+
+
 def split_questions(text: Column) -> Column:
     j = F.from_json(salvage(text), SPLIT)["sub_questions"]
     named = F.transform(j, lambda q: F.struct(F.trim(q["question"]).alias("question"), F.upper(F.trim(q["domain"])).alias("domain")))

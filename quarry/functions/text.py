@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype_string
 
 TOKEN = r"[\p{L}\p{N}_]+"
 WHITE = r"[\s\p{Z}\x85]+"
@@ -25,7 +26,8 @@ def clean(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(text, CONTROL, " "), WHITE), lambda w: w != "")
+    """Runs between white space; control characters count as such."""
+    return F.array_remove(F.split(text, f"[{WHITE[1:-2]}{CONTROL[1:-1]}]+"), "")
 
 
 def sentences(text: Column) -> Column:
@@ -67,6 +69,21 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def exact_round(x: Column, digits: int) -> Column:
+    """Rounds the exact binary value, halves to even. ``round`` goes by the shortest
+    decimal that names the value, which differs where that ends in a 5."""
+    whole = F.floor(F.abs(x))
+    # The fraction times 2**62 is a whole number for all but tiny values.
+    unit = 1 << 62
+    scaled = ((F.abs(x) - whole) * F.lit(float(unit))).cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(10,0)")
+    base = F.call_function("div", scaled, F.lit(unit).cast("decimal(20,0)"))
+    rest = scaled - base.cast("decimal(30,0)") * F.lit(unit).cast("decimal(20,0)")
+    half = F.lit(unit // 2).cast("decimal(20,0)")
+    up = (rest > half) | ((rest == half) & (F.pmod(base, F.lit(2)) == 1))
+    units = whole * 10**digits + base + up.cast("bigint")
+    return F.signum(x) * units / F.lit(float(10**digits))
+
+
 def or_one(x: Column) -> Column:
     """A divisor: 1 for null or 0."""
     return F.coalesce(F.nullif(x, F.lit(0.0)), F.lit(1.0))
@@ -80,6 +97,14 @@ def band(x: Column, high: float = 0.7, low: float = 0.4) -> Column:
     return F.when(x >= high, "good").when(x >= low, "fair").otherwise("poor")
 
 
+# What counts as high and as low on each page.
+BANDS = {"answer": (0.70, 0.40), "statistic": (0.80, 0.65), "relevance": (0.65, 0.45), "card": (0.75, 0.50), "category": (1.0, 0.5)}
+
+
+def band_of(page: str, x: Column) -> Column:
+    return band(x, *BANDS[page])
+
+
 def error_class(text: Column) -> Column:
     """What an error text is about; the first that matches."""
 
@@ -104,17 +129,55 @@ def starts_with_any(text: Column, prefixes: list[str]) -> Column:
     return out
 
 
+def struct_of(**fields) -> StructType:
+    """A schema of names with types or type names."""
+    return StructType([StructField(n, t if isinstance(t, DataType) else _parse_datatype_string(t)) for n, t in fields.items()])
+
+
+def history(messages: DataFrame, group: str, order: str, n: int, line: Column) -> DataFrame:
+    """(group, history): the last ``n`` messages of each group as lines, oldest
+    first; empty lines are left out."""
+    w = Window.partitionBy(group).orderBy(F.desc(order))
+    last = messages.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line"))))
+    return last.groupBy(group).agg(F.array_join(F.filter(F.transform(lines, lambda x: x["line"]), lambda x: x != ""), "\n").alias("history"))
+
+
+def router_history(messages: DataFrame, group: str, order: str) -> DataFrame:
+    """The last three turns, 200 characters of each, under their roles."""
+    line = F.concat(F.upper(F.substring("role", 1, 1)), F.lower(F.substring("role", 2, 100)), F.lit(": "), F.substring("text", 1, 200))
+    return history(messages, group, order, 3, line)
+
+
+# The lines around a generator's history.
+HISTORY_HEAD, HISTORY_FOOT = "\n--- CONVERSATION HISTORY (for context) ---", "--- END HISTORY ---\n"
+
+
+def generator_history(messages: DataFrame, group: str, order: str) -> DataFrame:
+    """The last six messages with texts, whole, between a head and a foot line."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), rf"^{WHITE}|{WHITE}$", "")
+    line = F.when(said != "", F.concat(F.when(F.col("role") == "user", "Student").otherwise("Assistant"), F.lit(": "), said)).otherwise("")
+    made = history(messages, group, order, 6, line)
+    inner = F.when(F.col("history") != "", F.concat("history", F.lit("\n"))).otherwise("")
+    return made.withColumn("history", F.concat(F.lit(HISTORY_HEAD + "\n"), inner, F.lit(HISTORY_FOOT)))
+
+
 def chunks(files: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Windows of ``size`` words every ``size - overlap`` from (domain, source_file,
     page, text, ...), numbered through each file; those of 20 characters or less
-    are dropped. chunk_id is domain_stem_number."""
+    are dropped. chunk_id is domain_stem_number. A file's pages are brought
+    together before they are cut, so that overlaps are not shuffled."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
     step = size - overlap
-    w = files.withColumn("_w", words(F.col("text"))).where(F.size("_w") > 0)
+    w = files.withColumn("_w", words(F.col("text"))).drop("text")
     starts = F.sequence(F.lit(0), F.ceil(F.greatest(F.size("_w") - size, F.lit(0)) / F.lit(float(step))).cast("int"))
-    w = w.withColumn("_i", F.explode(starts)).withColumn("text", F.array_join(F.slice("_w", F.col("_i") * step + 1, F.lit(size)), " ")).drop("_w")
-    w = w.where(F.length("text") > MIN_CHARS)
-    number = F.row_number().over(Window.partitionBy("domain", "source_file").orderBy(F.coalesce("page", F.lit(0)), "_i")) - 1
-    w = w.withColumn("chunk_index", number.cast("int")).drop("_i")
+    cut = F.transform(starts, lambda i: F.array_join(F.slice("_w", i * step + 1, F.lit(size)), " "))
+    w = w.withColumn("_t", F.filter(cut, lambda x: F.length(x) > MIN_CHARS)).drop("_w")
+    # A file's pages are one key, as its numbers run through it; only pages' counts are summed.
+    before = Window.partitionBy("domain", "source_file").orderBy(F.coalesce("page", F.lit(0))).rowsBetween(Window.unboundedPreceding, -1)
+    w = w.withColumn("_n", F.coalesce(F.sum(F.size("_t")).over(before), F.lit(0)))
+    w = w.select(*[c for c in files.columns if c != "text"], "_n", F.posexplode("_t").alias("_i", "text"))
+    w = w.withColumn("chunk_index", (F.col("_n") + F.col("_i")).cast("int")).drop("_n", "_i")
+    w = w.select(*files.columns, "chunk_index")
     return w.withColumn("chunk_id", F.format_string("%s_%s_%04d", "domain", stem(F.col("source_file")), "chunk_index"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import jsonx
 from quarry.functions import text as T
+from quarry.operators.search import dot
 
 
 def hit_rate(keywords: Column, texts: Column) -> Column:
@@ -60,3 +62,48 @@ def containment(answer: Column, evidence: Column) -> Column:
     tokens that the evidence holds (1 for an empty answer)."""
     a = F.array_distinct(T.tokens(answer))
     return F.when(F.size(a) > 0, F.round(F.size(F.array_intersect(a, T.tokens(evidence))) / F.size(a), 3)).otherwise(F.lit(1.0))
+
+
+def faithfulness(answer: Column, texts: Column, reply: Column) -> Column:
+    """A judge's score from 0 to 10 in ``reply``, as a share: 1 where there is
+    nothing to check, 0.9 if the reply names no score, 0.85 if it failed (null)."""
+    nothing = (F.coalesce(F.size(texts), F.lit(0)) == 0) | (F.trim(F.coalesce(answer, F.lit(""))) == "")
+    said = F.from_json(jsonx.salvage(reply), "score double")["score"]
+    score = F.greatest(F.lit(0), F.least(F.lit(10), F.coalesce(said, F.lit(9.0)).cast("int")))
+    return F.when(nothing, F.lit(1.0)).when(reply.isNull(), F.lit(0.85)).otherwise(F.round(score / 10, 3))
+
+
+def judged_excerpt(answer: Column, texts: Column) -> tuple[Column, Column]:
+    """What a judge reads: 2000 characters of the answer and 1500 of each of the
+    first eight texts."""
+    return F.substring(answer, 1, 2000), F.array_join(F.transform(F.slice(texts, 1, 8), lambda x: F.substring(x, 1, 1500)), "\n---\n")
+
+
+def relevance(query_vector: Column, head_vector: Column) -> Column:
+    """Cosine of the question and the answer's head (see ``head``), at least 0; 0
+    where either could not be embedded."""
+    same = F.size(query_vector) == F.size(head_vector)
+    return F.coalesce(F.when(same, F.greatest(F.lit(0.0), F.round(dot(query_vector, head_vector), 3))), F.lit(0.0))
+
+
+METRICS = ["quality_score", "coverage_score", "grounding_score", "retrieval_hit_rate", "citation_accuracy", "answer_relevance", "faithfulness", "latency_ms"]
+
+
+def by_model(rows: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
+    """Means of each model's rows with a positive quality score; a metric counts
+    only its numbers. Also how many rows there are and how many were revised."""
+    good = rows.where(F.col("quality_score").try_cast("double") > 0)
+    means = [F.round(F.avg(F.col(m).try_cast("double")), 3).alias(m) for m in metrics]
+    return good.groupBy("model").agg(F.count(F.lit(1)).alias("n"), *means, F.count_if(F.col("revised")).alias("revised"))
+
+
+def run_all(cases: DataFrame, pipeline) -> DataFrame:
+    """All cases through ``pipeline`` (questions in, one row of results a question
+    out) in one plan. A case without a result, or with an error, has failed."""
+    got = pipeline(cases.select("query_id", "query"))
+    both = cases.join(got, "query_id", "left")
+    error = F.col("error") if "error" in got.columns else F.lit(None).cast("string")
+    verdict = case_verdict(both.withColumn("check_ok", F.lit(True)))
+    fine = error.isNull() & F.col("actual").isNotNull()
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)) & fine
+    return verdict.select(*cases.columns, yes("intent_ok").alias("intent_ok"), yes("domain_ok").alias("domain_ok"), yes("passed").alias("passed"), F.when(fine, None).otherwise(F.coalesce(error, F.lit("no result"))).alias("error")).orderBy("query_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.sources import scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SEMANTIC, KEYWORD, RRF_K = 0.60, 0.40, 60
@@ -14,6 +17,8 @@ BONUS, BONUS_CAP, BONUS_CHARS = 0.05, 0.20, 4
 TOP_K, RERANK_K, THRESHOLD, OVERFETCH = 8, 5, 0.20, 3
 #: Rows of a query side that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Queries of a block: their vectors are collected and broadcast.
+QUERY_BLOCK = 2000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -21,32 +26,48 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def index(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with their tokens and number of tokens (dl), stored: each text is
+    made and tokenised once, and every reader takes only the columns it needs."""
+    if {"tokens", "dl"} <= set(chunks.columns):
+        return chunks
+    made = chunks.withColumn("tokens", T.tokens(F.col("text")))
+    return scratch.stored(made.withColumn("dl", F.size("tokens")), "index")
+
+
 def bm25_stats(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (domain, chunk_id, text): per domain n and avgdl; per domain and token
-    df and idf. A negative idf becomes EPSILON times the domain's mean idf."""
-    t = chunks.select("domain", T.tokens(F.col("text")).alias("t"))
-    corpus = t.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = t.select("domain", F.explode(F.array_distinct("t")).alias("token")).groupBy("domain", "token").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(small(corpus), "domain").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """Of (domain, chunk_id, text) or an index of it: per domain n and avgdl; per
+    domain and token df and idf. A negative idf becomes EPSILON times the domain's
+    mean idf."""
+    t = index(chunks)
+    corpus = t.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = t.select("domain", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("domain", "token").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.join(corpus, "domain").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = scratch.stored(raw.select("domain", "token", "df", "raw"), "idf")
     mean = raw.groupBy("domain").agg(F.avg("raw").alias("mean"))
-    idf = raw.join(small(mean), "domain").select("domain", "token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    idf = raw.join(mean, "domain").select("domain", "token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return corpus, idf
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int | None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int | None, wanted: DataFrame | None = None) -> DataFrame:
     """(query_id, domain, chunk_id, score, rank) for (query_id, query): the k best
-    of each domain with a positive score. Only chunks' words that some query
-    has are exploded past the scan, so stop words of no query move nowhere."""
+    of each domain with a positive score; with ``wanted`` (query_id, domain) only
+    of these pairs. Tokens that no query has are dropped before any shuffle."""
+    chunks = index(chunks)
     corpus, idf = bm25_stats(chunks)
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qf"))
-    wanted = small(asked.select("token").distinct())
-    words = chunks.select("domain", "chunk_id", T.tokens(F.col("text")).alias("t")).select("domain", "chunk_id", F.size("t").alias("dl"), F.explode("t").alias("token"))
-    tf = words.join(wanted, "token", "left_semi").groupBy("domain", "chunk_id", "dl", "token").agg(F.count(F.lit(1)).alias("f"))
-    idf = idf.join(wanted, "token", "left_semi").select("domain", "token", "idf")
-    part = tf.join(idf, ["domain", "token"]).join(small(corpus), "domain")
+    if wanted is not None:
+        asked = asked.join(wanted, "query_id")
+    on = ["token"] if wanted is None else ["domain", "token"]
+    # What a question's token is worth in each domain: the only side that is broadcast.
+    worth = scratch.stored(asked.join(idf, on).join(corpus, "domain").select("domain", "token", "query_id", "qf", "idf", "avgdl"), "asked")
+    some = small(worth.select("domain", "token").distinct())
+    words = chunks.select("domain", "chunk_id", "dl", F.explode("tokens").alias("token")).join(some, ["domain", "token"], "left_semi")
+    # Dealt by chunk once: neither the counts nor the scores are shuffled again.
+    tf = words.repartition("domain", "chunk_id").groupBy("domain", "chunk_id", "dl", "token").agg(F.count(F.lit(1)).alias("f"))
     gain = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    part = part.select("domain", "chunk_id", "token", gain.alias("gain"))
-    scores = part.join(small(asked), "token").groupBy("query_id", "domain", "chunk_id").agg(F.round(F.sum(F.col("qf") * F.col("gain")), 6).alias("score")).where("score > 0")
+    part = tf.join(small(worth), ["domain", "token"]).select("query_id", "domain", "chunk_id", (F.col("qf") * gain).alias("gain"))
+    scores = part.groupBy("query_id", "domain", "chunk_id").agg(F.round(F.sum("gain"), 6).alias("score")).where("score > 0")
     return ranked(scores, k)
 
 
@@ -60,18 +81,79 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int | None, block: int = 1000) -> DataFrame:
+def _best(ids: np.ndarray, scores: np.ndarray, k: int | None) -> np.ndarray:
+    """Places of the k highest scores, of equal ones those with the smallest ids."""
+    if k is None or len(scores) <= k:
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above, ties = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+    if len(above) + len(ties) > k:
+        ties = ties[np.argsort(ids[ties], kind="stable")[: k - len(above)]]
+    return np.concatenate([above, ties])
+
+
+def _products(held, k: int | None):
+    """Scores of each batch as one matrix product; a partition keeps the k best of
+    each query and domain."""
+
+    def run(batches):
+        asked, domains_of = held.value
+        kept: dict[tuple, tuple] = {}  # (domain, query) -> ids, scores
+        for b in batches:
+            b = b.filter(b.column("vector").is_valid())
+            if not b.num_rows:
+                continue
+            v = b.column("vector")
+            v = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            s = np.round(v @ asked.T, 6)
+            ids = np.array(b.column("chunk_id").to_pylist(), object)
+            names = np.array(["" if d is None else d for d in b.column("domain").to_pylist()], object)
+            for d in dict.fromkeys(names):
+                at = np.flatnonzero(names == d)
+                for q in range(len(asked)):
+                    if domains_of is not None and d not in domains_of[q]:
+                        continue
+                    i, x = ids[at], s[at, q]
+                    if (d, q) in kept:
+                        i, x = np.concatenate([kept[d, q][0], i]), np.concatenate([kept[d, q][1], x])
+                    top = _best(i, x, k)
+                    kept[d, q] = i[top], x[top]
+        if kept:
+            n = [len(i) for i, _ in kept.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat([q for _, q in kept], n), pa.int64()), pa.array([d for (d, _), m in zip(kept, n) for _ in range(m)], pa.string()),
+                 pa.array([x for i, _ in kept.values() for x in i], pa.string()), pa.array(np.concatenate([x for _, x in kept.values()]), pa.float64())],
+                ["q", "domain", "chunk_id", "score"],
+            )
+
+    return run
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int | None, wanted: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, domain, chunk_id, score, rank) by cosine of unit vectors: the
-    query set, in broadcast blocks, against all (domain, chunk_id, vector)."""
-    n = queries.count()
-    blocks = max(1, -(-n // block))
+    query set, in broadcast blocks of ``block``, against all (domain, chunk_id,
+    vector); with ``wanted`` (query_id, domain) only for these pairs. Rows without
+    a vector are in no result."""
+    spark = vectors.sparkSession
+    ids = queries.where("vector IS NOT NULL")
+    if wanted is not None:
+        ids = ids.join(wanted.groupBy("query_id").agg(F.collect_set("domain").alias("domains")), "query_id")
+    blocks = max(1, -(-ids.count() // block))
     found = None
     for i in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scores = vectors.join(F.broadcast(part.select("query_id", F.col("vector").alias("qv")))).select("query_id", "domain", "chunk_id", F.round(dot(F.col("qv"), F.col("vector")), 6).alias("score"))
-        part = ranked(scores, k)
-        found = part if found is None else found.unionByName(part)
-    return found
+        part = ids if blocks == 1 else ids.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        rows = part.collect()  # about ``block`` rows
+        if not rows:
+            continue
+        asked = np.array([r.vector for r in rows], float)
+        held = spark.sparkContext.broadcast((asked, None if wanted is None else [set(r.domains) for r in rows]))
+        names = spark.createDataFrame([(n, r.query_id) for n, r in enumerate(rows)], T.struct_of(q="long", query_id=queries.schema["query_id"].dataType))
+        here = vectors.select("domain", "chunk_id", "vector").mapInArrow(_products(held, k), "q long, domain string, chunk_id string, score double")
+        here = here.join(F.broadcast(names), "q").select("query_id", "domain", "chunk_id", "score")
+        found = here if found is None else found.unionByName(here)
+    if found is None:
+        found = queries.limit(0).select("query_id").join(vectors.limit(0).select("domain", "chunk_id")).withColumn("score", F.lit(0.0))
+    return ranked(found, k)
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -88,16 +170,45 @@ def fuse(semantic: DataFrame, keyword: DataFrame, k: int = TOP_K) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*key, F.coalesce("semantic_score", F.lit(0.0)).alias("semantic_score"), "bm25_score", "rrf", "rank")
 
 
+def matches(source_file: Column, names: Column) -> Column:
+    """The path holds one of ``names``."""
+    return F.coalesce(F.exists(names, lambda n: F.contains(source_file, n)), F.lit(False))
+
+
 def file_filter(hits: DataFrame, names: Column, strict: bool = False) -> DataFrame:
     """Hits in files whose path holds one of ``names``. Unless ``strict``, a query
     for which no hit does keeps all of its hits."""
-    match = F.exists(names, lambda n: F.contains(F.col("source_file"), n))
+    match = matches(F.col("source_file"), names)
     if strict:
         return hits.where(match)
     some = F.max(match).over(Window.partitionBy("query_id"))
     return hits.withColumn("_some", some).where(match | ~F.col("_some")).drop("_some")
 
 
+def filter_arms(semantic: DataFrame, keyword: DataFrame, files: DataFrame, chunks: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both arms' ranked hits without those outside the files that their query asks
+    for, ranked again. ``files`` (query_id, names): a query without names keeps all.
+    Unless ``strict``, so does a query and domain that no hit of either arm fits."""
+    both = semantic.withColumn("arm", F.lit("s")).unionByName(keyword.withColumn("arm", F.lit("k")))
+    both = both.join(chunks.select("domain", "chunk_id", "source_file"), ["domain", "chunk_id"]).join(small(files), "query_id", "left")
+    asks = F.coalesce(F.size("names"), F.lit(0)) > 0
+    fits = asks & matches(F.col("source_file"), F.col("names"))
+    if strict:
+        both = both.where(~asks | fits)
+    else:
+        some = F.max(fits).over(Window.partitionBy("query_id", "domain"))
+        both = both.withColumn("_fits", fits).withColumn("_some", some).where(F.col("_fits") | ~F.col("_some"))
+    both = both.withColumn("rank", F.row_number().over(Window.partitionBy("arm", "query_id", "domain").orderBy("rank")))
+    both = scratch.stored(both.select("arm", "query_id", "domain", "chunk_id", "score", "rank"), "arms")
+    return both.where("arm = 's'").drop("arm"), both.where("arm = 'k'").drop("arm")
+
+
+def candidates(k: int, overfetch: int = OVERFETCH, filtered: bool = False) -> int:
+    """Hits that each arm fetches: three times as many where files are asked for.
+    A domain with fewer chunks gives all it has."""
+    return k * overfetch * (3 if filtered else 1)
+
+
 def overlap(query: Column, text: Column) -> Column:
     """Jaccard of the token sets, plus 0.05 for each query token of 4 characters
     or more inside the text (0.20 at most), 1 at most."""
@@ -109,10 +220,17 @@ def overlap(query: Column, text: Column) -> Column:
     return F.when((F.size(q) > 0) & (F.size(c) > 0), score).otherwise(F.lit(0.0))
 
 
-def rerank(hits: DataFrame, k: int = RERANK_K, threshold: float = THRESHOLD, keep: int = 1, by: tuple = ("query_id", "domain")) -> DataFrame:
-    """The k best of (query, text, rrf, rank, ...) by 0.6 rrf + 0.4 overlap that
-    reach ``threshold``; if none does, the best ``keep``."""
-    s = hits.withColumn("rerank_score", F.round(RRF_WEIGHT * F.col("rrf") + OVERLAP_WEIGHT * overlap(F.col("query"), F.col("text")), 6))
+def keyword_score(hits: DataFrame) -> Column:
+    return F.round(RRF_WEIGHT * F.col("rrf") + OVERLAP_WEIGHT * overlap(F.col("query"), F.col("text")), 6)
+
+
+def rerank(hits: DataFrame, k: int = RERANK_K, threshold: float = THRESHOLD, keep: int = 1, by: tuple = ("query_id", "domain"), encoder=None) -> DataFrame:
+    """The k best of (query, text, rrf, rank, ...) that reach ``threshold``; if none
+    does, the best ``keep``. The score is ``encoder(query, text)``, a cross-encoder
+    as a column function; where it gives null (it failed), and without one, 0.6 rrf
+    + 0.4 overlap under the same threshold."""
+    score = keyword_score(hits) if encoder is None else F.coalesce(encoder(F.col("query"), F.col("text")), keyword_score(hits))
+    s = hits.withColumn("rerank_score", score)
     w = Window.partitionBy(*by)
     s = s.withColumn("rerank_rank", F.row_number().over(w.orderBy(F.desc("rerank_score"), "rank", "chunk_id")))
     any_ = F.max(F.col("rerank_score") >= threshold).over(w)
@@ -129,15 +247,37 @@ def score_summary(hits: DataFrame) -> DataFrame:
     )
 
 
-def prompt_context(hits: DataFrame) -> DataFrame:
-    """The evidence block of each query and domain, sources in rank order."""
+NO_CONTEXT = "(No source material found.)"
+
+
+def prompt_context(hits: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The evidence block of each query and domain, sources in rank order; of pairs
+    ``asked`` (query_id, domain) without evidence the line that says so."""
     line = F.format_string("[Source %d] — %s  (domain: %s, score: %.3f)\n%s", "rerank_rank", T.citation_label(F.col("source_file")), "domain", "rerank_score", "text")
     order = F.array_sort(F.collect_list(F.struct("rerank_rank", line.alias("line"))))
-    return hits.groupBy("query_id", "domain").agg(F.array_join(F.transform(order, lambda x: x["line"]), "\n---\n").alias("context"))
+    made = hits.groupBy("query_id", "domain").agg(F.array_join(F.transform(order, lambda x: x["line"]), "\n---\n").alias("context"))
+    if asked is None:
+        return made
+    return asked.select("query_id", "domain").join(made, ["query_id", "domain"], "left").withColumn("context", F.coalesce("context", F.lit(NO_CONTEXT)))
 
 
-def hybrid(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = TOP_K, overfetch: int = OVERFETCH) -> DataFrame:
-    """Both arms of ``overfetch`` times k candidates, fused: hits with query, text and file."""
-    n = k * overfetch
-    hits = fuse(dense(query_vectors, vectors, n), bm25(queries, chunks, n), k)
+def hybrid(
+    queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = TOP_K, overfetch: int = OVERFETCH,
+    files: DataFrame | None = None, strict: bool = False, wanted: DataFrame | None = None,
+) -> DataFrame:
+    """Both arms fused: the k best hits of each query and domain with query, text and
+    file. ``files`` (query_id, names) asks for files (``filter_arms``), ``wanted``
+    (query_id, domain) for domains; neither is searched further than asked."""
+    chunks = index(chunks)
+    plain = candidates(k, overfetch)
+    n = candidates(k, overfetch, files is not None)
+    if files is not None:
+        files = scratch.stored(files.select("query_id", "names"), "files")
+    semantic, keyword = dense(query_vectors, vectors, n, wanted), bm25(queries, chunks, n, wanted)
+    if files is not None:
+        # Only queries that ask for files fetch more.
+        more = small(files.where(F.size("names") > 0).select("query_id", F.lit(True).alias("_more")))
+        semantic, keyword = (arm.join(more, "query_id", "left").where(F.col("_more") | (F.col("rank") <= plain)).drop("_more") for arm in (semantic, keyword))
+        semantic, keyword = filter_arms(semantic, keyword, files, chunks, strict)
+    hits = fuse(semantic, keyword, k)
     return hits.join(chunks.select("domain", "chunk_id", "source_file", "text"), ["domain", "chunk_id"]).join(small(queries.select("query_id", "query")), "query_id")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 
 FORMATS = [".pdf", ".txt", ".md", ".docx"]
+_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in f[1:]) for f in FORMATS) + "}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -30,7 +31,10 @@ def _pdf(data: bytes) -> list[tuple[str, int]]:
         from pypdf import PdfReader
     except ImportError:
         return [(data.decode("utf-8", "ignore"), 1)]
-    pages = [(p.extract_text() or "", i) for i, p in enumerate(PdfReader(io.BytesIO(data)).pages, 1)]
+    try:
+        pages = [(p.extract_text() or "", i) for i, p in enumerate(PdfReader(io.BytesIO(data)).pages, 1)]
+    except Exception:  # a broken file has no pages; the others still load
+        return []
     return [(t, i) for t, i in pages if t.strip()]
 
 
@@ -40,22 +44,30 @@ def segments_of(path: str, data: bytes) -> list[tuple[str, int | None]]:
     if kind in (".txt", ".md"):
         return [(data.decode("utf-8", "ignore"), None)]
     if kind == ".docx":
-        return [(_docx(data), None)]
+        text = _docx(data)
+        return [(text, None)] if text.strip() else []
     return _pdf(data) if kind == ".pdf" else []
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_file, size_bytes, extension, content), one level deep; a missing folder is empty."""
+    """(source_file, size_bytes, extension, content), one level deep; a missing folder
+    is empty. Files of other kinds are not read."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     empty = spark.createDataFrame([], "source_file string, size_bytes long, extension string, content binary")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return empty
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", _GLOB).load(folder)
     ext = T.suffix(F.col("path"))
     return files.select(F.col("path").alias("source_file"), F.col("length").alias("size_bytes"), ext.alias("extension"), "content").where(ext.isin(FORMATS))
 
 
+def in_order(files: DataFrame) -> DataFrame:
+    """By kind in the order of FORMATS, then by name."""
+    kind = F.array_position(F.array(*[F.lit(f) for f in FORMATS]), F.col("extension"))
+    return files.orderBy(kind, "source_file")
+
+
 def listing(files: DataFrame) -> DataFrame:
     return files.select(T.basename(F.col("source_file")).alias("name"), "size_bytes", "extension").orderBy(F.lower("name"))
 

@@ -25,6 +25,108 @@ def create_all(spark, folder: str) -> None:
         (w.partitionBy(PARTITIONS[name]) if name in PARTITIONS else w).parquet(f"{folder}/{name}")
 
 
+def require_role(messages: DataFrame, roles: tuple = ("user", "assistant")) -> DataFrame:
+    """``messages``, with an error at the first row that breaks the constraint."""
+    ok = F.col("role").isin(*roles)
+    return messages.withColumn("role", F.when(ok, F.col("role")).otherwise(F.raise_error(F.concat(F.lit("role not allowed: "), F.coalesce("role", F.lit("null"))))))
+
+
+def matching(rows: DataFrame, **equal) -> DataFrame:
+    """Rows whose columns equal the given values; None asks nothing of a column."""
+    for name, value in equal.items():
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    return rows
+
+
+def containing(rows: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose column holds ``part``, whatever its case."""
+    return rows.where(F.contains(F.lower(column), F.lit(part.lower())))
+
+
+def chunks_of(chunks: DataFrame, key: str, value, order: str = "id") -> DataFrame:
+    """A domain's or session's chunks in insertion order. The tables are laid out by
+    these keys, so that only its folder is read."""
+    return chunks.where(F.col(key) == value).orderBy(order)
+
+
+def ids_of(chunks: DataFrame, key: str, value, id_column: str = "chunk_id") -> DataFrame:
+    return chunks.where(F.col(key) == value).select(id_column).distinct()
+
+
+def lookup(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row with this key, if there is one."""
+    return rows.where(F.col(key) == value).limit(1)
+
+
+def with_chunks(documents: DataFrame, column: str = "chunk_count") -> DataFrame:
+    return documents.where(F.col(column) > 0)
+
+
+def recent(rows: DataFrame, at: str, key: str, n: int) -> DataFrame:
+    """The ``n`` newest rows, newest first."""
+    return rows.orderBy(F.desc(at), key).limit(n)
+
+
+def transcript(messages: DataFrame, group: str, *order: str) -> DataFrame:
+    """Messages with their place ``n`` in their group."""
+    return messages.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def missing(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Ids of ``rows`` that ``known`` lacks."""
+    return rows.select(key).join(known.select(key), key, "left_anti")
+
+
+def both_lists(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One list after the other, repeats kept, columns by place."""
+    return a.unionByName(b.toDF(*a.columns))
+
+
+def append_messages(messages: DataFrame, sessions: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages with ``new`` (session_id, role, content, timestamp, intent_type,
+    detected_domains, quality_score, pipeline_meta) behind them, numbered on, arrays
+    and structs as JSON; and the sessions, touched by their newest message."""
+    last = messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    number = F.row_number().over(Window.orderBy("timestamp", "session_id", "role", "content"))
+    kind = {f.name: f.dataType.typeName() for f in new.schema.fields}
+    code = [F.when(F.size(c) > 0, F.to_json(c)).alias(c) if kind[c] == "array" else F.to_json(c).alias(c) if kind[c] in ("struct", "map") else F.col(c) for c in new.columns]
+    added = require_role(new).select(*code).withColumn("id", number).join(F.broadcast(last)).withColumn("id", F.col("id") + F.col("last")).drop("last")
+    touched = new.groupBy("session_id").agg(F.max("timestamp").alias("_at"))
+    parents = sessions.join(touched, "session_id", "left").withColumn("updated_at", F.greatest("updated_at", "_at")).drop("_at")
+    return messages.unionByName(added.select(*messages.columns)), parents.select(*sessions.columns)
+
+
+def add_document(documents: DataFrame, new: DataFrame) -> DataFrame:
+    """Document records with ``new`` ones behind them, numbered on."""
+    last = documents.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    number = F.row_number().over(Window.orderBy(*[c for c in new.columns]))
+    added = new.withColumn("id", number).join(F.broadcast(last)).withColumn("id", F.col("id") + F.col("last"))
+    return documents.unionByName(added.select(*documents.columns))
+
+
+def remove_document(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, where: Column, key: str = "chunk_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, vectors and records without those of the documents that ``where``
+    (on source_file) names."""
+    gone = chunks.where(where).select(key, "source_file")
+    left = chunks.where(~F.coalesce(where, F.lit(False)))
+    records = documents.join(gone.select(F.col("source_file").alias("filename")).distinct(), "filename", "left_anti").select(*documents.columns)
+    return left, vectors.join(gone.select(key).distinct(), key, "left_anti").select(*vectors.columns), records
+
+
+def reset(tables: dict[str, DataFrame], key: str, value) -> dict[str, DataFrame]:
+    """All tables without a namespace's rows; a table that cannot be read stays out."""
+    return {n: t.where(~F.col(key).eqNullSafe(F.lit(value))) for n, t in tables.items() if key in t.columns}
+
+
+def upsert_chunks(chunks: DataFrame, new: DataFrame, embed=None) -> tuple[DataFrame, DataFrame | None]:
+    """(all chunks, vectors of the added ones): ids that exist are left alone, the
+    others are embedded by ``embed(text)`` and added."""
+    added = new_rows(new, chunks, ["domain", "chunk_id"], ["source_file"])
+    made = None if embed is None else added.select("domain", "chunk_id", embed(F.col("text")).alias("vector"))
+    return chunks.unionByName(added.select(*chunks.columns)), made
+
+
 def check_role(messages: DataFrame, roles: tuple = ("user", "assistant")) -> DataFrame:
     """Rows that satisfy the constraint."""
     return messages.where(F.col("role").isin(*roles))
@@ -37,8 +139,9 @@ def new_rows(new: DataFrame, old: DataFrame, key: list[str], order: list) -> Dat
 
 
 def update(old: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Keyed update: non-null values of ``changes`` replace those of ``old``."""
-    c = changes.select(*key, *[F.col(x).alias(f"_{x}") for x in columns])
+    """Keyed update: values of ``changes`` replace those of ``old``, nulls leave them.
+    Of several changes to a key the greatest value counts, column by column."""
+    c = changes.groupBy(*key).agg(*[F.max(x).alias(f"_{x}") for x in columns])
     return old.join(c, key, "left").select(*[F.coalesce(f"_{x}", x).alias(x) if x in columns else F.col(x) for x in old.columns])
 
 
@@ -68,5 +171,6 @@ def last_n(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
+    """CSV with a header; ``files`` 1 makes one file of a report that fits a task."""
+    (df.coalesce(files) if files else df).write.mode("overwrite").option("header", True).csv(path)

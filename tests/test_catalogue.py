@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quarry import catalogue
+from quarry.sources import scratch
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -32,6 +33,7 @@ def test_query(spark, sf_dir, duck, name):
     cols = sorted(res.columns)
     at = [res.columns.index(c) for c in cols]
     assert cols == sorted(df.columns)
+    scratch.clear(spark)
     assert sorted(map(repr, got)) == sorted(map(repr, [tuple(norm(r[i]) for i in at) for r in res.fetchall()]))
 
 
