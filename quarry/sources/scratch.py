@@ -55,10 +55,20 @@ def drop_stored(df: DataFrame) -> None:
         _delete(df.sparkSession, file.rsplit("/", 1)[0])
 
 
-def clear(spark: SparkSession) -> None:
-    """Remove all tables of this session: call it once results are written."""
-    for path in _made.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+def mark(spark: SparkSession) -> int:
+    """How many tables there are: what is made later can be cleared by itself."""
+    return len(_made.setdefault(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the session's tables, or those made ``since`` a mark, except the one
+    behind ``keep``: call it once the results that read them are written."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    held = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in (keep.inputFiles()[:1] if keep is not None else [])}
+    for path in made[since:]:
+        if path.rsplit("/", 1)[-1] not in held:
+            _delete(spark, path)
+    made[since:] = [p for p in made[since:] if p.rsplit("/", 1)[-1] in held]
 
 
 def spread(df: DataFrame) -> DataFrame:
