@@ -8,7 +8,8 @@ them is solved on the driver. A batch is scored by two matrix products.
 
 Every language of a labelled row is a class. Training reads a bounded sample:
 about ``PER_LANG`` labelled rows of each, fewer (``LEAST_ROWS`` or more) where
-there are so many languages that this exceeds ``SAMPLE`` rows, by hash of doc_id. Executors
+there are so many languages that this exceeds ``SAMPLE`` rows, by hash of doc_id and
+text; a language of which this leaves no row gives its first ones. Executors
 turn their whole texts, and two short pieces of each, into sets of n-grams;
 only these bits reach the driver. Predictions read whole texts, too.
 
@@ -130,13 +131,20 @@ def train(docs: DataFrame) -> Model:
     if not counts:
         return fit([])
     most = max(LEAST_ROWS, min(PER_LANG, SAMPLE // len(counts)))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # By row, so that many rows of one doc_id are sampled like any others.
+    row = F.xxhash64("doc_id", F.xxhash64("text"))
+    unit = F.pmod(row, F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = docs.sparkSession.createDataFrame([(lang, 1.2 * most / n) for lang, n in counts], "lang string, share double")
-    texts = open_.join(F.broadcast(share), "lang").where(unit < F.col("share")).select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    texts = open_.join(F.broadcast(share), "lang").where(unit < F.col("share")).select("lang", row.alias("h"), "text")
     # The bound is by language, so that none is crowded out.
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
     texts = texts.withColumn("place", place).where(F.col("place") <= 2 * most).select("lang", "h", "text")
     got = texts.mapInArrow(_training_sets, "lang string, h long, bits binary").orderBy("h", "lang", "bits").collect()
+    without = [lang for lang, _ in counts if lang not in {r["lang"] for r in got}]
+    for a in range(0, len(without), 200):  # rare by chance, or of rows that are all equal
+        some = open_.where(F.col("lang").isin(without[a : a + 200])).select("lang", row.alias("h"), "text")
+        some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= LEAST_ROWS).drop("place")
+        got += some.mapInArrow(_training_sets, "lang string, h long, bits binary").orderBy("h", "lang", "bits").collect()
     return fit([(r["lang"], bytes(r["bits"])) for r in got])
 
 

@@ -9,8 +9,8 @@ document, and the covered share of the template is its score. Only stretches of
 words that occur in some template are streamed, as no run can hold another word;
 the runs of all stretches of a document are chained together.
 
-Defined results: null and empty texts have no words, no labels and score 0;
-repeated rows each get the same result; other columns are ignored.
+Defined results: null and empty texts have no words, no labels and score 0; very
+long texts are scanned whole; an empty table gives an empty result; repeated rows each get the same result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ TEMPLATES = [
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; each state knows one end
-    place in every template that holds its words."""
+    """Suffix automaton of several word sequences; each state knows all places of
+    every template where its words end."""
 
     def __init__(self, texts: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
@@ -56,8 +56,8 @@ class Automaton:
             for i, c in enumerate(text):
                 last = self._extend(last, c)
                 s = last
-                while s > 0 and t not in self.places[s]:
-                    self.places[s][t] = i
+                while s > 0:
+                    self.places[s].setdefault(t, []).append(i)
                     s = self.link[s]
 
     def _new(self, length: int, nxt: dict, link: int, places: dict) -> int:
@@ -71,7 +71,7 @@ class Automaton:
         q = self.next[p][c]
         if self.length[q] == self.length[p] + 1:
             return q
-        clone = self._new(self.length[p] + 1, dict(self.next[q]), self.link[q], dict(self.places[q]))
+        clone = self._new(self.length[p] + 1, dict(self.next[q]), self.link[q], {t: list(at) for t, at in self.places[q].items()})
         self.link[q] = clone
         while p >= 0 and self.next[p].get(c) == q:
             self.next[p][c] = clone
@@ -89,8 +89,8 @@ class Automaton:
             self.link[new] = self._split(p, c)
         return new
 
-    def runs(self, ids: list[int]) -> list[tuple[int, int, dict[int, int]]]:
-        """Runs that cannot be extended: (end, length, places of the end)."""
+    def runs(self, ids: list[int]) -> list[tuple[int, int, dict[int, list[int]]]]:
+        """Runs that cannot be extended: (end, length, places of the end by template)."""
         out, s, n = [], 0, 0
         for i, c in enumerate(ids):
             if c not in self.next[s] and n >= MIN_RUN:
@@ -119,13 +119,13 @@ class Scanner:
         self.phrases = [(np.array([number[w] for w in p.split()]), label) for p, label in phrases.items()]
         self.automaton = Automaton([[number[w] for w in t.split()] for _, t in templates])
 
-    def spans(self, runs: list[tuple[int, int, dict[int, int]]]) -> list[tuple[int, int, int, int]]:
+    def spans(self, runs: list[tuple[int, int, dict[int, list[int]]]]) -> list[tuple[int, int, int, int]]:
         """Chains of a document's runs (end, length, places), in order of their ends:
         (template, first word, end word, words covered)."""
         by: dict[int, list] = {}
         for end, n, places in runs:
-            for t, at in places.items():
-                by.setdefault(t, []).append((end - n, end, at + 1 - n, at + 1))
+            for t, ends in places.items():
+                by.setdefault(t, []).extend((end - n, end, at + 1 - n, at + 1) for at in ends)
         return [(t, *chain) for t, parts in by.items() for chain in chains(parts)]
 
     def scan(self, col) -> list[dict]:
@@ -175,21 +175,23 @@ class Scanner:
 def chains(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
     """(first word, end word, words covered) of the best chains of one template's
     runs (first, end, template's first, template's end), which are in order of
-    their ends; each run is in one chain."""
+    their ends; a run that the template holds several times is there once for each
+    place. The best chain up to each run is found from those before it; each run is
+    in one chain."""
     made: list[tuple[int, int]] = []  # words covered up to the run, run before
     for j, (a, e, ta, _) in enumerate(parts):
         best = (e - a, -1)
         for k in range(j - 1, -1, -1):
             if a - parts[k][1] > MAX_GAP:
                 break
-            if ta >= parts[k][3]:
+            if ta >= parts[k][3] and e > parts[k][1]:
                 best = max(best, (made[k][0] + n_new(a, e, parts[k][1]), k))
         made.append(best)
     out, used = [], set()
     for j in sorted(range(len(parts)), key=lambda j: (-made[j][0], j)):
         k = first = j
-        while k >= 0 and k not in used:
-            used.add(k)
+        while k >= 0 and parts[k][:2] not in used:
+            used.add(parts[k][:2])
             first, k = k, made[k][1]
         if k != j:
             out.append((parts[first][0], parts[j][1], made[j][0] - (made[k][0] if k >= 0 else 0)))

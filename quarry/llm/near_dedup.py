@@ -294,8 +294,9 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows that do not hold the smallest id of their component."""
-    gone = runtime.stored(_judged(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct(), "gone")
-    return docs.join(few(gone), (F.col("doc_id") == F.col("_gone")) & (_key() == F.col("_key")), "left_anti")
+    gone, key = runtime.free(docs, "_gone", "_key")
+    out = runtime.stored(_judged(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone), F.col("key").alias(key)).distinct(), "gone")
+    return docs.join(few(out), (F.col("doc_id") == F.col(gone)) & (_key() == F.col(key)), "left_anti")
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

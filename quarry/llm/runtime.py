@@ -1,47 +1,13 @@
-"""Shared-folder tables and block counts for the operators of this subpackage."""
+"""Tables in the shared folder, block counts and column names for the operators here."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only a session that
-    names none (tests, local mode) gets a temporary folder of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Remove the table behind a frame that ``stored`` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+from quarry.sources.scratch import clear, drop_stored, mark, shared_dir, stored, table_path  # noqa: F401
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -53,5 +19,17 @@ def block_count(n_bytes: int, per_block: int) -> int:
     return max(1, math.ceil(n_bytes / per_block))
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` does not have, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from quarry.llm import chat_format as cf
@@ -71,8 +72,20 @@ def test_automaton():
     ends = {(e, n) for e, n in zip(range(1, 301), want) if n >= ls.MIN_RUN and (e == 300 or want[e] != n + 1)}
     assert {(e, n) for e, n, _ in a.runs(ids)} == ends
     for e, n, places in a.runs(ids):
-        for t, at in places.items():
-            assert seqs[t][at + 1 - n : at + 1] == ids[e - n : e]
+        run = ids[e - n : e]
+        assert {t: sorted(at) for t, at in places.items()} == {t: at for t, s in enumerate(seqs) if (at := [i for i in range(n - 1, 40) if s[i + 1 - n : i + 1] == run])}
+
+
+def test_runs_at_several_places(spark):
+    one = ls.Scanner([("x", "a b c d e a b c d f g h i j")], {})
+    row = one.scan(pa.array(["a b c d q a b c d f g h i j"]))[0]
+    assert row["labels"] == "x" and abs(row["score"] - 13 / 14) < 1e-9 and [(s["first"], s["end"]) for s in row["spans"]] == [(0, 14)]
+    for a in (ls.Automaton([[1, 2, 1, 2, 1], [2, 1, 3]]),):
+        s = a.next[a.next[0][2]][1]
+        assert a.places[s] == {0: [2, 4], 1: [1]}
+    assert ls.scan_licenses(frame(spark, ["x"]).limit(0)).collect() == []
+    long = "word " * 50000 + "released under the mit license"
+    assert ls.scan_licenses(frame(spark, [long])).first().labels == "mit"
 
 
 def test_chat(spark):
