@@ -53,11 +53,53 @@ def test_mixing(spark, sf_dir):
     assert sum(r.taken for r in mx.mix(same).collect()) >= 45
 
 
-def test_newton(spark):
-    df = spark.createDataFrame([(10.0, 3.0), (10.0, 19.999), (10.0, 0.001), (10.0, 10.0), (10.0, 20.0), (0.0, 0.0)], "s double, t double")
-    got = [r.m for r in df.select(mx.multiplier(df.s, df.t).alias("m")).collect()]
-    assert got[4] is None and got[5] is None
-    assert all(abs(20 / (1 + np.exp(-m)) - t) < 1e-6 for m, t in zip(got[:4], (3, 19.999, 0.001, 10)))
+def profile(sizes, taken):
+    """Mean length class of the document that a token of the mix comes from."""
+    c = np.floor(np.log2(np.maximum(sizes, 1)))
+    return (taken * c).sum() / taken.sum()
+
+
+def test_dual(spark):
+    """The rates solve the dual: source targets exactly, the profile up to the ridge."""
+    rng = np.random.default_rng(0)
+    cells = [(s, c, int(w), float(t)) for s, t in (("a", 0.4), ("b", 1.9), ("c", 2.0), ("d", 0.0), (None, 1.0)) for c, w in enumerate(rng.integers(0, 4000, 8) * (1 if s != "a" else np.arange(8)))]
+    words = np.array([w for _, _, w, _ in cells], float)
+    x = np.array([c for _, c, _, _ in cells], float)
+    x = (x - (x * words).sum() / words.sum()) / np.sqrt((x * x * words).sum() / words.sum() - ((x * words).sum() / words.sum()) ** 2)
+    size = {s: sum(w for q, _, w, _ in cells if q == s) for s in ("a", "b", "c", "d", None)}
+    rows = [(s, c, w, float(v), t * size[s], size[s]) for (s, c, w, t), v in zip(cells, x)]
+    df = spark.createDataFrame(rows, "source string, class int, words long, x double, target double, source_size long")
+
+    def solve(ridge):
+        got = {(r.source, r["class"]): r.rate for r in mx.rates(df, ridge=ridge).collect()}
+        rate = np.array([got[s, c] for s, c, *_ in cells])
+        for s, n in size.items():
+            own = np.array([q == s for q, *_ in cells])
+            want = next(t for q, _, _, t in cells if q == s) * n
+            assert abs((rate * words)[own].sum() - want) <= 1e-6 * max(want, 1), s
+        return rate
+
+    rate, loose = solve(0.0), solve(1e9)
+    assert abs((rate * words * x).sum()) < 1e-5 * words.sum() < abs((loose * words * x).sum())
+    a = np.array([s == "a" for s, *_ in cells]) & (words > 0)
+    logit = np.log(rate[a] / (2 - rate[a]))
+    assert np.allclose(np.diff(logit) / np.diff(x[a]), (np.diff(logit) / np.diff(x[a]))[0]) and np.ptp(rate[a]) > 0.01 and np.ptp(loose[a]) < 1e-6
+
+
+def test_profile_is_kept(spark):
+    rnd = random.Random(3)
+    rows = [(i, "long", "w " * rnd.randrange(20, 600), 1) for i in range(400)] + [(1000 + i, "short", "w " * rnd.randrange(1, 60), 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n int")
+    got = mx.mix(df).collect()
+    check_mix(rows, got)
+    sizes, taken, target, own = (np.array([getattr(r, k) for r in got], float) for k in ("size", "taken", "target", "source_size"))
+    flat = profile(sizes, sizes * target / own)
+    assert abs(profile(sizes, taken) - profile(sizes, sizes)) < 0.6 * abs(flat - profile(sizes, sizes)) and abs(flat - profile(sizes, sizes)) > 0.1
+
+
+def test_many_sources(spark):
+    rows = [(i, f"s{i % 331:03d}" if i % 50 else None, "w " * (1 + i % 97), 1) for i in range(2000)]
+    check_mix(rows, mx.mix(spark.createDataFrame(rows, "doc_id long, source string, text string, n int")).collect())
 
 
 def distance(a, b):
