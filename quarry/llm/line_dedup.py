@@ -1,22 +1,35 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (hash, n): how many documents of a batch hold the line, in
-hash order. ``LineIndex.add`` counts a batch and adds its run at level 0; it does
-not join the batch with the runs, as the counts come from merging them.
-``FANOUT`` runs of a level are merged into one of the next. ``LineIndex.unseen``,
-the merge anti-join that parts new lines from known ones, is not on the query's
-path. All steps are DataFrame operations; the runs lie in the shared folder.
+A run is a table (a, b, n, new) in hash order, in buckets by hash: the 128-bit
+line hashes of some batches, how many of their documents hold the line, and
+whether no older run holds it. All runs have the same buckets, so that they are
+joined and merged by sorted bucket, never shuffled again. ``LineIndex.add`` takes
+a batch:
+
+1. the batch's documents are counted by line (combined before the one shuffle);
+2. a merge anti-join with every run parts the lines that are new from those that
+   some run holds; both make the batch's own run at level 0;
+3. ``FANOUT`` runs of a level are compacted into one of the next by a merge join.
+
+A line's count is the sum over the runs that hold it; ``new`` marks it in exactly
+one of them, so that the distinct lines need no further pass. The text is read
+once for all batches: its hashes are written by batch, each batch then reads its
+own. All steps are DataFrame operations; the tables lie in the shared folder.
 
 The key of a line is the line without [\\x20\\x09-\\x0D] at its ends and with A-Z
-lower-cased; its hash is 128 bits (two 64-bit hashes).
+lower-cased.
 
 Defined results: a null or empty text is one empty line; empty keys are never
 dropped; each row counts as a document of its own, also with a repeated or null
-doc_id; other columns are ignored or, in ``drop_lines``, kept.
+doc_id; very long texts are cut into lines whole; an empty table gives an empty
+result; other columns are ignored or, in ``drop_lines``, kept, but for its own
+n_lines and n_dropped.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,76 +66,127 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.levels: list[list[DataFrame]] = [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.tables: list[str] = []
+
+    def _run(self, rows: DataFrame) -> str:
+        """A table of ``rows``, which lie in the buckets already."""
+        name = f"quarry_run_{uuid.uuid4().hex[:12]}"
+        path = runtime.table_path(self.spark, "run")
+        rows.write.format("parquet").option("path", path).bucketBy(self.buckets, "a", "b").sortBy("a", "b").saveAsTable(name)
+        self.tables.append(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        runtime.drop_stored(self.spark.table(name))
+        self.spark.sql(f"DROP TABLE {name}")
+        self.tables.remove(name)
 
     def add(self, hashes: DataFrame) -> None:
         """A batch: one row (a, b) for each document and distinct line."""
-        self._put(0, hashes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
-
-    def _put(self, level: int, counts: DataFrame) -> None:
+        batch = self._run(hashes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+        counts = self.spark.table(batch)
+        first = self.unseen(counts)
+        older = [r for level in self.levels for r in level]
+        if older:
+            mark = first.select("a", "b", F.lit(True).alias("new"))
+            rows = counts.join(mark.hint("merge"), ["a", "b"], "left").withColumn("new", F.coalesce("new", F.lit(False)))
+        else:
+            rows = first.withColumn("new", F.lit(True))
+        self._put(0, self._run(rows))
+        self._drop(batch)
+
+    def _put(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(runtime.stored(counts.sortWithinPartitions("a", "b"), f"run{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= FANOUT:
             old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merged(old))
-            for run in old:
-                runtime.drop_stored(run)
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        all_ = runs[0]
-        for run in runs[1:]:
-            all_ = all_.unionByName(run)
-        return all_.groupBy("a", "b").agg(F.sum("n").alias("n")) if len(runs) > 1 else all_
+            self._put(level + 1, self._run(self._merged(old)))
+            for name in old:
+                self._drop(name)
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        """Sorted merge of runs: counts add up, and a line is new if it is in one."""
+        out = self.spark.table(runs[0])
+        for name in runs[1:]:
+            more = self.spark.table(name).withColumnsRenamed({"n": "m", "new": "more"})
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+            new = F.coalesce("new", F.lit(False)) | F.coalesce("more", F.lit(False))
+            out = out.join(more.hint("merge"), ["a", "b"], "full").select("a", "b", n.alias("n"), new.alias("new"))
+        return out
 
     def counts(self) -> DataFrame:
         """(a, b, n) over all batches so far."""
         runs = [r for level in self.levels for r in level]
-        return self._merged(runs) if runs else self.spark.createDataFrame([], "a long, b long, n long")
+        return self._merged(runs).select("a", "b", "n") if runs else self.spark.createDataFrame([], "a long, b long, n long")
+
+    def n_distinct(self) -> int:
+        """Different lines so far: each is new in one run."""
+        return sum(self.spark.table(r).where("new").count() for level in self.levels for r in level)
 
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """The batch's lines that no run holds: a merge anti-join with each."""
         for level in self.levels:
             for run in level:
-                hashes = hashes.join(run.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+                hashes = hashes.join(self.spark.table(run).select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         return hashes
 
     def close(self) -> None:
-        for level in self.levels:
-            for run in level:
-                runtime.drop_stored(run)
+        for name in list(self.tables):
+            self._drop(name)
+        self.levels = [[]]
 
 
 def hot_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 1) -> DataFrame:
-    """(a, b) of the lines in at least ``min_docs`` documents, stored."""
+    """(a, b, n) of the lines in at least ``min_docs`` documents, stored."""
     index = LineIndex(docs.sparkSession)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int") if batches > 1 else F.lit(0)
+    hashes = docs.select(F.explode(line_hashes(docs)).alias("h"), batch.alias("batch")).select("h.a", "h.b", "batch")
+    path = runtime.table_path(docs.sparkSession, "lines")
+    hashes.write.partitionBy("batch").parquet(path)
+    made = docs.sparkSession.read.schema("a long, b long, batch int").parquet(path)
     for i in range(batches):
-        part = docs if batches == 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
-        index.add(part.select(F.explode(line_hashes(part)).alias("h")).select("h.a", "h.b"))
-    hot = runtime.stored(index.counts().where(F.col("n") >= min_docs).select("a", "b"), "hot")
+        index.add(made.where(F.col("batch") == i).select("a", "b"))  # its folder alone
+    hot = runtime.stored(index.counts().where(F.col("n") >= min_docs), "hot")
     index.close()
+    runtime.drop_stored(made.select("a"))
     return hot
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 1) -> DataFrame:
-    """``docs`` with text without its hot lines, n_lines and n_dropped."""
+    """``docs`` with text without its hot lines, n_lines and n_dropped (a column of
+    one of these names is replaced)."""
     hot = hot_lines(docs, min_docs, batches)
-    few = hot.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_hot", "_row")]
+    own, text_, kept_, hot_ = runtime.free(docs, "_row", "_text", "_kept", "_hot")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     docs = docs.select(*names)
     # A row's identity is its content: equal rows get equal answers.
     row = F.xxhash64(F.col("doc_id"), F.xxhash64("text"))
-    found = docs.select(row.alias("_row"), F.explode(line_hashes(docs)).alias("h")).select("_row", "h.a", "h.b")
-    found = found.join(F.broadcast(hot) if few else hot, ["a", "b"]).select("_row", F.struct("a", "b").alias("h"))
-    found = found.groupBy("_row").agg(F.collect_set("h").alias("_hot"))
-    joined = docs.withColumn("_row", row).join(found, "_row", "left")
+    found = docs.select(row.alias("row"), F.explode(line_hashes(docs)).alias("h")).select("row", "h.a", "h.b")
+    found = _among(found, hot).select("row", F.struct("a", "b").alias("h"))
+    found = found.groupBy(F.col("row").alias(own)).agg(F.collect_set("h").alias(hot_))
+    joined = docs.withColumn(own, row).join(found, own, "left")
     all_ = lines(F.col("text"))
-    clean = F.filter(all_, lambda x: ~F.array_contains(F.col("_hot"), hashed(key(x))))
-    kept = F.when(F.col("_hot").isNull(), all_).otherwise(clean)
-    out = joined.select(*[c for c in names if c != "text"], F.col("text").alias("_text"), kept.alias("_kept"), F.size(all_).cast("long").alias("n_lines"))
-    text = F.when(F.col("_text").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped"))
+    clean = F.filter(all_, lambda x: ~F.array_contains(F.col(hot_), hashed(key(x))))
+    kept = F.when(F.col(hot_).isNull(), all_).otherwise(clean)
+    out = joined.select(*[c for c in names if c.lower() != "text"], F.col("text").alias(text_), kept.alias(kept_), F.size(all_).cast("long").alias("n_lines"))
+    text = F.when(F.col(text_).isNull(), F.col(text_)).otherwise(F.array_join(kept_, "\n"))
+    return out.select(*[text.alias(c) if c.lower() == "text" else F.col(c) for c in names], "n_lines", (F.col("n_lines") - F.size(kept_)).alias("n_dropped"))
+
+
+def _among(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of ``found`` whose line is hot. Beyond ``BROADCAST_LINES`` hot lines only
+    the commonest are broadcast, those in more than 1 / BROADCAST_LINES of all places
+    (so there are fewer than that); of the others none is enough to fill a task."""
+    if hot.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        return found.join(F.broadcast(hot.select("a", "b")), ["a", "b"])
+    places = hot.agg(F.sum("n").alias("n")).first()["n"]
+    many = F.col("n") * BROADCAST_LINES > places
+    top, rest = hot.where(many).select("a", "b"), hot.where(~many).select("a", "b")
+    common = found.join(F.broadcast(top), ["a", "b"])
+    return common.unionByName(found.join(F.broadcast(top), ["a", "b"], "left_anti").join(rest, ["a", "b"]))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -231,5 +231,27 @@ def test_line_index_anti_join(spark):
         batch = spark.range(i * 3, i * 3 + 6).selectExpr("id AS a", "-id AS b")
         assert sorted(r.a for r in ix.unseen(batch).collect()) == ([*range(6)] if i == 0 else [*range(i * 3 + 3, i * 3 + 6)])
         ix.add(batch)
+        last = spark.table(ix.levels[0][-1] if ix.levels[0] else ix.levels[1][-1])
+        assert sorted(r.a for r in last.where("new").collect()) == [*range(i * 3 + 3 if i and i != 3 else 0, i * 3 + 6)]
     assert [len(x) for x in ix.levels] == [1, 1]
     assert {r.a: r.n for r in ix.counts().collect()} == {a: 1 if a < 3 or a >= 15 else 2 for a in range(18)}
+    assert ix.n_distinct() == 18
+    plan = ix.counts()._jdf.queryExecution().executedPlan().toString() + ix.unseen(spark.table(ix.levels[0][0]).select("a", "b"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # sorted buckets meet as they lie
+    ix.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quarry_run")]
+
+
+def test_lines_with_clashing_names(spark):
+    rows = [(i, "hot\nown %d" % i, "r", "t", "k", "h", 5, "A") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string, _text string, _kept string, _hot string, N_LINES int, h string")
+    got = ld.drop_lines(df).orderBy("doc_id").collect()
+    assert [(r.text, r._row, r._text, r._kept, r._hot, r.h, r.n_lines, r.n_dropped) for r in got] == [(f"own {i}", "r", "t", "k", "h", "A", 2, 1) for i in range(12)]
+
+
+def test_many_hot_lines(spark, monkeypatch):
+    rows = [(i, "\n".join(["top"] + [f"l{(i + k) % 60}" for k in range(20)] + [f"own {i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ld, "BROADCAST_LINES", 40)
+    got = ld.drop_lines(df).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [f"own {i}" for i in range(60)]
