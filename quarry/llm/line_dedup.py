@@ -29,6 +29,7 @@ n_lines and n_dropped.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ from . import runtime
 
 MIN_DOCS = 10
 FANOUT = 4
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 #: Hot lines (16 bytes each) that may be broadcast.
 BROADCAST_LINES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,6 +63,19 @@ def line_hashes(docs: DataFrame) -> Column:
     return F.transform(keys, hashed)
 
 
+@contextmanager
+def merging(spark: SparkSession):
+    """Plans made inside rely on the order of bucketed tables with one file a bucket,
+    as runs are, so that joins merge them without sorting (which takes a page of
+    memory for each side of each join)."""
+    before = spark.conf.get(_ORDERED)
+    spark.conf.set(_ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ORDERED, before)
+
+
 class LineIndex:
     """The runs, by level."""
 
@@ -74,7 +89,8 @@ class LineIndex:
         """A table of ``rows``, which lie in the buckets already."""
         name = f"quarry_run_{uuid.uuid4().hex[:12]}"
         path = runtime.table_path(self.spark, "run")
-        rows.write.format("parquet").option("path", path).bucketBy(self.buckets, "a", "b").sortBy("a", "b").saveAsTable(name)
+        with merging(self.spark):
+            rows.write.format("parquet").option("path", path).bucketBy(self.buckets, "a", "b").sortBy("a", "b").saveAsTable(name)
         self.tables.append(name)
         return name
 
@@ -149,7 +165,8 @@ def hot_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 1) -> Da
     made = docs.sparkSession.read.schema("a long, b long, batch int").parquet(path)
     for i in range(batches):
         index.add(made.where(F.col("batch") == i).select("a", "b"))  # its folder alone
-    hot = runtime.stored(index.counts().where(F.col("n") >= min_docs), "hot")
+    with merging(docs.sparkSession):
+        hot = runtime.stored(index.counts().where(F.col("n") >= min_docs), "hot")
     index.close()
     runtime.drop_stored(made.select("a"))
     return hot
