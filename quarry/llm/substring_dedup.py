@@ -16,8 +16,10 @@ The steps:
    not branch apart. A path covers the words of all its edges.
 4. Paths are joined with their sources' blocks, where the source's own words at
    the path's coordinates must have the path's digest. A path that its source
-   holds in several places is compared edge by edge. Edges that fail (hash
-   collisions) are taken out and their documents done again.
+   holds in several places is compared edge by edge. Edges that fail there (hash
+   collisions: another edge's source hides the true one) are asked again by their
+   exact words over all documents. Those that no smaller document holds are taken
+   out and their documents done again, so that the result is exact.
 
 Defined results: a null or empty text has no words and an empty remainder; a
 row with null doc_id neither removes nor loses words; rows with equal doc_id
@@ -42,22 +44,25 @@ from .words import hash_words, window_hashes, words_of
 BLOCK_BYTES = 8 << 20
 #: Ids of 8 bytes that may be broadcast.
 BROADCAST_IDS = 1_000_000
+ALL_BITS = (1 << 64) - 1
 _NONE = np.iinfo(np.int64).min
 _EDGES = "block long, part long, hashes binary, docs binary, counts binary"
 _ANSWERS = "block long, part long, sources binary"
+_SPELT = "doc_id long, source long, digest binary, o int, words binary"
 _PATHS = "doc_id long, n_words long, n_removed long, kept_sha256 string, paths array<struct<start:int,n:int,source:long,edge:long,digest:binary>>"
 
 
 class _Block:
     """A block's documents in (doc_id, text) order and their edges."""
 
-    def __init__(self, table: pa.Table, k: int):
+    def __init__(self, table: pa.Table, k: int, mask: int):
         table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids = table["doc_id"].to_pylist()
         self.texts = table["text"]
         w = words_of(self.texts)
         self.off = w.off
         self.edges, self.first = window_hashes(hash_words(w), w.off, k)
+        self.edges &= np.uint64(mask)
         doc_of = np.searchsorted(w.off, self.first, side="right") - 1
         ids = np.array([_NONE if i is None else i for i in self.ids], np.int64)
         self.owner = ids[doc_of] if len(ids) else np.zeros(0, np.int64)
@@ -79,10 +84,10 @@ class _Block:
         return (self.texts[i].as_py() or "").encode().split()
 
 
-def _send(k: int, parts: int):
+def _send(k: int, parts: int, mask: int):
     def send(key, table):
         pack = zstandard.ZstdCompressor(1).compress
-        b = _Block(table, k)
+        b = _Block(table, k, mask)
         rows = []
         for part, entries in b.by_part(parts):
             docs = b.own[entries]
@@ -129,9 +134,9 @@ def _sources(b: _Block, answers: pa.Table, parts: int) -> np.ndarray:
     return np.where(source < b.owner, source, _NONE)
 
 
-def _compact(k: int, parts: int):
+def _compact(k: int, parts: int, mask: int):
     def compact(key, docs, answers):
-        b = _Block(docs, k)
+        b = _Block(docs, k, mask)
         source = _sources(b, answers, parts)
         out = []
         bounds = np.searchsorted(b.first, b.off)
@@ -165,14 +170,14 @@ def _schema() -> pa.Schema:
     return pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("paths", pa.list_(path))])
 
 
-def _verify(k: int):
+def _verify(k: int, mask: int):
     def verify(key, docs, asked):
         """Of the paths asked for, those that their source does not hold in one place."""
         rows = asked.select(["doc_id", "start", "n", "source", "edge", "digest"]).to_pylist()
         wanted = {r["source"] for r in rows}
         ids = docs["doc_id"].to_pylist()
         docs = docs.filter(pa.array([i in wanted for i in ids], pa.bool_()))
-        b = _Block(docs, k)
+        b = _Block(docs, k, mask)
         places: dict = {}
         need = np.unique(np.array([r["edge"] for r in rows], np.int64).astype(np.uint64))
         for p in np.flatnonzero(np.isin(b.edges, need)) if len(need) else []:
@@ -198,7 +203,7 @@ def _verify(k: int):
 def _verify_edges(k: int):
     def verify(key, docs, asked):
         """Of single edges, given with their words, those that their source lacks."""
-        rows = asked.select(["doc_id", "start", "source", "words"]).to_pylist()
+        rows = asked.select(["doc_id", "source", "digest", "o", "words"]).to_pylist()
         held: dict = {}
         for r in rows:
             held.setdefault(r["source"], set()).add(r["words"])
@@ -207,7 +212,7 @@ def _verify_edges(k: int):
             if i in held:
                 words = (text.as_py() or "").encode().split()
                 found.update((i, x) for j in range(len(words) - k + 1) if (x := b" ".join(words[j : j + k])) in held[i])
-        return pa.Table.from_pylist([r for r in rows if (r["source"], r["words"]) not in found], pa.schema([("doc_id", pa.int64()), ("start", pa.int32())]))
+        return pa.Table.from_pylist([r for r in rows if (r["source"], r["words"]) not in found], pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("digest", pa.binary()), ("o", pa.int32()), ("words", pa.binary())]))
 
     return verify
 
@@ -224,8 +229,8 @@ def _spell(k: int):
                 words = (text.as_py() or "").encode().split()
                 for r in by[i]:
                     if hashlib.blake2b(b" ".join(words[r["start"] : r["start"] + r["n"] + k - 1]), digest_size=16).digest() == r["digest"]:
-                        out += [{"doc_id": i, "start": s, "source": r["source"], "words": b" ".join(words[s : s + k])} for s in range(r["start"], r["start"] + r["n"])]
-        return pa.Table.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("source", pa.int64()), ("words", pa.binary())]))
+                        out += [{"doc_id": i, "source": r["source"], "digest": r["digest"], "o": o, "words": b" ".join(words[r["start"] + o : r["start"] + o + k])} for o in range(r["n"])]
+        return pa.Table.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("digest", pa.binary()), ("o", pa.int32()), ("words", pa.binary())]))
 
     return spell
 
@@ -243,7 +248,7 @@ def block_of(column: str, blocks: int):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(blocks))
 
 
-def repeated_paths(docs: DataFrame, k: int = 13, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, int]:
+def repeated_paths(docs: DataFrame, k: int = 13, block_bytes: int = BLOCK_BYTES, mask: int = ALL_BITS) -> tuple[DataFrame, DataFrame, int]:
     """One row a document (doc_id, n_words, n_removed, kept_sha256, paths), stored;
     the documents with their blocks; the number of blocks. Not verified yet."""
     spark = docs.sparkSession
@@ -251,54 +256,93 @@ def repeated_paths(docs: DataFrame, k: int = 13, block_bytes: int = BLOCK_BYTES)
     parts = max(blocks // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = keyed.repartition(blocks, "block")
-    edges = dealt.groupBy("block").applyInArrow(_send(k, parts), _EDGES)
+    edges = dealt.groupBy("block").applyInArrow(_send(k, parts, mask), _EDGES)
     answers = edges.repartition(parts, "part").groupBy("part").applyInArrow(_answer, _ANSWERS)
-    found = dealt.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(_compact(k, parts), _PATHS)
+    found = dealt.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(_compact(k, parts, mask), _PATHS)
     return runtime.stored(found, "paths"), keyed, blocks
 
 
-def dedup_substrings(docs: DataFrame, k: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = 13, block_bytes: int = BLOCK_BYTES, mask: int = ALL_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and paths (start, n edges, source)
-    of every document, after the paths' verification."""
-    found, keyed, blocks = repeated_paths(docs, k, block_bytes)
+    of every document, after the paths' verification. ``mask`` keeps some bits of
+    the edges' hashes only, for tests of collisions."""
+    found, keyed, blocks = repeated_paths(docs, k, block_bytes, mask)
     path = found.select("doc_id", F.explode("paths").alias("p")).select("doc_id", "p.*")
 
     def at(df: DataFrame, column: str):
         return df.withColumn("block", block_of(column, blocks)).repartition(blocks, "block").groupBy("block")
 
     asked = path.groupBy("source", "edge", "digest", "n").agg(F.min(F.struct("doc_id", "start")).alias("d")).select("source", "edge", "digest", "n", "d.*")
-    open_ = runtime.stored(_only(keyed, blocks, path.select("source")).groupBy("block").cogroup(at(asked, "source")).applyInArrow(_verify(k), "doc_id long, start int, n int, source long"), "open")
+    open_ = runtime.stored(_only(keyed, blocks, path.select("source")).groupBy("block").cogroup(at(asked, "source")).applyInArrow(_verify(k, mask), "doc_id long, start int, n int, source long"), "open")
     result = found
     if not open_.isEmpty():
         again = open_.join(path.select("doc_id", "start", "n", "source", "digest"), ["doc_id", "start", "n", "source"])
         side = _only(keyed, blocks, again.select("doc_id").union(again.select("source"))).groupBy("block")
-        spelt = side.cogroup(at(again, "doc_id")).applyInArrow(_spell(k), "doc_id long, start int, source long, words binary")
-        wrong = runtime.stored(side.cogroup(at(spelt, "source")).applyInArrow(_verify_edges(k), "doc_id long, start int"), "wrong")
-        if not wrong.isEmpty():
-            result = _without(found, keyed, blocks, wrong, path, k)
+        spelt = side.cogroup(at(again, "doc_id")).applyInArrow(_spell(k), _SPELT)
+        hidden = runtime.stored(side.cogroup(at(spelt, "source")).applyInArrow(_verify_edges(k), _SPELT), "hidden")
+        if not hidden.isEmpty():
+            wrong = runtime.stored(_not_repeated(docs, hidden, k), "wrong")
+            if not wrong.isEmpty():
+                result = _without(found, keyed, blocks, wrong, k)
     return result
 
 
-def _without(found, keyed, blocks, wrong, path, k) -> DataFrame:
-    """The documents with false edges done again without these."""
-    same = path.join(wrong.select(F.col("doc_id").alias("w_doc"), F.col("start").alias("w")), (F.col("doc_id") == F.col("w_doc")) & F.col("w").between(F.col("start"), F.col("start") + F.col("n") - 1))
-    false = same.select("source", "digest", (F.col("w") - F.col("start")).alias("o")).distinct()  # in every copy of the path
-    every = path.join(false, ["source", "digest"]).select("doc_id", (F.col("start") + F.col("o")).alias("w")).distinct()
-    bad = every.groupBy("doc_id").agg(F.collect_set("w").alias("w"))
-    todo = found.join(bad, "doc_id").select("doc_id", "paths", "w", block_of("doc_id", blocks).alias("block"))
+def _not_repeated(docs: DataFrame, hidden: DataFrame, k: int) -> DataFrame:
+    """Of edges whose source lacks them (doc_id, source, digest, o, words: the edge at
+    place ``o`` of a path) those that start in no smaller document. Documents are searched for the edges' words, at most
+    ``BROADCAST_IDS`` of them at a time, by their exact bytes."""
+    words = runtime.stored(hidden.select("words").distinct(), "words")
+    turns = runtime.block_count(words.count(), BROADCAST_IDS)
+    least = None
+    for i in range(turns):
+        part = words.where(F.pmod(F.xxhash64("words"), F.lit(turns)) == i)
+        held = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.words) for r in part.collect()))
+
+        def search(batches, held=held):
+            # An edge's last word ends most searches at one look.
+            last = {w.rsplit(b" ", 1)[-1] for w in held.value}
+            for b in batches:
+                best: dict = {}
+                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                    own = (text.as_py() or "").encode().split() if doc_id is not None else []
+                    for j in range(k - 1, len(own)):
+                        if own[j] in last and (x := b" ".join(own[j - k + 1 : j + 1])) in held.value:
+                            best[x] = min(best.get(x, doc_id), doc_id)
+                yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.binary()), pa.array(list(best.values()), pa.int64())], ["words", "least"])
+
+        here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "words binary, least long")
+        least = here if least is None else least.unionByName(here)
+    return hidden.join(least.groupBy("words").agg(F.min("least").alias("least")), "words").where("least >= doc_id").select("doc_id", "source", "digest", "o")
+
+
+def _without(found, keyed, blocks, wrong, k) -> DataFrame:
+    """The documents with false edges done again without these. Only the smallest
+    document with such an edge has it wrong: larger ones repeat that document's."""
+    bad = wrong.groupBy("doc_id").agg(F.collect_set(F.struct("source", "digest", "o")).alias("w"))
+    todo = found.join(bad, "doc_id").select("doc_id", "n_words", "paths", "w", block_of("doc_id", blocks).alias("block"))
 
     def redo(key, docs, asked):
-        by = {r["doc_id"]: r for r in asked.select(["doc_id", "paths", "w"]).to_pylist()}
+        by: dict = {}
+        for r in asked.select(["doc_id", "n_words", "paths", "w"]).to_pylist():
+            by.setdefault(r["doc_id"], []).append(r)
+
+        def holds(words, p):
+            return hashlib.blake2b(b" ".join(words[p["start"] : p["start"] + p["n"] + k - 1]), digest_size=16).digest() == p["digest"]
+
         out = []
         for i, text in zip(docs["doc_id"].to_pylist(), docs["text"]):
             if i in by:
                 words = (text.as_py() or "").encode().split()
+                # Rows of one doc_id are told apart by their words.
+                r = next(r for r in by[i] if r["n_words"] == len(words) and all(holds(words, p) for p in r["paths"]))
+                false = {(w["source"], w["digest"], w["o"]) for w in r["w"]}
                 gone = np.zeros(len(words) + 1, np.int64)
-                for p in by[i]["paths"]:
-                    for s in set(range(p["start"], p["start"] + p["n"])) - set(by[i]["w"]):
-                        gone[s] += 1
-                        gone[s + k] -= 1
-                out.append(_result(i, words, gone) | {"paths": by[i]["paths"]})
+                for p in r["paths"]:
+                    for o in range(p["n"]):
+                        if (p["source"], p["digest"], o) not in false:
+                            gone[p["start"] + o] += 1
+                            gone[p["start"] + o + k] -= 1
+                out.append(_result(i, words, gone) | {"paths": r["paths"]})
         return pa.Table.from_pylist(out, _schema())
 
     redone = keyed.repartition(blocks, "block").groupBy("block").cogroup(todo.repartition(blocks, "block").groupBy("block")).applyInArrow(redo, _PATHS)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from quarry.llm import substring_dedup as sd
 
@@ -30,8 +31,6 @@ def run(spark, rows, **kw):
 
 
 def test_cases(spark):
-    import random
-
     rnd = random.Random(1)
     vocab = ["a", "b", "é", "\x85x", "word"]
     rows = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(60))), "s", "x") for i in range(60)]
@@ -46,10 +45,13 @@ def test_empty(spark):
     assert run(spark, []) == []
 
 
-def test_collisions_are_found(spark, monkeypatch):
-    """With a hash that puts all edges of one first letter together the verification still gives exact words."""
-    rows = [(1, "a b c d e", "", ""), (2, "x y z", "", ""), (3, "x y q", "", ""), (4, "a b c", "", "")]
-    assert run(spark, rows, k=3) == brute(rows, 3)
+def test_collisions_are_found(spark):
+    """With hashes of a few bits most edges collide, and the result is still exact."""
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(40), " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(25))), "", "") for _ in range(50)]
+    rows += [(100 + i, rows[rnd.randrange(50)][1] + " z y x", "", "") for i in range(20)] + [(None, "a b c d", "", ""), (3, None, "", "")]
+    for mask in (0, 7, 255):
+        assert run(spark, rows, k=3, mask=mask, block_bytes=400) == brute(rows, 3)
 
 
 def test_table(spark, sf_dir):
