@@ -3,13 +3,22 @@
 Features: densities of a lexicon (fixed insults, and words that the training
 rows show to be toxic), hits near a second-person word, capitals, punctuation
 and obfuscated words. The trees (histogram splits, logistic loss) are fitted on
-the driver to the features of a bounded sample of labelled rows: the
-``TRAIN_ROWS`` smallest by hash of doc_id, with at most four times as many
-different texts where ids repeat. Isotonic regression on out-of-fold scores calibrates them.
+the driver to the features of a bounded sample of labelled rows: ``TRAIN_ROWS`` by
+hash of doc_id, of which each class has at least ``CLASS_ROWS`` if there are as
+many, with at most four times as many different texts where ids repeat.
+
+Nothing is judged by a lexicon that has seen its own label: the sample is cut into
+``FOLDS`` by hash, and a text's features for training come from the lexicon of the
+other folds. Isotonic regression on out-of-fold scores of the trees calibrates
+them; there each class weighs as much as among all labelled rows.
+
+The lexicon's keys stand in a hundredth of the toxic texts or more, so there are
+at most a hundred times as many as a toxic text has words and stems on average.
 
 Defined results: null and empty texts have zero features and are scored like
-any other; a null doc_id counts as ''; without any labelled row the score is
-0.5 x the lexicon's verdict; other columns are ignored.
+any other; very long texts are read whole; a null doc_id counts as ''; without any
+labelled row the score is 0.5 x the lexicon's verdict; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ from pyspark.sql import types as T
 from . import runtime
 from .words import LOWER, NON_ALNUM, buffer_of, hash_one, hash_words, words_of
 
-TRAIN_ROWS = 5000
+TRAIN_ROWS, CLASS_ROWS, FOLDS = 5000, 1000, 4
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting dumb fool jerk imbecile garbage filth filthy vermin bastard creep freak ugly".split()
 SECOND = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vuestro".split()
@@ -198,11 +207,12 @@ class Trees:
         return self.base + RATE * sum(self._walk(t, b) for t in self.trees)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots of a rising function."""
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots of a rising function; ``w`` weighs the points."""
+    w = np.ones(len(x)) if w is None else w
     blocks: list[list[float]] = []
-    for v, t in sorted(zip(x, y)):
-        blocks.append([v, t, 1.0])
+    for v, t, n in sorted(zip(x, y, w)):
+        blocks.append([v, t * n, n])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             v2, t2, n2 = blocks.pop()
             v1, t1, n1 = blocks.pop()
@@ -225,70 +235,111 @@ class Model:
 
 
 def _word_counts(batches):
-    """(kind, key, toxic texts, other texts) of one batch: kind 0 words, 1 stems."""
+    """(kind, key, toxic and other texts of each fold) of one batch: kind 0 words, 1 stems."""
     table = bytes(np.where(NON_ALNUM, 32, LOWER).astype(np.uint8))
     for b in batches:
         for a in range(0, b.num_rows, 500):
             part = b.slice(a, 500)
             counts: tuple[dict, dict] = ({}, {})
-            for text, toxic in zip(part.column("text"), part.column("toxic").to_pylist()):
+            for text, toxic, fold in zip(part.column("text"), part.column("toxic").to_pylist(), part.column("fold").to_pylist()):
                 own = set(text.as_py().encode().translate(table).split())
                 for keys, df in zip((own, {w[:n] for w in own for n in STEMS if len(w) >= n}), counts):
                     for key in keys:
-                        df.setdefault(key, [0, 0])[1 - toxic] += 1
+                        df.setdefault(key, [0] * 2 * FOLDS)[2 * fold + 1 - toxic] += 1
             rows = [(kind, key, *c) for kind, df in enumerate(counts) for key, c in df.items()]
             if rows:
-                kind, key, one, zero = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.binary()), pa.array(one, pa.int64()), pa.array(zero, pa.int64())], ["kind", "key", "n1", "n0"])
-
-
-def learned_words(texts: DataFrame, n1: int, n0: int) -> tuple[dict[str, float], dict[bytes, float]]:
-    """Words and stems in at least a hundredth of the toxic ``texts`` and twelve
-    times as often there as in others, with their log odds."""
-    counts = texts.mapInArrow(_word_counts, "kind int, key binary, n1 long, n0 long").groupBy("kind", "key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    odds = F.log((F.col("n1") + 0.5) / max(n1, 1)) - F.log((F.col("n0") + 0.5) / max(n0, 1))
-    found = counts.where(F.col("n1") >= max(5, n1 / 100)).select("kind", "key", (F.least(odds, F.lit(6.0)) / 2).alias("weight")).where("weight >= 1.25").orderBy("kind", "key").collect()
-    return {bytes(r.key).decode(errors="replace"): r.weight for r in found if not r.kind}, {bytes(r.key): r.weight for r in found if r.kind}
-
-
-def fit(x: np.ndarray, y: np.ndarray, lexicon: Lexicon) -> Model:
+                kind, key, *n = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.binary()), *(pa.array(c, pa.int64()) for c in n)], ["kind", "key", *(f"{c}{i}" for i in range(FOLDS) for c in ("n1_", "n0_"))])
+
+
+def _fold(h) -> int:
+    return (h >> 7) % FOLDS  # not the bits that chose the sample
+
+
+def lexicons(texts: DataFrame) -> list[Lexicon]:
+    """The lexicon of all ``texts`` (text, toxic, h), then one without each fold:
+    words and stems in at least a hundredth of the toxic texts and twelve times as
+    often there as in others, weighed by their log odds."""
+    fold = F.pmod(F.shiftright("h", 7), F.lit(FOLDS)).cast("int")
+    # A text is counted once; its fold's counts are taken off the totals.
+    size = {(r.fold, r.toxic): r.n for r in texts.groupBy(fold.alias("fold"), "toxic").agg(F.count("*").alias("n")).collect()}
+    per = [f"{c}{i}" for i in range(FOLDS) for c in ("n1_", "n0_")]
+    counts = texts.withColumn("fold", fold).mapInArrow(_word_counts, "kind int, key binary, " + ", ".join(f"{c} long" for c in per))
+    counts = counts.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in per])
+    weights = []
+    for left_out in (None, *range(FOLDS)):
+        own = [i for i in range(FOLDS) if i != left_out]
+        n1, n0 = (sum(size.get((i, c), 0) for i in own) for c in (1, 0))
+        c1, c0 = (sum((F.col(f"{c}{i}") for i in own), F.lit(0)) for c in ("n1_", "n0_"))
+        odds = F.log((c1 + 0.5) / max(n1, 1)) - F.log((c0 + 0.5) / max(n0, 1))
+        weights.append(F.when((c1 >= max(5, n1 / 100)) & (odds >= 2.5), F.least(odds, F.lit(6.0)) / 2))
+    named = [w.alias(f"w{i}") for i, w in enumerate(weights)]
+    found = counts.select("kind", "key", *named).where(F.coalesce(*[f"w{i}" for i in range(len(named))]).isNotNull()).orderBy("kind", "key").collect()
+    made = []
+    for i in range(len(named)):
+        some = [(r.kind, bytes(r.key), r[f"w{i}"]) for r in found if r[f"w{i}"] is not None]
+        words = {k.decode(errors="replace"): w for kind, k, w in some if not kind}
+        made.append(Lexicon({w: 2.0 for w in INSULTS} | words, {k: w for kind, k, w in some if kind}))
+    return made
+
+
+def fit(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, fold: np.ndarray | None = None, weight: np.ndarray | None = None) -> Model:
+    """Trees on features ``x`` (made by lexicons that do not know the text's fold)."""
     if len(y) < 40 or y.sum() in (0, len(y)):
         return Model(lexicon, None, None)
-    fold = np.arange(len(y)) % 4
+    fold = np.arange(len(y)) % FOLDS if fold is None else fold
     out = np.zeros(len(y))
-    for k in range(4):
+    for k in np.unique(fold):
         rest = fold != k
         out[~rest] = Trees().fit(x[rest], y[rest]).score(x[~rest])
-    return Model(lexicon, Trees().fit(x, y), isotonic(out, y.astype(float)))
+    return Model(lexicon, Trees().fit(x, y), isotonic(out, y.astype(float), weight))
 
 
 def _remainder(n: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def _sample(known: DataFrame, of: dict[int, int]) -> DataFrame:
+    """``TRAIN_ROWS`` rows by hash: each class in proportion, but the rarer one at
+    least ``CLASS_ROWS`` if it has as many."""
+    total = sum(of.values())
+    least = {c: min(n, CLASS_ROWS, TRAIN_ROWS // 2) for c, n in of.items()}
+    take = {c: min(n, max(least[c], min(TRAIN_ROWS * n // max(total, 1) + 1, TRAIN_ROWS - sum(v for k, v in least.items() if k != c)))) for c, n in of.items()}
+    out = None
+    for c, n in sorted(take.items()):
+        part = known.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(n)
+        out = part if out is None else out.unionByName(part)
+    return known.limit(0) if out is None else out
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """From the labels of rows that are not held out; of equal texts one counts.
     Executors count words and make features of whole texts, the driver gets a
     row of numbers a text."""
     known = labels.where((_remainder(5) != 0) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    sample = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", F.desc("toxic")).limit(TRAIN_ROWS)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"))
+    of = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(_sample(known, of)), "doc_id")
     texts = rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("h").alias("h")).orderBy("h", F.xxhash64("text")).limit(4 * TRAIN_ROWS)
     texts = runtime.stored(texts.repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism), "h"), "toxic-sample")
-    sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    words, stems = learned_words(texts, sizes.get(1, 0), sizes.get(0, 0))
-    lexicon = Lexicon({w: 2.0 for w in INSULTS} | words, stems)
+    whole, *others = lexicons(texts)
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 250):
                 part = b.slice(a, 250)
-                x = features(part.column("text"), lexicon)
-                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["h", "toxic", "x"])
+                of_row = np.array([_fold(h) for h in part.column("h").to_pylist()], int)
+                for k in np.unique(of_row):
+                    own = part.filter(pa.array(of_row == k))
+                    x = features(own.column("text"), others[k])
+                    yield pa.RecordBatch.from_arrays([own.column("h"), own.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["h", "toxic", "x"])
 
     found = sorted((r.h, r.toxic, r.x) for r in texts.mapInArrow(run, "h long, toxic int, x array<double>").collect())
     runtime.drop_stored(texts)
-    return fit(np.array([r[2] for r in found], float), np.array([r[1] for r in found], int), lexicon)
+    y = np.array([r[1] for r in found], int)
+    # Among all labelled rows a class may be rarer than in the sample.
+    share = {c: (of.get(c, 0) / max(sum(of.values()), 1)) / max((y == c).mean(), 1e-9) if len(y) else 1.0 for c in (0, 1)}
+    return fit(np.array([r[2] for r in found], float), y, whole, np.array([_fold(r[0]) for r in found], int), np.array([share[c] for c in y], float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

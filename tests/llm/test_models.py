@@ -77,6 +77,71 @@ def test_toxicity_cases(spark):
     assert tx.score(df.limit(0), tx.train(df.limit(0), labels.limit(0))).collect() == []
 
 
+def test_trees_split_like_brute_force():
+    """A tree's first split has the greatest gain of all splits on the bins."""
+    rng = np.random.default_rng(1)
+    x = np.round(rng.random((300, 4)) * 8)
+    y = ((x[:, 2] > 3) ^ (rng.random(300) < 0.1)).astype(float)
+    t = tx.Trees().fit(x, y)
+    p = y.mean()
+    base = np.log((p + 1e-3) / (1 - p + 1e-3))
+    q = 1 / (1 + np.exp(-base))
+    g, h = y - q, np.full(len(y), q * (1 - q))
+    gains = {(j, c): g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1) for j in range(4) for c in np.unique(x[:, j])[:-1] if (m := x[:, j] <= c).any()}
+    j, c = max(gains, key=gains.get)
+    root = t.trees[0]
+    left = t._bin(x)[:, root[0]] <= root[1]
+    assert root[0] == j == 2 and (left == (x[:, j] <= c)).all()
+    leaf = lambda m: g[m].sum() / (h[m].sum() + 1)
+    one = tx.Trees()
+    one.cuts = t.cuts
+    tree = one._grow(t._bin(x), g, h, np.arange(len(y)), 1)
+    assert abs(tree[2] - leaf(left)) < 1e-9 and abs(tree[3] - leaf(~left)) < 1e-9
+
+
+def test_kernel_ridge_is_exact(spark):
+    """With every training text a landmark the weights solve the weighted ridge problem."""
+    texts = [f"the end of {w}" for w in ("all", "it", "this")] + [f"und das {w}" for w in ("ende", "wort", "haus")]
+    bits = [np.packbits(li.presence([t] * 3).astype(bool)).reshape(-1).tobytes() for t in texts]
+    model = li.fit(list(zip(["en"] * 3 + ["de"] * 3, bits)))
+    sets = [set(np.flatnonzero(r)) for r in li.presence(texts)]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    order = [3, 4, 5, 0, 1, 2]  # landmarks by language
+    assert np.allclose(li._kernel(li.presence(texts), model.landmarks), k[:, order], atol=1e-5)
+    value, vector = np.linalg.eigh(k[np.ix_(order, order)])
+    phi = np.c_[k[:, order] @ (vector / np.sqrt(np.maximum(value, 1e-6))), np.ones(6)]
+    y = np.array([[0, 1]] * 3 + [[1, 0]] * 3, float)
+    w = np.linalg.solve(3 * phi.T @ phi + li.RIDGE * np.eye(7) * 18 / 1000, 3 * phi.T @ y)
+    assert np.allclose(np.c_[k[:, order], np.ones(6)] @ model.weights, phi @ w, atol=1e-3)
+    assert model.predict(["the all", "das haus"])[0] == ["en", "de"]
+
+
+def test_lexicons_do_not_see_their_fold(spark):
+    rows = [(f"w{i} plain text {'vile' if i % 2 else 'kind'} only{i % 4}", i % 2, (i % tx.FOLDS) << 7) for i in range(400)]
+    rows += [(f"marker{i} odd", 1, 2 << 7) for i in range(30)] + [(f"marker odd{i}", 1, 2 << 7) for i in range(30)]
+    whole, *others = tx.lexicons(spark.createDataFrame(rows, "text string, toxic int, h long"))
+    weigh = lambda lex, w: lex.weigh(tx.hash_one([w.encode()]))[0]
+    assert weigh(whole, "vile") > 0 == weigh(whole, "kind") and weigh(whole, "marker") > 0
+    assert [weigh(x, "marker") > 0 for x in others] == [True, True, False, True]
+    assert [tx._fold(h) for _, _, h in rows[:4]] == [0, 1, 2, 3]
+
+
+def test_rare_class(spark):
+    """One toxic row in 200: enough of them are learned from, and scores stay calibrated."""
+    rnd = np.random.default_rng(5)
+    word = lambda: f"w{rnd.integers(900)}"
+    rows = [(i, " ".join([word() for _ in range(30)] + (["scorn", "wretch"] if i % 100 == 0 else []))) for i in range(24000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 200 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    known = labels.select("doc_id", "toxic", tx.F.xxhash64("doc_id").alias("h"))
+    got = {r.toxic: r.n for r in tx._sample(known, {0: 23880, 1: 120}).groupBy("toxic").agg(tx.F.count("*").alias("n")).collect()}
+    assert got[1] == 120 and 4800 < got[0] <= 5000
+    model = tx.train(docs, labels)
+    s = model.score(pa.array([t for _, t in rows[:4000]]))
+    hot = np.arange(4000) % 100 == 0
+    assert 0.3 < s[hot].mean() < 0.7 and s[~hot].mean() < 0.02  # half of the marked texts are toxic
+
+
 def test_features_and_isotonic():
     lex = tx.Lexicon({"idiot": 2.0}, {"vilest".encode()[:5]: 1.5})
     x = tx.features(pa.array(["you idiot", "idiot " + "a " * 20 + "you", "YOU 1d1ot", "vilester", None]), lex)
