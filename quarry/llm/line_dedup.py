@@ -172,12 +172,13 @@ def hot_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 1) -> Da
     return hot
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 1) -> DataFrame:
-    """``docs`` with text without its hot lines, n_lines and n_dropped (a column of
-    one of these names is replaced)."""
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 1, report: bool = True) -> DataFrame:
+    """``docs`` with text without its hot lines, and with ``report`` n_lines and
+    n_dropped (a column of one of these names is replaced)."""
     hot = hot_lines(docs, min_docs, batches)
     own, text_, kept_, hot_ = runtime.free(docs, "_row", "_text", "_kept", "_hot")
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    names = [c for c in docs.columns if not report or c.lower() not in ("n_lines", "n_dropped")]
+    n_lines = "n_lines" if report else runtime.free(docs, "_n_lines")[0]
     docs = docs.select(*names)
     # A row's identity is its content: equal rows get equal answers.
     row = F.xxhash64(F.col("doc_id"), F.xxhash64("text"))
@@ -188,9 +189,10 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 1) -> D
     all_ = lines(F.col("text"))
     clean = F.filter(all_, lambda x: ~F.array_contains(F.col(hot_), hashed(key(x))))
     kept = F.when(F.col(hot_).isNull(), all_).otherwise(clean)
-    out = joined.select(*[c for c in names if c.lower() != "text"], F.col("text").alias(text_), kept.alias(kept_), F.size(all_).cast("long").alias("n_lines"))
+    out = joined.select(*[c for c in names if c.lower() != "text"], F.col("text").alias(text_), kept.alias(kept_), F.size(all_).cast("long").alias(n_lines))
     text = F.when(F.col(text_).isNull(), F.col(text_)).otherwise(F.array_join(kept_, "\n"))
-    return out.select(*[text.alias(c) if c.lower() == "text" else F.col(c) for c in names], "n_lines", (F.col("n_lines") - F.size(kept_)).alias("n_dropped"))
+    counts = [F.col(n_lines), (F.col(n_lines) - F.size(kept_)).alias("n_dropped")] if report else []
+    return out.select(*[text.alias(c) if c.lower() == "text" else F.col(c) for c in names], *counts)
 
 
 def _among(found: DataFrame, hot: DataFrame) -> DataFrame:

@@ -251,6 +251,12 @@ def test_lines_with_clashing_names(spark):
     assert [(r.text, r._row, r._text, r._kept, r._hot, r.h, r.n_lines, r.n_dropped) for r in got] == [(f"own {i}", "r", "t", "k", "h", "A", 2, 1) for i in range(12)]
 
 
+def test_lines_without_report(spark):
+    df = spark.createDataFrame([(i, f"hot\nown {i}", "mine", 7) for i in range(12)], "doc_id long, text string, n_lines string, n_dropped int")
+    got = ld.drop_lines(df, report=False)
+    assert got.columns == df.columns and {(r.text[:3], r.n_lines, r.n_dropped) for r in got.collect()} == {("own", "mine", 7)}
+
+
 def test_many_hot_lines(spark, monkeypatch):
     rows = [(i, "\n".join(["top"] + [f"l{(i + k) % 60}" for k in range(20)] + [f"own {i}"])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
