@@ -17,13 +17,14 @@ document's words has an edit distance to it of at most n / 5.
    Once a run at distance d is known, regions with fewer shared q-grams than a run
    at distance d needs are left out: none of them is as close.
 
-Words are lower-cased runs of letters and digits. The benchmark is read in
-blocks of at most ``ITEMS`` items, each broadcast; the documents pass each block.
+Words are lower-cased runs of letters and digits. The benchmark's different items
+are read in blocks of about ``ITEMS`` items and ``ITEM_BYTES`` of text, each
+broadcast; the documents pass each block.
 
 Defined results: items without words match nothing; null and empty texts hold
 nothing; of several runs the closest, then first, is reported; a repeated item
-or document row is reported once for each; a null doc_id or item_id is kept;
-other columns are ignored. Empty tables give an empty result.
+or document row is reported once for each; a null doc_id or item_id is kept; very
+long texts are searched whole; other columns are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from .words import NON_ALNUM, hash_words, window_hashes, words_of
 
 DISTANCE = 0.2
 WALKS, TABLES, SAMPLED = 4, 24, 3
-ITEMS = 20_000
+ITEMS, ITEM_BYTES = 20_000, 32 << 20
 _SLOTS = 1 << 20
 
 
@@ -193,17 +194,25 @@ def search(item: np.ndarray, text: np.ndarray, whole: bool = False) -> tuple[int
     return best
 
 
+def _blocks(benchmark: DataFrame):
+    """Broadcast indexes of the different items, and how often each item stands in
+    the benchmark."""
+    items = benchmark.groupBy(F.col("item_id").cast("long").alias("item_id"), "text").agg(F.count(F.lit(1)).alias("copies"))
+    items = runtime.stored(items, "items")
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, -(-size.n // ITEMS), -(-(size.bytes or 0) // ITEM_BYTES))
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        rows = part.collect()  # about a block
+        yield benchmark.sparkSession.sparkContext.broadcast((Index([r.item_id for r in rows], [r.text for r in rows]), [r.copies for r in rows]))
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, distance): one row for each item that
     a document holds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // ITEMS))
     found = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = part.collect()  # about ITEMS rows at most
-        held = docs.sparkSession.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    for held in _blocks(benchmark):
         here = docs.mapInArrow(_finder(held), "doc_id long, item_id long, first_word long, n_words long, distance long")
         found = here if found is None else found.unionByName(here)
     return found
@@ -211,12 +220,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _finder(held):
     def run(batches):
+        index, copies = held.value
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
-                got = held.value.find(part.column("text"))
+                got = [g for g in index.find(part.column("text")) for _ in range(copies[g[1]])]
                 ids = part.column("doc_id").to_pylist()
-                cols = [[ids[g[0]] for g in got], [held.value.ids[g[1]] for g in got], *[[g[k] for g in got] for k in (2, 3, 4)]]
+                cols = [[ids[g[0]] for g in got], [index.ids[g[1]] for g in got], *[[g[k] for g in got] for k in (2, 3, 4)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "first_word", "n_words", "distance"])
 
     return run
@@ -224,18 +234,14 @@ def _finder(held):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold an item; decided where the row is read."""
-    items = benchmark.select("item_id", "text")
-    blocks = max(1, -(-items.count() // ITEMS))
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = part.collect()
-        held = docs.sparkSession.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    for held in _blocks(benchmark):
 
         def run(batches, held=held):
+            index, _ = held.value
             for b in batches:
                 for a in range(0, b.num_rows, 1024):
                     part = b.slice(a, 1024)
-                    hit = {g[0] for g in held.value.find(part.column("text"))}
+                    hit = {g[0] for g in index.find(part.column("text"))}
                     yield part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -186,3 +187,37 @@ def test_long_items_and_cut_starts(spark):
     got = {(r.doc_id, r.item_id): r for r in de.find_items(df, bench).collect()}
     assert want | {(1, 100)} == set(got) and (got[1, 100].distance, got[1, 100].n_words) == (1, 100)
     assert de.remove_contaminated(df, bench).count() == 0
+
+
+def test_all_against_all(spark, monkeypatch):
+    """Every pair of a text and an item by the distance table: nothing is lost, and
+    nothing else is found, in any number of blocks."""
+    rnd = random.Random(12)
+    word = lambda: f"v{rnd.randrange(25)}"
+    items = [(i, " ".join(word() for _ in range(rnd.choice([1, 2, 4, 5, 7, 10, 11, 15, 24, 40])))) for i in range(40)] + [(3, "v1 v2 v3 v4 v5")] * 3
+    docs = []
+    for k in range(120):
+        x = items[rnd.randrange(40)][1].split()
+        for _ in range(rnd.randrange(1 + len(x) // 4)):
+            p, op = rnd.randrange(len(x)), rnd.randrange(3)
+            x[p : p + 1] = [[], [word()], [x[p], word()]][op]
+            x = x or [word()]
+        docs.append((k, " ".join([word() for _ in range(rnd.randrange(15))] + x + [word() for _ in range(rnd.randrange(15))])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = Counter()
+    for k, text in docs:
+        t = text.split()
+        for i, it in items:
+            x = it.split()
+            # The least distance of the item to any run of the text.
+            d = [0] * (len(t) + 1)
+            for r, w in enumerate(x, 1):
+                last, d[0] = d[0], r
+                for j, y in enumerate(t, 1):
+                    last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (w != y))
+            if 5 * min(d) <= len(x):
+                want[k, i, min(d)] += 1
+    for limit in (20_000, 9):
+        monkeypatch.setattr(de, "ITEMS", limit)
+        assert Counter((r.doc_id, r.item_id, r.distance) for r in de.find_items(df, bench).collect()) == want
+    assert sum(want.values()) > 300
