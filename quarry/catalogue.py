@@ -657,6 +657,17 @@ def _(t):
     return S.prompt_context(S.rerank(hits(t), threshold=0.05), asked).select("query_id", "domain", (F.col("context") == S.NO_CONTEXT).alias("empty"))
 
 
+_LOGIT = "CASE WHEN length(r1.text) % 3 > 0 THEN (length(r1.text) % 90) / 10.0 - 6 END"
+
+
+@query("m7_cross_encoder", f"WITH {CH}, {BM}, {SEM}, {FUSED}, {RR.replace('$T', '-5.0').replace('r2 AS (SELECT *,', 'e1 AS (SELECT * REPLACE (coalesce(CAST(' + _LOGIT + ' AS DOUBLE), rerank_score) AS rerank_score) FROM r1), r2 AS (SELECT *,').replace('FROM r1),' + chr(10) + 'rr', 'FROM e1),' + chr(10) + 'rr')} SELECT query_id, domain, chunk_id, rerank_score, rerank_rank FROM rr")
+def _(t):
+    def encoder(query, text):
+        return F.when(F.length(text) % 3 > 0, (F.length(text) % 90) / 10.0 - 6)
+
+    return S.rerank(hits(t), threshold=-5.0, encoder=encoder).select("query_id", "domain", "chunk_id", "rerank_score", "rerank_rank")
+
+
 # ---------------------------------------------------------------- routing and answers
 
 _LOW = "lower(text)"

@@ -19,6 +19,7 @@ TOP_K, RERANK_K, THRESHOLD, OVERFETCH = 8, 5, 0.20, 3
 BROADCAST_ROWS = 200_000
 #: Queries of a block: their vectors are collected and broadcast.
 QUERY_BLOCK = 2000
+SCORED_ROWS = 2048
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -99,25 +100,25 @@ def _products(held, k: int | None):
     def run(batches):
         asked, domains_of = held.value
         kept: dict[tuple, tuple] = {}  # (domain, query) -> ids, scores
-        for b in batches:
-            b = b.filter(b.column("vector").is_valid())
-            if not b.num_rows:
-                continue
-            v = b.column("vector")
-            v = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-            s = np.round(v @ asked.T, 6)
-            ids = np.array(b.column("chunk_id").to_pylist(), object)
-            names = np.array(["" if d is None else d for d in b.column("domain").to_pylist()], object)
-            for d in dict.fromkeys(names):
-                at = np.flatnonzero(names == d)
-                for q in range(len(asked)):
-                    if domains_of is not None and d not in domains_of[q]:
-                        continue
-                    i, x = ids[at], s[at, q]
-                    if (d, q) in kept:
-                        i, x = np.concatenate([kept[d, q][0], i]), np.concatenate([kept[d, q][1], x])
-                    top = _best(i, x, k)
-                    kept[d, q] = i[top], x[top]
+        for batch in batches:
+            batch = batch.filter(batch.column("vector").is_valid())
+            # Slices, so that the table of scores stays small.
+            for b in (batch.slice(a, SCORED_ROWS) for a in range(0, batch.num_rows, SCORED_ROWS)):
+                v = b.column("vector")
+                v = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                s = np.round(v @ asked.T, 6)
+                ids = np.array(b.column("chunk_id").to_pylist(), object)
+                names = np.array(b.column("domain").to_pylist(), object)
+                for d in dict.fromkeys(names):
+                    at = np.flatnonzero(names == d)
+                    for q in range(len(asked)):
+                        if domains_of is not None and d not in domains_of[q]:
+                            continue
+                        i, x = ids[at], s[at, q]
+                        if (d, q) in kept:
+                            i, x = np.concatenate([kept[d, q][0], i]), np.concatenate([kept[d, q][1], x])
+                        top = _best(i, x, k)
+                        kept[d, q] = i[top], x[top]
         if kept:
             n = [len(i) for i, _ in kept.values()]
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,29 @@ def create_all(spark, folder: str) -> None:
         (w.partitionBy(PARTITIONS[name]) if name in PARTITIONS else w).parquet(f"{folder}/{name}")
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` in place of the table at ``path``, from which it may read: a full
+    copy is made first and then swapped in by renames, so that an error on the way
+    leaves the old rows. One table at a time; Parquet has no wider transactions."""
+    spark = df.sparkSession
+    new, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
+    at, to, away = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new)
+    except Exception:
+        fs.delete(to, True)
+        raise
+    there = fs.exists(at)
+    if there and not fs.rename(at, away):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(to, at):
+        if there:
+            fs.rename(away, at)
+        raise OSError(f"cannot replace {path}")
+    fs.delete(away, True)
+
+
 def require_role(messages: DataFrame, roles: tuple = ("user", "assistant")) -> DataFrame:
     """``messages``, with an error at the first row that breaks the constraint."""
     ok = F.col("role").isin(*roles)

@@ -72,3 +72,36 @@ def test_file_kinds(spark, tmp_path):
     found = files.in_order(files.scan(spark, str(tmp_path))).collect()
     assert [r.source_file.rsplit("/", 1)[1] for r in found] == ["k.pdf", "b.TXT", "z.txt", "a.md", "e.docx"]
     assert files.segments_of("e.docx", b"broken") == []
+
+
+def test_pdf_pages(monkeypatch):
+    """With a parser: numbered pages, blank ones left out; a broken file has none."""
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            return self.text
+
+    class Reader:
+        def __init__(self, data):
+            if data.read() == b"broken":
+                raise ValueError("no PDF")
+            self.pages = [Page("first"), Page(" "), Page(None), Page("last")]
+
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=Reader))
+    assert files.segments_of("x.PDF", b"fine") == [("first", 1), ("last", 4)]
+    assert files.segments_of("x.pdf", b"broken") == []
+
+
+def test_replace_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.replace_table(spark.range(3), path)
+    store.replace_table(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    with pytest.raises(Exception):
+        store.replace_table(spark.range(2).select(F.raise_error(F.lit("stop"))), path)
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
