@@ -5,16 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.sources.scratch import clear, drop_stored, mark, shared_dir, stored, table_path  # noqa: F401
 
 
-def text_bytes(docs: DataFrame, column: str = "text") -> int:
-    """Bytes of all texts: one narrow pass, for sizing blocks."""
-    return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
-
-
 def block_count(n_bytes: int, per_block: int) -> int:
     return max(1, math.ceil(n_bytes / per_block))
 

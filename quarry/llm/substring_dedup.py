@@ -4,7 +4,9 @@ Nodes are runs of k - 1 words, edges runs of k words. An edge that starts in
 several documents is repeated; its source is the smallest doc_id it starts in.
 The steps:
 
-1. Documents are dealt by doc_id into blocks of bounded bytes. Each block sends
+1. Documents are dealt by doc_id into blocks of bounded bytes; the rows of one
+   doc_id that fills blocks by itself, and those without a doc_id, are dealt over
+   several by their texts. Each block sends
    its distinct edges (hashes, each with its smallest document in the block) to
    partitions of the edge space: at most one entry a block for any edge, so an
    edge that a third of all documents hold costs no task more than the number
@@ -195,7 +197,7 @@ def _verify(k: int, mask: int):
                     break
             else:
                 out.append(r)
-        return pa.Table.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64())]))
+        return pa.Table.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("digest", pa.binary())]))
 
     return verify
 
@@ -244,46 +246,91 @@ def _only(keyed: DataFrame, blocks: int, ids: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(ids), "doc_id", "left_semi").select("block", "doc_id", "text").repartition(blocks, "block")
 
 
-def block_of(column: str, blocks: int):
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(blocks))
-
-
-def repeated_paths(docs: DataFrame, k: int = 13, block_bytes: int = BLOCK_BYTES, mask: int = ALL_BITS) -> tuple[DataFrame, DataFrame, int]:
+class _Deal:
+    """Which block holds a row: by doc_id, and by text for the rows of ``heavy`` ids
+    (doc_id, deals), each of which fills several blocks."""
+
+    def __init__(self, docs: DataFrame, block_bytes: int):
+        size = docs.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"))
+        most = F.max(F.when(F.col("doc_id").isNotNull(), F.col("n")))
+        r = size.agg(F.sum("n").alias("n"), most.alias("most")).first()
+        self.blocks = runtime.block_count(r.n or 0, block_bytes)
+        self.heavy = None
+        if (r.most or 0) > 2 * block_bytes:  # fewer ids than half the blocks
+            some = size.where(F.col("doc_id").isNotNull() & (F.col("n") > 2 * block_bytes))
+            self.heavy = runtime.stored(some.select("doc_id", F.ceil(F.col("n") / block_bytes).cast("long").alias("deals")), "heavy")
+            if self.heavy.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+                self.heavy = F.broadcast(self.heavy)
+
+    def _block(self, column: str, salt):
+        return F.pmod(F.xxhash64(F.col(column), salt), F.lit(self.blocks))
+
+    def rows(self, docs: DataFrame) -> DataFrame:
+        """(block, doc_id, text)"""
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        deals = F.lit(1)
+        if self.heavy is not None:
+            docs, deals = docs.join(self.heavy, "doc_id", "left"), F.coalesce("deals", F.lit(1))
+        salt = F.pmod(F.xxhash64("text"), F.when(F.col("doc_id").isNull(), F.lit(self.blocks)).otherwise(deals))
+        return docs.select(self._block("doc_id", salt).alias("block"), "doc_id", "text")
+
+    def ask(self, rows: DataFrame, column: str) -> DataFrame:
+        """``rows`` with the block that holds the document named in ``column``: one
+        row for each block of a heavy one."""
+        salt = F.lit(0).cast("long")
+        if self.heavy is not None:
+            held = self.heavy.select(F.col("doc_id").alias("_id"), F.col("deals").alias("_deals"))
+            rows = rows.join(held, F.col(column) == F.col("_id"), "left")
+            rows = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_deals", F.lit(1)) - 1)))
+            salt = F.col("_salt")
+        return rows.withColumn("block", self._block(column, salt)).drop("_id", "_deals", "_salt").repartition(self.blocks, "block")
+
+    def none(self, failed: DataFrame, column: str) -> DataFrame:
+        """Of rows that failed in a block those that failed in all they were asked in."""
+        if self.heavy is None:
+            return failed
+        held = self.heavy.select(F.col("doc_id").alias(column), F.col("deals").alias("_deals"))
+        times = failed.groupBy(*failed.columns).agg(F.count(F.lit(1)).alias("_n")).join(held, column, "left")
+        return times.where(F.col("_n") >= F.coalesce("_deals", F.lit(1))).select(*failed.columns)
+
+
+def repeated_paths(docs: DataFrame, k: int = 13, block_bytes: int = BLOCK_BYTES, mask: int = ALL_BITS) -> tuple[DataFrame, DataFrame, _Deal]:
     """One row a document (doc_id, n_words, n_removed, kept_sha256, paths), stored;
-    the documents with their blocks; the number of blocks. Not verified yet."""
+    the documents with their blocks; the deal. Not verified yet."""
     spark = docs.sparkSession
-    blocks = runtime.block_count(runtime.text_bytes(docs), block_bytes)
-    parts = max(blocks // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = keyed.repartition(blocks, "block")
+    deal = _Deal(docs, block_bytes)
+    parts = max(deal.blocks // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = deal.rows(docs)
+    dealt = keyed.repartition(deal.blocks, "block")
     edges = dealt.groupBy("block").applyInArrow(_send(k, parts, mask), _EDGES)
     answers = edges.repartition(parts, "part").groupBy("part").applyInArrow(_answer, _ANSWERS)
-    found = dealt.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(_compact(k, parts, mask), _PATHS)
-    return runtime.stored(found, "paths"), keyed, blocks
+    found = dealt.groupBy("block").cogroup(answers.repartition(deal.blocks, "block").groupBy("block")).applyInArrow(_compact(k, parts, mask), _PATHS)
+    return runtime.stored(found, "paths"), keyed, deal
 
 
 def dedup_substrings(docs: DataFrame, k: int = 13, block_bytes: int = BLOCK_BYTES, mask: int = ALL_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and paths (start, n edges, source)
     of every document, after the paths' verification. ``mask`` keeps some bits of
     the edges' hashes only, for tests of collisions."""
-    found, keyed, blocks = repeated_paths(docs, k, block_bytes, mask)
+    found, keyed, deal = repeated_paths(docs, k, block_bytes, mask)
     path = found.select("doc_id", F.explode("paths").alias("p")).select("doc_id", "p.*")
 
     def at(df: DataFrame, column: str):
-        return df.withColumn("block", block_of(column, blocks)).repartition(blocks, "block").groupBy("block")
+        return deal.ask(df, column).groupBy("block")
 
     asked = path.groupBy("source", "edge", "digest", "n").agg(F.min(F.struct("doc_id", "start")).alias("d")).select("source", "edge", "digest", "n", "d.*")
-    open_ = runtime.stored(_only(keyed, blocks, path.select("source")).groupBy("block").cogroup(at(asked, "source")).applyInArrow(_verify(k, mask), "doc_id long, start int, n int, source long"), "open")
+    failed = _only(keyed, deal.blocks, path.select("source")).groupBy("block").cogroup(at(asked, "source")).applyInArrow(_verify(k, mask), "doc_id long, start int, n int, source long, digest binary")
+    again = runtime.stored(deal.none(failed, "source"), "open")
     result = found
-    if not open_.isEmpty():
-        again = open_.join(path.select("doc_id", "start", "n", "source", "digest"), ["doc_id", "start", "n", "source"])
-        side = _only(keyed, blocks, again.select("doc_id").union(again.select("source"))).groupBy("block")
-        spelt = side.cogroup(at(again, "doc_id")).applyInArrow(_spell(k), _SPELT)
-        hidden = runtime.stored(side.cogroup(at(spelt, "source")).applyInArrow(_verify_edges(k), _SPELT), "hidden")
+    if not again.isEmpty():
+        side = _only(keyed, deal.blocks, again.select("doc_id").union(again.select("source"))).groupBy("block")
+        spelt = side.cogroup(at(again, "doc_id")).applyInArrow(_spell(k), _SPELT).dropDuplicates(["doc_id", "source", "digest", "o"])
+        lacking = side.cogroup(at(spelt, "source")).applyInArrow(_verify_edges(k), _SPELT)
+        hidden = runtime.stored(deal.none(lacking, "source"), "hidden")
         if not hidden.isEmpty():
             wrong = runtime.stored(_not_repeated(docs, hidden, k), "wrong")
             if not wrong.isEmpty():
-                result = _without(found, keyed, blocks, wrong, k)
+                result = _without(found, keyed, deal, wrong, k)
     return result
 
 
@@ -315,11 +362,11 @@ def _not_repeated(docs: DataFrame, hidden: DataFrame, k: int) -> DataFrame:
     return hidden.join(least.groupBy("words").agg(F.min("least").alias("least")), "words").where("least >= doc_id").select("doc_id", "source", "digest", "o")
 
 
-def _without(found, keyed, blocks, wrong, k) -> DataFrame:
+def _without(found, keyed, deal, wrong, k) -> DataFrame:
     """The documents with false edges done again without these. Only the smallest
     document with such an edge has it wrong: larger ones repeat that document's."""
     bad = wrong.groupBy("doc_id").agg(F.collect_set(F.struct("source", "digest", "o")).alias("w"))
-    todo = found.join(bad, "doc_id").select("doc_id", "n_words", "paths", "w", block_of("doc_id", blocks).alias("block"))
+    todo = found.join(bad, "doc_id").select("doc_id", "n_words", "paths", "w")
 
     def redo(key, docs, asked):
         by: dict = {}
@@ -345,7 +392,7 @@ def _without(found, keyed, blocks, wrong, k) -> DataFrame:
                 out.append(_result(i, words, gone) | {"paths": r["paths"]})
         return pa.Table.from_pylist(out, _schema())
 
-    redone = keyed.repartition(blocks, "block").groupBy("block").cogroup(todo.repartition(blocks, "block").groupBy("block")).applyInArrow(redo, _PATHS)
+    redone = keyed.repartition(deal.blocks, "block").groupBy("block").cogroup(deal.ask(todo, "doc_id").groupBy("block")).applyInArrow(redo, _PATHS)
     return found.join(bad, "doc_id", "left_anti").unionByName(redone)
 
 

@@ -54,6 +54,18 @@ def test_collisions_are_found(spark):
         assert run(spark, rows, k=3, mask=mask, block_bytes=400) == brute(rows, 3)
 
 
+def test_hot_ids(spark):
+    """One id, and the null id, with a third of all rows each: dealt over blocks."""
+    rnd = random.Random(5)
+    text = lambda: " ".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(40)))
+    rows = [(i, text(), "", "") for i in range(60)] + [(7, text(), "", "") for _ in range(60)] + [(None, text(), "", "") for _ in range(60)]
+    deal = sd._Deal(spark.createDataFrame(rows, SCHEMA), 500)
+    held = deal.rows(spark.createDataFrame(rows, SCHEMA)).groupBy("doc_id").agg({"block": "count"}).collect()
+    assert deal.heavy.count() == 1 and len(held) == 61
+    for mask in (15, sd.ALL_BITS):
+        assert run(spark, rows, k=4, mask=mask, block_bytes=500) == brute(rows, 4)
+
+
 def test_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
