@@ -138,7 +138,9 @@ def score(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("real", "")).cast("long").alias("chars"),
         F.length(F.array_join(F.filter("good", lambda x: x.rlike(WORD)), "")).cast("long").alias("left"),
         F.when(~F.col("none"), F.array_join("good", "\n")).alias("clean_text"),
-        repeated_starts(*(F.col(c) for c in ("w", "s", "sl", "bits", "low"))).alias("p"),
+        # Always true, but a filter on the result is not moved below it, where all of this
+        # would be put into its condition and made again for each element.
+        F.when(F.spark_partition_id() >= 0, repeated_starts(*(F.col(c) for c in ("w", "s", "sl", "bits", "low")))).alias("p"),
     )
     base = base.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",

@@ -207,6 +207,13 @@ def test_quality_lines(spark):
     assert got[1].lost_share == got[2].lost_share == 1 and got[0].lost_share == 0 and not (got[1].base_failed or got[2].base_failed)
 
 
+def test_quality_filters_stay_above(spark):
+    """A filter on the verdict does not take the lambdas into its condition."""
+    plan = qu.score(frame(spark, ["a b c"])).where("kept AND lost_share < 0.3")._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.split("\n") if "Filter " in x)
+    assert "xxhash64" not in line and "split(" not in line
+
+
 def line_key(x):
     return re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\f\r"))
 
