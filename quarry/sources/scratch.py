@@ -71,18 +71,14 @@ def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) ->
     made[since:] = [p for p in made[since:] if p.rsplit("/", 1)[-1] in held]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where the input has fewer parts than these, as a
-    small table in one row group does. Inputs of many parts are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = sum(_size(df.sparkSession, f) for f in df.inputFiles()[:cores])
-    return df.repartition(cores) if 0 < size < SPREAD_BYTES * cores else df
-
-
-#: Files below this size a core are dealt out.
+#: Inputs below this size a core are dealt out.
 SPREAD_BYTES = 32 << 20
 
 
-def _size(spark: SparkSession, file: str) -> int:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the input is small and may lie in fewer parts
+    than these, as a table in one row group does. Large inputs are not shuffled: the
+    planner's estimate of their size decides, without listing their files here."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
