@@ -8,12 +8,15 @@ children, labels judged outcomes, events scores and times.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import jsonx, text as T
 from quarry.operators import answers as A, clients as C, evaluation as E, reports as P, routing as R, search as S
-from quarry.sources import scratch, store
+from quarry.sources import files as L, scratch, store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -211,6 +214,15 @@ def _(t):
     return t("events").select("event_id", T.exact_round(v, 2).alias("r"))
 
 
+@query("t22_sizes_and_escapes", """SELECT o_orderkey, CASE WHEN b < 1024 THEN concat(b, ' B') WHEN b < 1048576 THEN concat((b * 10 + 512) // 1024 // 10, '.', (b * 10 + 512) // 1024 % 10, ' KB') ELSE concat((b * 10 + 524288) // 1048576 // 10, '.', (b * 10 + 524288) // 1048576 % 10, ' MB') END AS size,
+ CASE WHEN b < 1024 THEN concat(b, ' B') WHEN b < 1048576 THEN concat((b + 512) // 1024, ' KB') ELSE concat((b * 10 + 524288) // 1048576 // 10, '.', (b * 10 + 524288) // 1048576 % 10, ' MB') END AS size_short,
+ concat('&lt;b a=&quot;', o_orderstatus, '&quot;&gt; &amp;amp; ', o_orderpriority) AS html FROM (SELECT *, (o_orderkey * o_orderkey * 7)::BIGINT AS b FROM orders)""")
+def _(t):
+    b = F.col("o_orderkey").cast("long") * F.col("o_orderkey") * 7
+    html = F.concat(F.lit('<b a="'), "o_orderstatus", F.lit('"> &amp; '), "o_orderpriority")
+    return t("orders").select("o_orderkey", T.size_label(b).alias("size"), T.size_label(b, 0).alias("size_short"), T.escape_html(html).alias("html"))
+
+
 @query("t23_bands", "SELECT event_id, " + ", ".join(f"CASE WHEN value / 100 >= {h} THEN 'good' WHEN value / 100 >= {w} THEN 'fair' ELSE 'poor' END AS {n}" for n, (h, w) in T.BANDS.items()) + " FROM events")
 def _(t):
     return t("events").select("event_id", *[T.band_of(n, F.col("value") / 100).alias(n) for n in T.BANDS])
@@ -438,6 +450,71 @@ def _(t):
     return n[0].unionByName(n[1])
 
 
+@query("w12_csv_sink", "SELECT doc_id, source, md5(nullif(text, '')) AS text_md5 FROM documents")
+def _(t):
+    d = t("documents").select("doc_id", "source", "text")
+    path = scratch.table_path(d.sparkSession, "csv")
+    store.write_csv(d, path)
+    return store.read_csv(d.sparkSession, path, "doc_id long, source string, text string").select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
+@query("w13_create_all", """SELECT name AS tbl, n_columns, CASE WHEN name = 'chat_sessions' THEN (SELECT count(*) FROM nation) ELSE 0 END AS n_rows FROM (VALUES
+ ('self_study_sessions', 6), ('self_study_documents', 7), ('self_study_chunks', 8), ('self_study_messages', 7), ('chat_sessions', 5), ('chat_messages', 9), ('uploaded_documents', 7), ('document_chunks', 8)) v(name, n_columns)""")
+def _(t):
+    old = t("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("s").alias("session_id"), F.col("n_name").alias("title"), *[F.lit(None).cast("timestamp").alias(c) for c in ("created_at", "updated_at")])
+    spark = old.sparkSession
+    folder = scratch.table_path(spark, "store")
+    store.create_all(spark, folder)
+    old.write.mode("append").parquet(f"{folder}/chat_sessions")
+    store.create_all(spark, folder)
+    tables = {name: store.read_table(spark, folder, name) for name in store.SCHEMAS}
+    out = [x.agg(F.lit(n).alias("tbl"), F.lit(len(x.columns)).alias("n_columns"), F.count(F.lit(1)).alias("n_rows")) for n, x in tables.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("w14_replace_table", "SELECT o_orderkey, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderstatus <> 'F'")
+def _(t):
+    o = t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path = scratch.table_path(o.sparkSession, "orders")
+    store.replace_table(o, path)
+    now = o.sparkSession.read.parquet(path)
+    store.replace_table(now.where("o_orderstatus <> 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1), path)
+    return o.sparkSession.read.parquet(path).select("o_orderkey", "o_totalprice")
+
+
+@query("s1_s5_s9_text_folder", "SELECT md5(concat(text, chr(10))) AS text_md5, strlen(text) + 1 AS size_bytes, '.txt' AS extension, true AS whole FROM benchmark")
+def _(t):
+    b = t("benchmark").select("text")
+    spark = b.sparkSession
+    folder = scratch.table_path(spark, "folder")
+    b.write.option("maxRecordsPerFile", 1).text(folder, lineSep="\n")
+    found = L.scan(spark, folder)
+    names = L.listing(found).withColumnRenamed("name", "at")
+    read = L.segments(found, "D").select(T.basename(F.col("source_file")).alias("at"), "text", F.isnull("page").alias("whole"))
+    # Name by name, as the texts and the sizes come from two readers.
+    return names.join(read, "at").select(F.md5("text").alias("text_md5"), "size_bytes", "extension", "whole")
+
+
+#: Characters that XML cannot hold, and line ends that its readers change.
+_NOT_XML = r"[\x00-\x08\x0b-\x1f]"
+
+
+def _made_files(batches):
+    """Documents as files of the kind that their names say."""
+    for b in batches:
+        data = [L.docx_of(x) if n.endswith(".docx") else x.encode() for n, x in zip(b.column("source_file").to_pylist(), b.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("source_file"), pa.array(data, pa.binary())], ["source_file", "content"])
+
+
+@query("s3_s4_formats", rf"""SELECT concat('doc_', doc_id, ['.txt', '.MD', '.docx', '.csv'][doc_id % 4 + 1]) AS source_file, md5(c) AS text_md5, true AS whole
+ FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_NOT_XML}', '', 'g') AS c FROM documents) WHERE doc_id % 4 < 2 OR (doc_id % 4 = 2 AND regexp_matches(c, '[^\s\p{{Z}}\x{{85}}]'))""")
+def _(t):
+    kind = F.element_at(F.array(*[F.lit(x) for x in (".txt", ".MD", ".docx", ".csv")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = t("documents").select(F.concat(F.lit("doc_"), "doc_id", kind).alias("source_file"), F.regexp_replace(F.coalesce("text", F.lit("")), _NOT_XML, "").alias("text"))
+    made = d.mapInArrow(_made_files, "source_file string, content binary")
+    return L.segments(made, "D").select("source_file", F.md5("text").alias("text_md5"), F.isnull("page").alias("whole"))
+
+
 @query("s6_domain_scan", "SELECT doc_id, source FROM documents WHERE lang = 'fr' ORDER BY doc_id")
 def _(t):
     return store.chunks_of(t("documents"), "lang", "fr", "doc_id").select("doc_id", "source")

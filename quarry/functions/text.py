@@ -42,6 +42,21 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
+def size_label(n_bytes: Column, kb_digits: int = 1) -> Column:
+    """B, KB or MB, halves rounded up."""
+    kb, mb = n_bytes / 1024, n_bytes / (1 << 20)
+    some = F.when(n_bytes < 1024, F.concat(n_bytes.cast("string"), F.lit(" B"))).when(n_bytes < 1 << 20, F.format_string(f"%.{kb_digits}f KB", kb))
+    return some.otherwise(F.format_string("%.1f MB", mb))
+
+
+def escape_html(text: Column) -> Column:
+    """Text for a page; null is empty."""
+    out = F.coalesce(text, F.lit(""))
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(char), F.lit(entity))
+    return out
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"(\.[^.]+)$", 1))
 

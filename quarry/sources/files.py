@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,15 @@ def _docx(data: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in root.iter(f"{_W}p"))
 
 
+def docx_of(text: str) -> bytes:
+    """A file of one paragraph a line, as ``_docx`` reads it."""
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return data.getvalue()
+
+
 def _pdf(data: bytes) -> list[tuple[str, int]]:
     try:
         from pypdf import PdfReader

@@ -27,6 +27,12 @@ def create_all(spark, folder: str) -> None:
         (w.partitionBy(PARTITIONS[name]) if name in PARTITIONS else w).parquet(f"{folder}/{name}")
 
 
+def read_table(spark, folder: str, name: str) -> DataFrame:
+    """A table with its columns in order, also while it has no file."""
+    columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}").select(*columns)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Write ``df`` in place of the table at ``path``, from which it may read: a full
     copy is made first and then swapped in by renames, so that an error on the way
@@ -197,5 +203,14 @@ def last_n(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
-    """CSV with a header; ``files`` 1 makes one file of a report that fits a task."""
-    (df.coalesce(files) if files else df).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header: quotes doubled, blanks kept, null as nothing between commas.
+    ``files`` 1 makes one file of a report that fits a task."""
+    out = (df.coalesce(files) if files else df).write.mode("overwrite").option("header", True)
+    for side in ("Leading", "Trailing"):
+        out = out.option(f"ignore{side}WhiteSpace", False)
+    out.option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_csv(spark, path: str, schema: str) -> DataFrame:
+    """What ``write_csv`` wrote."""
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
