@@ -495,6 +495,15 @@ def _(t):
     return names.join(read, "at").select(F.md5("text").alias("text_md5"), "size_bytes", "extension", "whole")
 
 
+@query("s11_served_files", """SELECT concat(CASE WHEN n_regionkey = 1 THEN 'a/' WHEN n_regionkey = 2 THEN '..\\' ELSE '' END, n_name) AS name, CASE WHEN n_regionkey IN (1, 2) THEN 403 WHEN n_nationkey % 2 = 1 THEN 404 ELSE 200 END AS status,
+ CASE WHEN n_regionkey NOT IN (1, 2) AND n_nationkey % 2 = 0 THEN concat('/kb/', n_name) END AS source_file FROM nation""")
+def _(t):
+    n = t("nation")
+    way = F.when(F.col("n_regionkey") == 1, "a/").when(F.col("n_regionkey") == 2, "..\\").otherwise("")
+    held = n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("/kb/"), "n_name").alias("source_file"))
+    return L.served(n.select(F.concat(way, "n_name").alias("name")), held)
+
+
 #: Characters that XML cannot hold, and line ends that its readers change.
 _NOT_XML = r"[\x00-\x08\x0b-\x1f]"
 
@@ -642,6 +651,19 @@ def _(t):
     return S.bm25_stats(chunks(t))[1].groupBy("domain").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("df").alias("postings"), F.round(F.min("idf"), 6).alias("min_idf"), F.round(F.max("idf"), 6).alias("max_idf"))
 
 
+@query("c7_index_registry", f"WITH {CH} SELECT domain, count(*) AS n, max(CASE WHEN domain = 'fr' THEN 2 ELSE 1 END) AS made FROM ch GROUP BY domain")
+def _(t):
+    ch, held, made = chunks(t), S.Indexes(), []
+
+    def of(domain):
+        return held.of(domain, lambda: made.append(domain) or ch.where(F.col("domain") == domain))
+
+    of("fr")
+    held.evict("fr")
+    found = [of(d) for _ in range(2) for d in KEYWORDS][: len(KEYWORDS)]
+    return reduce(DataFrame.unionByName, [x.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.lit(made.count(d)).alias("made")) for d, x in zip(KEYWORDS, found)])
+
+
 @query("m1_bm25_topk", f"WITH {CH}, {BM} SELECT query_id, domain, chunk_id, score, rank FROM bm WHERE rank <= 8")
 def _(t):
     return S.bm25(benchmark(t), chunks(t), S.TOP_K)
@@ -967,6 +989,13 @@ def _(t):
     return j.select("item_id", E.containment(F.col("text"), F.col("other")).alias("faithfulness"))
 
 
+@query("m13_latency", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE round((event_id % 1000) * 1.75::DOUBLE, 1) END::DOUBLE AS latency_ms FROM events")
+def _(t):
+    took = F.make_dt_interval(secs=((F.col("event_id") % 1000) * 1750 / 1000000).cast("decimal(18,6)"))
+    end = F.when(F.col("event_id") % 5 > 0, F.col("ts") + took)
+    return t("events").select("event_id", E.latency_ms(F.col("ts"), end).alias("latency_ms"))
+
+
 @query("m12_quality_floor", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 <> 0 THEN greatest(value / 100, 0.75) ELSE value / 100 END AS quality FROM events")
 def _(t):
     said = F.when(F.col("event_id") % 3 == 0, "I Cannot Find it").otherwise("here")

@@ -79,6 +79,11 @@ def judged_excerpt(answer: Column, texts: Column) -> tuple[Column, Column]:
     return F.substring(answer, 1, 2000), F.array_join(F.transform(F.slice(texts, 1, 8), lambda x: F.substring(x, 1, 1500)), "\n---\n")
 
 
+def latency_ms(start: Column, end: Column) -> Column:
+    """Wall clock between two timestamps, to a tenth; 0 where one is missing."""
+    return F.coalesce(F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000, 1), F.lit(0.0))
+
+
 def relevance(query_vector: Column, head_vector: Column) -> Column:
     """Cosine of the question and the answer's head (see ``head``), at least 0; 0
     where either could not be embedded."""

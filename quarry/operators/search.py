@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +38,24 @@ def index(chunks: DataFrame) -> DataFrame:
     return scratch.stored(made.withColumn("dl", F.size("tokens")), "index")
 
 
+class Indexes:
+    """Indexes by name (a domain, a session), each made when it is first asked for
+    and kept until it is evicted."""
+
+    def __init__(self) -> None:
+        self._held: dict[str, DataFrame] = {}
+
+    def of(self, name: str, chunks: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._held:
+            self._held[name] = index(chunks())
+        return self._held[name]
+
+    def evict(self, name: str) -> None:
+        """Forget an index and remove its table; an unknown name is none."""
+        if name in self._held:
+            scratch.drop_stored(self._held.pop(name))
+
+
 def bm25_stats(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (domain, chunk_id, text) or an index of it: per domain n and avgdl; per
     domain and token df and idf. A negative idf becomes EPSILON times the domain's

@@ -82,6 +82,18 @@ def listing(files: DataFrame) -> DataFrame:
     return files.select(T.basename(F.col("source_file")).alias("name"), "size_bytes", "extension").orderBy(F.lower("name"))
 
 
+def served(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, status, source_file) of requested names: only plain names of scanned
+    files are served. A name with a folder in it is refused (403), one that no file
+    has is unknown (404); of several files of a name the first is served."""
+    plain = (T.basename(F.col("name")) == F.col("name")) & ~F.col("name").isin("", ".", "..") & ~F.contains("name", F.lit("\\"))
+    asked = requests.select("name", F.coalesce(plain, F.lit(False)).alias("plain"))
+    known = files.groupBy(T.basename(F.col("source_file")).alias("name")).agg(F.min("source_file").alias("source_file"))
+    both = asked.join(known, "name", "left")
+    status = F.when(~F.col("plain"), 403).when(F.col("source_file").isNull(), 404).otherwise(200)
+    return both.select("name", status.alias("status"), F.when(F.col("plain"), F.col("source_file")).alias("source_file"))
+
+
 def segments(files: DataFrame, domain: str) -> DataFrame:
     """(domain, source_file, page, text) of scanned files."""
 

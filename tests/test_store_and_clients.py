@@ -105,3 +105,31 @@ def test_replace_table(spark, tmp_path):
     with pytest.raises(Exception):
         store.replace_table(spark.range(2).select(F.raise_error(F.lit("stop"))), path)
     assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_served_names(spark):
+    held = spark.createDataFrame([("/kb/a.txt",), ("/other/a.txt",)], "source_file string")
+    asked = spark.createDataFrame([("a.txt",), ("../a.txt",), ("..",), ("",), (None,), ("b.txt",)], "name string")
+    got = {r.name: (r.status, r.source_file) for r in files.served(asked, held).collect()}
+    assert got == {"a.txt": (200, "/kb/a.txt"), "../a.txt": (403, None), "..": (403, None), "": (403, None), None: (403, None), "b.txt": (404, None)}
+
+
+def test_csv_keeps_blanks_and_quotes(spark, tmp_path):
+    rows = [(1, ' a "b", c '), (2, "x\ny\r\nz"), (3, None)]
+    store.write_csv(spark.createDataFrame(rows, "k int, v string"), str(tmp_path / "csv"), 1)
+    assert sorted(tuple(r) for r in store.read_csv(spark, str(tmp_path / "csv"), "k int, v string").collect()) == rows
+
+
+def test_sizes_and_escapes(spark):
+    got = spark.createDataFrame([(1023, None), (1280, '<"&">'), (3 << 20, "")], "n long, v string").select(T.size_label(F.col("n")), T.size_label(F.col("n"), 0), T.escape_html(F.col("v")))
+    assert [tuple(r) for r in got.collect()] == [("1023 B", "1023 B", ""), ("1.3 KB", "1 KB", "&lt;&quot;&amp;&quot;&gt;"), ("3.0 MB", "3.0 MB", "")]
+
+
+def test_indexes_are_made_once(spark):
+    held, made = S.Indexes(), []
+    chunks = spark.createDataFrame([("d", "c1", "some words")], "domain string, chunk_id string, text string")
+    for _ in range(2):
+        assert held.of("d", lambda: made.append(1) or chunks).count() == 1
+    held.evict("d")
+    held.evict("none")
+    assert made == [1] and held.of("d", lambda: made.append(2) or chunks).count() == 1 and made == [1, 2]
