@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,13 +63,17 @@ def _kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (x @ landmarks) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
 
+def has_language(text: str | None) -> bool:
+    return bool(text and _LETTER.search(text))
+
+
 class Model:
     def __init__(self, langs: list[str], landmarks: np.ndarray, weights: np.ndarray):
         self.langs, self.landmarks, self.weights = langs, landmarks, weights
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        seen = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.langs else []
+        seen = [i for i, t in enumerate(texts) if has_language(t)] if self.langs else []
         for a in range(0, len(seen), 128):
             at = seen[a : a + 128]
             k = _kernel(presence([texts[i] for i in at]), self.landmarks)
@@ -163,20 +168,33 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def reject_unknown(docs: DataFrame) -> DataFrame:
-    """The documents with a language, all columns as they were; null texts and texts
-    without letters go. These are the texts that a model calls ``und``, so that no
-    model and no label is needed."""
+def reject_unknown(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents with a language, all columns as they were, but that ``model``
+    predicts a ``lang`` (of strings) that is null. Null texts and texts without letters
+    go: these are ``und``. A model without languages rejects the same and predicts
+    nothing."""
+    fill = bool(model.langs) and "lang" in docs.columns and docs.schema["lang"].dataType == T.StringType()
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
-                yield part.filter(pa.array([bool(t and _LETTER.search(t)) for t in part.column("text").to_pylist()], pa.bool_()))
+                part = part.filter(pa.array([has_language(t) for t in part.column("text").to_pylist()], pa.bool_()))
+                if fill:
+                    part = _filled(part, held.value)
+                yield part
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def _filled(rows: pa.RecordBatch, model: Model) -> pa.RecordBatch:
+    at = rows.schema.get_field_index("lang")
+    field, none = rows.schema.field(at), rows.column(at).is_null()
+    pred, _ = model.predict(rows.column("text").filter(none).to_pylist())
+    return rows.set_column(at, field, pc.replace_with_mask(rows.column(at), none, pa.array(pred, field.type)))
+
+
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = runtime.read(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), train(docs))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from quarry.llm import language_id as li
@@ -25,18 +26,30 @@ def test_language_cases(spark):
     model = li.train(df)
     got = li.identify(df, model).collect()
     assert len(got) == 21 and [r.lang_pred for r in got[:3]] == ["und"] * 3 and got[3].lang_pred == "en"
-    kept = li.reject_unknown(df)
+    kept = li.reject_unknown(df, model)
     assert kept.columns == df.columns and kept.count() == 15 and kept.first().score == 1.0
+    assert {r.doc_id: r.lang for r in kept.collect()}[None] == "en"
     assert li.identify(df.limit(0), li.train(df.limit(0))).collect() == []
     assert {r.lang_pred for r in li.identify(df, li.fit([])).collect()} == {"und"}
 
 
 def test_unknown_without_labels(spark):
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate([None, "", "12 ;\n", "the end", "é", "1 und"])], "doc_id long, text string, lang string")
-    assert sorted(r.doc_id for r in li.reject_unknown(df).collect()) == [3, 4, 5]
+    assert sorted(r.doc_id for r in li.reject_unknown(df, li.fit([])).collect()) == [3, 4, 5]
     assert sorted(r.doc_id for r in cp.language(spark, df, None).collect()) == [3, 4, 5]
 
 
+def test_missing_languages_are_predicted(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    true = {r.doc_id: r.lang for r in docs.collect()}
+    got = cp.language(spark, some, SF).collect()
+    assert all(r.lang == true[r.doc_id] for r in got if r.doc_id % 3)
+    assert np.mean([r.lang == true[r.doc_id] for r in got if r.doc_id % 3 == 0]) > 0.95
+    dated = some.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))  # no strings: left alone
+    assert {r.lang is None for r in li.reject_unknown(dated, li.train(some)).collect() if r.doc_id % 3 == 0} == {True}
+
+
 def test_many_languages(spark):
     word = lambda k, i: "".join(chr(0x4E00 + 40 * k + (i * j) % 40) for j in (1, 3, 7))
     rows = [(100 * k + i, " ".join(word(k, i + j) for j in range(12)), f"l{k}") for k in range(70) for i in range(90 if k else 900)]
