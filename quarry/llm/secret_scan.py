@@ -302,12 +302,11 @@ def learn(spans: DataFrame, alpha: float = ALPHA) -> dict[str, dict]:
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         kind, strings = rows["kind"].iloc[0], rows["value"].tolist()
-        if len(strings) < MIN_LABELLED:
-            return pd.DataFrame({"kind": [], "model": []})
-        return pd.DataFrame({"kind": [kind], "model": [pickle.dumps(infer(strings, alpha))]})
+        model = infer(strings, alpha) if len(strings) >= MIN_LABELLED else None
+        return pd.DataFrame({"kind": [kind], "model": [pickle.dumps(model)]})
 
     models = sample(spans).groupBy("kind").applyInPandas(one, "kind string, model binary").collect()  # a few of bounded size
-    found = {r.kind: pickle.loads(bytes(r.model)) for r in models}
+    found = {r.kind: m for r in models if (m := pickle.loads(bytes(r.model)))}
     return found if "" in found else {}
 
 
