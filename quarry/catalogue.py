@@ -29,10 +29,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Tables:
+    """The test tables by name, and their search index."""
+
+    #: (application, folder) and the stored chunks and index of the last folder asked for.
+    _last: tuple | None = None
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    def corpus(self) -> tuple[DataFrame, S.TextIndex]:
+        """The corpus' chunks with terms, and their postings: made once a session, as
+        users of a search index do, and replaced when another folder is asked for."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if Tables._last is None or Tables._last[0] != key:
+            if Tables._last is not None and Tables._last[0][0] == key[0]:
+                for t in [Tables._last[1], *Tables._last[2].tables()]:
+                    scratch.drop_stored(t)
+            Tables._last = None
+            ch = S.index(chunks(self))
+            held = S.TextIndex.of(ch)
+            held.stats()
+            scratch.hold(ch, *held.tables())
+            Tables._last = (key, ch, held)
+        return Tables._last[1:]
+
+
 def query(name: str, sql: str | None):
     def add(f):
         def run(spark, sf_dir):
-            return f(lambda t: table(spark, sf_dir, t))
+            return f(Tables(spark, sf_dir))
 
         QUERIES[name] = run
         if sql:
@@ -61,7 +90,7 @@ def chunks(t) -> DataFrame:
 
 
 def indexed(t) -> DataFrame:
-    return S.index(chunks(t))
+    return t.corpus()[0]
 
 
 CH = rf"""d AS (SELECT doc_id, lang AS domain, concat(source, '/doc_', doc_id, '.txt') AS source_file, {_WORDS} AS w FROM documents),
@@ -113,9 +142,9 @@ def vectors(t, ch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hits(t) -> DataFrame:
-    ch = indexed(t)
+    ch, held = t.corpus()
     qv, cv = vectors(t, ch)
-    return S.hybrid(benchmark(t), qv, ch, cv)
+    return S.hybrid(benchmark(t), qv, ch, cv, held=held)
 
 
 # ---------------------------------------------------------------- text
@@ -648,7 +677,7 @@ def _(t):
 
 @query("a4_bm25_stats", f"WITH {CH}, {BM} SELECT domain, count(*) AS n_tokens, sum(df)::BIGINT AS postings, round(min(idf), 6) AS min_idf, round(max(idf), 6) AS max_idf FROM idf GROUP BY domain")
 def _(t):
-    return S.bm25_stats(chunks(t))[1].groupBy("domain").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("df").alias("postings"), F.round(F.min("idf"), 6).alias("min_idf"), F.round(F.max("idf"), 6).alias("max_idf"))
+    return S.bm25_stats(indexed(t))[1].groupBy("domain").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("df").alias("postings"), F.round(F.min("idf"), 6).alias("min_idf"), F.round(F.max("idf"), 6).alias("max_idf"))
 
 
 @query("c7_index_registry", f"WITH {CH} SELECT domain, count(*) AS n, max(CASE WHEN domain = 'fr' THEN 2 ELSE 1 END) AS made FROM ch GROUP BY domain")
@@ -666,7 +695,28 @@ def _(t):
 
 @query("m1_bm25_topk", f"WITH {CH}, {BM} SELECT query_id, domain, chunk_id, score, rank FROM bm WHERE rank <= 8")
 def _(t):
-    return S.bm25(benchmark(t), chunks(t), S.TOP_K)
+    return S.keyword_search(benchmark(t), t.corpus()[1], S.TOP_K)
+
+
+@query("m1_bm25_scan", f"WITH {CH}, {BM} SELECT query_id, domain, chunk_id, score, rank FROM bm WHERE rank <= 8")
+def _(t):
+    return S.bm25(benchmark(t), indexed(t), S.TOP_K)
+
+
+_EDITED = "(SELECT * REPLACE (CASE WHEN doc_id % 5 = 1 THEN concat(text, ' neu ', doc_id) ELSE text END AS text) FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query("w3_w10_index_upkeep", f"WITH {CH.replace('FROM documents', 'FROM ' + _EDITED + ' documents')}, {BM} SELECT query_id, domain, chunk_id, score, rank FROM bm WHERE rank <= 8")
+def _(t):
+    """Four documents of five are indexed; then the fifth is added, one in five is
+    replaced by a changed text, and one in seven is removed."""
+    ch, i = indexed(t), F.col("doc_id")
+    held = S.TextIndex.of(ch.where(i % 5 != 0))
+    held.add(ch.where(i % 5 == 0))
+    changed = files(t).where(i % 5 == 1).withColumn("text", F.concat("text", F.lit(" neu "), "doc_id"))
+    held.add(S.index(T.chunks(scratch.spread(changed))))
+    held.remove(ch.where(i % 7 == 0))
+    return S.keyword_search(benchmark(t), held, S.TOP_K)
 
 
 @query("m2_cosine_topk", """WITH s AS (SELECT q.vec_id AS query_id, concat('L', v.label % 2) AS domain, printf('%06d', v.vec_id) AS chunk_id, round(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda x: x[1] * x[2])), 6) AS score
@@ -684,8 +734,8 @@ def _(t):
 
 @query("m5_overlap", f"WITH {CH}, {BM}, x AS (SELECT query_id, domain, chunk_id, b.text AS query, ch.text FROM bm JOIN ch USING (domain, chunk_id) JOIN benchmark b ON item_id = query_id WHERE rank <= 3), y AS (SELECT *, list_distinct({tok('query')}) AS q, list_distinct({tok('text')}) AS c FROM x) SELECT query_id, domain, chunk_id, round({OVERLAP}, 6) AS overlap FROM y")
 def _(t):
-    c = indexed(t)
-    top = S.bm25(benchmark(t), c, 3).join(c.select("domain", "chunk_id", "text"), ["domain", "chunk_id"]).join(S.small(benchmark(t)), "query_id")
+    c, held = t.corpus()
+    top = c.select("domain", "chunk_id", "text").join(S.small(S.keyword_search(benchmark(t), held, 3)), ["domain", "chunk_id"]).join(S.small(benchmark(t)), "query_id")
     return top.select("query_id", "domain", "chunk_id", F.round(S.overlap(F.col("query"), F.col("text")), 6).alias("overlap"))
 
 
@@ -711,10 +761,10 @@ fr AS (SELECT arm, query_id, domain, chunk_id, score, row_number() OVER (PARTITI
 
 
 def _filtered(t, names, strict):
-    ch = indexed(t)
+    ch, held = t.corpus()
     qv, cv = vectors(t, ch)
     q = benchmark(t)
-    return S.hybrid(q, qv, ch, cv, files=q.select("query_id", names.alias("names")), strict=strict).select("query_id", "domain", "chunk_id", "semantic_score", "bm25_score", "rrf", "rank")
+    return S.hybrid(q, qv, ch, cv, held=held, files=q.select("query_id", names.alias("names")), strict=strict).select("query_id", "domain", "chunk_id", "semantic_score", "bm25_score", "rrf", "rank")
 
 
 @query("f3_soft_filter", _arms("query_id % 3 > 0", "contains(source_file, CASE WHEN query_id % 3 = 1 THEN 'src1/' ELSE 'none' END)", "fits OR NOT any_fits"))
@@ -913,9 +963,9 @@ SELECT rt.query_id, CASE WHEN len(d) > 1 THEN 'multi' ELSE 'single' END AS inten
 def _(t):
     from quarry.plans import hybrid
 
-    ch = indexed(t)
+    ch, held = t.corpus()
     qv, cv = vectors(t, ch)
-    return hybrid.answer(benchmark(t), qv, ch, cv, KEYWORDS).select("query_id", "intent_type", F.array_join("domains", ",").alias("domains"), "n_used", "early")
+    return hybrid.answer(benchmark(t), qv, ch, cv, KEYWORDS, held=held).select("query_id", "intent_type", F.array_join("domains", ",").alias("domains"), "n_used", "early")
 
 
 @query("c18_study_pipeline", f"""WITH {CH.replace('lang AS domain', chr(39) + 'S' + chr(39) + ' AS domain')}, {BM}, {SEM}, fc AS (SELECT query_id, domain, chunk_id, score, rank, 's' AS arm FROM sem UNION ALL SELECT query_id, domain, chunk_id, score, rank, 'k' FROM bm),
@@ -1017,6 +1067,6 @@ SELECT query_id, domain, chunk_id, semantic_score, bm25_score, rrf, rerank_score
 def _(t):
     from quarry.plans import hybrid
 
-    ch = indexed(t)
+    ch, held = t.corpus()
     qv, cv = vectors(t, ch)
-    return hybrid.evidence(benchmark(t), qv, ch, cv, KEYWORDS).select("query_id", "domain", "chunk_id", "semantic_score", "bm25_score", "rrf", "rerank_score", "rerank_rank")
+    return hybrid.evidence(benchmark(t), qv, ch, cv, KEYWORDS, held=held).select("query_id", "domain", "chunk_id", "semantic_score", "bm25_score", "rrf", "rerank_score", "rerank_rank")

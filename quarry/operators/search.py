@@ -6,36 +6,33 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.postings import BROADCAST_ROWS, EPSILON, TextIndex, gain, idf_of, small, terms  # noqa: F401
 from quarry.sources import scratch
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 SEMANTIC, KEYWORD, RRF_K = 0.60, 0.40, 60
 RRF_WEIGHT, OVERLAP_WEIGHT = 0.60, 0.40
 BONUS, BONUS_CAP, BONUS_CHARS = 0.05, 0.20, 4
 TOP_K, RERANK_K, THRESHOLD, OVERFETCH = 8, 5, 0.20, 3
-#: Rows of a query side that may be broadcast.
-BROADCAST_ROWS = 200_000
 #: Queries of a block: their vectors are collected and broadcast.
 QUERY_BLOCK = 2000
 SCORED_ROWS = 2048
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast after a count of its rows; else joined by shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+#: Hits that a task gathers before it cuts them to the k best.
+HELD_HITS = 500_000
 
 
 def index(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with their tokens and number of tokens (dl), stored: each text is
-    made and tokenised once, and every reader takes only the columns it needs."""
-    if {"tokens", "dl"} <= set(chunks.columns):
+    """``chunks`` with their terms (token, f) and number of tokens (dl), stored: each
+    text is made and tokenised once, and every reader takes only the columns it needs."""
+    if {"terms", "dl"} <= set(chunks.columns):
         return chunks
-    made = chunks.withColumn("tokens", T.tokens(F.col("text")))
-    return scratch.stored(made.withColumn("dl", F.size("tokens")), "index")
+    counted = terms(T.tokens(F.col("text")))
+    made = chunks.withColumn("terms", counted).withColumn("dl", F.aggregate("terms", F.lit(0), lambda n, x: n + x["f"]))
+    return scratch.stored(made, "index")
 
 
 class Indexes:
@@ -58,22 +55,18 @@ class Indexes:
 
 def bm25_stats(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (domain, chunk_id, text) or an index of it: per domain n and avgdl; per
-    domain and token df and idf. A negative idf becomes EPSILON times the domain's
-    mean idf."""
+    domain and token df and idf."""
     t = index(chunks)
     corpus = t.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = t.select("domain", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("domain", "token").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(corpus, "domain").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = scratch.stored(raw.select("domain", "token", "df", "raw"), "idf")
-    mean = raw.groupBy("domain").agg(F.avg("raw").alias("mean"))
-    idf = raw.join(mean, "domain").select("domain", "token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return corpus, idf
+    df = t.select("domain", F.explode("terms.token").alias("token")).groupBy("domain", "token").agg(F.count(F.lit(1)).alias("df"))
+    return corpus, idf_of(corpus, df)
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int | None, wanted: DataFrame | None = None) -> DataFrame:
     """(query_id, domain, chunk_id, score, rank) for (query_id, query): the k best
     of each domain with a positive score; with ``wanted`` (query_id, domain) only
-    of these pairs. Tokens that no query has are dropped before any shuffle."""
+    of these pairs. Scores every chunk that has an asked token, without postings:
+    for chunks that are searched once, and to compare with."""
     chunks = index(chunks)
     corpus, idf = bm25_stats(chunks)
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qf"))
@@ -82,16 +75,17 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int | None, wanted: DataFrame
     on = ["token"] if wanted is None else ["domain", "token"]
     # What a question's token is worth in each domain: the only side that is broadcast.
     worth = scratch.stored(asked.join(idf, on).join(corpus, "domain").select("domain", "token", "query_id", "qf", "idf", "avgdl"), "asked")
-    some = small(worth.select("domain", "token").distinct())
-    words = chunks.select("domain", "chunk_id", "dl", F.explode("tokens").alias("token")).join(some, ["domain", "token"], "left_semi")
-    # Dealt by chunk once: neither the counts nor the scores are shuffled again.
-    tf = words.repartition("domain", "chunk_id").groupBy("domain", "chunk_id", "dl", "token").agg(F.count(F.lit(1)).alias("f"))
-    gain = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    part = tf.join(small(worth), ["domain", "token"]).select("query_id", "domain", "chunk_id", (F.col("qf") * gain).alias("gain"))
+    tf = chunks.select("domain", "chunk_id", "dl", F.explode("terms").alias("t")).select("domain", "chunk_id", "dl", "t.token", "t.f")
+    part = tf.join(small(worth), ["domain", "token"]).select("query_id", "domain", "chunk_id", (F.col("qf") * F.col("idf") * gain(F.col("f"), F.col("dl"), F.col("avgdl"))).alias("gain"))
     scores = part.groupBy("query_id", "domain", "chunk_id").agg(F.round(F.sum("gain"), 6).alias("score")).where("score > 0")
     return ranked(scores, k)
 
 
+def keyword_search(queries: DataFrame, held: TextIndex, k: int | None, wanted: DataFrame | None = None) -> DataFrame:
+    """As ``bm25``, from a stored index."""
+    return ranked(held.search(queries, k, wanted), k)
+
+
 def ranked(scores: DataFrame, k: int | None) -> DataFrame:
     w = Window.partitionBy("query_id", "domain").orderBy(F.desc("score"), "chunk_id")
     out = scores.withColumn("rank", F.row_number().over(w))
@@ -102,24 +96,38 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int | None) -> np.ndarray:
-    """Places of the k highest scores, of equal ones those with the smallest ids."""
-    if k is None or len(scores) <= k:
-        return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-    above, ties = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
-    if len(above) + len(ties) > k:
-        ties = ties[np.argsort(ids[ties], kind="stable")[: k - len(above)]]
-    return np.concatenate([above, ties])
+def _kept(q: np.ndarray, d: np.ndarray, ids: pa.Array, x: np.ndarray, k: int | None):
+    """Of hits (question, domain, id, score) the k best of each question and domain."""
+    if k is None or not len(q):
+        return q, d, ids, x
+    rank = np.empty(len(ids), np.int64)
+    rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    order = np.lexsort((rank, -x, d, q))
+    q, d = q[order], d[order]
+    first = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (d[1:] != d[:-1])]))
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    keep = place < k
+    order = order[keep]
+    return q[keep], d[keep], ids.take(pa.array(order)), x[order]
 
 
 def _products(held, k: int | None):
-    """Scores of each batch as one matrix product; a partition keeps the k best of
-    each query and domain."""
+    """Scores of each batch as one matrix product. A slice gives the k best of each
+    question and domain by their thresholds, for all questions at once, and a task
+    keeps the k best of these; without k every slice goes on at once."""
 
     def run(batches):
         asked, domains_of = held.value
-        kept: dict[tuple, tuple] = {}  # (domain, query) -> ids, scores
+        names: list = []
+        kept, waiting, n = None, [], 0
+
+        def merged():
+            parts = ([kept] if kept else []) + waiting
+            return _kept(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)), pa.concat_arrays([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), k)
+
+        def rows(q, d, ids, x):
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(names, pa.string()).take(pa.array(d)), ids, pa.array(x, pa.float64())], ["q", "domain", "chunk_id", "score"])
+
         for batch in batches:
             batch = batch.filter(batch.column("vector").is_valid())
             # Slices, so that the table of scores stays small.
@@ -127,25 +135,30 @@ def _products(held, k: int | None):
                 v = b.column("vector")
                 v = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
                 s = np.round(v @ asked.T, 6)
-                ids = np.array(b.column("chunk_id").to_pylist(), object)
-                names = np.array(b.column("domain").to_pylist(), object)
-                for d in dict.fromkeys(names):
-                    at = np.flatnonzero(names == d)
-                    for q in range(len(asked)):
-                        if domains_of is not None and d not in domains_of[q]:
-                            continue
-                        i, x = ids[at], s[at, q]
-                        if (d, q) in kept:
-                            i, x = np.concatenate([kept[d, q][0], i]), np.concatenate([kept[d, q][1], x])
-                        top = _best(i, x, k)
-                        kept[d, q] = i[top], x[top]
-        if kept:
-            n = [len(i) for i, _ in kept.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([q for _, q in kept], n), pa.int64()), pa.array([d for (d, _), m in zip(kept, n) for _ in range(m)], pa.string()),
-                 pa.array([x for i, _ in kept.values() for x in i], pa.string()), pa.array(np.concatenate([x for _, x in kept.values()]), pa.float64())],
-                ["q", "domain", "chunk_id", "score"],
-            )
+                coded = b.column("domain").dictionary_encode()
+                code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                for j, name in enumerate(coded.dictionary.to_pylist()):
+                    at = np.flatnonzero(code == j)
+                    part = s[at]
+                    if domains_of is not None:
+                        part = np.where([name in x for x in domains_of], part, -np.inf)
+                    hit = part > -np.inf
+                    if k is not None and len(at) > k:
+                        hit &= part >= np.partition(part, len(at) - k, axis=0)[len(at) - k]
+                    row, q = np.nonzero(hit)
+                    if name not in names:
+                        names.append(name)
+                    found = q, np.full(len(q), names.index(name)), b.column("chunk_id").take(pa.array(at[row])), part[row, q]
+                    if k is None:
+                        yield rows(*found)
+                        continue
+                    found = _kept(*found, k)
+                    waiting.append(found)
+                    n += len(found[0])
+                    if n > HELD_HITS:
+                        kept, waiting, n = merged(), [], 0
+        if k is not None and (kept or waiting):
+            yield rows(*merged())
 
     return run
 
@@ -211,7 +224,8 @@ def filter_arms(semantic: DataFrame, keyword: DataFrame, files: DataFrame, chunk
     for, ranked again. ``files`` (query_id, names): a query without names keeps all.
     Unless ``strict``, so does a query and domain that no hit of either arm fits."""
     both = semantic.withColumn("arm", F.lit("s")).unionByName(keyword.withColumn("arm", F.lit("k")))
-    both = both.join(chunks.select("domain", "chunk_id", "source_file"), ["domain", "chunk_id"]).join(small(files), "query_id", "left")
+    both = scratch.stored(both, "both")
+    both = chunks.select("domain", "chunk_id", "source_file").join(small(both), ["domain", "chunk_id"]).join(small(files), "query_id", "left")
     asks = F.coalesce(F.size("names"), F.lit(0)) > 0
     fits = asks & matches(F.col("source_file"), F.col("names"))
     if strict:
@@ -284,21 +298,24 @@ def prompt_context(hits: DataFrame, asked: DataFrame | None = None) -> DataFrame
 
 def hybrid(
     queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = TOP_K, overfetch: int = OVERFETCH,
-    files: DataFrame | None = None, strict: bool = False, wanted: DataFrame | None = None,
+    files: DataFrame | None = None, strict: bool = False, wanted: DataFrame | None = None, held: TextIndex | None = None,
 ) -> DataFrame:
     """Both arms fused: the k best hits of each query and domain with query, text and
     file. ``files`` (query_id, names) asks for files (``filter_arms``), ``wanted``
-    (query_id, domain) for domains; neither is searched further than asked."""
-    chunks = index(chunks)
+    (query_id, domain) for domains; neither is searched further than asked. ``held``
+    is the chunks' stored index; without one they are indexed first."""
+    held = TextIndex.of(index(chunks)) if held is None else held
     plain = candidates(k, overfetch)
     n = candidates(k, overfetch, files is not None)
     if files is not None:
         files = scratch.stored(files.select("query_id", "names"), "files")
-    semantic, keyword = dense(query_vectors, vectors, n, wanted), bm25(queries, chunks, n, wanted)
+    semantic, keyword = dense(query_vectors, vectors, n, wanted), keyword_search(queries, held, n, wanted)
     if files is not None:
         # Only queries that ask for files fetch more.
         more = small(files.where(F.size("names") > 0).select("query_id", F.lit(True).alias("_more")))
         semantic, keyword = (arm.join(more, "query_id", "left").where(F.col("_more") | (F.col("rank") <= plain)).drop("_more") for arm in (semantic, keyword))
         semantic, keyword = filter_arms(semantic, keyword, files, chunks, strict)
-    hits = fuse(semantic, keyword, k)
-    return hits.join(chunks.select("domain", "chunk_id", "source_file", "text"), ["domain", "chunk_id"]).join(small(queries.select("query_id", "query")), "query_id")
+    hits = scratch.stored(fuse(semantic, keyword, k), "hits")
+    # Few hits are sent to the texts, which stay where they are.
+    texts = chunks.select("domain", "chunk_id", "source_file", "text").join(small(hits), ["domain", "chunk_id"])
+    return texts.join(small(queries.select("query_id", "query")), "query_id").select(*hits.columns, "source_file", "text", "query")

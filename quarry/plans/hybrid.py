@@ -13,13 +13,13 @@ from quarry.operators import search as S
 from quarry.sources import scratch
 
 
-def evidence(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, keywords: R.Keywords, threshold: float = S.THRESHOLD) -> DataFrame:
+def evidence(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, keywords: R.Keywords, threshold: float = S.THRESHOLD, held: S.TextIndex | None = None) -> DataFrame:
     """Reranked hits of each question in the domains that it is routed to."""
     wanted = R.searched(R.route(queries, keywords), keywords)
-    return S.rerank(S.hybrid(queries, query_vectors, chunks, vectors, wanted=wanted), threshold=threshold)
+    return S.rerank(S.hybrid(queries, query_vectors, chunks, vectors, wanted=wanted, held=held), threshold=threshold)
 
 
-def answer(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, keywords: R.Keywords, generate=A.extract, router=None, splitter=None, verifier=None, merge=None) -> DataFrame:
+def answer(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, keywords: R.Keywords, generate=A.extract, router=None, splitter=None, verifier=None, merge=None, held: S.TextIndex | None = None) -> DataFrame:
     """(query_id, intent_type, domains, answer, quality, n_used, early): the whole
     chat pipeline over all questions. ``router``, ``splitter`` and ``verifier`` are
     column functions that give a model's reply; without one, or where the reply is
@@ -32,7 +32,7 @@ def answer(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vect
     parts = R.split(go, keywords) if splitter is None else R.split_by(go, keywords, splitter(F.col("query")))
     asked = parts.groupBy("query_id", "domain").agg(F.min_by("question", "pos").alias("question"))
     asked = scratch.stored(asked, "parts")
-    hits = S.rerank(S.hybrid(queries, query_vectors, chunks, vectors, wanted=asked.select("query_id", "domain")))
+    hits = S.rerank(S.hybrid(queries, query_vectors, chunks, vectors, wanted=asked.select("query_id", "domain"), held=held))
     answers = scratch.stored(A.domain_answers(hits, generate, asked), "answers")
     said = A.synthesize(answers, go, merge)
     used = answers.groupBy("query_id").agg(F.sum("n_used").alias("n_used"))
@@ -44,13 +44,13 @@ def answer(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vect
     return done.unionByName(short)
 
 
-def study(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 8, files: DataFrame | None = None, encoder=None, generate=A.extract, verifier=None) -> DataFrame:
+def study(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 8, files: DataFrame | None = None, encoder=None, generate=A.extract, verifier=None, held: S.TextIndex | None = None) -> DataFrame:
     """(query_id, answer, quality, sources, n_used, stopped): the study pipeline over
     one session's chunks. No routing, six-fold candidates, the asked files strictly,
     a cross-encoder (or the keyword score) with a threshold of -5, and a verifier
     that only scores. A question without hits stops early and says why."""
     chunks = S.index(chunks)
-    hits = scratch.stored(S.hybrid(queries, query_vectors, chunks, vectors, k, 6, files, strict=True), "study")
+    hits = scratch.stored(S.hybrid(queries, query_vectors, chunks, vectors, k, 6, files, strict=True, held=held), "study")
     best = scratch.stored(S.rerank(hits, k=max(k, S.RERANK_K), threshold=-5.0, keep=0, encoder=encoder), "study-best")
     said = A.domain_answers(best, generate)
     chosen = queries.select("query_id", "query").withColumn("names", F.lit(None).cast("array<string>")) if files is None else queries.select("query_id", "query").join(files, "query_id", "left")

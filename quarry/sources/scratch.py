@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, list[str]] = {}
+_held: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,10 +50,22 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _table(df: DataFrame) -> str | None:
+    """The name of the stored table behind a frame."""
+    files = df.inputFiles()[:1]
+    return files[0].rsplit("/", 1)[0].rsplit("/", 1)[-1] if files else None
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove the table behind a frame that ``stored`` returned."""
     for file in df.inputFiles()[:1]:
         _delete(df.sparkSession, file.rsplit("/", 1)[0])
+        _held.discard(_table(df))
+
+
+def hold(*tables: DataFrame) -> None:
+    """``clear`` leaves these tables: they go with ``drop_stored`` only."""
+    _held.update(t for t in map(_table, tables) if t)
 
 
 def mark(spark: SparkSession) -> int:
@@ -62,9 +75,9 @@ def mark(spark: SparkSession) -> int:
 
 def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
     """Remove the session's tables, or those made ``since`` a mark, except the one
-    behind ``keep``: call it once the results that read them are written."""
+    behind ``keep`` and those on hold: call it once the results that read them are written."""
     made = _made.setdefault(spark.sparkContext.applicationId, [])
-    held = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in (keep.inputFiles()[:1] if keep is not None else [])}
+    held = _held | ({_table(keep)} if keep is not None else set())
     for path in made[since:]:
         if path.rsplit("/", 1)[-1] not in held:
             _delete(spark, path)
