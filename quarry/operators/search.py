@@ -247,12 +247,17 @@ def candidates(k: int, overfetch: int = OVERFETCH, filtered: bool = False) -> in
 def overlap(query: Column, text: Column) -> Column:
     """Jaccard of the token sets, plus 0.05 for each query token of 4 characters
     or more inside the text (0.20 at most), 1 at most."""
-    q, c = F.array_distinct(T.tokens(query)), F.array_distinct(T.tokens(text))
-    union = F.size(F.array_union(q, c))
-    low = F.lower(text)
-    bonus = F.least(F.lit(BONUS_CAP), BONUS * F.size(F.filter(q, lambda w: (F.length(w) >= BONUS_CHARS) & F.contains(low, w))))
-    score = F.least(F.lit(1.0), F.size(F.array_intersect(q, c)) / union + bonus)
-    return F.when((F.size(q) > 0) & (F.size(c) > 0), score).otherwise(F.lit(0.0))
+
+    def score(x: Column) -> Column:
+        q, c, low = x["q"], x["c"], x["low"]
+        both = F.size(F.array_intersect(q, c))
+        bonus = F.least(F.lit(BONUS_CAP), BONUS * F.size(F.filter(q, lambda w: (F.length(w) >= BONUS_CHARS) & F.contains(low, w))))
+        made = F.least(F.lit(1.0), both / (F.size(q) + F.size(c) - both) + bonus)
+        return F.when((F.size(q) > 0) & (F.size(c) > 0), made).otherwise(F.lit(0.0))
+
+    # Bound once: the lower-cased text is not made again for each token.
+    bound = F.struct(F.array_distinct(T.tokens(query)).alias("q"), F.array_distinct(T.tokens(text)).alias("c"), F.lower(text).alias("low"))
+    return F.transform(F.array(bound), score)[0]
 
 
 def keyword_score(hits: DataFrame) -> Column:
