@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import jsonx, text as T
-from quarry.operators import answers as A, clients as C, evaluation as E, reports as P, routing as R, search as S
+from quarry.operators import answers as A, clients as C, evaluation as E, reports as P, routing as R, search as S, vectors as V
 from quarry.sources import files as L, scratch, store
 
 QUERIES: dict = {}
@@ -727,6 +727,15 @@ def _(t):
     return S.dense(q, e.select(F.concat(F.lit("L"), F.col("label") % 2).alias("domain"), F.format_string("%06d", "vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), S.TOP_K)
 
 
+@query("k2_vector_index", None)
+def _(t):
+    """As m2, from cells and codes: approximate, so without SQL; recall is tested."""
+    e = t("embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    held = V.VectorIndex.of(e.select(F.concat(F.lit("L"), F.col("label") % 2).alias("domain"), F.format_string("%06d", "vec_id").alias("chunk_id"), F.col("embedding").alias("vector")))
+    return held.search(q, S.TOP_K)
+
+
 @query("m3_rrf_hybrid", f"WITH {CH}, {BM}, {SEM}, {FUSED} SELECT query_id, domain, chunk_id, semantic_score, bm25_score, rrf, rank FROM hits")
 def _(t):
     return hits(t).select("query_id", "domain", "chunk_id", "semantic_score", "bm25_score", "rrf", "rank")

@@ -96,19 +96,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _kept(q: np.ndarray, d: np.ndarray, ids: pa.Array, x: np.ndarray, k: int | None):
-    """Of hits (question, domain, id, score) the k best of each question and domain."""
-    if k is None or not len(q):
-        return q, d, ids, x
+def kept_places(q: np.ndarray, d: np.ndarray, ids: pa.Array, x: np.ndarray, k: int) -> np.ndarray:
+    """Of hits (question, domain, id, score) the places of the k best of each question
+    and domain; ties go by id."""
     rank = np.empty(len(ids), np.int64)
     rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
     order = np.lexsort((rank, -x, d, q))
     q, d = q[order], d[order]
-    first = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (d[1:] != d[:-1])]))
+    first = np.flatnonzero(np.concatenate([[len(q) > 0], (q[1:] != q[:-1]) | (d[1:] != d[:-1])]))
     place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    keep = place < k
-    order = order[keep]
-    return q[keep], d[keep], ids.take(pa.array(order)), x[order]
+    return order[place < k]
+
+
+def _kept(q: np.ndarray, d: np.ndarray, ids: pa.Array, x: np.ndarray, k: int):
+    at = kept_places(q, d, ids, x, k)
+    return q[at], d[at], ids.take(pa.array(at)), x[at]
 
 
 def _products(held, k: int | None):
