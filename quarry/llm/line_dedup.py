@@ -1,20 +1,19 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table (a, b, n, new) in hash order, in buckets by hash: the 128-bit
-line hashes of some batches, how many of their documents hold the line, and
-whether no older run holds it. All runs have the same buckets, so that they are
-joined and merged by sorted bucket, never shuffled again. ``LineIndex.add`` takes
-a batch:
+A run is a table (a, b, n) in hash order, in buckets by hash: the 128-bit line hashes
+of some batches, and how many of their documents hold the line. All runs have the
+same buckets, so that a batch meets each of them by sorted bucket, without another
+shuffle. ``LineIndex.add`` takes a batch:
 
 1. the batch's documents are counted by line (combined before the one shuffle);
-2. a merge anti-join with every run parts the lines that are new from those that
-   some run holds; both make the batch's own run at level 0;
-3. ``FANOUT`` runs of a level are compacted into one of the next by a merge join.
+2. a merge anti-join with every run takes out the lines that the run has settled,
+   those in ``min_docs`` documents already: a hot line enters no further run;
+3. the others make the batch's own run at level 0;
+4. ``FANOUT`` runs of a level are compacted into one of the next by merge joins.
 
-A line's count is the sum over the runs that hold it; ``new`` marks it in exactly
-one of them, so that the distinct lines need no further pass. The text is read
-once for all batches: its hashes are written by batch, each batch then reads its
-own. All steps are DataFrame operations; the tables lie in the shared folder.
+A line is hot if its counts reach ``min_docs`` over the runs that hold it. The text
+is read once for all batches: its hashes are written by batch, each batch then reads
+its own. All steps are DataFrame operations; the tables lie in the shared folder.
 
 The key of a line is the line without [\\x20\\x09-\\x0D] at its ends and with A-Z
 lower-cased.
@@ -79,8 +78,8 @@ def merging(spark: SparkSession):
 class LineIndex:
     """The runs, by level."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS):
+        self.spark, self.min_docs = spark, min_docs
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.tables: list[str] = []
@@ -102,15 +101,7 @@ class LineIndex:
     def add(self, hashes: DataFrame) -> None:
         """A batch: one row (a, b) for each document and distinct line."""
         batch = self._run(hashes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
-        counts = self.spark.table(batch)
-        first = self.unseen(counts)
-        older = [r for level in self.levels for r in level]
-        if older:
-            mark = first.select("a", "b", F.lit(True).alias("new"))
-            rows = counts.join(mark.hint("merge"), ["a", "b"], "left").withColumn("new", F.coalesce("new", F.lit(False)))
-        else:
-            rows = first.withColumn("new", F.lit(True))
-        self._put(0, self._run(rows))
+        self._put(0, self._run(self.open_lines(self.spark.table(batch))))
         self._drop(batch)
 
     def _put(self, level: int, run: str) -> None:
@@ -124,30 +115,28 @@ class LineIndex:
                 self._drop(name)
 
     def _merged(self, runs: list[str]) -> DataFrame:
-        """Sorted merge of runs: counts add up, and a line is new if it is in one."""
+        """Merge of runs, in which counts add up. Two runs are joined as they lie; what
+        comes of a full join has no buckets, and is dealt to them for the next one."""
         out = self.spark.table(runs[0])
         for name in runs[1:]:
-            more = self.spark.table(name).withColumnsRenamed({"n": "m", "new": "more"})
+            more = self.spark.table(name).withColumnRenamed("n", "m")
             n = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
-            new = F.coalesce("new", F.lit(False)) | F.coalesce("more", F.lit(False))
-            out = out.join(more.hint("merge"), ["a", "b"], "full").select("a", "b", n.alias("n"), new.alias("new"))
+            out = out.join(more.hint("merge"), ["a", "b"], "full").select("a", "b", n.alias("n"))
         return out
 
-    def counts(self) -> DataFrame:
-        """(a, b, n) over all batches so far."""
-        runs = [r for level in self.levels for r in level]
-        return self._merged(runs).select("a", "b", "n") if runs else self.spark.createDataFrame([], "a long, b long, n long")
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
 
-    def n_distinct(self) -> int:
-        """Different lines so far: each is new in one run."""
-        return sum(self.spark.table(r).where("new").count() for level in self.levels for r in level)
+    def counts(self) -> DataFrame:
+        """(a, b, n) over all batches so far; of a settled line what settled it."""
+        return self._merged(self.runs()) if self.runs() else self.spark.createDataFrame([], "a long, b long, n long")
 
-    def unseen(self, hashes: DataFrame) -> DataFrame:
-        """The batch's lines that no run holds: a merge anti-join with each."""
-        for level in self.levels:
-            for run in level:
-                hashes = hashes.join(self.spark.table(run).select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        return hashes
+    def open_lines(self, counts: DataFrame) -> DataFrame:
+        """The batch's lines that no run has settled: a merge anti-join with each."""
+        for run in self.runs():
+            hot = self.spark.table(run).where(F.col("n") >= self.min_docs).select("a", "b")
+            counts = counts.join(hot.hint("merge"), ["a", "b"], "left_anti")
+        return counts
 
     def close(self) -> None:
         for name in list(self.tables):
@@ -156,25 +145,27 @@ class LineIndex:
 
 
 def hot_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 1) -> DataFrame:
-    """(a, b, n) of the lines in at least ``min_docs`` documents, stored."""
-    index = LineIndex(docs.sparkSession)
+    """(a, b) of the lines in at least ``min_docs`` documents, stored."""
+    index = LineIndex(docs.sparkSession, min_docs)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int") if batches > 1 else F.lit(0)
     hashes = docs.select(F.explode(line_hashes(docs)).alias("h"), batch.alias("batch")).select("h.a", "h.b", "batch")
     path = runtime.table_path(docs.sparkSession, "lines")
     hashes.write.partitionBy("batch").parquet(path)
     made = docs.sparkSession.read.schema("a long, b long, batch int").parquet(path)
-    for i in range(batches):
-        index.add(made.where(F.col("batch") == i).select("a", "b"))  # its folder alone
-    with merging(docs.sparkSession):
-        hot = runtime.stored(index.counts().where(F.col("n") >= min_docs), "hot")
-    index.close()
-    runtime.drop_stored(made.select("a"))
-    return hot
+    try:
+        for i in range(batches):
+            index.add(made.where(F.col("batch") == i).select("a", "b"))  # its folder alone
+        with merging(docs.sparkSession):
+            return runtime.stored(index.counts().where(F.col("n") >= min_docs).select("a", "b"), "hot")
+    finally:
+        index.close()
+        runtime.drop_stored(made.select("a"))
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 1, report: bool = True) -> DataFrame:
     """``docs`` with text without its hot lines, and with ``report`` n_lines and
-    n_dropped (a column of one of these names is replaced)."""
+    n_dropped (a column of one of these names is replaced). A document's hot lines
+    come back as their numbers, so that its lines are parted in one pass."""
     hot = hot_lines(docs, min_docs, batches)
     own, text_, kept_, hot_ = runtime.free(docs, "_row", "_text", "_kept", "_hot")
     names = [c for c in docs.columns if not report or c.lower() not in ("n_lines", "n_dropped")]
@@ -182,13 +173,18 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 1, repo
     docs = docs.select(*names)
     # A row's identity is its content: equal rows get equal answers.
     row = F.xxhash64(F.col("doc_id"), F.xxhash64("text"))
-    found = docs.select(row.alias("row"), F.explode(line_hashes(docs)).alias("h")).select("row", "h.a", "h.b")
-    found = _among(found, hot).select("row", F.struct("a", "b").alias("h"))
-    found = found.groupBy(F.col("row").alias(own)).agg(F.collect_set("h").alias(hot_))
+    hashes = F.transform(lines(F.col("text")), lambda x: hashed(key(x)))
+    found = docs.select(row.alias("row"), F.posexplode(hashes).alias("place", "h")).select("row", "place", "h.a", "h.b")
+    found = _among(found, hot).groupBy(F.col("row").alias(own)).agg(F.collect_set("place").alias(hot_))
     joined = docs.withColumn(own, row).join(found, own, "left")
+
+    def without(all_: Column) -> Column:
+        """Lines less those at the hot places, which are looked up by hash."""
+        left = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(hot_))
+        return F.transform(left, lambda i: all_[i])
+
     all_ = lines(F.col("text"))
-    clean = F.filter(all_, lambda x: ~F.array_contains(F.col(hot_), hashed(key(x))))
-    kept = F.when(F.col(hot_).isNull(), all_).otherwise(clean)
+    kept = F.when(F.col(hot_).isNull(), all_).otherwise(F.transform(F.array(all_), without)[0])  # the lines are bound once
     out = joined.select(*[c for c in names if c.lower() != "text"], F.col("text").alias(text_), kept.alias(kept_), F.size(all_).cast("long").alias(n_lines))
     text = F.when(F.col(text_).isNull(), F.col(text_)).otherwise(F.array_join(kept_, "\n"))
     counts = [F.col(n_lines), (F.col(n_lines) - F.size(kept_)).alias("n_dropped")] if report else []
@@ -200,10 +196,12 @@ def _among(found: DataFrame, hot: DataFrame) -> DataFrame:
     the commonest are broadcast, those in more than 1 / BROADCAST_LINES of all places
     (so there are fewer than that); of the others none is enough to fill a task."""
     if hot.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        return found.join(F.broadcast(hot.select("a", "b")), ["a", "b"])
-    places = hot.agg(F.sum("n").alias("n")).first()["n"]
-    many = F.col("n") * BROADCAST_LINES > places
-    top, rest = hot.where(many).select("a", "b"), hot.where(~many).select("a", "b")
+        return found.join(F.broadcast(hot), ["a", "b"])
+    places = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(hot, ["a", "b"])
+    places = runtime.stored(places, "places")
+    all_ = places.agg(F.sum("n")).first()[0]
+    many = F.col("n") * BROADCAST_LINES > all_
+    top, rest = places.where(many).select("a", "b"), places.where(~many).select("a", "b")
     common = found.join(F.broadcast(top), ["a", "b"])
     return common.unionByName(found.join(F.broadcast(top), ["a", "b"], "left_anti").join(rest, ["a", "b"]))
 

@@ -28,7 +28,9 @@ nothing is capped.
 Defined results: texts without words have an empty set, are linked with
 nothing and kept; texts of fewer words than a shingle are one shingle; a null
 doc_id has a null component and is kept; rows of one doc_id are judged each by
-its own set and stand for one node where they represent a class; other columns are ignored.
+its own set and stand for one node where they represent a class; very long texts are
+read whole; other columns are ignored; an empty table gives an empty result. A
+shingle is known by a 64-bit hash, also where links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -301,4 +303,4 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = classes(runtime.read(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -143,7 +143,7 @@ def features(col, lex: Lexicon) -> np.ndarray:
     inner = cum[np.maximum(o.end - 1, o.start)] - cum[np.minimum(o.start + 1, o.end)]
     odd_word = (inner > 0) & (size >= 3) & (cum[o.end] - cum[o.start] < size) if len(size) else np.zeros(0, bool)
     hidden = np.zeros(len(size))
-    some = np.flatnonzero(odd_word & (size <= 40))
+    some = np.flatnonzero(odd_word)
     hidden[some] = lex.weigh(_undone(o, some, letter)) > 0
     buf, offs = buffer_of(col)
     chars = np.maximum(np.diff(offs), 1).astype(float)
