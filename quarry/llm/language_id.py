@@ -6,26 +6,33 @@ cosine of these sets. Nystroem landmarks, a few training texts of each
 language, give explicit features; one-versus-rest kernel ridge regression on
 them is solved on the driver. A batch is scored by two matrix products.
 
-Every language of a labelled row is a class. Training reads a bounded sample:
-about ``PER_LANG`` labelled rows of each, fewer (``LEAST_ROWS`` or more) where
-there are so many languages that this exceeds ``SAMPLE`` rows, by hash of doc_id and
-text; a language of which this leaves no row gives its first ones. Executors
-turn their whole texts, and two short pieces of each, into sets of n-grams;
-only these bits reach the driver. Predictions read whole texts, too.
-
-Defined results: null texts and texts without a letter are ``und`` with score
+Every language of a labelled row is a class. Training reads a bounded sample, by
+hash of doc_id and text: about ``PER_LANG`` labelled rows of each language, fewer
+(``LEAST_ROWS`` or more) where there are so many languages that this exceeds
+``SAMPLE`` rows, and ``RARE_ROWS`` or more beyond; a language of which this leaves
+no row gives its first ones. Executors turn their whole texts, and two short pieces
+of each, into sets of n-grams; only these bits reach the driver, ``CLASS_BLOCK``
+languages at a time, each block is added to the sums of the ridge problem and
+dropped. Landmarks are of all languages, or, beyond ``MOST_LANDMARKS`` in all, of
+those with most labelled rows. So memory is bounded but for the weights, 4 bytes a
+landmark and language (some 60 MB for 20,000 languages, whatever junk they are),
+and scores are taken by blocks of languages. Predictions read whole texts, too.
+
+Defined results: null texts and texts without a letter (of a Unicode letter category;
+numerals are none) are ``und`` with score
 0, and so is every text if no labelled row exists; a null doc_id counts as
-''; repeated rows each get the same result; other columns are ignored.
+''; repeated rows each get the same result; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,13 +40,15 @@ from pyspark.sql import types as T
 from . import runtime
 
 BUCKETS = 1 << 14
-PER_LANG, LEAST_ROWS, SAMPLE = 300, 20, 9600
+PER_LANG, LEAST_ROWS, RARE_ROWS, SAMPLE = 300, 20, 2, 9600
 #: Characters of the pieces from which short texts are learned.
 PIECES = (120, 30)
 #: Landmarks in all, and of each language at least.
-LANDMARKS, LEAST_LANDMARKS = 96, 3
+LANDMARKS, LEAST_LANDMARKS, MOST_LANDMARKS = 96, 3, 768
+#: Languages whose training sets are held at once, and whose scores are.
+CLASS_BLOCK = 2048
 RIDGE = 0.05
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
@@ -77,10 +86,16 @@ class Model:
         for a in range(0, len(seen), 128):
             at = seen[a : a + 128]
             k = _kernel(presence([texts[i] for i in at]), self.landmarks)
-            s = np.c_[k, np.ones(len(at))] @ self.weights
-            e = np.exp(6 * (s - s.max(1, keepdims=True)))
-            for i, best, p in zip(at, s.argmax(1), e.max(1) / e.sum(1)):
-                langs[i], scores[i] = self.langs[best], float(p)
+            phi = np.c_[k, np.ones(len(at))]
+            best, most, total = np.zeros(len(at), int), np.full(len(at), -np.inf), np.zeros(len(at))
+            for b in range(0, len(self.langs), CLASS_BLOCK):
+                s = phi @ self.weights[:, b : b + CLASS_BLOCK]
+                top = s.argmax(1)
+                value = np.maximum(most, s[np.arange(len(at)), top])
+                total = total * np.exp(6 * (most - value)) + np.exp(6 * (s - value[:, None])).sum(1)
+                best, most = np.where(value > most, b + top, best), value
+            for i, j, p in zip(at, best, 1 / total):
+                langs[i], scores[i] = self.langs[j], float(p)
         return langs, scores
 
 
@@ -98,31 +113,65 @@ def _training_sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "bits"])
 
 
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint8).reshape(1 + len(PIECES), -1)
+
+
+class Ridge:
+    """The ridge problem of landmarks: sums over training texts, then the weights."""
+
+    def __init__(self, marks: list[bytes]):
+        land = np.unpackbits(np.stack([_unpacked(x)[0] for x in marks]), axis=1).astype(np.float32)
+        self.land = (land / np.sqrt(land.sum(1, keepdims=True))).T.copy()
+        value, vector = np.linalg.eigh(self.land.T.astype(float) @ self.land)
+        self.half = vector / np.sqrt(np.maximum(value, 1e-6))  # Nystroem: K(L, L)^-1/2
+        m = len(marks) + 1
+        self.square, self.langs, self.sums, self.n = np.zeros((m, m)), [], [], 0
+
+    def add(self, rows: list[tuple[str, bytes]]) -> None:
+        """All rows of some languages: each language weighs the same in the sums."""
+        number = {lang: i for i, lang in enumerate(sorted({lang for lang, _ in rows}))}
+        y = np.repeat(np.array([number[lang] for lang, _ in rows]), 1 + len(PIECES))
+        flat = np.concatenate([_unpacked(x) for _, x in rows])
+        weight = 1 / np.bincount(y, minlength=len(number))[y]
+        sums = np.zeros((len(number), len(self.square)))
+        for a in range(0, len(flat), 256):
+            k = _kernel(np.unpackbits(flat[a : a + 256], axis=1).astype(np.float32), self.land).astype(float)
+            phi = np.c_[k @ self.half, np.ones(len(k))]
+            w = weight[a : a + 256, None]
+            self.square += (phi * w).T @ phi
+            np.add.at(sums, y[a : a + 256], phi * w)
+        self.langs += number
+        self.sums.append(sums)
+        self.n += len(flat)
+
+    def model(self) -> Model:
+        share = self.n / len(self.langs)  # the weights of all texts add up to their number
+        reg = RIDGE * np.eye(len(self.square)) * self.n / 1000
+        b = np.linalg.solve(self.square * share + reg, np.concatenate(self.sums).T * share)
+        weights = np.r_[self.half @ b[:-1], b[-1:]].astype(np.float32)
+        order = sorted(range(len(self.langs)), key=self.langs.__getitem__)
+        return Model([self.langs[i] for i in order], self.land, weights[:, order])
+
+
+def _no_model() -> Model:
+    return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((1, 0)))
+
+
+def landmarks_each(n_langs: int) -> int:
+    return max(LEAST_LANDMARKS, LANDMARKS // n_langs)
+
+
 def fit(rows: list[tuple[str, bytes]]) -> Model:
     """rows: (lang, packed sets of a text and its pieces), in a fixed order."""
     langs = sorted({lang for lang, _ in rows})
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((1, 0)))
-    bits = np.stack([np.frombuffer(x, np.uint8).reshape(1 + len(PIECES), -1) for _, x in rows])
-    number = {lang: i for i, lang in enumerate(langs)}
-    y = np.array([number[lang] for lang, _ in rows])
-    each = max(LEAST_LANDMARKS, LANDMARKS // len(langs))
-    marks = np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(langs))])
-    land = np.unpackbits(bits[marks, 0], axis=1).astype(np.float32)
-    land = (land / np.sqrt(land.sum(1, keepdims=True))).T.copy()
-    flat = bits.reshape(-1, bits.shape[2])
-    y = np.repeat(y, bits.shape[1])
-    k = np.concatenate([_kernel(np.unpackbits(flat[a : a + 256], axis=1).astype(np.float32), land) for a in range(0, len(flat), 256)]).astype(float)
-    value, vector = np.linalg.eigh(land.T.astype(float) @ land)
-    half = vector / np.sqrt(np.maximum(value, 1e-6))  # Nystroem: K(L, L)^-1/2
-    phi = np.c_[k @ half, np.ones(len(k))]
-    share = np.bincount(y, minlength=len(langs)) / len(y)
-    w = (1 / (share[y] * len(langs)))[:, None]
-    reg = RIDGE * np.eye(phi.shape[1]) * len(phi) / 1000
-    sums = np.zeros((len(langs), phi.shape[1]))
-    np.add.at(sums, y, phi * w)
-    b = np.linalg.solve((phi * w).T @ phi + reg, sums.T)
-    return Model(langs, land, np.r_[half @ b[:-1], b[-1:]].astype(np.float32))
+        return _no_model()
+    each = landmarks_each(len(langs))
+    marks = [x for lang in langs for x in [x for own, x in rows if own == lang][:each]]
+    ridge = Ridge(marks)
+    ridge.add(rows)
+    return ridge.model()
 
 
 def _remainder(n: int):
@@ -131,26 +180,43 @@ def _remainder(n: int):
 
 def train(docs: DataFrame) -> Model:
     """The model from the labelled rows that are not held out."""
+    spark = docs.sparkSession
     open_ = docs.where((_remainder(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = [(r["lang"], r["count"]) for r in open_.groupBy("lang").count().collect()]
-    if not counts:
-        return fit([])
-    most = max(LEAST_ROWS, min(PER_LANG, SAMPLE // len(counts)))
     # By row, so that many rows of one doc_id are sampled like any others.
     row = F.xxhash64("doc_id", F.xxhash64("text"))
+    counts = runtime.stored(open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs")
+    n_langs = counts.count()
+    if not n_langs:
+        return _no_model()
+    most = max(LEAST_ROWS if n_langs * LEAST_ROWS <= SAMPLE else RARE_ROWS, min(PER_LANG, SAMPLE // n_langs))
+    few = n_langs <= 100_000
     unit = F.pmod(row, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = docs.sparkSession.createDataFrame([(lang, 1.2 * most / n) for lang, n in counts], "lang string, share double")
-    texts = open_.join(F.broadcast(share), "lang").where(unit < F.col("share")).select("lang", row.alias("h"), "text")
+    share = counts.select("lang", (1.2 * most / F.col("n")).alias("share"))
+    texts = open_.join(F.broadcast(share) if few else share, "lang").where(unit < F.col("share")).select("lang", row.alias("h"), "text")
     # The bound is by language, so that none is crowded out.
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
     texts = texts.withColumn("place", place).where(F.col("place") <= 2 * most).select("lang", "h", "text")
-    got = texts.mapInArrow(_training_sets, "lang string, h long, bits binary").orderBy("h", "lang", "bits").collect()
-    without = [lang for lang, _ in counts if lang not in {r["lang"] for r in got}]
-    for a in range(0, len(without), 200):  # rare by chance, or of rows that are all equal
-        some = open_.where(F.col("lang").isin(without[a : a + 200])).select("lang", row.alias("h"), "text")
-        some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= LEAST_ROWS).drop("place")
-        got += some.mapInArrow(_training_sets, "lang string, h long, bits binary").orderBy("h", "lang", "bits").collect()
-    return fit([(r["lang"], bytes(r["bits"])) for r in got])
+    got = runtime.stored(texts.mapInArrow(_training_sets, "lang string, h long, bits binary"), "sets")
+    # Rare by chance, or of rows that are all equal: their first rows.
+    without = counts.select("lang").join(got.select("lang").distinct(), "lang", "left_anti")
+    rest = open_.join(F.broadcast(without) if few else without, "lang").select("lang", row.alias("h"), "text")
+    rest = rest.withColumn("place", place).where(F.col("place") <= min(LEAST_ROWS, most)).select("lang", "h", "text")
+    got = runtime.stored(got.unionByName(rest.mapInArrow(_training_sets, "lang string, h long, bits binary")), "sets")
+    n_langs = got.select("lang").distinct().count()
+    if not n_langs:
+        return _no_model()
+    each = landmarks_each(n_langs)
+    marked = counts.join(got.select("lang").distinct(), "lang").orderBy(F.desc("n"), "lang").limit(MOST_LANDMARKS // each).select("lang")
+    order = Window.partitionBy("lang").orderBy("h", "bits")
+    marks = got.join(F.broadcast(marked), "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    ridge = Ridge([bytes(r.bits) for r in marks.orderBy("lang", "place").select("bits").collect()])
+    blocks = -(-n_langs // CLASS_BLOCK)
+    for i in range(blocks):
+        part = got if blocks == 1 else got.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == i)
+        rows = [(r.lang, bytes(r.bits)) for r in part.orderBy("h", "lang", "bits").select("lang", "bits").collect()]
+        if rows:
+            ridge.add(rows)
+    return ridge.model()
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

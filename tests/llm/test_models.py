@@ -59,6 +59,32 @@ def test_many_languages(spark):
     assert len(model.langs) == 70 and np.mean([r.lang == r.lang_pred for r in got]) > 0.99
 
 
+def test_a_language_a_row(spark, monkeypatch):
+    """20,000 values of lang: bounded sums and landmarks, and the real ones still found."""
+    rows = [(i, f"{'the and of' if i % 2 else 'der und die'} {i}", "en" if i % 2 else "de") for i in range(4000)]
+    rows += [(10000 + i, f"{chr(0x4E00 + i)} {chr(0x4E00 + i // 7)}", f"x{i}") for i in range(20000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.train(df)
+    assert len(model.langs) > 14000 and model.landmarks.shape[1] <= li.MOST_LANDMARKS and model.weights.nbytes < 80e6
+    got = li.identify(df.where("doc_id < 400"), model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+    # Blocks of languages give the same as all at once.
+    small = df.where("doc_id < 10060")
+    whole = li.train(small)
+    monkeypatch.setattr(li, "CLASS_BLOCK", 7)
+    parts = li.train(small)
+    assert parts.langs == whole.langs and np.allclose(parts.weights, whole.weights, atol=1e-3)
+    texts = [r.text for r in df.where("doc_id % 100 = 7").collect()]
+    by_block = whole.predict(texts)
+    monkeypatch.setattr(li, "CLASS_BLOCK", 10**6)
+    at_once = whole.predict(texts)
+    assert by_block[0] == at_once[0] and np.allclose(by_block[1], at_once[1])
+
+
+def test_numerals_are_no_letters(spark):
+    assert not any(map(li.has_language, ["½ ²", "①②", "Ⅷ", "12_", "٣", None, "", "́"])) and all(map(li.has_language, ["a½", "ª", "ǅ", "中", "ʰ"]))
+
+
 def test_one_doc_id(spark):
     """Rows are sampled, not ids: one id with many labelled rows still trains."""
     for i in [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2][:3]:
