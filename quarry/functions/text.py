@@ -10,6 +10,8 @@ TOKEN = r"[\p{L}\p{N}_]+"
 WHITE = r"[\s\p{Z}\x85]+"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 CHUNK_WORDS, CHUNK_OVERLAP, MIN_CHARS = 800, 150, 20
+#: Files of several pages whose names may be broadcast.
+BROADCAST_FILES = 200_000
 # Words that never count as significant.
 STOPWORDS = "what that this with from have been they their which when where there about more also each into than then some will would could should these those".split()
 
@@ -180,18 +182,30 @@ def generator_history(messages: DataFrame, group: str, order: str) -> DataFrame:
 def chunks(files: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Windows of ``size`` words every ``size - overlap`` from (domain, source_file,
     page, text, ...), numbered through each file; those of 20 characters or less
-    are dropped. chunk_id is domain_stem_number. A file's pages are brought
-    together before they are cut, so that overlaps are not shuffled."""
+    are dropped. chunk_id is domain_stem_number. Only files of several rows (pages)
+    are brought together, before they are cut, so that overlaps are not shuffled;
+    the text of the others stays where it is read."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
     step = size - overlap
-    w = files.withColumn("_w", words(F.col("text"))).drop("text")
-    starts = F.sequence(F.lit(0), F.ceil(F.greatest(F.size("_w") - size, F.lit(0)) / F.lit(float(step))).cast("int"))
-    cut = F.transform(starts, lambda i: F.array_join(F.slice("_w", i * step + 1, F.lit(size)), " "))
-    w = w.withColumn("_t", F.filter(cut, lambda x: F.length(x) > MIN_CHARS)).drop("_w")
-    # A file's pages are one key, as its numbers run through it; only pages' counts are summed.
-    before = Window.partitionBy("domain", "source_file").orderBy(F.coalesce("page", F.lit(0))).rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumn("_n", F.coalesce(F.sum(F.size("_t")).over(before), F.lit(0)))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        w = rows.withColumn("_w", words(F.col("text"))).drop("text")
+        starts = F.sequence(F.lit(0), F.ceil(F.greatest(F.size("_w") - size, F.lit(0)) / F.lit(float(step))).cast("int"))
+        parts = F.transform(starts, lambda i: F.array_join(F.slice("_w", i * step + 1, F.lit(size)), " "))
+        return w.withColumn("_t", F.filter(parts, lambda x: F.length(x) > MIN_CHARS)).drop("_w")
+
+    paged = files.groupBy("domain", "source_file").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("domain").alias("_d"), F.col("source_file").alias("_f"))
+    n = paged.limit(BROADCAST_FILES + 1).count()
+    if not n:
+        w = cut(files).withColumn("_n", F.lit(0).cast("long"))
+    else:
+        same = F.col("domain").eqNullSafe(F.col("_d")) & F.col("source_file").eqNullSafe(F.col("_f"))
+        paged = F.broadcast(paged) if n <= BROADCAST_FILES else paged
+        # A file's pages are one key, as its numbers run through it; only pages' counts are summed.
+        before = Window.partitionBy("domain", "source_file").orderBy(F.coalesce("page", F.lit(0))).rowsBetween(Window.unboundedPreceding, -1)
+        several = cut(files.join(paged, same, "left_semi")).withColumn("_n", F.coalesce(F.sum(F.size("_t")).over(before), F.lit(0)))
+        w = cut(files.join(paged, same, "left_anti")).withColumn("_n", F.lit(0).cast("long")).unionByName(several)
     w = w.select(*[c for c in files.columns if c != "text"], "_n", F.posexplode("_t").alias("_i", "text"))
     w = w.withColumn("chunk_index", (F.col("_n") + F.col("_i")).cast("int")).drop("_n", "_i")
     w = w.select(*files.columns, "chunk_index")

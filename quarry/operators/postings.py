@@ -1,7 +1,7 @@
 """A stored keyword index: postings in segments, searched without reading a text.
 
-An index is a list of segments. A segment's chunks are dealt by domain and hash of
-their id into shards of ``SHARD`` chunks, and each shard is one row: its chunk ids
+An index is a list of segments. A segment's chunks lie in shards of one domain and
+up to ``SHARD`` chunks, filled as the chunks are read, and each shard is one row: its chunk ids
 in order, its tokens in order with their document frequencies, and their postings
 (chunk, frequency) in chunk order, cut into blocks of ``BLOCK`` with each block's
 largest frequency and smallest chunk length. A block's share of a score can't
@@ -27,6 +27,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from quarry.sources import scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SHARD, BLOCK = 8192, 128
+#: Shards' worth of chunks that a task holds before it ends them all.
+HELD = 4
 FANOUT, DEAD = 6, 0.25
 #: Question tokens of a block: so many weights are collected and broadcast at once.
 WEIGHTS = 1_000_000
@@ -43,8 +46,8 @@ BROADCAST_ROWS = 200_000
 #: Scores are rounded to 6 places: sums that differ by less can be equal.
 SLACK = 2e-6
 _BINARY = {"dls": np.int32, "docs": np.int32, "fs": np.int32, "block_f": np.int32, "block_dl": np.int32}
-SHARD_SCHEMA = "domain string, shard int, n int, total long, ids array<string>, tokens array<string>, dfs array<int>, dls binary, docs binary, fs binary, block_f binary, block_dl binary"
-_ARROW = pa.schema([("domain", pa.string()), ("shard", pa.int32()), ("n", pa.int32()), ("total", pa.int64()), ("ids", pa.list_(pa.string())), ("tokens", pa.list_(pa.string())), ("dfs", pa.list_(pa.int32())), *((c, pa.binary()) for c in _BINARY)])
+SHARD_SCHEMA = "domain string, shard long, n int, total long, ids array<string>, tokens array<string>, dfs array<int>, dls binary, docs binary, fs binary, block_f binary, block_dl binary"
+_ARROW = pa.schema([("domain", pa.string()), ("shard", pa.int64()), ("n", pa.int32()), ("total", pa.int64()), ("ids", pa.list_(pa.string())), ("tokens", pa.list_(pa.string())), ("dfs", pa.list_(pa.int32())), *((c, pa.binary()) for c in _BINARY)])
 _TERM = pa.list_(pa.struct([("token", pa.string()), ("f", pa.int32())]))
 
 
@@ -118,27 +121,43 @@ def shard_row(domain: str, shard: int, ids: pa.Array, dls: np.ndarray, listed: p
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _ARROW)], schema=_ARROW)
 
 
-def _shards(batches):
-    """Rows sorted by (domain, shard, chunk_id) as one row a shard."""
-    key, held = None, []
+def _dealt(limit: int):
+    """Chunks as one row a shard: a task fills its domains' shards as it reads, and
+    ends them at ``limit`` chunks, or all when it holds ``HELD`` times as many."""
 
-    def made():
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        return shard_row(*key, rows.column("chunk_id"), rows.column("dl").to_numpy(), rows.column("terms"))
+    def run(batches):
+        task, made = TaskContext.get().partitionId(), 0
+        held: dict[str, list] = {}
+        sizes: dict[str, int] = {}
+
+        def ended(domain: str):
+            nonlocal made
+            rows = pa.Table.from_batches(held.pop(domain)).combine_chunks()
+            sizes.pop(domain)
+            rows = rows.take(pc.sort_indices(rows.column("chunk_id"))).combine_chunks().to_batches()[0]
+            made += 1
+            return shard_row(domain, (task << 32) + made, rows.column("chunk_id"), rows.column("dl").to_numpy(), rows.column("terms"))
+
+        for batch in batches:
+            batch = batch.filter(batch.column("domain").is_valid())
+            coded = batch.column("domain").dictionary_encode()
+            code = coded.indices.to_numpy()
+            for j, domain in enumerate(coded.dictionary.to_pylist()):
+                mine = batch.take(pa.array(np.flatnonzero(code == j)))
+                while mine.num_rows:
+                    part = mine.slice(0, limit - sizes.get(domain, 0))
+                    mine = mine.slice(part.num_rows)
+                    held.setdefault(domain, []).append(part)
+                    sizes[domain] = sizes.get(domain, 0) + part.num_rows
+                    if sizes[domain] >= limit:
+                        yield ended(domain)
+            if sum(sizes.values()) > HELD * limit:
+                for domain in list(held):
+                    yield ended(domain)
+        for domain in list(held):
+            yield ended(domain)
 
-    for batch in batches:
-        domain, shard = batch.column("domain").to_pylist(), batch.column("shard").to_pylist()
-        cut = [i for i in range(1, batch.num_rows) if shard[i] != shard[i - 1] or domain[i] != domain[i - 1]]
-        for s, e in zip([0, *cut], [*cut, batch.num_rows]):
-            if s == e:
-                continue
-            if key != (domain[s], shard[s]) and held:
-                yield made()
-                held = []
-            key = (domain[s], shard[s])
-            held.append(batch.slice(s, e - s))
-    if held:
-        yield made()
+    return run
 
 
 def shards(batches):
@@ -153,18 +172,9 @@ def shards(batches):
 
 
 def build(rows: DataFrame, shard: int = SHARD) -> DataFrame:
-    """The stored segment of (domain, chunk_id, dl, terms). Small inputs get smaller
-    shards, so that every core has one."""
-    spark = rows.sparkSession
-    sizes = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    total, domains = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
-    cores = spark.sparkContext.defaultParallelism
-    per = max(256, min(shard, -(-(total or 0) // cores)))
-    sizes = sizes.select("domain", F.ceil(F.col("n") / per).cast("int").alias("shards"))
-    dealt = rows.join(small(sizes), "domain").withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int"))
-    parts = max(4 * cores, -(-(total or 0) // shard))
-    dealt = dealt.select("domain", "shard", "chunk_id", "dl", "terms").repartition(parts, "domain", "shard").sortWithinPartitions("domain", "shard", "chunk_id")
-    return scratch.stored(dealt.mapInArrow(_shards, SHARD_SCHEMA), "segment")
+    """The stored segment of (domain, chunk_id, dl, terms). Nothing is shuffled: a
+    shard is of chunks that one task reads."""
+    return scratch.stored(rows.select("domain", "chunk_id", "dl", "terms").mapInArrow(_dealt(shard), SHARD_SCHEMA), "segment")
 
 
 # ---------------------------------------------------------------- search

@@ -90,8 +90,10 @@ SPREAD_BYTES = 32 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over all cores where the input is small and may lie in fewer parts
-    than these, as a table in one row group does. Large inputs are not shuffled: the
-    planner's estimate of their size decides, without listing their files here."""
+    than these, as a table in one row group does. Tables of many files and large inputs (by the
+    planner's estimate of their size) are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < SPREAD_BYTES * cores else df
