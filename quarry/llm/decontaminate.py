@@ -6,7 +6,9 @@ document's words has an edit distance to it of at most n / 5.
 1. Places worth a look: an item and a run within that distance share at least
    n + 1 - q - q * (n / 5) q-grams (q = 3; 2 for items under 10 words) on
    nearby diagonals. Regions of a document with fewer cannot match; this loses
-   nothing.
+   nothing. Of q-grams that many items share, as of a common opening, a run may
+   share all; so they need not be looked up where an item has enough others, and the
+   fewer that it must share of these are asked for. Hits are looked at in pieces.
 2. Where a document has several regions for an item, their item-sized windows go
    through the CGK embedding: a random walk, the same for all texts, copies each
    word once or several times, so that edit distance becomes Hamming distance.
@@ -40,9 +42,56 @@ from .words import NON_ALNUM, hash_words, window_hashes, words_of
 DISTANCE = 0.2
 WALKS, TABLES, SAMPLED = 4, 24, 3
 ITEMS, ITEM_BYTES = 20_000, 32 << 20
+#: Places among the items from which a q-gram is hot, and hits that are looked at at once.
+HOT, PIECE = 64, 1 << 20
 _SLOTS = 1 << 20
 
 
+class Seeds:
+    """Items' q-grams to look up in texts."""
+
+    def __init__(self, q: int, g: np.ndarray, item: np.ndarray, offset: np.ndarray, least: np.ndarray, more: np.ndarray):
+        order = np.lexsort((item, g))
+        self.q, self.item, self.offset, self.least, self.more = q, item[order], offset[order], least, more
+        self.grams, self.start = np.unique(g[order], return_index=True)
+        self.start = np.append(self.start, len(g))
+        self.slots = np.zeros(_SLOTS, bool)
+        self.slots[(g & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
+        self.stride = int(item.max()) + 1
+        self.by_item = np.repeat(np.arange(len(self.grams)), np.diff(self.start)) * self.stride + self.item
+
+    def hits(self, h: np.ndarray, off: np.ndarray):
+        """(text, item, diagonal) of all places, in pieces of about ``PIECE``; a text and
+        an item are in one piece."""
+        x, pos = window_hashes(h, off, self.q)
+        some = np.flatnonzero(self.slots[(x & np.uint64(_SLOTS - 1)).astype(np.int64)])
+        x, pos = x[some], pos[some]
+        gram = np.minimum(np.searchsorted(self.grams, x), len(self.grams) - 1)
+        known = self.grams[gram] == x
+        gram, pos = gram[known], pos[known]
+        if not len(pos):
+            return
+        doc = np.searchsorted(off, pos, side="right") - 1
+        count = np.cumsum(self.start[gram + 1] - self.start[gram])
+        at = 0
+        while at < len(pos):
+            before = count[at - 1] if at else 0
+            stop = int(np.searchsorted(count, before + PIECE, "right"))
+            # Whole texts, one at least.
+            stop = max(int(np.searchsorted(doc, doc[min(stop, len(doc) - 1)], "left")) if stop < len(doc) else stop, int(np.searchsorted(doc, doc[at], "right")))
+            part = slice(at, stop)
+            slices = max(1, -(-int(count[stop - 1] - before) // PIECE))
+            cuts = np.unique(np.quantile(self.item, np.linspace(0, 1, slices + 1)[1:-1], method="nearest")) if slices > 1 else []
+            for least, most in zip([0, *cuts], [*cuts, self.stride]):
+                a = np.searchsorted(self.by_item, gram[part] * self.stride + least)
+                n = np.searchsorted(self.by_item, gram[part] * self.stride + most) - a
+                if n.sum():
+                    which = np.repeat(np.arange(len(n)), n)
+                    seed = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[which]
+                    yield doc[part][which], self.item[seed], pos[part][which] - self.offset[seed]
+            at = stop
+
+
 class Index:
     """A block of benchmark items."""
 
@@ -55,16 +104,22 @@ class Index:
         self.q = np.array([3 if len(x) >= 10 else min(2, max(len(x), 1)) for x in self.items], int)
         n = np.array([len(x) for x in self.items], int)
         self.least = np.maximum(1, n + 1 - self.q - self.q * self.edits) if len(ids) else n
-        self.seeds = {}
+        # Seeds by q: (q-grams in order, their item and offset, slots, tie of grams to
+        # numbers, least shared q-grams, those that may be shared besides). A q-gram in
+        # more than HOT places of the items is left out where an item has so many others
+        # that a run must share some; only items mostly of hot ones keep them.
+        self.seeds = []
         for q in (1, 2, 3):
             rows = [(g, i, o) for i, x in enumerate(self.items) if self.q[i] == q and len(x) for o, g in enumerate(window_hashes(x, np.array([0, len(x)]), q)[0])]
             if rows:
                 g, i, o = (np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64)))
-                order = np.argsort(g, kind="stable")
-                g = g[order]
-                slots = np.zeros(_SLOTS, bool)
-                slots[(g & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
-                self.seeds[q] = (g, i[order], o[order], slots)
+                _, number, places = np.unique(g, return_inverse=True, return_counts=True)
+                hot = places[number] > HOT
+                n_hot = np.bincount(i[hot], minlength=len(ids))
+                cold = self.least - n_hot >= 1
+                for keep, least, more in ((cold[i] & ~hot, self.least - n_hot, n_hot), (~cold[i], self.least, np.zeros_like(n_hot))):
+                    if keep.any():
+                        self.seeds.append(Seeds(q, g[keep], i[keep], o[keep], least, more))
         self.rng = np.random.default_rng(11)
         self.walk_salt = self.rng.integers(1, 2**63, (WALKS, 64), dtype=np.uint64) | np.uint64(1)
         self.picks: dict[int, np.ndarray] = {}
@@ -100,37 +155,32 @@ class Index:
         return self.codes[i]
 
     def places(self, h: np.ndarray, off: np.ndarray):
-        """(text, item, least diagonal, greatest, a middle one, shared q-grams) of each
-        region with enough shared q-grams close together."""
-        for q, (g, item, offset, slots) in self.seeds.items():
-            x, pos = window_hashes(h, off, q)
-            some = np.flatnonzero(slots[(x & np.uint64(_SLOTS - 1)).astype(np.int64)])
-            x, pos = x[some], pos[some]
-            a, e = np.searchsorted(g, x, "left"), np.searchsorted(g, x, "right")
-            count = e - a
-            if not count.sum():
-                continue
-            which = np.repeat(np.arange(len(x)), count)
-            seed = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + a[which]
-            it, diag = item[seed], pos[which] - offset[seed]
-            doc = np.searchsorted(off, pos[which], side="right") - 1
-            order = np.lexsort((diag, it, doc))
-            it, diag, doc = it[order], diag[order], doc[order]
-            last = np.arange(len(it)) + self.least[it] - 1
-            fits = last < len(it)
-            last = np.minimum(last, len(it) - 1)
-            fits &= (it[last] == it) & (doc[last] == doc) & (diag[last] - diag <= 2 * self.edits[it])
-            s = np.flatnonzero(fits)
-            if not len(s):
-                continue
-            # Overlapping stretches of diagonals are one region.
-            group = np.cumsum(np.concatenate([[0], (it[1:] != it[:-1]) | (doc[1:] != doc[:-1])]))
-            wide = 2 * self.edits[it[s]]
-            new = np.concatenate([[True], (group[s[1:]] != group[s[:-1]]) | (diag[s[1:]] > diag[s[:-1]] + wide[:-1])])
-            first, final = s[new], np.concatenate([np.flatnonzero(new)[1:], [len(s)]]) - 1
-            key = group * (int(diag.max() - diag.min()) + 2 * int(self.edits.max()) + 2) + diag
-            stop = np.searchsorted(key, key[s[final]] + wide[final], "right")
-            yield from zip(*(c.tolist() for c in (doc[first], it[first], diag[first], diag[stop - 1], diag[(first + stop) // 2], stop - first)))
+        """(text, item, least diagonal, greatest, a middle one, shared q-grams at most)
+        of each region with enough shared q-grams close together."""
+        for seeds in self.seeds:
+            for doc, it, diag in seeds.hits(h, off):
+                yield from self._regions(doc, it, diag, seeds)
+
+    def _regions(self, doc: np.ndarray, it: np.ndarray, diag: np.ndarray, seeds: Seeds):
+        """The regions among the hits of some texts and items."""
+        order = np.lexsort((diag, it, doc))
+        it, diag, doc = it[order], diag[order], doc[order]
+        last = np.arange(len(it)) + seeds.least[it] - 1
+        fits = last < len(it)
+        last = np.minimum(last, len(it) - 1)
+        fits &= (it[last] == it) & (doc[last] == doc) & (diag[last] - diag <= 2 * self.edits[it])
+        s = np.flatnonzero(fits)
+        if not len(s):
+            return
+        # Overlapping stretches of diagonals are one region.
+        group = np.cumsum(np.concatenate([[0], (it[1:] != it[:-1]) | (doc[1:] != doc[:-1])]))
+        wide = 2 * self.edits[it[s]]
+        new = np.concatenate([[True], (group[s[1:]] != group[s[:-1]]) | (diag[s[1:]] > diag[s[:-1]] + wide[:-1])])
+        first, final = s[new], np.concatenate([np.flatnonzero(new)[1:], [len(s)]]) - 1
+        key = group * (int(diag.max() - diag.min()) + 2 * int(self.edits.max()) + 2) + diag
+        stop = np.searchsorted(key, key[s[final]] + wide[final], "right")
+        shared = stop - first + seeds.more[it[first]]
+        yield from zip(*(c.tolist() for c in (doc[first], it[first], diag[first], diag[stop - 1], diag[(first + stop) // 2], shared)))
 
     def find(self, col) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, distance) of the closest runs."""

@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from quarry.llm import decontaminate as de
 from quarry.llm import mixing as mx
@@ -221,3 +223,52 @@ def test_all_against_all(spark, monkeypatch):
         monkeypatch.setattr(de, "ITEMS", limit)
         assert Counter((r.doc_id, r.item_id, r.distance) for r in de.find_items(df, bench).collect()) == want
     assert sum(want.values()) > 300
+
+
+@pytest.mark.parametrize("hot,piece", [(64, 1 << 20), (2, 50), (0, 1)])
+def test_hot_grams_and_pieces_lose_nothing(monkeypatch, hot, piece):
+    """Items that share openings, and near-identical ones, against an exhaustive search."""
+    monkeypatch.setattr(de, "HOT", hot)
+    monkeypatch.setattr(de, "PIECE", piece)
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(60)}"
+    opening = "which of the following is true of".split()
+    items = [opening + [word() for _ in range(rnd.randrange(1, 25))] for _ in range(40)] + [opening[:n] for n in (1, 2, 4, 7)] + [["same"] * 12]
+    items += [items[0][:-1] + [word()] for _ in range(8)]
+    texts = []
+    for i in range(40):
+        w = [word() for _ in range(rnd.randrange(40))]
+        for _ in range(rnd.randrange(3)):
+            x = list(rnd.choice(items))
+            for _ in range(rnd.randrange(3)):
+                x[rnd.randrange(len(x))] = word()
+            at = rnd.randrange(len(w) + 1)
+            w[at:at] = x
+        texts.append(" ".join(w + opening * rnd.randrange(3)))
+    texts += ["same " * 30, " ".join(opening * 20), ""]
+    index = de.Index(list(range(len(items))), [" ".join(x) for x in items])
+    got = {(d, i): dist for d, i, _, _, dist in index.find(pa.array(texts))}
+    want = {}
+    for d, t in enumerate(texts):
+        h = de.hash_words(de.words_of(pa.array([t]), de.NON_ALNUM, lower=True))
+        for i, x in enumerate(index.items):
+            dist, _ = de.search(x, h)
+            if dist <= index.edits[i]:
+                want[d, i] = dist
+    assert got == want
+
+
+def test_common_opening_in_bounded_memory():
+    """20,000 items with one opening against a text that repeats it: the hits of the
+    opening alone would be 2 * 10^8 for each of its q-grams."""
+    import tracemalloc
+
+    rnd = random.Random(1)
+    items = ["which of the following " + " ".join(f"x{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(20000)]
+    index = de.Index(list(range(20000)), items)
+    text = "which of the following " * 10000 + items[77]
+    tracemalloc.start()
+    got = index.find(pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(g[1], g[4]) for g in got] == [(77, 0)] and peak < 200e6
