@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import jsonx, text as T
-from quarry.operators import answers as A, clients as C, evaluation as E, reports as P, routing as R, search as S, vectors as V
+from quarry.operators import answers as A, clients as C, embedder as M, evaluation as E, reports as P, routing as R, search as S, vectors as V
 from quarry.sources import files as L, scratch, store
 
 QUERIES: dict = {}
@@ -820,10 +820,13 @@ _LOGIT = "CASE WHEN length(r1.text) % 3 > 0 THEN (length(r1.text) % 90) / 10.0 -
 
 @query("m7_cross_encoder", f"WITH {CH}, {BM}, {SEM}, {FUSED}, {RR.replace('$T', '-5.0').replace('r2 AS (SELECT *,', 'e1 AS (SELECT * REPLACE (coalesce(CAST(' + _LOGIT + ' AS DOUBLE), rerank_score) AS rerank_score) FROM r1), r2 AS (SELECT *,').replace('FROM r1),' + chr(10) + 'rr', 'FROM e1),' + chr(10) + 'rr')} SELECT query_id, domain, chunk_id, rerank_score, rerank_rank FROM rr")
 def _(t):
-    def encoder(query, text):
-        return F.when(F.length(text) % 3 > 0, (F.length(text) % 90) / 10.0 - 6)
+    return S.rerank(hits(t), threshold=-5.0, encoder=C.task_model(_load_encoder, "double")).select("query_id", "domain", "chunk_id", "rerank_score", "rerank_rank")
 
-    return S.rerank(hits(t), threshold=-5.0, encoder=encoder).select("query_id", "domain", "chunk_id", "rerank_score", "rerank_rank")
+
+def _load_encoder():
+    """A stand-in for a cross-encoder, loaded once a task: scores by length, and no
+    score for every third text."""
+    return lambda queries, texts: [(len(x) % 90) / 10.0 - 6 if len(x) % 3 else None for x in texts]
 
 
 # ---------------------------------------------------------------- routing and answers
@@ -1033,6 +1036,16 @@ def _(t):
     return e.join(n, "vec_id").select("vec_id", E.relevance(F.col("vector"), F.col("head")).alias("relevance"))
 
 
+@query("m10_embedded_relevance", None)
+def _(t):
+    """Questions and the heads of the documents of the same number, both embedded by
+    the model of the corpus: without SQL, as it needs a decomposition (tested)."""
+    embed = M.fit(indexed(t)).column(t.spark)
+    said = t("documents").select(F.col("doc_id").alias("query_id"), E.head(F.col("text")).alias("head"))
+    both = benchmark(t).join(said, "query_id")
+    return both.select("query_id", E.relevance(embed(F.col("query")), embed(F.col("head"))).alias("relevance"))
+
+
 @query("m11_faithfulness", """SELECT item_id, CASE WHEN item_id % 6 = 0 THEN 1.0 WHEN item_id % 6 = 1 THEN 0.7 WHEN item_id % 6 = 2 THEN 1.0 WHEN item_id % 6 = 3 THEN 0.9 ELSE 0.85 END::DOUBLE AS faithfulness, md5(left(text, 2000)) AS answer_md5 FROM benchmark""")
 def _(t):
     i = F.col("item_id") % 6

@@ -162,7 +162,7 @@ def history(messages: DataFrame, group: str, order: str, n: int, line: Column) -
 
 def router_history(messages: DataFrame, group: str, order: str) -> DataFrame:
     """The last three turns, 200 characters of each, under their roles."""
-    line = F.concat(F.upper(F.substring("role", 1, 1)), F.lower(F.substring("role", 2, 100)), F.lit(": "), F.substring("text", 1, 200))
+    line = F.concat(F.upper(F.substring("role", 1, 1)), F.lower(F.expr("substring(role, 2)")), F.lit(": "), F.substring("text", 1, 200))
     return history(messages, group, order, 3, line)
 
 

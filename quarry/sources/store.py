@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources import scratch
+
 SCHEMAS = {
     "self_study_sessions": "id long, ss_session_id string, name string, description string, created_at timestamp, updated_at timestamp",
     "self_study_documents": "id long, ss_session_id string, filename string, file_type string, file_size_bytes long, chunk_count int, upload_timestamp timestamp",
@@ -114,15 +116,26 @@ def both_lists(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b.toDF(*a.columns))
 
 
+def numbered(rows: DataFrame, order: list[str], last: DataFrame) -> DataFrame:
+    """``rows`` with an id behind the greatest of ``last`` (one row, last), in order:
+    sorted by range and numbered part by part."""
+    parts = scratch.stored(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = parts.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    starts = starts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    made = parts.withColumn("_part", part).join(F.broadcast(starts), "_part").join(F.broadcast(last))
+    return made.withColumn("id", F.col("_at") - F.col("_first") + F.col("_before") + F.col("last") + 1).drop("_at", "_part", "_first", "_before", "last")
+
+
 def append_messages(messages: DataFrame, sessions: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages with ``new`` (session_id, role, content, timestamp, intent_type,
     detected_domains, quality_score, pipeline_meta) behind them, numbered on, arrays
     and structs as JSON; and the sessions, touched by their newest message."""
     last = messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    number = F.row_number().over(Window.orderBy("timestamp", "session_id", "role", "content"))
     kind = {f.name: f.dataType.typeName() for f in new.schema.fields}
     code = [F.when(F.size(c) > 0, F.to_json(c)).alias(c) if kind[c] == "array" else F.to_json(c).alias(c) if kind[c] in ("struct", "map") else F.col(c) for c in new.columns]
-    added = require_role(new).select(*code).withColumn("id", number).join(F.broadcast(last)).withColumn("id", F.col("id") + F.col("last")).drop("last")
+    added = numbered(require_role(new).select(*code), ["timestamp", "session_id", "role", "content"], last)
     touched = new.groupBy("session_id").agg(F.max("timestamp").alias("_at"))
     parents = sessions.join(touched, "session_id", "left").withColumn("updated_at", F.greatest("updated_at", "_at")).drop("_at")
     return messages.unionByName(added.select(*messages.columns)), parents.select(*sessions.columns)
@@ -131,8 +144,7 @@ def append_messages(messages: DataFrame, sessions: DataFrame, new: DataFrame) ->
 def add_document(documents: DataFrame, new: DataFrame) -> DataFrame:
     """Document records with ``new`` ones behind them, numbered on."""
     last = documents.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    number = F.row_number().over(Window.orderBy(*[c for c in new.columns]))
-    added = new.withColumn("id", number).join(F.broadcast(last)).withColumn("id", F.col("id") + F.col("last"))
+    added = numbered(new, new.columns, last)
     return documents.unionByName(added.select(*documents.columns))
 
 
@@ -169,11 +181,14 @@ def new_rows(new: DataFrame, old: DataFrame, key: list[str], order: list) -> Dat
     return new.join(old.select(*key).distinct(), key, "left_anti").withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def update(old: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Keyed update: values of ``changes`` replace those of ``old``, nulls leave them.
-    Of several changes to a key the greatest value counts, column by column."""
-    c = changes.groupBy(*key).agg(*[F.max(x).alias(f"_{x}") for x in columns])
-    return old.join(c, key, "left").select(*[F.coalesce(f"_{x}", x).alias(x) if x in columns else F.col(x) for x in old.columns])
+def update(old: DataFrame, changes: DataFrame, key: list[str], columns: list[str], latest: str | None = None, nulls: bool = False) -> DataFrame:
+    """Keyed update: values of ``changes`` replace those of ``old``. Of several changes
+    to a key one counts as a whole, the one with the greatest ``latest``, then the
+    greatest values. Its nulls leave the old values, or with ``nulls`` replace them."""
+    order = F.struct(*([F.col(latest)] if latest else []), *[F.col(c) for c in columns])
+    c = changes.groupBy(*key).agg(F.max_by(F.struct(*columns), order).alias("_new"))
+    new = lambda x: F.when(F.col("_new").isNotNull(), F.col(f"_new.{x}")).otherwise(F.col(x)) if nulls else F.coalesce(f"_new.{x}", x)
+    return old.join(c, key, "left").select(*[new(x).alias(x) if x in columns else F.col(x) for x in old.columns])
 
 
 def truncate_tail(rows: DataFrame, cuts: DataFrame, group: str, at: str) -> DataFrame:

@@ -50,10 +50,83 @@ def test_scratch(spark, tmp_path):
 
 def test_best_prefers_small_ids():
     import numpy as np
-
-    ids = np.array(["d", "c", "b", "a", "e"], object)
-    got = S._best(ids, np.array([1.0, 1.0, 2.0, 1.0, 0.5]), 2)
-    assert sorted(ids[got]) == ["a", "b"] and len(S._best(ids, np.zeros(5), None)) == 5
+    import pyarrow as pa
+
+    ids = pa.array(["d", "c", "b", "a", "e"])
+    none = np.zeros(5, int)
+    got = S.kept_places(none, none, ids, np.array([1.0, 1.0, 2.0, 1.0, 0.5]), 2)
+    assert [ids[i].as_py() for i in got] == ["b", "a"]
+    assert len(S.kept_places(none[:0], none[:0], ids[:0], np.zeros(0), 2)) == 0
+
+
+def test_a_change_counts_whole(spark):
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", 3)], "k int, v string, n int")
+    new = spark.createDataFrame([(1, "z", None, 1), (1, None, 9, 2), (2, None, None, 1)], "k int, v string, n int, at int")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(store.update(old, new, ["k"], ["v", "n"], "at")) == [(1, "a", 9), (2, "b", 2), (3, "c", 3)]
+    assert [tuple(r) for r in store.update(old, new, ["k"], ["v", "n"], "at", nulls=True).orderBy("k").collect()] == [(1, None, 9), (2, None, None), (3, "c", 3)]
+
+
+def test_numbers_by_part(spark):
+    new = spark.range(1000).selectExpr("hash(id) AS h", "id AS v").repartition(7)
+    last = spark.range(1).selectExpr("100L AS last")
+    got = store.numbered(new, ["h", "v"], last).orderBy("id").collect()
+    assert [r.id for r in got] == [*range(101, 1101)] and [(r.h, r.v) for r in got] == sorted((r.h, r.v) for r in got)
+    plan = store.numbered(new, ["h", "v"], last)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and store.numbered(new.limit(0), ["h"], last).collect() == []
+
+
+def test_calls_in_flight(spark, tmp_path):
+    """1,000 calls of 100 ms in pools of 16, 8 tasks: about a second, not 100."""
+    log = tmp_path / "calls"
+
+    def client(model, prompt):
+        import os
+        import time
+
+        fd = os.open(log, os.O_WRONLY | os.O_APPEND | os.O_CREAT)
+        os.write(fd, b"x")
+        os.close(fd)
+        time.sleep(0.1)
+        if prompt.startswith("limit") and not hasattr(client, prompt):
+            setattr(client, prompt, 1)
+            raise RuntimeError("RESOURCE_EXHAUSTED, retry in 0s")
+        return prompt.upper()
+
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(1000)] + [(2000 + i, "equal") for i in range(300)] + [(3000, "limit a"), (3001, None)], "query_id long, prompt string")
+    start = __import__("time").perf_counter()
+    df = C.replies(prompts, ["m"], {"x": client}, {}, "x", sleep=lambda s: None)
+    took = __import__("time").perf_counter() - start
+    got = {r.query_id: r for r in df.collect()}
+    assert len(got) == 1302 and took < 30
+    assert got[7].reply == "P7" and got[2005].reply == "EQUAL" and got[3000].attempts == 2 and got[3001].reply == ""
+    df.collect()  # stored: nothing is asked twice
+    assert log.stat().st_size == 1000 + 1 + 2 + 1
+
+
+def test_pace():
+    now, slept = [0.0], []
+    pace = C.Pace(2, lambda s: slept.append(round(s, 3)), lambda: now[0])
+    for _ in range(3):
+        pace.start("m")
+    assert slept == [0.5, 1.0]
+    pace.hold("m", 60)
+    pace.start("m")
+    assert slept[-1] == 60
+
+
+def test_a_model_is_loaded_once_a_task(spark, tmp_path):
+    log = tmp_path / "loads"
+
+    def load():
+        with open(log, "a") as f:
+            f.write("x")
+        return lambda a, b: [len(x or "") + len(y or "") / 100 for x, y in zip(a, b)]
+
+    score = C.task_model(load, "double")
+    df = spark.range(30000, numPartitions=2).selectExpr("repeat('a', int(id % 3)) AS a", "if(id = 0, NULL, 'bc') AS b")
+    assert {round(r.s, 2) for r in df.select(score("a", "b").alias("s")).collect()} == {0.0, 0.02, 1.02, 2.02}
+    assert log.stat().st_size == 2
 
 
 def test_dense_edges(spark):
