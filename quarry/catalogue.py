@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import jsonx, text as T
-from quarry.operators import answers as A, clients as C, embedder as M, evaluation as E, reports as P, routing as R, search as S, vectors as V
+from quarry.operators import answers as A, clients as C, embedder as M, evaluation as E, keywords as W, reports as P, routing as R, search as S, vectors as V
 from quarry.sources import files as L, scratch, store
 
 QUERIES: dict = {}
@@ -574,6 +574,16 @@ def _(t):
     return store.lookup(c, "c_custkey", 17).unionByName(store.lookup(c, "c_custkey", -17))
 
 
+@query("s8_s10_sorted_layout", f"WITH {CH} SELECT domain, chunk_id, md5(text) AS text_md5 FROM ch WHERE chunk_id IN (SELECT min(chunk_id) FROM ch GROUP BY domain) OR chunk_id IN (SELECT max(chunk_id) FROM ch GROUP BY domain)")
+def _(t):
+    """The chunks laid out by chunk_id; each domain's first and last one looked up."""
+    path = scratch.table_path(t.spark, "sorted")
+    store.write_sorted(indexed(t).select("domain", "chunk_id", "source_file", "text"), path, "chunk_id", ("source_file",))
+    back = t.spark.read.parquet(path)
+    ids = [x for r in back.groupBy("domain").agg(F.min("chunk_id"), F.max("chunk_id")).collect() for x in r[1:]]
+    return back.where(F.col("chunk_id").isin(ids)).select("domain", "chunk_id", F.md5("text").alias("text_md5"))
+
+
 @query("jn1_a1_session_rollup", "SELECT c_custkey, c_name, count(o_orderkey) AS n_messages, max(o_orderdate) AS updated_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name ORDER BY updated_at DESC NULLS LAST, c_custkey LIMIT 20")
 def _(t):
     o = t("orders").withColumnRenamed("o_custkey", "c_custkey")
@@ -950,10 +960,14 @@ _DA = f"""{_RRL}, ad AS (SELECT item_id AS query_id, a.domain, string_agg(concat
  FROM (SELECT item_id, unnest(['de', 'xx', 'fr'][1:item_id % 4]) AS domain FROM benchmark) a LEFT JOIN (SELECT * FROM rr WHERE query_id % 5 > 0) rr ON rr.query_id = item_id AND rr.domain = a.domain GROUP BY item_id, a.domain)"""
 
 
-def _asked_answers(t) -> DataFrame:
+def _asked_evidence(t) -> tuple[DataFrame, DataFrame]:
     names = F.slice(F.array(F.lit("de"), F.lit("xx"), F.lit("fr")), 1, (F.col("query_id") % 4).cast("int"))
     asked = benchmark(t).select("query_id", F.explode(names).alias("domain"), F.col("query").alias("question"))
-    evidence = S.rerank(hits(t), threshold=0.05).where("query_id % 5 > 0")
+    return S.rerank(hits(t), threshold=0.05).where("query_id % 5 > 0"), asked
+
+
+def _asked_answers(t) -> DataFrame:
+    evidence, asked = _asked_evidence(t)
     return A.domain_answers(evidence, asked=asked, unaided=lambda q: F.concat(F.lit("unaided "), F.length(q).cast("string")))
 
 
@@ -968,23 +982,47 @@ def _(t):
     return A.synthesize(_asked_answers(t), benchmark(t)).select("query_id", F.md5("answer").alias("answer_md5"))
 
 
-@query("c17_pipeline", f"""WITH {_RRL.replace('0.05', '0.2')}, rt AS (SELECT item_id AS query_id, text, {_DOMS} AS d, list_filter({_SENT.format('text')}, lambda x: trim(x) <> '') AS s FROM benchmark),
+_BETTER = "A better answer, which is long enough to take the place of the first one."
+
+
+def _verifier(query, answer):
+    """A stand-in for a verifier: rejects, scores or chats by the answer's length."""
+    n = F.length(answer) % 3
+    said = f'{{"is_satisfactory":false,"quality_score":0.4,"revised_answer":"{_BETTER}"}}'
+    return F.when(n == 0, said).when(n == 1, '{"quality_score":0.9}').otherwise("I think it is fine")
+
+
+_QUALITY = "CASE length(answer) % 3 WHEN 0 THEN 0.4 WHEN 1 THEN 0.9 ELSE 0.7 END"
+_FIRST2 = f"array_to_string(({_SENT.format('text')})[1:2], ' ')"
+
+
+@query("c17_pipeline", f"""WITH {_ANS.replace('>= 0.05', '>= 0.2')}, rt AS (SELECT item_id AS query_id, text, {_DOMS} AS d, list_filter({_SENT.format('text')}, lambda x: trim(x) <> '') AS s FROM benchmark),
 asked AS (SELECT DISTINCT query_id, domain FROM (SELECT query_id, unnest(CASE WHEN len(d) > 1 AND len(s) > 1 THEN list_transform(range(len(s)), lambda i: d[i % len(d) + 1]) ELSE [d[1]] END) AS domain FROM rt WHERE len(d) > 0)),
-n AS (SELECT a.query_id, a.domain, count(chunk_id) AS n_used FROM asked a LEFT JOIN rr ON rr.query_id = a.query_id AND rr.domain = a.domain GROUP BY ALL)
-SELECT rt.query_id, CASE WHEN len(d) > 1 THEN 'multi' ELSE 'single' END AS intent_type, array_to_string(d, ',') AS domains, coalesce(sum(n_used), 0)::BIGINT AS n_used, len(d) = 0 AS early FROM rt LEFT JOIN n USING (query_id) GROUP BY ALL""")
+said AS (SELECT a.query_id, sum(n_used)::BIGINT AS n_used, CASE count(answer) WHEN 0 THEN '{A.NO_EVIDENCE}' WHEN 1 THEN max(answer) ELSE string_agg(concat('**', a.domain, '**', chr(10), answer), chr(10) || chr(10) ORDER BY a.domain) FILTER (answer IS NOT NULL) END AS answer
+ FROM asked a LEFT JOIN an ON an.query_id = a.query_id AND an.domain = a.domain GROUP BY a.query_id)
+SELECT rt.query_id, CASE WHEN len(d) > 1 THEN 'multi' ELSE 'single' END AS intent_type, array_to_string(d, ',') AS domains, coalesce(n_used, 0)::BIGINT AS n_used, len(d) = 0 AS early,
+ CASE WHEN len(d) = 0 THEN 0.0 ELSE {_QUALITY} END::DOUBLE AS quality, md5(CASE WHEN len(d) = 0 THEN '{A.UNRELATED}' WHEN length(answer) % 3 = 0 THEN '{_BETTER}' ELSE answer END) AS answer_md5 FROM rt LEFT JOIN said USING (query_id)""")
 def _(t):
     from quarry.plans import hybrid
 
     ch, held = t.corpus()
     qv, cv = vectors(t, ch)
-    return hybrid.answer(benchmark(t), qv, ch, cv, KEYWORDS, held=held).select("query_id", "intent_type", F.array_join("domains", ",").alias("domains"), "n_used", "early")
+    r = hybrid.answer(benchmark(t), qv, ch, cv, KEYWORDS, held=held, verifier=_verifier)
+    return r.select("query_id", "intent_type", F.array_join("domains", ",").alias("domains"), "n_used", "early", "quality", F.md5("answer").alias("answer_md5"))
 
 
 @query("c18_study_pipeline", f"""WITH {CH.replace('lang AS domain', chr(39) + 'S' + chr(39) + ' AS domain')}, {BM}, {SEM}, fc AS (SELECT query_id, domain, chunk_id, score, rank, 's' AS arm FROM sem UNION ALL SELECT query_id, domain, chunk_id, score, rank, 'k' FROM bm),
 fm AS (SELECT fc.*, query_id % 3 = 1 AS asks, (query_id % 3 = 1 AND contains(source_file, CASE WHEN query_id % 2 = 0 THEN 'src2/' ELSE 'none' END)) AS fits FROM fc JOIN ch USING (domain, chunk_id)),
 fr AS (SELECT arm, query_id, domain, chunk_id, score, row_number() OVER (PARTITION BY arm, query_id, domain ORDER BY rank) AS rank FROM fm WHERE rank <= CASE WHEN asks THEN 144 ELSE 48 END AND (fits OR NOT asks)),
-{FUSED.replace("FROM sem WHERE rank <= 24", "FROM fr WHERE arm = 's'").replace("FROM bm WHERE rank <= 24", "FROM fr WHERE arm = 'k'")}
-SELECT item_id AS query_id, count(chunk_id)::INTEGER AS n_used, CASE WHEN count(chunk_id) > 0 THEN NULL WHEN item_id % 3 = 1 THEN 'filtered' ELSE 'irrelevant' END AS stopped, CASE WHEN count(chunk_id) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS quality FROM benchmark LEFT JOIN hits ON query_id = item_id GROUP BY item_id""")
+{FUSED.replace("FROM sem WHERE rank <= 24", "FROM fr WHERE arm = 's'").replace("FROM bm WHERE rank <= 24", "FROM fr WHERE arm = 'k'")},
+{RR.replace('$T', '-5.0').replace('rerank_rank <= 5', 'rerank_rank <= 8')},
+an AS (SELECT query_id, string_agg(concat({_FIRST2}, ' [Source ', rerank_rank, ']'), ' ' ORDER BY rerank_rank) AS answer, count(*)::INTEGER AS n_used, list({LABEL.format(_STEM)} ORDER BY rerank_rank) AS l,
+ list_sort(list_distinct(list(regexp_extract(source_file, '([^/]*)$', 1)))) AS sources FROM rr GROUP BY query_id),
+ar AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS labels FROM an)
+SELECT item_id AS query_id, coalesce(n_used, 0)::INTEGER AS n_used, CASE WHEN n_used > 0 THEN NULL WHEN item_id % 3 = 1 THEN 'filtered' ELSE 'irrelevant' END AS stopped, CASE WHEN n_used > 0 THEN greatest({_QUALITY}, 0.75) ELSE 0.0 END::DOUBLE AS quality,
+ md5(CASE WHEN n_used > 0 THEN concat(answer, chr(10), chr(10), 'References', chr(10), array_to_string(list_transform(labels, lambda x, i: concat(i, '. ', x)), chr(10)))
+     WHEN item_id % 3 = 1 THEN concat('{A.NOT_IN_FILES}', CASE WHEN item_id % 2 = 0 THEN 'src2/' ELSE 'none' END) ELSE '{A.NOT_RELEVANT}the uploaded documents' END) AS answer_md5, coalesce(array_to_string(sources, '|'), '') AS sources
+FROM benchmark LEFT JOIN ar ON query_id = item_id""")
 def _(t):
     from quarry.plans import hybrid
 
@@ -992,7 +1030,23 @@ def _(t):
     qv, cv = vectors(t, ch)
     q = benchmark(t)
     names = F.when(F.col("query_id") % 3 == 1, F.array(F.when(F.col("query_id") % 2 == 0, "src2/").otherwise("none")))
-    return hybrid.study(q, qv, ch, cv, files=q.select("query_id", names.alias("names"))).select("query_id", "n_used", "stopped", "quality")
+    r = hybrid.study(q, qv, ch, cv, files=q.select("query_id", names.alias("names")), verifier=_verifier)
+    return r.select("query_id", "n_used", "stopped", "quality", F.md5("answer").alias("answer_md5"), F.array_join("sources", "|").alias("sources"))
+
+
+@query("c13_refusals", f"WITH {_DA} SELECT query_id, domain, md5(CASE WHEN n_used > 0 THEN answer ELSE '{A.REFUSED}' END) AS answer_md5, n_used = 0 AS no_evidence FROM ad")
+def _(t):
+    evidence, asked = _asked_evidence(t)
+    return A.study_answers(evidence, asked).select("query_id", "domain", F.md5("answer").alias("answer_md5"), "no_evidence")
+
+
+@query("jn6_keyword_table", f"""WITH k AS (SELECT DISTINCT lang AS domain, ({tok('text')})[-1] AS keyword FROM documents),
+n AS (SELECT item_id, domain, count(*) AS n FROM benchmark JOIN k ON contains(lower(text), keyword) GROUP BY ALL)
+SELECT b.item_id AS query_id, coalesce(string_agg(domain, ',' ORDER BY domain), '') AS domains, coalesce(first(domain ORDER BY n DESC, domain), (SELECT min(domain) FROM k WHERE keyword IS NOT NULL)) AS guess FROM benchmark b LEFT JOIN n USING (item_id) GROUP BY b.item_id""")
+def _(t):
+    """Each document's last token as a keyword of its language."""
+    keywords = t("documents").select(F.col("lang").alias("domain"), F.try_element_at(T.tokens(F.col("text")), F.lit(-1)).alias("keyword"))
+    return W.route(benchmark(t), keywords).select("query_id", F.array_join("domains", ",").alias("domains"), "guess")
 
 
 @query("c12_c13_final_answer", "SELECT doc_id, CASE WHEN quality = 0 THEN concat(repeat('better ', 9), toxic) ELSE 'short' END AS answer, concat('x', chr(10), chr(10), 'References', chr(10), '1. Doc ', doc_id) AS study FROM labels")

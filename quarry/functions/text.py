@@ -206,7 +206,9 @@ def chunks(files: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERL
         before = Window.partitionBy("domain", "source_file").orderBy(F.coalesce("page", F.lit(0))).rowsBetween(Window.unboundedPreceding, -1)
         several = cut(files.join(paged, same, "left_semi")).withColumn("_n", F.coalesce(F.sum(F.size("_t")).over(before), F.lit(0)))
         w = cut(files.join(paged, same, "left_anti")).withColumn("_n", F.lit(0).cast("long")).unionByName(several)
-    w = w.select(*[c for c in files.columns if c != "text"], "_n", F.posexplode("_t").alias("_i", "text"))
+    # An inner explode of a column is preceded by a filter on its size, which would move
+    # below the projection and cut the texts once more.
+    w = w.select(*[c for c in files.columns if c != "text"], "_n", F.posexplode_outer("_t").alias("_i", "text")).where(F.col("text").isNotNull())
     w = w.withColumn("chunk_index", (F.col("_n") + F.col("_i")).cast("int")).drop("_n", "_i")
     w = w.select(*files.columns, "chunk_index")
     return w.withColumn("chunk_id", F.format_string("%s_%s_%04d", "domain", stem(F.col("source_file")), "chunk_index"))

@@ -49,6 +49,12 @@ def domain_answers(evidence: DataFrame, generate=extract, asked: DataFrame | Non
     )
 
 
+def study_answers(evidence: DataFrame, asked: DataFrame, generate=extract) -> DataFrame:
+    """As ``domain_answers``, from the chosen files alone: what they do not cover is
+    refused, never answered from general knowledge."""
+    return domain_answers(evidence, generate, asked, lambda question: F.lit(REFUSED))
+
+
 def synthesize(answers: DataFrame, queries: DataFrame, merge=None) -> DataFrame:
     """(query_id, answer): answers without evidence are left out; of none the text
     that says so, the only one as it is, several by ``merge(parts)`` or under their

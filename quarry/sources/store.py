@@ -87,6 +87,22 @@ def ids_of(chunks: DataFrame, key: str, value, id_column: str = "chunk_id") -> D
     return chunks.where(F.col(key) == value).select(id_column).distinct()
 
 
+#: Bytes of a row group: small enough that a lookup reads little, large enough to scan.
+ROW_GROUP = 16 << 20
+
+
+def write_sorted(df: DataFrame, path: str, key: str, blooms: tuple = (), row_group: int = ROW_GROUP, files: int | None = None) -> None:
+    """A table for lookups: sorted by ``key`` over its files, so that the bounds of
+    files and row groups leave one of them, and with Bloom filters on ``blooms``, keys
+    in another order, that leave the few that hold a value. Filters on either column
+    are pushed down; nothing else is needed to read it so."""
+    dealt = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
+    w = dealt.sortWithinPartitions(key).write.option("parquet.block.size", str(row_group)).option("parquet.block.size.row.check.min", "100")
+    for column in blooms:
+        w = w.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.enable.dictionary#{column}", "false")
+    w.parquet(path)
+
+
 def lookup(rows: DataFrame, key: str, value) -> DataFrame:
     """The row with this key, if there is one."""
     return rows.where(F.col(key) == value).limit(1)

@@ -76,6 +76,28 @@ def test_numbers_by_part(spark):
     assert "rangepartitioning" not in plan and store.numbered(new.limit(0), ["h"], last).collect() == []
 
 
+def rows_read(df):
+    """What the scan below a collected frame gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_lookups_read_one_row_group_of_many(spark, tmp_path):
+    df = spark.range(60000).selectExpr("format_string('c%06d', id) AS chunk_id", "sha2(string(id % 20000), 256) AS session", "repeat(sha2(string(id), 512), 4) AS text").repartition(9)
+    path = str(tmp_path / "t")
+    store.write_sorted(df, path, "chunk_id", ("session",), row_group=1 << 18, files=3)
+    back = spark.read.parquet(path)
+    session = df.where("chunk_id = 'c000077'").first().session
+    for want, n, part in ((store.matching(back, chunk_id="c012345"), 1, 20), (store.matching(back, chunk_id="none"), 0, 20), (store.matching(back, session=session), 3, 4)):
+        assert len(want.collect()) == n and rows_read(want) < 60000 / part
+    plain = str(tmp_path / "plain")
+    df.write.parquet(plain)
+    all_ = store.matching(spark.read.parquet(plain), session=session)
+    assert len(all_.collect()) == 3 and rows_read(all_) >= 20000
+
+
 def test_calls_in_flight(spark, tmp_path):
     """1,000 calls of 100 ms in pools of 16, 8 tasks: about a second, not 100."""
     log = tmp_path / "calls"
