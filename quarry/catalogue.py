@@ -41,11 +41,11 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
-    def corpus(self) -> tuple[DataFrame, S.TextIndex]:
+    def corpus(self, anew: bool = False) -> tuple[DataFrame, S.TextIndex]:
         """The corpus' chunks with terms, and their postings: made once a session, as
         users of a search index do, and replaced when another folder is asked for."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if Tables._last is None or Tables._last[0] != key:
+        if anew or Tables._last is None or Tables._last[0] != key:
             if Tables._last is not None and Tables._last[0][0] == key[0]:
                 for t in [Tables._last[1], *Tables._last[2].tables()]:
                     scratch.drop_stored(t)
@@ -131,6 +131,13 @@ rr AS (SELECT * FROM r2 WHERE (rerank_score >= $T AND rerank_rank <= 5) OR (NOT
 LABEL = "array_to_string(list_transform(list_filter(string_split_regex(regexp_replace({}, '[-_]+', ' ', 'g'), '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '^[A-Z][A-Z0-9s]*$') THEN w ELSE concat(upper(w[1:1]), lower(w[2:])) END), ' ')"
 
 
+def xr(x: str, k: int) -> str:
+    """SQL that rounds the exact binary value of ``x``, halves to even."""
+    m = f"(((abs({x}) - floor(abs({x}))) * 4611686018427387904)::HUGEINT * {10**k})"
+    up = f"{m} % 4611686018427387904 > 2305843009213693952 OR ({m} % 4611686018427387904 = 2305843009213693952 AND ({m} // 4611686018427387904) % 2 = 1)"
+    return f"(sign({x}) * (floor(abs({x})) * {10**k} + {m} // 4611686018427387904 + CASE WHEN {up} THEN 1 ELSE 0 END) / {float(10**k)})"
+
+
 def benchmark(t) -> DataFrame:
     return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -613,12 +620,12 @@ def _(t):
     return chunks(t).groupBy("domain").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("source_file").alias("n_files"))
 
 
-@query("a7_filtered_averages", "SELECT source, coalesce(round(avg(CASE WHEN quality > 0 THEN n_chars END), 4), 0.0) AS avg_good, coalesce(round(avg(CASE WHEN toxic = 1 THEN n_chars END), 4), 0.0) AS avg_toxic FROM documents JOIN labels USING (doc_id) GROUP BY source")
+@query("a7_filtered_averages", f"SELECT source, coalesce({xr('g', 4)}, 0.0) AS avg_good, coalesce({xr('x', 4)}, 0.0) AS avg_toxic FROM (SELECT source, avg(CASE WHEN quality > 0 THEN n_chars END) AS g, avg(CASE WHEN toxic = 1 THEN n_chars END) AS x FROM documents JOIN labels USING (doc_id) GROUP BY source)")
 def _(t):
     return t("documents").join(t("labels"), "doc_id").groupBy("source").agg(E.mean_if(F.col("quality") > 0, F.col("n_chars")).alias("avg_good"), E.mean_if(F.col("toxic") == 1, F.col("n_chars")).alias("avg_toxic"))
 
 
-@query("a8_a9_a14_by_category", "SELECT lang AS category, count(*) AS total, count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality <> 1) AS failed, round(100.0 * (count(*) FILTER (quality = 1)) / count(*), 1) AS pass_rate FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+@query("a8_a9_a14_by_category", f"SELECT category, total, passed, failed, {xr('p', 1)} AS pass_rate FROM (SELECT lang AS category, count(*) AS total, count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality <> 1) AS failed, (100 * (count(*) FILTER (quality = 1)))::DOUBLE / count(*) AS p FROM documents JOIN labels USING (doc_id) GROUP BY lang)")
 def _(t):
     ok = F.col("quality") == 1
     return t("documents").join(t("labels"), "doc_id").groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), E.percent(ok).alias("pass_rate"))
@@ -627,7 +634,7 @@ def _(t):
 _M10 = {"quality_score": "value / 100", "coverage_score": "CASE WHEN event_id % 5 = 0 THEN 'N/A' ELSE CAST(value AS VARCHAR) END", "latency_ms": "CASE WHEN event_id % 7 > 0 THEN CAST(event_id AS VARCHAR) END"}
 
 
-@query("a10_by_model", "SELECT event_type AS model, count(*) AS n, " + ", ".join(f"round(avg(TRY_CAST({x} AS DOUBLE)), 3) AS {m}" for m, x in _M10.items()) + ", count(*) FILTER (event_id % 4 = 0) AS revised FROM events WHERE value > 0 GROUP BY event_type")
+@query("a10_by_model", "SELECT model, n, revised, " + ", ".join(f"{xr(m, 3)} AS {m}" for m in _M10) + " FROM (SELECT event_type AS model, count(*) AS n, " + ", ".join(f"favg(TRY_CAST({x} AS DOUBLE)) AS {m}" for m, x in _M10.items()) + ", count(*) FILTER (event_id % 4 = 0) AS revised FROM events WHERE value > 0 GROUP BY event_type)")
 def _(t):
     rows = t("events").select(F.col("event_type").alias("model"), (F.col("event_id") % 4 == 0).alias("revised"), *[F.expr(x.replace("VARCHAR", "STRING")).cast("string").alias(m) for m, x in _M10.items()])
     return E.by_model(rows, list(_M10))
@@ -801,7 +808,7 @@ def _(t):
 _RRL = f"{CH}, {BM}, {SEM}, {FUSED}, {RR.replace('$T', '0.05')}"
 
 
-@query("a5_score_summary", f"WITH {_RRL} SELECT query_id, domain, count(*) AS count, round(max(rerank_score), 4) AS top_score, round(min(rerank_score), 4) AS min_score, round(avg(rerank_score), 4) AS avg_score, string_agg(chunk_id, '|' ORDER BY rerank_rank) AS labels FROM rr GROUP BY query_id, domain")
+@query("a5_score_summary", f"WITH {_RRL} SELECT query_id, domain, count, {xr('hi', 4)} AS top_score, {xr('lo', 4)} AS min_score, {xr('mid', 4)} AS avg_score, labels FROM (SELECT query_id, domain, count(*) AS count, max(rerank_score) AS hi, min(rerank_score) AS lo, favg(rerank_score) AS mid, string_agg(chunk_id, '|' ORDER BY rerank_rank) AS labels FROM rr GROUP BY query_id, domain)")
 def _(t):
     return S.score_summary(S.rerank(hits(t), threshold=0.05))
 
@@ -1109,7 +1116,7 @@ def _(t):
     return t("benchmark").select("item_id", E.faithfulness(F.col("text"), held, said).alias("faithfulness"), F.md5(answer).alias("answer_md5"))
 
 
-@query("m11_faithfulness_offline", f"SELECT item_id, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b))::DOUBLE / len(a), 3) ELSE 1.0 END AS faithfulness FROM (SELECT item_id, list_distinct({tok('b.text')}) AS a, {tok('d.text')} AS b FROM benchmark b JOIN documents d ON doc_id = item_id)")
+@query("m11_faithfulness_offline", f"SELECT item_id, CASE WHEN len(a) > 0 THEN {xr('x', 3)} ELSE 1.0 END AS faithfulness FROM (SELECT *, len(list_intersect(a, b))::DOUBLE / nullif(len(a), 0) AS x FROM (SELECT item_id, list_distinct({tok('b.text')}) AS a, {tok('d.text')} AS b FROM benchmark b JOIN documents d ON doc_id = item_id))")
 def _(t):
     j = t("benchmark").join(t("documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("other")), "item_id")
     return j.select("item_id", E.containment(F.col("text"), F.col("other")).alias("faithfulness"))

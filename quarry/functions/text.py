@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType, _parse_datatype_string
 
 TOKEN = r"[\p{L}\p{N}_]+"
 WHITE = r"[\s\p{Z}\x85]+"
@@ -86,6 +87,48 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+#: Parts of an exact sum: whole numbers of 2**-32, 2**-64, ... besides whole ones.
+LIMBS = 5
+
+
+def limbs(x: Column) -> list[Column]:
+    """A double as whole numbers of 1, 2**-32, 2**-64, 2**-96 and 2**-128, without an
+    error for values from 2**-75 up: their sums are exact, in whatever order."""
+    sign, rest, out = F.signum(x).cast("long"), F.abs(x), []
+    for _ in range(LIMBS):
+        whole = F.floor(rest)
+        out.append(sign * whole)
+        rest = (rest - whole) * float(1 << 32)
+    return out
+
+
+def exact_mean(x: Column, digits: int) -> Column:
+    """An aggregate: the mean of doubles, rounded as Python rounds sum / n, for any
+    order and partitioning of the rows. Null if there is none; nulls do not count. A
+    mean with infinite or undefined values is what ``avg`` gives."""
+    x = x.cast("double")
+    odd = F.isnan(x) | (F.abs(x) >= float(1 << 52))
+    fine = F.when(~odd, x)
+    # No nulls, which would turn the sums into floats on their way.
+    mean = _mean_of(*[F.coalesce(F.sum(part), F.lit(0).cast("long")) for part in limbs(fine)], F.count(x), F.lit(digits))
+    return F.when(F.count_if(odd) > 0, F.round(F.avg(x), digits)).otherwise(mean)
+
+
+@F.pandas_udf(DoubleType())
+def _mean_of(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, n: pd.Series, digits: pd.Series) -> pd.Series:
+    """One value a group, from its exact sum."""
+
+    def one(parts, count, k):
+        if not count:
+            return None
+        total = 0
+        for part in parts:
+            total = (total << 32) + int(part)
+        return round(total / (1 << 32 * (LIMBS - 1)) / count, k)
+
+    return pd.Series([one(row[:5], row[5], int(row[6])) for row in zip(a, b, c, d, e, n, digits)], dtype="float64")
+
+
 def exact_round(x: Column, digits: int) -> Column:
     """Rounds the exact binary value, halves to even. ``round`` goes by the shortest
     decimal that names the value, which differs where that ends in a 5."""

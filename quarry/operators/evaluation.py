@@ -14,7 +14,7 @@ def hit_rate(keywords: Column, texts: Column) -> Column:
     """The share of keywords inside the joined texts."""
     joined = F.lower(F.array_join(texts, " "))
     found = F.size(F.filter(keywords, lambda k: F.contains(joined, F.lower(k))))
-    return F.when((F.size(keywords) > 0) & (F.size(texts) > 0), F.round(found / F.size(keywords), 3)).otherwise(F.lit(0.0))
+    return F.when((F.size(keywords) > 0) & (F.size(texts) > 0), T.exact_round(found / F.size(keywords), 3)).otherwise(F.lit(0.0))
 
 
 def citation_accuracy(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def citation_accuracy(answers: DataFrame, sources: DataFrame) -> DataFrame:
     said = answers.select("answer_id", F.explode(T.sentences(F.col("answer"))).alias("s"))
     cited = said.select("answer_id", T.significant(F.col("s")).alias("w"), F.explode(T.citations(F.col("s"))).alias("source_num"))
     ok = F.exists("w", lambda w: F.contains(F.col("source_text"), w))
-    per = cited.join(first, ["answer_id", "source_num"], "left").groupBy("answer_id").agg(F.round(F.count_if(F.coalesce(ok, F.lit(False))) / F.count(F.lit(1)), 3).alias("acc"))
+    per = cited.join(first, ["answer_id", "source_num"], "left").groupBy("answer_id").agg(T.exact_round(F.count_if(F.coalesce(ok, F.lit(False))) / F.count(F.lit(1)), 3).alias("acc"))
     out = answers.select("answer_id").join(per, "answer_id", "left").join(some, "answer_id", "left")
     return out.select("answer_id", F.when(F.col("some"), F.coalesce("acc", F.lit(1.0))).otherwise(F.lit(1.0)).alias("citation_accuracy"))
 
@@ -37,11 +37,11 @@ def head(answer: Column, sentences: int = 2, chars: int = 300) -> Column:
 
 def mean_if(pred: Column, x: Column, digits: int = 4) -> Column:
     """The mean over rows where ``pred`` holds; 0 if there are none."""
-    return F.coalesce(F.round(F.avg(F.when(pred, x)), digits), F.lit(0.0))
+    return F.coalesce(T.exact_mean(F.when(pred, x), digits), F.lit(0.0))
 
 
 def percent(pred: Column) -> Column:
-    return F.coalesce(F.round(100 * F.count_if(pred) / F.nullif(F.count(F.lit(1)), F.lit(0)), 1), F.lit(0.0))
+    return F.coalesce(T.exact_round(100 * F.count_if(pred) / F.nullif(F.count(F.lit(1)), F.lit(0)), 1), F.lit(0.0))
 
 
 def case_verdict(cases: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def containment(answer: Column, evidence: Column) -> Column:
     """Offline stand-in for a faithfulness judge: the share of the answer's
     tokens that the evidence holds (1 for an empty answer)."""
     a = F.array_distinct(T.tokens(answer))
-    return F.when(F.size(a) > 0, F.round(F.size(F.array_intersect(a, T.tokens(evidence))) / F.size(a), 3)).otherwise(F.lit(1.0))
+    return F.when(F.size(a) > 0, T.exact_round(F.size(F.array_intersect(a, T.tokens(evidence))) / F.size(a), 3)).otherwise(F.lit(1.0))
 
 
 def faithfulness(answer: Column, texts: Column, reply: Column) -> Column:
@@ -88,7 +88,7 @@ def relevance(query_vector: Column, head_vector: Column) -> Column:
     """Cosine of the question and the answer's head (see ``head``), at least 0; 0
     where either could not be embedded."""
     same = F.size(query_vector) == F.size(head_vector)
-    return F.coalesce(F.when(same, F.greatest(F.lit(0.0), F.round(dot(query_vector, head_vector), 3))), F.lit(0.0))
+    return F.coalesce(F.when(same, F.greatest(F.lit(0.0), T.exact_round(dot(query_vector, head_vector), 3))), F.lit(0.0))
 
 
 METRICS = ["quality_score", "coverage_score", "grounding_score", "retrieval_hit_rate", "citation_accuracy", "answer_relevance", "faithfulness", "latency_ms"]
@@ -98,7 +98,7 @@ def by_model(rows: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
     """Means of each model's rows with a positive quality score; a metric counts
     only its numbers. Also how many rows there are and how many were revised."""
     good = rows.where(F.col("quality_score").try_cast("double") > 0)
-    means = [F.round(F.avg(F.col(m).try_cast("double")), 3).alias(m) for m in metrics]
+    means = [T.exact_mean(F.col(m).try_cast("double"), 3).alias(m) for m in metrics]
     return good.groupBy("model").agg(F.count(F.lit(1)).alias("n"), *means, F.count_if(F.col("revised")).alias("revised"))
 
 

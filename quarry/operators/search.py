@@ -284,7 +284,7 @@ def score_summary(hits: DataFrame) -> DataFrame:
     """count, top, low, mean and the labels in rank order of each query's hits."""
     order = F.array_sort(F.collect_list(F.struct("rerank_rank", F.col("chunk_id").alias("label"))))
     return hits.groupBy("query_id", "domain").agg(
-        F.count(F.lit(1)).alias("count"), F.round(F.max("rerank_score"), 4).alias("top_score"), F.round(F.min("rerank_score"), 4).alias("min_score"), F.round(F.avg("rerank_score"), 4).alias("avg_score"),
+        F.count(F.lit(1)).alias("count"), T.exact_round(F.max("rerank_score"), 4).alias("top_score"), T.exact_round(F.min("rerank_score"), 4).alias("min_score"), T.exact_mean(F.col("rerank_score"), 4).alias("avg_score"),
         F.array_join(F.transform(order, lambda x: x["label"]), "|").alias("labels"),
     )
 

@@ -39,6 +39,25 @@ def test_exact_round(spark, x, n):
     assert spark.range(1).select(T.exact_round(F.lit(x), n).alias("r")).first().r == round(x, n)
 
 
+def test_exact_mean(spark):
+    """The mean is that of the exact sum, for any partitioning, and rounded as Python does."""
+    import math
+    import random
+
+    rnd = random.Random(1)
+    rows = [(g, x) for g in range(30) for x in [rnd.choice([1e15, -1e15, 1e-9, 0.1, 2.675, rnd.random(), rnd.gauss(0, 1e6)]) for _ in range(rnd.randrange(1, 200))]]
+    rows += [(100, 2.675), (101, None), (102, float("nan")), (102, 1.0), (103, 0.125), (104, 1e300), (105, -0.0625)]
+    want = {}
+    for g in {g for g, _ in rows}:
+        xs = [x for h, x in rows if h == g and x is not None]
+        want[g] = round(math.fsum(xs) / len(xs), 3) if xs and not any(math.isnan(x) for x in xs) else None
+    for n in (1, 7):
+        df = spark.createDataFrame(rows, "g int, x double").repartition(n, F.rand())
+        got = {r.g: r.m for r in df.groupBy("g").agg(T.exact_mean(F.col("x"), 3).alias("m")).collect()}
+        assert math.isnan(got.pop(102)) and got == {g: m for g, m in want.items() if g != 102}
+    assert spark.range(0).agg(T.exact_mean(F.col("id"), 2).alias("m")).first().m is None
+
+
 def test_scratch(spark, tmp_path):
     df = scratch.stored(spark.range(5), "t")
     path = df.inputFiles()[0]
