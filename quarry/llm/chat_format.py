@@ -15,7 +15,8 @@ conversation is never held as a whole.
 
 Defined results: null texts and roles are empty; a null conv_id is one more
 conversation; turns sort by (turn, role, text), nulls first; repeated rows are
-turns of their own; other columns are ignored.
+turns of their own; very long texts are formatted whole; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

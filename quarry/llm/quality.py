@@ -17,7 +17,9 @@ more. Windows are sorted by hash inside one text and equal ones confirmed by
 their words.
 
 Defined results: null and empty texts have no words, fail the base rule and are
-not kept; the clean_text of a null text is null; repeated rows each get the same result; other columns are ignored.
+not kept; the clean_text of a null text is null; repeated rows each get the same result;
+very long texts are judged whole; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

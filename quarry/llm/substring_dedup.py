@@ -26,7 +26,8 @@ The steps:
 Defined results: a null or empty text has no words and an empty remainder; a
 row with null doc_id neither removes nor loses words; rows with equal doc_id
 never remove each other's words, only those of larger ids do; other columns
-are ignored. An empty table gives an empty result.
+are ignored. Very long texts are read whole. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
