@@ -88,6 +88,40 @@ def test_runs_at_several_places(spark):
     assert ls.scan_licenses(frame(spark, [long])).first().labels == "mit"
 
 
+def test_whole_notices(spark):
+    texts = [t for _, t in ls.WHOLE] + ["# " + t.replace("\n", "\n# ") + "\nint x;" for _, t in ls.WHOLE]
+    texts += [" ".join(t.split()[len(t.split()) // 3 :]) for _, t in ls.WHOLE]
+    rows = ls.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()
+    for (label, t), whole, quoted, tail in zip(ls.WHOLE, rows, rows[len(ls.WHOLE) :], rows[2 * len(ls.WHOLE) :]):
+        n = len(ls.template_words(t))
+        for r, first in ((whole, 0), (quoted, 0)):
+            mine = [(s.first, s.end, s.covered) for s in r.spans if s.label == label]
+            assert mine == [(first, n, 1.0)] and r.score == 1
+        assert label in tail.labels.split(",")
+
+
+def test_overlapping_runs():
+    # The second run repeats words of the first: it gives them up instead of its link.
+    one = ls.Scanner([("x", "a b c d e f g h i j k l")], {})
+    row = one.scan(pa.array(["a b c d e f d e f g h i j k l"]))[0]
+    assert [(s["first"], s["end"]) for s in row["spans"]] == [(0, 15)] and row["score"] == 1
+    # A run wholly inside the words before it is no part of the chain.
+    row = one.scan(pa.array(["a b c d e f g h c d e f z i j k l"]))[0]
+    assert [(s["first"], s["end"], s["covered"]) for s in row["spans"]] == [(0, 17, 1.0)]
+    for parts in ([(0, 6, 0, 6), (6, 15, 3, 12)], [(0, 6, 0, 6), (4, 12, 4, 12)], [(0, 6, 0, 6), (4, 12, 6, 14)]):
+        (first, end, covered), *_ = ls.chains(parts)
+        assert (first, end, covered) == (0, parts[1][1], 12)
+
+
+def test_templates_of_a_table(spark):
+    rows = [("own", "Terms of the Quarry: do as you please, and say so."), ("own", "Terms of the Quarry: do as you please, and say so."), (None, "x"), ("y", None), ("z", " - ")]
+    found = ls.templates_of(spark.createDataFrame(rows, "label string, text string"))
+    assert found == [rows[0]]
+    assert ls.scan_licenses(frame(spark, ["/* terms of the quarry do as you please and say so */"]), found).first().labels == "own"
+    with pytest.raises(ValueError):
+        ls.templates_of(spark.range(1).selectExpr("'a' AS label", f"repeat('w ', {ls.TEMPLATE_WORDS + 1}) AS text"))
+
+
 def test_chat(spark):
     rnd = random.Random(5)
     bits = ["<|im_end|>", "<|im_start|>", "\\", "\\n", "\n", "<", "|", "é😀", "text", "<\\|", "assistant"]
