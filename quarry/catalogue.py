@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions import jsonx, text as T
 from quarry.operators import answers as A, clients as C, embedder as M, evaluation as E, keywords as W, reports as P, routing as R, search as S, vectors as V
 from quarry.sources import files as L, scratch, store
+from quarry.streaming import batches
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -963,6 +964,18 @@ def _(t):
     return E.run_all(cases, pipeline).select("query_id", "intent_ok", "domain_ok", "passed", "error")
 
 
+@query("c16_in_parts", f"""WITH q AS (SELECT item_id, {_DOMS} AS d FROM benchmark)
+SELECT item_id AS query_id, concat('c', item_id % 3) AS category, item_id % 5 > 0 AND list_contains(d, 'en') AS passed, CASE WHEN item_id % 5 = 0 THEN 'broken' END AS error FROM q""")
+def _(t):
+    cases = benchmark(t).select("query_id", "query", F.concat(F.lit("c"), F.col("query_id") % 3).alias("category"), F.lit("any").alias("expected_intent"), F.array(F.lit("en")).alias("expected"))
+
+    def pipeline(q):
+        error = F.when(F.col("query_id") % 5 == 0, "broken")
+        return R.route(q, KEYWORDS).select("query_id", F.col("domains").alias("actual"), F.col("intent_type").alias("intent"), "needs_clarification", "is_related", error.alias("error"))
+
+    return batches.evaluate(cases, pipeline, parts=3).select("query_id", "category", "passed", "error")
+
+
 _DA = f"""{_RRL}, ad AS (SELECT item_id AS query_id, a.domain, string_agg(concat(array_to_string(({_SENT.format('rr.text')})[1:2], ' '), ' [Source ', rerank_rank, ']'), ' ' ORDER BY rerank_rank) AS answer, count(chunk_id)::INTEGER AS n_used
  FROM (SELECT item_id, unnest(['de', 'xx', 'fr'][1:item_id % 4]) AS domain FROM benchmark) a LEFT JOIN (SELECT * FROM rr WHERE query_id % 5 > 0) rr ON rr.query_id = item_id AND rr.domain = a.domain GROUP BY item_id, a.domain)"""
 

@@ -174,6 +174,7 @@ def error_class(text: Column) -> Column:
             out = out | F.contains(F.lower(text), F.lit(k))
         return out
 
+    # The words by which an error is known.
     limited = has("rate limit", "429", "quota", "tokens per day", "tpd")
     return F.when(limited & has("perday", "per_day", "daily"), "daily quota").when(limited, "rate limit").when(has("authentication", "401", "api key", "api_key"), "authentication").when(has("not set"), "missing key").when(has("timeout", "connection"), "timeout").otherwise("other")
 
