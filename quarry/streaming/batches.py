@@ -26,8 +26,8 @@ def _exists(df: DataFrame, path: str) -> bool:
 def evaluate(cases: DataFrame, pipeline, on_progress: Callable[[Progress], None] | None = None, folder: str | None = None, parts: int = 8) -> DataFrame:
     """``evaluation.run_all`` over cases with a ``category``, part by part.
 
-    The cases are written as ``parts`` files and read as a stream, one file a
-    micro-batch. The counts by category are observed while a part's results are
+    The cases are written as files and read as a stream in ``parts`` micro-batches
+    at most. The counts by category are observed while a part's results are
     written, without a pass of their own, and ``on_progress`` gets the sums so far
     after each part, in the driver. Results go to one folder a part, which a repeated
     part replaces. Called again with the ``folder`` of a run that broke off, the
@@ -68,6 +68,7 @@ def evaluate(cases: DataFrame, pipeline, on_progress: Callable[[Progress], None]
         if on_progress and names:
             on_progress({c: (sum(d[i][0] for d in done.values()), sum(d[i][1] for d in done.values()), totals[c]) for i, c in enumerate(names)})
 
-    stream = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    files = -(-len(held.inputFiles()) // parts)  # a cluster may write other than ``parts`` files
+    stream = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", files).parquet(inbox)
     stream.writeStream.foreachBatch(step).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).drop("part")

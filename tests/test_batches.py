@@ -46,6 +46,13 @@ def test_a_batch_that_broke_off_goes_on(spark, tmp_path):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, E.run_all(cases(spark, 40), pipeline).collect()))
 
 
+def test_more_files_than_parts(spark, tmp_path):
+    told = []
+    cases(spark, 60).repartition(20).write.parquet(str(tmp_path / "e" / "cases"))
+    got = batches.evaluate(cases(spark, 60), pipeline, told.append, str(tmp_path / "e"), parts=3)
+    assert got.count() == 60 and len(told) == 3
+
+
 def test_no_cases_and_many_categories(spark, tmp_path, monkeypatch):
     told = []
     assert batches.evaluate(cases(spark, 0), pipeline, told.append, str(tmp_path / "e")).collect() == [] and told == []
