@@ -294,8 +294,11 @@ NO_CONTEXT = "(No source material found.)"
 
 def prompt_context(hits: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """The evidence block of each query and domain, sources in rank order; of pairs
-    ``asked`` (query_id, domain) without evidence the line that says so."""
-    line = F.format_string("[Source %d] — %s  (domain: %s, score: %.3f)\n%s", "rerank_rank", T.citation_label(F.col("source_file")), "domain", "rerank_score", "text")
+    ``asked`` (query_id, domain) without evidence the line that says so. Scores are
+    shown by their exact value, as Python and C print them: the JVM's format rounds the
+    shortest decimal that names a score, half up."""
+    score = T.exact_round(F.col("rerank_score").cast("double"), 3)
+    line = F.format_string("[Source %d] — %s  (domain: %s, score: %.3f)\n%s", "rerank_rank", T.citation_label(F.col("source_file")), "domain", score, "text")
     order = F.array_sort(F.collect_list(F.struct("rerank_rank", line.alias("line"))))
     made = hits.groupBy("query_id", "domain").agg(F.array_join(F.transform(order, lambda x: x["line"]), "\n---\n").alias("context"))
     if asked is None:

@@ -148,3 +148,11 @@ def test_plans(spark, sf_dir):
     q = c.benchmark(t)
     assert hybrid.answer(q, qv, ch, cv, c.KEYWORDS).count() == q.count()
     assert "References" in hybrid.study(q, qv, ch, cv).where("stopped IS NULL").first().answer
+
+
+def test_prompt_scores_are_shown_by_their_exact_value(spark):
+    scores = [0.1245, 0.0625, 0.1255, 0.2, 0.999501, -1.0625, -5.0005]
+    rows = [(i, "d", "src/a.txt", "t", x, 1) for i, x in enumerate(scores)]
+    hits = spark.createDataFrame(rows, "query_id int, domain string, source_file string, text string, rerank_score double, rerank_rank int")
+    got = {r.query_id: r.context for r in S.prompt_context(hits).collect()}
+    assert [got[i] for i in range(len(scores))] == [f"[Source 1] — A  (domain: d, score: {x:.3f})\nt" for x in scores]
