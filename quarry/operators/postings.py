@@ -300,10 +300,12 @@ class TextIndex:
         made.segments.append([build(rows), None])
         return made
 
-    def add(self, rows: DataFrame) -> None:
-        """(domain, chunk_id, dl, terms), in place of the chunks of these ids."""
+    def add(self, rows: DataFrame, replaced: DataFrame | None = None) -> None:
+        """(domain, chunk_id, dl, terms), in place of the chunks of these ids and of
+        ``replaced`` (domain, chunk_id): a changed file may have other chunks than before."""
         new = build(rows)
-        self.remove(new.select("domain", F.explode("ids").alias("chunk_id")))
+        gone = new.select("domain", F.explode("ids").alias("chunk_id"))
+        self.remove(gone if replaced is None else gone.unionByName(replaced.select("domain", "chunk_id")))
         self.segments.append([new, None])
         if len(self.segments) >= FANOUT:
             self.compact()

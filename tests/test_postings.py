@@ -124,3 +124,26 @@ def test_terms(spark):
 
     df = spark.createDataFrame([(["b", "a", "b"],), ([],), (["x"] * 5,)], "t array<string>")
     assert [[tuple(x) for x in r[0]] for r in df.select(P.terms(F.col("t"))).collect()] == [[("a", 1), ("b", 2)], [], [("x", 5)]]
+
+
+def test_changed_documents_are_removed_with_their_new_chunks(spark, tmp_path):
+    """Document 21 has one chunk, and two once its text is changed; 56 has a last chunk
+    that is too short to count before."""
+    from quarry import catalogue
+
+    docs = [(d, " ".join(f"w{d}x{i}" for i in range(n)), "en", "src") for d, n in ((21, 800), (22, 700), (23, 800))]
+    docs += [(56, " ".join("a" for _ in range(806)), "en", "src"), (26, " ".join(f"v{i}" for i in range(800)), "en", "src")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "neu w21x799 w22x1 21"), (2, "a 56"), (3, "v0 neu")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalogue.QUERIES["w3_w10_index_upkeep"](spark, str(tmp_path)).collect()
+    assert {r.chunk_id for r in got} == {"en_doc_22_0000", "en_doc_26_0000", "en_doc_26_0001"}
+
+
+def test_added_rows_replace_named_chunks(spark, tiny):
+    frame = lambda rows: S.index(spark.createDataFrame(rows, CHUNK))
+    old = [("a", "f_0", "w1 w2", 1), ("a", "f_1", "w1 w3", 1), ("a", "g_0", "w1 w4 w4", 1)]
+    new = [("a", "f_0", "w1 w5", 1)]
+    held = P.TextIndex.of(frame(old))
+    held.add(frame(new), replaced=frame(old[:2]))
+    q = spark.createDataFrame([(0, "w1 w2 w3 w5 w4")], "query_id int, query string")
+    assert rows(S.keyword_search(q, held, 5)) == rows(S.bm25(q, frame(new + old[2:]), 5))
