@@ -23,6 +23,10 @@ document. That last document gives a part of a copy, so the words taken are the
 target to within a word a cell (or, among rows that are equal, a word each), and
 the cells' targets are rounded so that their sum is the source's.
 
+With a column ``within`` (the pipeline's languages) a cell is of one of its values, too:
+each value's words of a source and length class are taken at the cell's rate, to within
+a word, so that the draw of the extra copies favours none.
+
 Defined results: null texts have size 0; null is a source of its own, last;
 sources without words have target 0; repeated rows are documents of their own;
 very long texts are counted whole; an empty table gives an empty result; other
@@ -33,6 +37,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from . import runtime
 
@@ -132,10 +137,11 @@ def rates(cells: DataFrame, cap: float = CAP, ridge: float = RIDGE, steps: int =
 def plan_cells(rows: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame:
     """(source, class, source_size, target, whole, extra) of the cells of ``rows``
     (source, class, size): whole copies of each document, and the words to take on
-    top of them."""
+    top of them. ``class`` is a length class, or a struct that begins with one."""
     cells = runtime.stored(rows.groupBy("source", "class").agg(F.sum("size").alias("words")), "cells")
     plan = runtime.stored(targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap), "targets")
-    mean = F.col("class").cast("double")
+    length = F.col("class") if rows.schema["class"].dataType == IntegerType() else F.col("class.length")
+    mean = length.cast("double")
     m = cells.agg(F.sum("words").alias("n"), F.sum(mean * F.col("words")).alias("m"), F.sum(mean * mean * F.col("words")).alias("q")).first()
     n = m.n or 0
     center = m.m / n if n else 0.0
@@ -157,11 +163,15 @@ def plan_cells(rows: DataFrame, weights: tuple, share: float, cap: float) -> Dat
     return cells.withColumn("whole", whole).select("source", "class", "source_size", "target", "whole", (F.col("given") - whole * F.col("words")).alias("extra"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, within: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document; null is a value of
+    ``within`` like any other."""
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text")), 4)  # 60 bits
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), unit.alias("u"))
-    rows = runtime.stored(rows.withColumn("class", length_class(F.col("size"))), "sizes")
+    class_ = length_class(F.col("size"))
+    if within is not None:  # hashed, so that whatever values compare alike in joins, null included
+        class_ = F.struct(class_.alias("length"), F.xxhash64("_within").alias("value"))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), unit.alias("u"), (F.lit(None) if within is None else F.col(within)).alias("_within"))
+    rows = runtime.stored(rows.withColumn("class", class_).drop("_within"), "sizes")
     plan = runtime.stored(plan_cells(rows, weights, share, cap).withColumn("prefix", F.lit(0).cast("long")), "plan")
     of = F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))
     key = [F.col("source").alias("s"), F.col("class").alias("c")]

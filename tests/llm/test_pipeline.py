@@ -79,3 +79,18 @@ def test_run(spark, sf_dir):
     assert rows and all(0 <= r.taken <= 2 * r.size for r in rows)
     assert all(abs(sum(r.taken for r in rs) - t) <= 2 for (_, t), rs in by.items())
     assert abs(sum(r.taken for r in rows) - 1.5 * sum(r.size for r in rows)) < 50
+
+
+def test_predicted_languages_reach_the_mix(spark):
+    """A third of the documents has no label: what is predicted decides the mix."""
+    said = {"en": "the end of that day and of the night with this", "de": "der und die das nicht ein haus mit dem hund"}
+    rows = [(i, " ".join(said[x].split()[(i * j) % 10] for j in range(1, 33 + i % 7)), x if i % 3 else None, "s", 1) for i, x in ((i, "en" if i % 2 else "de") for i in range(120))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.language(spark, docs, None)
+    assert sorted((r.doc_id, r.lang) for r in kept.collect()) == [(i, "en" if i % 2 else "de") for i in range(120)]
+    got = cp.mix(spark, kept, None).collect()
+    check_mix([(r[0], r[3], r[1]) for r in rows], got)
+    for odd in (0, 1):
+        mine = [r for r in got if r.doc_id % 2 == odd]
+        assert abs(sum(r.taken for r in mine) - 1.5 * sum(r.size for r in mine)) <= 2
+    assert sorted(cp.mix(spark, docs, None).collect()) != sorted(got)
