@@ -1,7 +1,7 @@
 """A stored keyword index: postings in segments, searched without reading a text.
 
 An index is a list of segments. A segment's chunks lie in shards of one domain and
-up to ``SHARD`` chunks, filled as the chunks are read, and each shard is one row: its chunk ids
+up to ``SHARD`` chunks (or about ``POSTINGS`` postings), filled as the chunks are read, and each shard is one row: its chunk ids
 in order, its tokens in order with their document frequencies, and their postings
 (chunk, frequency) in chunk order, cut into blocks of ``BLOCK`` with each block's
 largest frequency and smallest chunk length. A block's share of a score can't
@@ -36,8 +36,12 @@ from quarry.sources import scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SHARD, BLOCK = 8192, 128
-#: Shards' worth of chunks that a task holds before it ends them all.
+#: Postings at which a shard ends, too: they are what a task's memory goes by.
+POSTINGS = 1 << 19
+#: Shards' worth of chunks or postings that a task holds before it ends them all.
 HELD = 4
+#: Chunks that come to a task at once.
+READ_ROWS = 512
 FANOUT, DEAD = 6, 0.25
 #: Question tokens of a block: so many weights are collected and broadcast at once.
 WEIGHTS = 1_000_000
@@ -123,17 +127,20 @@ def shard_row(domain: str, shard: int, ids: pa.Array, dls: np.ndarray, listed: p
 
 def _dealt(limit: int):
     """Chunks as one row a shard: a task fills its domains' shards as it reads, and
-    ends them at ``limit`` chunks, or all when it holds ``HELD`` times as many."""
+    ends them at ``limit`` chunks or ``POSTINGS`` postings, or all when it holds
+    ``HELD`` times as many."""
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
         held: dict[str, list] = {}
         sizes: dict[str, int] = {}
+        loads: dict[str, int] = {}
 
         def ended(domain: str):
             nonlocal made
             rows = pa.Table.from_batches(held.pop(domain)).combine_chunks()
             sizes.pop(domain)
+            loads.pop(domain)
             rows = rows.take(pc.sort_indices(rows.column("chunk_id"))).combine_chunks().to_batches()[0]
             made += 1
             return shard_row(domain, (task << 32) + made, rows.column("chunk_id"), rows.column("dl").to_numpy(), rows.column("terms"))
@@ -149,9 +156,10 @@ def _dealt(limit: int):
                     mine = mine.slice(part.num_rows)
                     held.setdefault(domain, []).append(part)
                     sizes[domain] = sizes.get(domain, 0) + part.num_rows
-                    if sizes[domain] >= limit:
+                    loads[domain] = loads.get(domain, 0) + len(part.column("terms").flatten())
+                    if sizes[domain] >= limit or loads[domain] >= POSTINGS:
                         yield ended(domain)
-            if sum(sizes.values()) > HELD * limit:
+            if sum(sizes.values()) > HELD * limit or sum(loads.values()) > HELD * POSTINGS:
                 for domain in list(held):
                     yield ended(domain)
         for domain in list(held):
@@ -174,7 +182,8 @@ def shards(batches):
 def build(rows: DataFrame, shard: int = SHARD) -> DataFrame:
     """The stored segment of (domain, chunk_id, dl, terms). Nothing is shuffled: a
     shard is of chunks that one task reads."""
-    return scratch.stored(rows.select("domain", "chunk_id", "dl", "terms").mapInArrow(_dealt(shard), SHARD_SCHEMA), "segment")
+    with scratch.batch_rows(rows.sparkSession, READ_ROWS):
+        return scratch.stored(rows.select("domain", "chunk_id", "dl", "terms").mapInArrow(_dealt(shard), SHARD_SCHEMA), "segment")
 
 
 # ---------------------------------------------------------------- search
@@ -341,7 +350,9 @@ class TextIndex:
     def compact(self) -> None:
         """One segment of the chunks that are left, from postings alone."""
         kept = self.rows().mapInArrow(_unpacked, "domain string, chunk_id string, dl int, terms array<struct<token:string,f:int>>")
-        old, self.segments = self.segments, [[build(scratch.stored(kept, "unpacked")), None]]
+        with scratch.batch_rows(self.spark, 1):
+            kept = scratch.stored(kept, "unpacked")
+        old, self.segments = self.segments, [[build(kept), None]]
         self._stats = None
         for rows, marks in old:
             scratch.drop_stored(rows)
@@ -365,9 +376,10 @@ class TextIndex:
     def stats(self) -> tuple[DataFrame, DataFrame]:
         """(domain, n, avgdl) and (domain, token, df, idf), kept until a change."""
         if self._stats is None:
-            corpus, df = self.counts()
-            corpus = scratch.stored(corpus, "corpus")
-            self._stats = corpus, scratch.stored(idf_of(corpus, df), "stats")
+            with scratch.batch_rows(self.spark, 1):
+                corpus, df = self.counts()
+                corpus = scratch.stored(corpus, "corpus")
+                self._stats = corpus, scratch.stored(idf_of(corpus, df), "stats")
         return self._stats
 
     def tables(self) -> list[DataFrame]:
@@ -397,6 +409,8 @@ class TextIndex:
             if 0 < len(by) <= 100:
                 here = here.where(F.col("domain").isin(*by))
             here = here.mapInArrow(_numbered(held, k), "number long, domain string, chunk_id string, score double")
+            with scratch.batch_rows(self.spark, 1):  # a shard is one row
+                here = scratch.stored(here, "found")
             names = self.spark.createDataFrame(pa.table({"number": pa.array(range(len(ids)), pa.int64()), "query_id": ids}))
             here = here.join(F.broadcast(names), "number").select(F.col("query_id").cast(queries.schema["query_id"].dataType).alias("query_id"), "domain", "chunk_id", "score")
             found = here if found is None else found.unionByName(here)

@@ -23,6 +23,8 @@ QUERY_BLOCK = 2000
 SCORED_ROWS = 2048
 #: Hits that a task gathers before it cuts them to the k best.
 HELD_HITS = 500_000
+#: Hits of the dense arm that wait beside the k best.
+WAITING_HITS = 100_000
 
 
 def index(chunks: DataFrame) -> DataFrame:
@@ -116,12 +118,20 @@ def _kept(q: np.ndarray, d: np.ndarray, ids: pa.Array, x: np.ndarray, k: int):
 def _products(held, k: int | None):
     """Scores of each batch as one matrix product. A slice gives the k best of each
     question and domain by their thresholds, for all questions at once, and a task
-    keeps the k best of these; without k every slice goes on at once."""
+    keeps the k best of these, and takes up no score below the k-th that it holds;
+    without k every slice goes on at once."""
 
     def run(batches):
         asked, domains_of = held.value
         names: list = []
         kept, waiting, n = None, [], 0
+        floors: dict[int, np.ndarray] = {}  # by domain the k-th score of each question
+
+        def raise_floors():
+            pair, first, count = np.unique(kept[0] * len(names) + kept[1], return_index=True, return_counts=True)
+            floors.update({d: np.full(len(asked), -np.inf) for d in range(len(names))})
+            for p, a in zip(pair[count == k], first[count == k]):  # a pair's hits lie together, best first
+                floors[p % len(names)][p // len(names)] = kept[3][a + k - 1]
 
         def merged():
             parts = ([kept] if kept else []) + waiting
@@ -147,9 +157,11 @@ def _products(held, k: int | None):
                     hit = part > -np.inf
                     if k is not None and len(at) > k:
                         hit &= part >= np.partition(part, len(at) - k, axis=0)[len(at) - k]
-                    row, q = np.nonzero(hit)
                     if name not in names:
                         names.append(name)
+                    if names.index(name) in floors:
+                        hit &= part >= floors[names.index(name)]
+                    row, q = np.nonzero(hit)
                     found = q, np.full(len(q), names.index(name)), b.column("chunk_id").take(pa.array(at[row])), part[row, q]
                     if k is None:
                         yield rows(*found)
@@ -157,8 +169,9 @@ def _products(held, k: int | None):
                     found = _kept(*found, k)
                     waiting.append(found)
                     n += len(found[0])
-                    if n > HELD_HITS:
+                    if n > WAITING_HITS:
                         kept, waiting, n = merged(), [], 0
+                        raise_floors()
         if k is not None and (kept or waiting):
             yield rows(*merged())
 

@@ -8,6 +8,7 @@ import pytest
 
 from quarry.operators import postings as P
 from quarry.operators import search as S
+from quarry.sources import scratch
 
 CHUNK = "domain string, chunk_id string, text string, terms_ int"
 
@@ -147,3 +148,41 @@ def test_added_rows_replace_named_chunks(spark, tiny):
     held.add(frame(new), replaced=frame(old[:2]))
     q = spark.createDataFrame([(0, "w1 w2 w3 w5 w4")], "query_id int, query string")
     assert rows(S.keyword_search(q, held, 5)) == rows(S.bm25(q, frame(new + old[2:]), 5))
+
+
+def test_shards_end_at_postings_and_come_one_by_one(spark, tiny, monkeypatch):
+    """A task's memory goes by postings, not by chunks: shards of long chunks are of
+    fewer, and a task is sent one at a time."""
+    chunks, questions = corpus(3, 400)
+    ch = S.index(spark.createDataFrame(chunks, CHUNK).coalesce(1))
+    q = spark.createDataFrame(questions, "query_id int, query string")
+    monkeypatch.setattr(P, "POSTINGS", 600)
+    monkeypatch.setattr(P, "READ_ROWS", 8)
+    held = P.TextIndex.of(ch)
+    sizes = [sum(r.dfs) for r in held.segments[0][0].select("dfs").collect()]
+    longest = max(len(r.terms) for r in ch.select("terms").collect())
+    assert len(sizes) > 10 and max(sizes) <= 600 + 8 * longest
+    assert rows(S.keyword_search(q, held, 5)) == rows(S.bm25(q, ch, 5))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def counted(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    with scratch.batch_rows(spark, 1):
+        got = scratch.stored(held.rows().mapInArrow(counted, "n long"), "counted")
+    assert {r.n for r in got.collect()} == {1} and spark.conf.get(key) == before
+
+
+def test_dense_arm_keeps_the_best_across_merges(spark, monkeypatch):
+    """Waiting hits are merged often, and scores below the k-th held are not taken up."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(600, 4)), 1)  # with ties
+    rows_ = [("abc"[i % 3] if i < 500 else "d", f"v{i:04d}", v.tolist()) for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows_, "domain string, chunk_id string, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(np.round(rng.normal(size=(7, 4)), 1))], "query_id long, vector array<double>")
+    want = rows(S.ranked(S.dense(q, v, None).drop("rank"), 5))
+    monkeypatch.setattr(S, "SCORED_ROWS", 16)
+    monkeypatch.setattr(S, "WAITING_HITS", 50)
+    assert rows(S.dense(q, v, 5)) == want and len(want) == 7 * 4 * 5
