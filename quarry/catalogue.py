@@ -33,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Tables:
     """The test tables by name, and their search index."""
 
-    #: (application, folder) and the stored chunks and index of the last folder asked for.
-    _last: tuple | None = None
+    #: (application, folder), and the stored chunks and index of the last folder asked for.
+    _last: list | None = None
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -42,21 +42,30 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
-    def corpus(self, anew: bool = False) -> tuple[DataFrame, S.TextIndex]:
-        """The corpus' chunks with terms, and their postings: made once a session, as
-        users of a search index do, and replaced when another folder is asked for."""
+    def indexed(self, anew: bool = False) -> DataFrame:
+        """The corpus' chunks with terms: made once a session, as users of a search
+        index do, and replaced when another folder is asked for."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if anew or Tables._last is None or Tables._last[0] != key:
             if Tables._last is not None and Tables._last[0][0] == key[0]:
-                for t in [Tables._last[1], *Tables._last[2].tables()]:
+                held = Tables._last[2]
+                for t in [Tables._last[1], *(held.tables() if held else ())]:
                     scratch.drop_stored(t)
             Tables._last = None
             ch = S.index(chunks(self))
+            scratch.hold(ch)
+            Tables._last = [key, ch, None]
+        return Tables._last[1]
+
+    def corpus(self, anew: bool = False) -> tuple[DataFrame, S.TextIndex]:
+        """The corpus' chunks with terms, and their postings, for those who search them."""
+        ch = self.indexed(anew)
+        if Tables._last[2] is None:
             held = S.TextIndex.of(ch)
             held.stats()
-            scratch.hold(ch, *held.tables())
-            Tables._last = (key, ch, held)
-        return Tables._last[1:]
+            scratch.hold(*held.tables())
+            Tables._last[2] = held
+        return ch, Tables._last[2]
 
 
 def query(name: str, sql: str | None):
@@ -91,7 +100,7 @@ def chunks(t) -> DataFrame:
 
 
 def indexed(t) -> DataFrame:
-    return t.corpus()[0]
+    return t.indexed()
 
 
 CH = rf"""d AS (SELECT doc_id, lang AS domain, concat(source, '/doc_', doc_id, '.txt') AS source_file, {_WORDS} AS w FROM documents),

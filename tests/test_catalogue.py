@@ -43,3 +43,12 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert os.path.isdir("/root/testdata")
+
+
+def test_postings_are_made_for_those_who_search(spark, sf_dir, monkeypatch):
+    """A query that reads the chunks alone makes no postings, and one index serves both."""
+    monkeypatch.setattr(catalogue.Tables, "_last", None)
+    t = catalogue.Tables(spark, sf_dir)
+    assert catalogue.QUERIES["s8_s10_sorted_layout"](spark, sf_dir).count() and catalogue.Tables._last[2] is None
+    ch = t.indexed()
+    assert t.corpus()[0] is ch and t.corpus()[1] is catalogue.Tables._last[2] and t.corpus()[1].segments
