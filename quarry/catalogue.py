@@ -556,7 +556,7 @@ _NOT_XML = r"[\x00-\x08\x0b-\x1f]"
 
 def _made_files(batches):
     """Documents as files of the kind that their names say."""
-    for b in batches:
+    for b in (part for batch in batches for part in L.slices(batch, "text")):
         data = [L.docx_of(x) if n.endswith(".docx") else x.encode() for n, x in zip(b.column("source_file").to_pylist(), b.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("source_file"), pa.array(data, pa.binary())], ["source_file", "content"])
 

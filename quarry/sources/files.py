@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
+#: Bytes of file contents that a task turns into texts at once, but for a larger file.
+SLICE_BYTES = 4 << 20
 FORMATS = [".pdf", ".txt", ".md", ".docx"]
 _GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in f[1:]) for f in FORMATS) + "}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -94,13 +96,26 @@ def served(requests: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("name", status.alias("status"), F.when(F.col("plain"), F.col("source_file")).alias("source_file"))
 
 
+def slices(batch, column: str, most: int = SLICE_BYTES):
+    """An Arrow batch in slices of about ``most`` bytes in ``column``, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def segments(files: DataFrame, domain: str) -> DataFrame:
     """(domain, source_file, page, text) of scanned files."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, "content")):
             rows = [(p, page, text) for p, d in zip(b.column("source_file").to_pylist(), b.column("content").to_pylist()) for text, page in segments_of(p, d)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["source_file", "page", "text"])
 

@@ -156,3 +156,17 @@ def test_prompt_scores_are_shown_by_their_exact_value(spark):
     hits = spark.createDataFrame(rows, "query_id int, domain string, source_file string, text string, rerank_score double, rerank_rank int")
     got = {r.query_id: r.context for r in S.prompt_context(hits).collect()}
     assert [got[i] for i in range(len(scores))] == [f"[Source 1] — A  (domain: d, score: {x:.3f})\nt" for x in scores]
+
+
+def test_files_are_read_in_slices_of_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    sizes = [3, 9, 0, 0, 4, 4, 3, 30, None, 1]
+    batch = pa.RecordBatch.from_pydict({"x": pa.array([None if n is None else b"a" * n for n in sizes], pa.binary())})
+    parts = [p.column("x").to_pylist() for p in files.slices(batch, "x", 10)]
+    assert [x for p in parts for x in p] == batch.column("x").to_pylist()
+    assert all(len(p) == 1 or sum(len(x or b"") for x in p) <= 10 for p in parts) and len(parts) == 6
+    assert list(files.slices(batch.slice(0, 0), "x")) == []
+    rows = [(f"{i}.{'txt' if i % 2 else 'docx'}", bytes(f"text {i}", "utf-8") if i % 2 else files.docx_of(f"text {i}")) for i in range(40)]
+    got = files.segments(spark.createDataFrame(rows, "source_file string, content binary"), "D").collect()
+    assert sorted(r.text for r in got) == sorted(f"text {i}" for i in range(40))
