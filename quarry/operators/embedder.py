@@ -150,7 +150,8 @@ def fit(index: DataFrame, dim: int = DIM, vocabulary: int = VOCABULARY, least_df
     v = Vocabulary(pa.array([r.token for r in known], pa.string()), np.log((1 + n) / (1 + np.array([r.df for r in known], float))) + 1)
     if not known:
         return Embedder(v, np.zeros((0, dim)), np.zeros(dim))
-    rows = scratch.stored(index.select("terms").mapInArrow(_rows(spark.sparkContext.broadcast(v)), "place array<int>, value array<double>"), "rows")
+    with scratch.batch_rows(spark, SLICE):
+        rows = scratch.stored(index.select("terms").mapInArrow(_rows(spark.sparkContext.broadcast(v)), "place array<int>, value array<double>"), "rows")
     width = min(dim + EXTRA, len(known))
     block, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(known), width)))
     for step in range(steps + 1):
